@@ -28,13 +28,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, slices, table
+from quillspark.llm.common import Recent, documents, slices, table
 
 #: The split pattern of byte-level tokenizers; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words up to so many bytes are merged side by side.
 LOCKSTEP = 64
-#: Entries of a worker's caches; a full cache is emptied and fills anew.
+#: Entries of each generation of a worker's caches.
 CACHE = 400_000
 INFINITE = np.iinfo(np.int64).max
 
@@ -70,8 +70,8 @@ class ByteBPE:
         self.split = regex.compile(PATTERN)
         self.crossing = regex.compile(r"\s ")
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Recent(CACHE)
+        self.parts = Recent(CACHE)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, INFINITE where a pair doesn't merge or has a missing (negative) side."""
@@ -198,10 +198,7 @@ class ByteBPE:
         return found
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = [*words]
+        new = self.words.settle(words)
         self.words.update(zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
 
     def _segments(self, texts: list[str]) -> list[bytes]:
@@ -214,10 +211,7 @@ class ByteBPE:
         """
         cut = [None if self.crossing.search(t) else t.split(" ") for t in texts]
         pieces = {p for c in cut if c is not None for p in c[1:]}
-        unseen = [p for p in pieces if p not in self.parts]
-        if len(self.parts) + len(unseen) > CACHE:
-            self.parts.clear()
-            unseen = [*pieces]
+        unseen = self.parts.settle(pieces)
         split = [self.split.findall(" " + p) for p in unseen]
         heads = [self.split.findall(t if c is None else c[0]) for t, c in zip(texts, cut, strict=True)]
         self._learn({w for ws in split for w in ws} | {w for ws in heads for w in ws})

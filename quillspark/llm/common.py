@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +55,26 @@ def slices(batches: Iterator[pa.RecordBatch], weigh: str, rows: int = SLICE_ROWS
             held += n
         if len(lengths) > begin:
             yield batch.slice(begin)
+
+
+class Recent(dict):
+    """A bounded cache in two generations: when the young one is full it becomes the old one, whose entries return as they are asked for."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def settle(self, keys: Collection) -> list:
+        """Make room for ``keys`` and return those that aren't known; the others can be looked up until the next call."""
+        missing = [k for k in keys if k not in self]
+        if len(self) + len(missing) > self.limit:
+            self.old = dict(self)
+            self.clear()
+            missing = [*keys]
+        unseen = []
+        for k in missing:
+            if (v := self.old.get(k)) is None:
+                unseen.append(k)
+            else:
+                self[k] = v
+        return unseen
