@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, packing
+from quillspark.llm import bpe, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_packing": packing.op2_packing,
         "op3_bpe": bpe.op3_bpe,
+        "op7_quality": quality.op7_quality,
     }
 
 
