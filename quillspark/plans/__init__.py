@@ -1 +1 @@
-"""plans of the engine."""
+"""Query plans over the driver's tables."""
