@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, bpe, packing, quality
+from quillspark.llm import ann, bpe, minhash, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe": bpe.op3_bpe,
         "op7_quality": quality.op7_quality,
         "op9_ann": ann.op9_ann,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
