@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import table
 
 NEIGHBOURS, SAMPLE, MAX_LISTS, PROBE, EPSILON = 20, 20_000, 4_096, 0.7, 2.1
-BLOCK, CHUNK, SALTS = 4_096, 512, 64
+BLOCK, CHUNK, ABREAST, SALTS = 4_096, 256, 256, 64
 
 
 class Index:
@@ -84,31 +84,42 @@ class Index:
 
     def scan(self, queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, vector) that no hypothesis test abandoned."""
-        q = np.hstack([queries, np.zeros((len(queries), 1))]) @ self.rotation
         c = self.lift(vectors) @ self.rotation
-        kth = np.full(len(q), np.inf)
-        best = np.full((len(q), k), np.inf)
+        pairs = []
+        for begin in range(0, len(queries), ABREAST):
+            some = queries[begin : begin + ABREAST]
+            i, j = self._scan(np.hstack([some, np.zeros((len(some), 1))]) @ self.rotation, c, k)
+            pairs.append((i + begin, j))
+        return np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs])
+
+    def _scan(self, q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        best = np.full((len(q), k), np.inf)  # the k least distances so far
         rows, columns = [], []
         for begin in range(0, len(c), CHUNK):
             part = c[begin : begin + CHUNK]
-            i = j = None
-            for a, b in self.blocks:
-                if i is None:  # all pairs, over the first block of columns
-                    x, y = q[:, a:b], part[:, a:b]
-                    partial = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
-                    i, j = np.nonzero(partial * (self.dims / b) <= (kth * (1 + EPSILON / np.sqrt(b)) ** 2)[:, None])
-                    partial = partial[i, j]
-                else:
+            kth = best.max(axis=1)
+            # Nothing to test against yet: the whole distance. Else the first block of columns, for all pairs.
+            edge = self.dims if begin == 0 else self.blocks[0][1]
+            x, y = q[:, :edge], part[:, :edge]
+            partial = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
+            if begin == 0:
+                grid = partial
+                limit = np.partition(grid, k - 1, axis=1)[:, k - 1] if grid.shape[1] > k else np.full(len(q), np.inf)
+                i, j = np.nonzero(grid <= limit[:, None] * (1 + 1e-9))
+            else:
+                i, j = np.nonzero(partial * (self.dims / edge) <= (kth * (1 + EPSILON / np.sqrt(edge)) ** 2)[:, None])
+                partial = partial[i, j]
+                for a, b in self.blocks[1:]:
                     gap = q[i, a:b] - part[j, a:b]
                     partial = partial + np.einsum("ij,ij->i", gap, gap)
-                    keep = partial * (self.dims / b) <= kth[i] * (1 + (EPSILON / np.sqrt(b) if b < self.dims else 1e-9)) ** 2
+                    slack = EPSILON / np.sqrt(b) if b < self.dims else 1e-9
+                    keep = partial * (self.dims / b) <= kth[i] * (1 + slack) ** 2
                     i, j, partial = i[keep], j[keep], partial[keep]
+                grid = np.full((len(q), len(part)), np.inf)
+                grid[i, j] = partial
             rows.append(i)
             columns.append(j + begin)
-            grid = np.full((len(q), len(part)), np.inf)
-            grid[i, j] = partial
-            best = np.partition(np.hstack([best, grid]), k - 1, axis=1)[:, :k] if best.shape[1] + len(part) > k else np.hstack([best, grid])
-            kth = best.max(axis=1)
+            best = np.partition(np.hstack([best, grid]), k - 1, axis=1)[:, :k]
         return np.concatenate(rows), np.concatenate(columns)
 
 
