@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, bpe, minhash, packing, quality
+from quillspark.llm import ann, bpe, minhash, packing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": packing.op2_packing,
         "op3_bpe": bpe.op3_bpe,
         "op7_quality": quality.op7_quality,
+        "op8_substrings": substrings.op8_substrings,
         "op9_ann": ann.op9_ann,
         "op10_minhash": minhash.op10_minhash,
     }
