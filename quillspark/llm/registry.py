@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, bpe, minhash, packing, quality, substrings
+from quillspark.llm import ann, bpe, minhash, packing, quality, substrings, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_packing": packing.op2_packing,
         "op3_bpe": bpe.op3_bpe,
+        "op5_wrappers": wrappers.op5_wrappers,
         "op7_quality": quality.op7_quality,
         "op8_substrings": substrings.op8_substrings,
         "op9_ann": ann.op9_ann,
