@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, bpe, minhash, packing, quality, substrings, wrappers
+from quillspark.llm import ann, bpe, chat, licenses, minhash, packing, quality, substrings, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_packing": packing.op2_packing,
         "op3_bpe": bpe.op3_bpe,
         "op5_wrappers": wrappers.op5_wrappers,
+        "op6_licenses": licenses.op6_licenses,
         "op7_quality": quality.op7_quality,
         "op8_substrings": substrings.op8_substrings,
         "op9_ann": ann.op9_ann,
@@ -24,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat": chat.OP1_SQL}
