@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, bpe, chat, licenses, minhash, packing, quality, substrings, wrappers
+from quillspark.llm import ann, bpe, chat, licenses, media, minhash, packing, quality, substrings, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_chat": chat.op1_chat,
         "op2_packing": packing.op2_packing,
         "op3_bpe": bpe.op3_bpe,
+        "op4_media": media.op4_media,
         "op5_wrappers": wrappers.op5_wrappers,
         "op6_licenses": licenses.op6_licenses,
         "op7_quality": quality.op7_quality,
