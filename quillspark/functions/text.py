@@ -70,7 +70,7 @@ def lines(x: Column | str) -> Column:
 
 def preview(x: Column | str, n: int = 80) -> Column:
     """The first line that isn't blank, trimmed, up to ``n`` characters; empty if there is none."""
-    line = F.get(F.filter(F.transform(lines(x), F.trim), lambda v: v != ""), F.lit(0))
+    line = F.get(F.filter(F.transform(lines(x), lambda v: F.trim(v)), lambda v: v != ""), F.lit(0))
     return F.coalesce(F.substring(line, 1, n), F.lit(""))
 
 
@@ -104,7 +104,7 @@ def resolver_action(x: Column | str) -> Column:
     """struct(action, id, body) of a resolver's reply; ADD where it can't be read."""
     text = F.trim(_col(x))
     first = F.trim(F.substring_index(text, "\n", 1))
-    body = F.trim(F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)$", 1))
+    body = F.regexp_replace(F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)$", 1), r"^\s+|\s+$", "")
     target = F.trim(F.regexp_extract(first, r"^(?:UPDATE|update|DELETE|delete) (.*)$", 1))
     action = (
         F.when(F.lower(first) == "add", "ADD")
@@ -130,7 +130,7 @@ def sanitize_id(x: Column | str) -> Column:
 def header(session_id: Column, ts_raw: Column, ttl: Column, level: Column, strength: Column, access: Column) -> Column:
     """A block's heading with its optional tags."""
     tag = lambda name, value: F.coalesce(F.concat(F.lit(f" [{name}:"), value, F.lit("]")), F.lit(""))
-    return F.concat(F.lit("## Session: "), session_id, F.lit(" ("), ts_raw, F.lit(")"), tag("ttl", ttl), tag("confidence", level), tag("strength", F.format_string("%.2f", strength)) if strength is not None else F.lit(""), tag("access", access))
+    return F.concat(F.lit("## Session: "), session_id, F.lit(" ("), ts_raw, F.lit(")"), tag("ttl", ttl), tag("confidence", level), tag("strength", F.when(strength.isNotNull(), F.format_string("%.2f", strength))), tag("access", access))
 
 
 def chunk_paragraphs(x: Column | str, most: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,19 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+MODULES = ("analytics", "retrieval", "knowledge", "quality", "sessions", "graphs", "learning", "versions", "texts", "streams", "substrate")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"quillspark.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
