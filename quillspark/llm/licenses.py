@@ -7,8 +7,8 @@ short keeps all). An inverted index leads from fingerprints to templates and
 places. All runs of a document are looked up in it, so a shared passage of
 GRAM + WINNOW - 1 words can't be missed. Hits of one template on about one
 diagonal are a candidate. A banded alignment of the template with the document
-around that diagonal counts matched words, with up to ``BAND`` words inserted
-or left out on the way; it is reported if its coverage of the template is
+around that diagonal counts matched words, with up to ``BAND`` words (a quarter
+of a short template's) inserted or left out on the way; it is reported if its coverage of the template is
 ``COVERAGE`` or more, with the span from its first to its last matched word.
 
 The index is a fixed table of the templates' fingerprints; documents are read
@@ -91,6 +91,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.names = [*templates]
         self.words = [np.array([h for w in text.split() if (h := _hash(w))], np.uint64) for text in templates.values()]
+        self.bands = [max(1, min(BAND, len(w) // 4)) for w in self.words]
         entries = []
         for k, words in enumerate(self.words):
             h = grams(words)
@@ -121,13 +122,13 @@ class Scanner:
         hits = sorted((self.owner[e], p - self.place[e]) for p, a, b in zip(likely.tolist(), low.tolist(), high.tolist(), strict=True) for e in range(a, b))
         bands: list[tuple[int, int, int]] = []
         for k, diagonal in hits:
-            if bands and bands[-1][0] == k and diagonal - bands[-1][2] <= BAND:
+            if bands and bands[-1][0] == k and diagonal - bands[-1][2] <= self.bands[k]:
                 bands[-1] = (k, bands[-1][1], diagonal)
             else:
                 bands.append((k, diagonal, diagonal))
         found = []
         for k, first, last in bands:
-            matched, begin, end = align(self.words[k], words, first, last)
+            matched, begin, end = align(self.words[k], words, first, last, self.bands[k])
             if matched >= COVERAGE * len(self.words[k]):
                 found.append((k, matched / len(self.words[k]), begin, end))
         if not found:
@@ -140,19 +141,19 @@ class Scanner:
         return sorted((self.names[k], c, spans[kept[b]][0], spans[kept[e]][1]) for k, c, b, e in best)
 
 
-def align(template: np.ndarray, words: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, words: np.ndarray, first: int, last: int, band: int = BAND) -> tuple[int, int, int]:
     """The most words that match in order within the band; and the places of the first and the last.
 
-    Cell j of row i stands for word i + first - BAND + j; scores are the longest
+    Cell j of row i stands for word i + first - band + j; scores are the longest
     common subsequence within the band, ties to the latest begin.
     """
-    width = last - first + 2 * BAND + 1
+    width = last - first + 2 * band + 1
     pattern, doc, n = template.tolist(), words, len(words)
     row = [(0, -(1 << 40), -1)] * (width + 1)  # matched, -begin is not yet known, end
     top = (0, 0, -1)
     for i, word in enumerate(pattern):
         left = (0, -(1 << 40), -1)
-        base = i + first - BAND
+        base = i + first - band
         for j in range(width):
             p = base + j
             cell = max(row[j + 1], left)
