@@ -202,3 +202,17 @@ def tool_summary(tool: Column, data: Column) -> Column:
         .when(tool == "WebFetch", F.coalesce(pick("url"), F.lit("")))
         .otherwise(truncate_bytes(data, 150, "..."))
     )
+
+
+def clean_extraction(x: Column | str) -> Column:
+    """An extraction's text, null where it is empty or only says that there was nothing; a leading resolver verb is dropped."""
+    body = F.regexp_replace(F.regexp_replace(_col(x), r"^(?i)\s*(add|update \S+|noop|delete \S+)[ \t]*\n", ""), r"^\s+|\s+$", "")
+    nothing = F.lower(body).rlike(r"^\(?(no|none|nothing)\b[^\n]{0,80}(found|identified|extracted|applicable|to report)?[.)]*$") | F.lower(body).isin("n/a", "none", "none.")
+    return F.when((body == "") | nothing, F.lit(None).cast("string")).otherwise(body)
+
+
+def infer_category(session_id: Column, content: Column, categories: list[str]) -> Column:
+    """The id's last part, else a category line, if it is a known category."""
+    suffix = F.substring_index(session_id, ":", -1)
+    line = F.lower(F.regexp_extract(content, r"(?im)^\s*-\s*category:\s*(\w+)", 1))
+    return F.when(suffix.isin(categories), suffix).when(line.isin(categories), line)
