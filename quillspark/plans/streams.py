@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.plans.catalog import register
@@ -32,3 +34,24 @@ def x_session_windows(spark, d):
 @register("x_sliding_counts", "SELECT strftime(s, '%Y-%m-%d') AS start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) GROUP BY 1")
 def x_sliding_counts(spark, d):
     return S.drain(S.sliding_counts(S.events(spark, d)), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@register("stream_counters", "SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
+def stream_counters(spark, d):
+    """Counters kept by foreachBatch, summed over the batches."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillspark"
+    path = f"{base.rstrip('/')}/counters/{uuid.uuid4().hex}"
+    S.keep_counters(S.events(spark, d), path)
+    return spark.read.parquet(path).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+@register("stream_expiry", "SELECT user_id, strftime(max(ts) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS until FROM events GROUP BY 1")
+def stream_expiry(spark, d):
+    return S.drain(S.live_until(S.events(spark, d)), "complete").select("user_id", F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"))
+
+
+@register("stream_distill", "SELECT user_id % 10 AS grp, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 30")
+def stream_distill(spark, d):
+    """Groups that have gathered more than a threshold of events."""
+    counted = S.events(spark, d).groupBy((F.col("user_id") % 10).alias("grp")).agg(F.count("*").alias("n"))
+    return S.drain(counted, "complete").where("n > 30")

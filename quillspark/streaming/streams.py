@@ -72,3 +72,18 @@ def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None] |
     writer = writer.foreachBatch(each) if each else writer.format("memory").queryName(name)
     writer.start().awaitTermination()
     return None if each else spark.table(name)
+
+
+def keep_counters(stream: DataFrame, path: str) -> None:
+    """Counts of each micro-batch by key, written under the batch's number: a batch that runs again replaces its own rows, so sums are exact."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    drain(stream, "append", each)
+
+
+def live_until(stream: DataFrame, hours: int = 36) -> DataFrame:
+    """Users whose latest event is newer than the time to live, counted from the stream's newest day: state that expires."""
+    last = stream.groupBy("user_id").agg(F.max("ts").alias("last"))
+    return last.select("user_id", "last", (F.col("last") + F.make_dt_interval(hours=F.lit(hours))).alias("until"))
