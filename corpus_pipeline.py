@@ -35,9 +35,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 ids."""
-    return packing.pieces(docs)
+    return packing.pieces(docs, CACHE)
 
 
+#: Chunks whose ids a packing worker keeps: fewer than packing alone would, as the workers serve all stages.
+CACHE = 100_000
+
 STAGES = [("quality", keep_quality), ("near_duplicates", keep_distinct), ("substrings", cut_repeats), ("packing", pack)]
 
 #: A fitted model and a tokenizer are beyond SQL.

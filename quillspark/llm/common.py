@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows or text bytes that a Python worker handles at once; whole rows only.
-SLICE_ROWS, SLICE_BYTES = 2_000, 8_000_000
+SLICE_ROWS, SLICE_BYTES, BATCH_ROWS = 2_000, 8_000_000, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_ROWS`` rows at most, if the session has Spark's own bound: buffers of the JVM and of workers are as large as a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def release() -> None:
+    """Hand memory that a worker has freed back to the system; workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text of a documents table, a null text as the empty one; other columns are dropped whatever they are called."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -45,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], weigh: str, rows: int = SLICE_ROWS
     """Cut Arrow batches into runs of rows whose ``weigh`` column holds about ``size`` bytes at most; a longer row stands alone."""
     import pyarrow.compute as pc
 
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(weigh)), 0).to_pylist()
         begin, held = 0, 0
@@ -55,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], weigh: str, rows: int = SLICE_ROWS
             held += n
         if len(lengths) > begin:
             yield batch.slice(begin)
+    release()
 
 
 class Recent(dict):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Recent, documents, slices, stored, table
+from quillspark.llm.common import Recent, documents, release, slices, stored, table
 from quillspark.llm.graphs import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
@@ -45,7 +45,7 @@ SAMPLES = BANDS * ROWS
 AGREE = 18
 #: A centre's documents are compared in as many parts.
 PARTS = 32
-CACHE = 400_000
+CACHE = 150_000
 _ODD = (np.random.default_rng(11).integers(0, 2**63, 64 + SAMPLES + ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -163,6 +163,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[lis
             run.append(row)
     if run:
         yield run
+    release()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -172,7 +173,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of every row."""
     spark = docs.sparkSession
-    rows = documents(docs)
+    rows = documents(docs)  # with small Arrow batches from here on
     total, counts = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(rarities(total, counts))
 

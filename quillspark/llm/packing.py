@@ -57,7 +57,7 @@ class ChunkTokenizer:
     behind them has the ids of either. Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,7 +70,7 @@ class ChunkTokenizer:
         steps = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.lower = any(s.get("type") == "Lowercase" for s in steps) and all(x == x.lower() for x in specials)
-        self.known = Recent(CACHE)
+        self.known = Recent(cache)
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -212,20 +212,20 @@ class SumOfSquares:
             left -= size
 
 
-_LOADED: dict[str, ChunkTokenizer] = {}
+_LOADED: dict[tuple[str, int], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTokenizer(path)
-    return _LOADED[path]
+def tokenizer(path: str, cache: int = CACHE) -> ChunkTokenizer:
+    if (path, cache) not in _LOADED:
+        _LOADED[path, cache] = ChunkTokenizer(path, cache)
+    return _LOADED[path, cache]
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = SEPARATOR, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = SEPARATOR, max_open: int = MAX_OPEN, cache: int = CACHE) -> DataFrame:
     """Tokenise and pack ``docs``; returns pieces with their ids (binary: little-endian unsigned 32-bit integers)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(path)
+        encoder = tokenizer(path, cache)
         context = TaskContext.get()
         packer = SumOfSquares(window, max_open, (context.partitionId() if context else 0) << 33)
         end = np.array([separator], dtype="<u4").tobytes()
@@ -247,11 +247,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = SEPA
     return documents(docs).mapInArrow(work, SCHEMA)
 
 
-def pieces(docs: DataFrame) -> DataFrame:
+def pieces(docs: DataFrame, cache: int = CACHE) -> DataFrame:
     """Pieces with the checksum of their ids instead of the ids, packed with the production parameters."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=cache).select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

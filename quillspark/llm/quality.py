@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, slices, table
+from quillspark.llm.common import documents, slices, small_batches, table
 
 BUCKETS, FACTORS, SAMPLE, THRESHOLD = 1 << 15, 8, 6_000, 0.3
 #: Marks whose share of the text is a statistic of its own.
@@ -167,6 +167,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def keep(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

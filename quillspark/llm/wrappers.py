@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices, stored, table
+from quillspark.llm.common import slices, small_batches, stored, table
 
 PARTS, BROADCAST, LONGEST_RUN = 16, 32_000_000, 4
 #: Elements, then parts of class names and ids, whose content is no article text.
@@ -297,6 +297,7 @@ def host(url: str | None) -> str:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row."""
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
