@@ -15,7 +15,7 @@ def connect(sf_dir: str):
 
 
 def _plain(v):
-    if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, bool) or type(v).__name__ in ("bool_", "bool"):
         return bool(v)
