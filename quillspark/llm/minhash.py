@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Recent, documents, release, slices, stored, table
+from quillspark.llm.common import documents, release, slices, stored, table
 from quillspark.llm.graphs import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
@@ -45,10 +45,15 @@ SAMPLES = BANDS * ROWS
 AGREE = 18
 #: A centre's documents are compared in as many parts.
 PARTS = 32
-CACHE = 150_000
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(13).integers(0, 2**64 - 1, 256, dtype=np.uint64)
 _ODD = (np.random.default_rng(11).integers(0, 2**63, 64 + SAMPLES + ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+_POWER = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * 4095, dtype=np.uint64))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -56,20 +61,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """64-bit hashes of the lower-cased words of texts, by ASCII white space: a sum over a word's bytes of random values times powers of an odd number, mixed."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    space = _SPACE[joined]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    ends_of = np.cumsum([len(r) + 1 for r in raw]) + 1  # where each text is over
+    if not len(starts):
+        return [np.empty(0, np.uint64) for _ in texts]
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    values = _BYTE[joined[~space]] * _POWER[place & (len(_POWER) - 1)]
+    hashes = mix(np.add.reduceat(values, first))
+    return np.split(hashes, np.searchsorted(starts, ends_of[:-1]))
+
+
 class Shingler:
-    """Weighted shingles of texts; hashes of words are kept in a bounded cache."""
+    """Weighted shingles of texts."""
 
     def __init__(self, idf: np.ndarray):
         self.idf = idf
-        self.hashes = Recent(CACHE)
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
-        """64-bit hashes of each text's words."""
-        split = [t.lower().split() for t in texts]
-        new = self.hashes.settle(set().union(*split) if split else set())
-        self.hashes.update((w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in new)
-        look = self.hashes.__getitem__
-        return [np.fromiter(map(look, ws), dtype=np.uint64, count=len(ws)) for ws in split]
+        return word_hashes(texts) if texts else []
 
     def weighted(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the distinct shingles, and their weights."""
