@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,15 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import Recent, documents, slices, table
 
 WINDOW, SEPARATOR, MAX_OPEN = 4096, 2, 512
+#: Bytes of text whose chunks are looked up together.
+AT_ONCE = 8_000_000
 #: Entries of each generation of a worker's cache of ids by chunk.
 CACHE = 500_000
 #: ASCII marks that can follow a word without being part of it (the apostrophe can).
 MARKS = ".,;:!?*#%$&|()[]{}-_/+=\"<>@^~`\\"
-#: The last of the Latin letters that lower-case one by one and alike everywhere (all but the dotted capital I).
-LATIN = "\u024f"
+#: Words that the library encodes in one text.
+TOGETHER = 256
+#: Whatever isn't a character up to the Latin letters that lower-case one by one and alike everywhere (all but the dotted capital I).
 BEYOND_LATIN = re.compile("[^\0-\u012f\u0131-\u024f]")
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -83,7 +87,17 @@ class ChunkTokenizer:
         return bool(split.get("behavior") == "Removed" and split.get("invert") and plain and not spaced)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters: ``TOGETHER`` in one text, told apart by the number of the word that each id is from."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        found: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            raw, word = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
+            ends = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), len(raw)]
+            found += [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)] if len(ends) == len(group) + 1 else self._library(group)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -92,17 +106,29 @@ class ChunkTokenizer:
         if self.lower:
             texts = [t if BEYOND_LATIN.search(t) else t.lower() for t in texts]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        halves: dict[str, tuple[str, str]] = {}
-        for chunk in self.known.settle(set().union(*cut)):
+        known = self.known
+        words: set[str] = set()  # of Latin letters
+        others: set[str] = set()
+        pairs: list[tuple[str, str, str]] = []  # chunk, word, marks
+        for chunk in known.settle(set().union(*cut)):
             stem = chunk.rstrip(MARKS)
-            alone = len(stem) == len(chunk) or not stem.isalpha() or stem[-1] > LATIN or stem[-1] == "\u0130"
-            halves[chunk] = (chunk, "") if alone else (stem, chunk[len(stem) :])
-        new = [x for x in {x for pair in halves.values() for x in pair} if x not in self.known]
-        ids = dict(zip(new, self._library(new), strict=True))
-        for chunk, (stem, marks) in halves.items():
-            self.known[chunk] = (ids.get(stem) or self.known.get(stem, b"")) + (ids.get(marks) or self.known.get(marks, b""))
-        self.known.update((x, ids[x]) for x in new)
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+            plain = stem.isalpha() and not BEYOND_LATIN.search(stem)
+            if len(stem) == len(chunk) or not plain:
+                (words if plain and len(stem) == len(chunk) else others).add(chunk)
+                continue
+            marks = chunk[len(stem) :]
+            pairs.append((chunk, stem, marks))
+            for part, unknown in ((stem, words), (marks, others)):
+                if part not in known:
+                    if (ids := known.old.get(part)) is None:
+                        unknown.add(part)
+                    else:
+                        known[part] = ids
+        for new, encode in (([*words], self._words), ([*others], self._library)):
+            known.update(zip(new, encode(new), strict=True))
+        for chunk, stem, marks in pairs:
+            known[chunk] = known[stem] + known[marks]
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
 Piece = tuple[int, int, bytes, int]  # document, start, packed ids, ids of the whole document
@@ -237,10 +263,25 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = SEPA
                 columns = [[p[0] for p, _, _ in some], [p[1] for p, _, _ in some], [len(p[2]) // 4 for p, _, _ in some], [p[3] for p, _, _ in some], [n for _, n, _ in some], [o for _, _, o in some]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([p[2] for p, _, _ in some], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in slices(batches, "text"):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+        held: list[int | None] = []
+        texts: list[str] = []
+
+        def place() -> None:
+            for doc, ids in zip(held, encoder.encode(texts), strict=True):
                 packer.add(doc, ids + end)
-            yield from out()
+            held.clear()
+            texts.clear()
+
+        size = 0
+        for batch in slices(batches, "text"):
+            held += batch.column("doc_id").to_pylist()
+            texts += batch.column("text").to_pylist()
+            size += batch.column("text").nbytes
+            if size >= AT_ONCE:
+                place()
+                size = 0
+                yield from out()
+        place()
         packer.finish()
         yield from out()
 
