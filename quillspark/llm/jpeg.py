@@ -159,15 +159,26 @@ def _lanes(units: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return lane, np.where(number == np.repeat(count, count) - 1, -1, number % 8), count
 
 
+def _spread(code: np.ndarray, length: np.ndarray, full: np.ndarray, width: int, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of full blocks, ``width`` each, among single ends of the other blocks, in the order of the blocks."""
+    if full.all():
+        return code, length, np.repeat(lane, width)
+    count = np.where(full, width, 1)
+    inside = np.repeat(full, count)
+    codes, lengths = np.full(len(inside), AC_TABLE[0][0]), np.full(len(inside), AC_TABLE[1][0])
+    codes[inside], lengths[inside] = code, length
+    return codes, lengths, np.repeat(lane, count)
+
+
 def _ac_first(values: np.ndarray, lane: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, lengths and lanes of a band's first scan; values are already shifted."""
     band = values[:, lo : hi + 1]
     width = hi - lo + 1
-    if band.all():  # no runs, no ends
-        v = np.ascontiguousarray(band).ravel()
+    full = band.all(axis=1)
+    if (full | ~band.any(axis=1)).all():  # no runs: whole blocks, and ends of empty ones
+        v = band[full].ravel()
         size = bits_of(np.abs(v))
-        code = (AC_TABLE[0][size] << size) | (v + ((1 << size) - 1) * (v < 0))
-        return code, AC_TABLE[1][size] + size, np.repeat(lane, width)
+        return _spread((AC_TABLE[0][size] << size) | (v + ((1 << size) - 1) * (v < 0)), AC_TABLE[1][size] + size, full, width, lane)
     row, col = np.nonzero(band)
     v = band[row, col]
     same = np.diff(row, prepend=-1) == 0
@@ -199,10 +210,11 @@ def _ac_refine(values: np.ndarray, lane: np.ndarray, lo: int, hi: int, low: int)
     n, width = band.shape
     simple = ~new.any(axis=1)
     # Blocks without a new coefficient: the end of the block, then the bits of the old ones.
-    if old.all():
-        code, length = np.empty((n, width + 1), np.int32), np.ones((n, width + 1), np.int32)
-        code[:, 0], length[:, 0], code[:, 1:] = AC_TABLE[0][0], AC_TABLE[1][0], size & 1
-        return code.ravel(), length.ravel(), np.repeat(lane, width + 1)
+    full = old.all(axis=1)
+    if (full | ~size.any(axis=1)).all():
+        code, length = np.empty((int(full.sum()), width + 1), np.int32), np.ones((int(full.sum()), width + 1), np.int32)
+        code[:, 0], length[:, 0], code[:, 1:] = AC_TABLE[0][0], AC_TABLE[1][0], size[full] & 1
+        return _spread(code.ravel(), length.ravel(), full, width + 1, lane)
     row, col = np.nonzero(old & simple[:, None])
     needed = np.flatnonzero(simple & ((size == 0).any(axis=1) | old.any(axis=1)))
     code = np.concatenate([np.full(len(needed), AC_TABLE[0][0]), size[row, col] & 1])

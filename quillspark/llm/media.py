@@ -30,7 +30,7 @@ from quillspark.llm.common import documents, slices, table
 
 UNIT, LEVEL = 64, 256
 #: Bytes of text that a worker stores at once; a longer text stands alone.
-AT_ONCE = 1_500_000
+AT_ONCE = 2_000_000
 
 
 def payload(text: str) -> bytes:
