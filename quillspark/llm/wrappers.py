@@ -9,11 +9,15 @@ their elements; matched items are aligned inside in turn, what only one side
 has becomes optional, and what comes to stand beside its equal is folded.
 Aligning all pages of a host leaves the host's wrapper, a small expression.
 
-The wrapper says where the article is: its article or main element; else the
-container that holds most of the text which differs from page to page. Items
-of it that are navigation, headers, footers, sidebars, forms, scripts, notices,
-adverts or comments, by element or by class, are left out. A page's text is
-what its own stream holds at the wrapper's remaining places.
+The wrapper says where articles are, in this order: its article elements; its
+main elements; containers that their classes call content; article or main
+elements within parts that are left out; the least containers that hold all
+unlinked text which differs from page to page; the whole page. A host's pages
+may have several layouts, so each page takes the first of these at which it
+has text. Items that are navigation, headers, footers, sidebars, forms,
+scripts, notices, adverts or comments, by element or by class, are left out,
+by class only where the page has text without them. A page's text is what its
+own stream holds at the remaining places.
 
 Expressions of equal pages are counted once, then aligned in ``PARTS`` parts a
 host and at last part with part, so no task sees all pages of a large host.
@@ -48,6 +52,7 @@ DROP_WORDS = frozenset(
 MAIN_WORDS = frozenset("article main content post entry story".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
 #: An opening of one of these ends an open p.
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening of the first ends an open one of the others, up to the given container.
@@ -216,8 +221,8 @@ def dropped(name: str) -> bool:
     return tag in DROP_TAGS or bool(rest) and tag not in ("article", "main", "body", "html") and not DROP_WORDS.isdisjoint(_PARTS.findall(rest))
 
 
-def rule(wrapper: list, places: list[dict]) -> dict[str, list[str]]:
-    """Where the wrapper's article is: paths of its roots, and paths inside them that are left out."""
+def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
+    """Where the wrapper's articles are: paths of roots by kind, best first, and paths that are left out."""
     paths: list[str] = []
 
     def walk(items: list, path: str) -> None:
@@ -234,30 +239,45 @@ def rule(wrapper: list, places: list[dict]) -> dict[str, list[str]]:
     inside = lambda p, roots: any(p == r or p.startswith(f"{r}/") for r in roots)
     open_ = [p for p in unique if not inside(p, skip)]
 
-    def marked(test) -> list[str]:
+    def marked(test, among: list[str] = open_) -> list[str]:
         found: list[str] = []
-        for p in open_:
+        for p in among:
             if test(*re.sub(r"[#@]", ".", p.rpartition("/")[2]).partition(".")[::2]) and not inside(p, found):
                 found.append(p)
         return found
 
-    roots = marked(lambda tag, rest: tag == "article") or marked(lambda tag, rest: tag == "main" or rest == "main") or marked(lambda tag, rest: tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(_PARTS.findall(rest)))
-    if not roots:
-        varying = {x["path"]: x["chars"] - x["linked"] for x in places if not inside(x["path"], skip) and (x["pages"] < 3 or x["low"] != x["high"])}
-        total, root = sum(varying.values()), ""
-        while total:
-            below = {p: sum(n for q, n in varying.items() if inside(q, [p])) for p in open_ if p.startswith(f"{root}/") and "/" not in p[len(root) + 1 :]}
-            best = max(below, key=lambda p: (below[p], p), default=None)
-            if best is None or below[best] < 0.7 * total or re.sub(r"[.#@].*", "", best.rpartition("/")[2]) in INLINE | CLOSES_P - {"div", "section", "article", "main", "center", "table"}:
-                break
-            root = best
-        roots = [root or "/"]
-    return {"roots": roots, "skip": [p for p in sorted(skip) if roots == ["/"] or inside(p, roots)]}
+    landmarks = (lambda tag, rest: tag == "article", lambda tag, rest: tag == "main" or rest == "main")
+    kinds = [*map(marked, landmarks), marked(lambda tag, rest: tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(_PARTS.findall(rest)))]
+    kinds += [[p for p in marked(test, unique) if inside(p, skip)] for test in landmarks]
+    varying = {x["path"]: x["chars"] - x["linked"] for x in places if not inside(x["path"], skip) and x["chars"] > x["linked"] and (x["pages"] < 3 or x["low"] != x["high"])}
+
+    # The least containers that hold all varying text.
+    least, wide = [], [""] if varying else []
+    while wide:
+        root = wide.pop()
+        below = {"/".join(q.split("/")[: root.count("/") + 2]) for q in varying if inside(q, [root])}
+        if root in varying or any(re.sub(r"[.#@].*", "", p.rpartition("/")[2]) not in CONTAINERS for p in below):
+            least.append(root or "/")
+        else:
+            wide.extend(below)
+    kinds += [sorted(least), ["/"]]
+    kinds = [k for i, k in enumerate(kinds) if k and k not in kinds[:i]]
+    held = [r for k in kinds for r in k if r != "/"]
+    outer = {p for p in skip if not inside(p.rpartition("/")[0], skip)}
+    return {"roots": kinds, "skip": [p for p in sorted(skip) if p in outer or inside(p, held)]}
+
 
+def extract(page: str, found: dict[str, list]) -> str:
+    """The text of a page at the first of a rule's kinds of roots that has any, as blocks between empty lines."""
+    events = [*stream(page)]
+    skip = {*found["skip"]}
+    for roots in found["roots"]:
+        if text := _read(events, {*roots}, skip):
+            return text
+    return _read(events, {"/"}, {p for p in skip if re.split(r"[.#@]", p.rpartition("/")[2], maxsplit=1)[0] in DROP_TAGS})
 
-def extract(page: str, found: dict[str, list[str]]) -> str:
-    """The text of a page at the places that a rule names, as blocks between empty lines."""
-    roots, skip = {*found["roots"]}, {*found["skip"]}
+
+def _read(events: list[tuple[str, str]], roots: set[str], skip: set[str]) -> str:
     blocks: list[str] = []
     text: list[str] = []
     paths, levels = [""], [("/" in roots, False)]
@@ -267,7 +287,7 @@ def extract(page: str, found: dict[str, list[str]]) -> str:
             blocks.append(block)
         text.clear()
 
-    for kind, value in stream(page):
+    for kind, value in events:
         inside, out = levels[-1]
         if kind == "text":
             if inside and not out:
@@ -280,7 +300,7 @@ def extract(page: str, found: dict[str, list[str]]) -> str:
                 end()
             elif tag == "br" and inside and not out:
                 text.append(" ")
-            levels.append((inside or path in roots, out or path in skip))
+            levels.append((True, False) if path in roots else (inside, out or path in skip))
         else:
             if value not in INLINE:
                 end()
@@ -357,7 +377,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if text not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[text] = json.loads(text) if text else {"roots": ["/"], "skip": []}
+                    known[text] = json.loads(text) if text else {"roots": [["/"]], "skip": []}
                 texts.append(extract(page, known[text]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

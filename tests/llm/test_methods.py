@@ -158,6 +158,23 @@ def test_article_and_nothing_else(spark, box, end):
     assert got[2] == f"Title 2\n\nFirst & {'b' * 52} line\n\none\n\ntwo\n\nLast"
 
 
+def main_texts(spark, pages):
+    return {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("url", ["http://two.example/", None])
+def test_pages_of_one_host_in_several_layouts(spark, url):
+    boxes = ["article", "main", "div class='content'", "div class='x'", "section"]
+    page = "<body><nav>n</nav><{box}><h2>Title {i}</h2><p>{text}</p></{end}><footer>f</footer></body>"
+    pages = [(i, url and f"{url}{i}", page.format(box=box, end=box.split()[0], i=i, text="w" * (40 + i))) for i, box in enumerate(boxes * 3)]
+    assert main_texts(spark, pages) == {i: f"Title {i}\n\n{'w' * (40 + i)}" for i in range(15)}
+
+
+def test_parts_outside_the_largest_container_stay(spark):
+    pages = [(i, "http://parts.example/", f"<body><div>menu of all</div><div class='x'><p>long {'w' * (400 + i)}</p></div><div class='y'><p>short {i}</p></div></body>") for i in range(6)]
+    assert main_texts(spark, pages) == {i: f"long {'w' * (400 + i)}\n\nshort {i}" for i in range(6)}
+
+
 def test_license_spans():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     mit = licenses.TEMPLATES["mit-text"]
