@@ -16,8 +16,11 @@ unlinked text which differs from page to page; the whole page. A host's pages
 may have several layouts, so each page takes the first of these at which it
 has text. Items that are navigation, headers, footers, sidebars, forms,
 scripts, notices, adverts or comments, by element or by class, are left out,
-by class only where the page has text without them. A page's text is what its
-own stream holds at the remaining places.
+by class only where the page has text without them. So are template blocks:
+elements with a class, id or role that the wrapper requires at a root (no ? from
+there down) and whose text slots are the same on all pages, three at least, while
+other slots of the root differ. Equal text in elements without a name stays. A
+page's text is what its own stream holds at the remaining places.
 
 Expressions of equal pages are counted once, then aligned in ``PARTS`` parts a
 host and at last part with part, so no task sees all pages of a large host.
@@ -223,18 +226,20 @@ def dropped(name: str) -> bool:
 
 def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
     """Where the wrapper's articles are: paths of roots by kind, best first, and paths that are left out."""
-    paths: list[str] = []
+    since: dict[str, int] = {}  # path to the least depth from which on the wrapper requires it
 
-    def walk(items: list, path: str) -> None:
-        for name, _, inner in items:
+    def walk(items: list, path: str, least: int) -> None:
+        depth = path.count("/") + 1
+        for name, mark, inner in items:
+            here = depth if mark in ("?", "*") else least
             if name == "(":
-                walk(inner, path)
+                walk(inner, path, here)
             elif name != "#":
-                paths.append(f"{path}/{name}")
-                walk(inner, f"{path}/{name}")
+                since[f"{path}/{name}"] = min(here, since.get(f"{path}/{name}", here))
+                walk(inner, f"{path}/{name}", here)
 
-    walk(wrapper, "")
-    unique = [*dict.fromkeys(paths)]
+    walk(wrapper, "", 0)
+    unique = [*since]
     skip = {p for p in unique if dropped(p.rpartition("/")[2])}
     inside = lambda p, roots: any(p == r or p.startswith(f"{r}/") for r in roots)
     open_ = [p for p in unique if not inside(p, skip)]
@@ -263,6 +268,15 @@ def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
     kinds += [sorted(least), ["/"]]
     kinds = [k for i, k in enumerate(kinds) if k and k not in kinds[:i]]
     held = [r for k in kinds for r in k if r != "/"]
+    # Template blocks.
+    same = {x["path"] for x in places if x["pages"] > 2 and x["low"] == x["high"]}
+    slots = {x["path"] for x in places} - same
+    differ = {x["path"] for x in places if x["low"] != x["high"]} - {x["path"] for x in places if inside(x["path"], skip - {*held})}
+    blocks = [p for p in unique if re.search("[.#@]", p.rpartition("/")[2]) and re.split(r"[.#@]", p.rpartition("/")[2], maxsplit=1)[0] not in INLINE]
+    above = lambda paths: {q[:i] for q in paths for i in [*(m.start() for m in re.finditer("/", q)), len(q)]}
+    blocks = sorted({*blocks} & above(same) - above(slots))
+    for r in {*held, ""} & above(differ):
+        skip |= {p for p in blocks if p.startswith(f"{r}/") and since[p] <= r.count("/")}
     outer = {p for p in skip if not inside(p.rpartition("/")[0], skip)}
     return {"roots": kinds, "skip": [p for p in sorted(skip) if p in outer or inside(p, held)]}
 

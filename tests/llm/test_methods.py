@@ -175,6 +175,14 @@ def test_parts_outside_the_largest_container_stay(spark):
     assert main_texts(spark, pages) == {i: f"long {'w' * (400 + i)}\n\nshort {i}" for i in range(6)}
 
 
+def test_template_text_goes_and_texts_of_pages_stay(spark):
+    page = "<body><article><h1>Title {i}</h1><div class='x0'>House rules apply</div>{own}<p>Same</p><p>{text}</p><div id='y'><p>All hands read</p></div></article></body>"
+    own = "<div class='z'>Seldom</div>"
+    pages = [(i, "http://template.example/", page.format(i=i, own=own if i < 3 else "", text="w" * (40 + i))) for i in range(6)]
+    assert main_texts(spark, pages) == {i: f"Title {i}\n\n{'Seldom' + chr(10) * 2 if i < 3 else ''}Same\n\n{'w' * (40 + i)}" for i in range(6)}
+    assert set(main_texts(spark, [(i, "http://copies.example/", pages[0][2]) for i in range(4)]).values()) == {f"Title 0\n\nHouse rules apply\n\nSeldom\n\nSame\n\n{'w' * 40}\n\nAll hands read"}
+
+
 def test_license_spans():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     mit = licenses.TEMPLATES["mit-text"]
