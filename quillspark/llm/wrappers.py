@@ -10,13 +10,15 @@ has becomes optional, and what comes to stand beside its equal is folded.
 Aligning all pages of a host leaves the host's wrapper, a small expression.
 
 The wrapper says where articles are, in this order: its article elements; its
-main elements; containers that their classes call content; article or main
-elements within parts that are left out; the least containers that hold all
-unlinked text which differs from page to page; the whole page. A host's pages
-may have several layouts, so each page takes the first of these at which it
-has text. Items that are navigation, headers, footers, sidebars, forms,
-scripts, notices, adverts or comments, by element or by class, are left out,
-by class only where the page has text without them. So are template blocks:
+main elements; containers that their classes call content; the least containers
+that hold all unlinked text which differs from page to page; the whole page. A
+host's pages may have several layouts, so each page takes the first of these at
+which it has text. Items that are navigation, headers, footers, sidebars, forms,
+scripts, notices, adverts or comments, by element or by a whole class name, are
+left out, by class only where the page has text without them; forms and classes
+(but those of comments and of related articles) not where they hold more than
+half of the host's text that differs, and article or main elements in them are
+read where they hold more than a page's content or containers. So are template blocks:
 elements with a class, id or role that the wrapper requires at a root (no ? from
 there down) and whose text slots are the same on all pages, three at least, while
 other slots of the root differ. Equal text in elements without a name stays. A
@@ -47,11 +49,13 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import slices, small_batches, stored, table
 
 PARTS, BROADCAST, LONGEST_RUN = 16, 32_000_000, 4
-#: Elements, then parts of class names and ids, whose content is no article text.
+#: Elements, then words of class names and ids, whose content is no article text.
 DROP_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea label input menu dialog object head title meta link".split())
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments respond disqus reply replies reactions cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended toolbar widget pagination pager skip hidden copyright".split()
 )
+#: Those of them that hold the articles of others.
+OTHERS_WORDS = frozenset("comment comments respond disqus reply replies reactions related recommended".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -218,10 +222,18 @@ def expression(page: str) -> tuple[list, dict[str, list[int]]]:
     return fold(root), {p: [n, l, h.intdigest() - (1 << 63)] for p, (n, l, h) in places.items()}
 
 
-def dropped(name: str) -> bool:
-    """Whether an element is no part of an article."""
+def dropped(name: str) -> int:
+    """Whether an element is no part of an article: 2 for always, 1 for unless it holds the article."""
     tag, _, rest = re.sub(r"[#@]", ".", name).partition(".")
-    return tag in DROP_TAGS or bool(rest) and tag not in ("article", "main", "body", "html") and not DROP_WORDS.isdisjoint(_PARTS.findall(rest))
+    if tag in DROP_TAGS:
+        return 1 if tag == "form" else 2
+    found = [w for w in map(_PARTS.findall, rest.split(".")) if w and DROP_WORDS.issuperset(w)] if tag not in ("article", "main", "body", "html") else []
+    return 0 if not found else 1 if all(map(OTHERS_WORDS.isdisjoint, found)) else 2
+
+
+def content(tag: str, rest: str) -> bool:
+    """Whether a class or id calls an element content, and not that of a part left out."""
+    return tag in ("div", "section", "td") and any(not MAIN_WORDS.isdisjoint(w) and DROP_WORDS.isdisjoint(w) for w in map(_PARTS.findall, rest.split(".")))
 
 
 def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
@@ -240,8 +252,12 @@ def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
 
     walk(wrapper, "", 0)
     unique = [*since]
-    skip = {p for p in unique if dropped(p.rpartition("/")[2])}
+    why = {p: dropped(p.rpartition("/")[2]) for p in unique}
+    skip, never = {p for p in unique if why[p]}, {p for p in unique if why[p] == 2}
     inside = lambda p, roots: any(p == r or p.startswith(f"{r}/") for r in roots)
+    varying = {x["path"]: x["chars"] - x["linked"] for x in places if not inside(x["path"], never) and x["chars"] > x["linked"] and (x["pages"] < 3 or x["low"] != x["high"])}
+    skip -= {p for p in skip - never if 2 * sum(n for q, n in varying.items() if inside(q, [p])) > sum(varying.values())}
+    varying = {q: n for q, n in varying.items() if not inside(q, skip)}
     open_ = [p for p in unique if not inside(p, skip)]
 
     def marked(test, among: list[str] = open_) -> list[str]:
@@ -252,10 +268,8 @@ def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
         return found
 
     landmarks = (lambda tag, rest: tag == "article", lambda tag, rest: tag == "main" or rest == "main")
-    kinds = [*map(marked, landmarks), marked(lambda tag, rest: tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(_PARTS.findall(rest)))]
-    kinds += [[p for p in marked(test, unique) if inside(p, skip)] for test in landmarks]
-    varying = {x["path"]: x["chars"] - x["linked"] for x in places if not inside(x["path"], skip) and x["chars"] > x["linked"] and (x["pages"] < 3 or x["low"] != x["high"])}
-
+    kinds = [marked(test) for test in landmarks]
+    hidden = [[p for p in marked(test, unique) if inside(p, skip) and not inside(p, never)] for test in landmarks]
     # The least containers that hold all varying text.
     least, wide = [], [""] if varying else []
     while wide:
@@ -265,9 +279,8 @@ def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
             least.append(root or "/")
         else:
             wide.extend(below)
-    kinds += [sorted(least), ["/"]]
-    kinds = [k for i, k in enumerate(kinds) if k and k not in kinds[:i]]
-    held = [r for k in kinds for r in k if r != "/"]
+    others = [marked(content), sorted(least)]
+    held = [r for k in kinds + others + hidden for r in k if r != "/"]
     # Template blocks.
     same = {x["path"] for x in places if x["pages"] > 2 and x["low"] == x["high"]}
     slots = {x["path"] for x in places} - same
@@ -278,17 +291,20 @@ def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
     for r in {*held, ""} & above(differ):
         skip |= {p for p in blocks if p.startswith(f"{r}/") and since[p] <= r.count("/")}
     outer = {p for p in skip if not inside(p.rpartition("/")[0], skip)}
-    return {"roots": kinds, "skip": [p for p in sorted(skip) if p in outer or inside(p, held)]}
+    return {"roots": kinds, "others": others, "hidden": hidden, "skip": [p for p in sorted(skip) if p in outer or inside(p, held)]}
 
 
 def extract(page: str, found: dict[str, list]) -> str:
-    """The text of a page at the first of a rule's kinds of roots that has any, as blocks between empty lines."""
+    """The text of a page at the best of a rule's kinds of roots that has any, as blocks between empty lines."""
     events = [*stream(page)]
     skip = {*found["skip"]}
-    for roots in found["roots"]:
-        if text := _read(events, {*roots}, skip):
-            return text
-    return _read(events, {"/"}, {p for p in skip if re.split(r"[.#@]", p.rpartition("/")[2], maxsplit=1)[0] in DROP_TAGS})
+
+    def first(kinds: list[list[str]]) -> str:
+        return next((text for roots in kinds if roots and (text := _read(events, {*roots}, skip))), "")
+
+    if text := first(found["roots"]) or max(first(found["others"]), first(found["hidden"]), key=len) or first([["/"]]):
+        return text
+    return _read(events, {"/"}, {p for p in skip if re.split(r"[.#@]", p.rpartition("/")[2], maxsplit=1)[0] in DROP_TAGS - {"form"}})
 
 
 def _read(events: list[tuple[str, str]], roots: set[str], skip: set[str]) -> str:
@@ -391,7 +407,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if text not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[text] = json.loads(text) if text else {"roots": [["/"]], "skip": []}
+                    known[text] = json.loads(text) if text else {"roots": [], "others": [], "hidden": [], "skip": []}
                 texts.append(extract(page, known[text]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -183,6 +183,20 @@ def test_template_text_goes_and_texts_of_pages_stay(spark):
     assert set(main_texts(spark, [(i, "http://copies.example/", pages[0][2]) for i in range(4)]).values()) == {f"Title 0\n\nHouse rules apply\n\nSeldom\n\nSame\n\n{'w' * 40}\n\nAll hands read"}
 
 
+@pytest.mark.parametrize("box", ["content no-sidebar", "layout with-sidebar", "has-header", "page-with-menu", "layout sidebar", "header"])
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_elements_around_the_article_stay(spark, box, tag):
+    page = "<body><p>site {n}</p><div class='{box}'><{tag}><h1>Title {i}</h1><p class='side-note'>Note {i}</p><p class='related-work'>{text}</p><div class='social-share'>share {i}</div></{tag}></div></body>"
+    pages = [(i, "http://around.example/", page.format(box=box, tag=tag, i=i, n=1, text="w" * (40 + i))) for i in range(6)]
+    assert main_texts(spark, pages) == {i: f"Title {i}\n\nNote {i}\n\n{'w' * (40 + i)}" for i in range(6)}
+
+
+def test_articles_of_comments_are_no_roots(spark):
+    page = "<body><div><p>{text}</p></div><div class='comments'><article>nice {i} {long}</article></div><div class='sidebar-content'>{i}</div></body>"
+    pages = [(i, "http://blog.example/", page.format(i=i, text="w" * (40 + i), long="c" * 400)) for i in range(6)]
+    assert main_texts(spark, pages) == {i: f"{'w' * (40 + i)}\n\n{i}" for i in range(6)}
+
+
 def test_license_spans():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     mit = licenses.TEMPLATES["mit-text"]
