@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import versioning as V
 from quillspark.plans.catalog import register
-from quillspark.sources.views import CATEGORIES, blocks, oracle, packs, usage_events
+from quillspark.sources.views import CATEGORIES, blocks, oracle, packs, table, usage_events
 
 _A = "a AS (SELECT * FROM blocks WHERE pos % 10 < 7)"
 _B = "b AS (SELECT session_id, category, CASE WHEN pos % 11 = 0 THEN upper(content) ELSE content END AS content FROM blocks WHERE pos % 10 > 2)"
@@ -62,18 +62,19 @@ def block_diff(spark, d):
 _DOCS = "SELECT pos AS id, content AS old, replace(content, 'the', 'THE') || chr(10) || 'end' AS new FROM blocks WHERE project = 'src3'"
 
 
-def _edited(spark, d):
-    return blocks(spark, d).where("project = 'src3'").select(F.col("pos").alias("id"), F.col("content").alias("old"), F.concat(F.replace(F.col("content"), F.lit("the"), F.lit("THE")), F.lit("\nend")).alias("new"))
+def _edited(b):
+    return b.select(F.col("pos").alias("id"), F.col("content").alias("old"), F.concat(F.replace(F.col("content"), F.lit("the"), F.lit("THE")), F.lit("\nend")).alias("new"))
 
 
 @register("line_set_diff", oracle(f"SELECT id, len(list_filter(list_distinct(string_split(new, chr(10))), lambda v: NOT list_contains(string_split(old, chr(10)), v))) AS added, len(list_filter(list_distinct(string_split(old, chr(10))), lambda v: NOT list_contains(string_split(new, chr(10)), v))) AS removed FROM ({_DOCS})"))
 def line_set_diff(spark, d):
-    return _edited(spark, d).select("id", V.line_sets(F.col("old"), F.col("new")).alias("n")).select("id", F.col("n.added").cast("long").alias("added"), F.col("n.removed").cast("long").alias("removed"))
+    return _edited(blocks(spark, d).where("project = 'src3'")).select("id", V.line_sets(F.col("old"), F.col("new")).alias("n")).select("id", F.col("n.added").cast("long").alias("added"), F.col("n.removed").cast("long").alias("removed"))
 
 
 @register("line_diff")
 def line_diff(spark, d):
-    return V.line_diff(_edited(spark, d))
+    """Every document, read without its label: a diff needs no join."""
+    return V.line_diff(_edited(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("content"))))
 
 
 _VERSIONS = "v AS (SELECT 'v' || event_id AS version_id, COALESCE(category, 'none') AS category, ts, event_id FROM usage_events WHERE event_type = 'Ingest')"

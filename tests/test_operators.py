@@ -168,3 +168,18 @@ def test_journal_lines(spark):
     got = sessions.parse_journal(spark.createDataFrame([*enumerate(lines)], "pos long, value string")).orderBy("pos")
     got = got.select("type", sessions.content_text(F.col("content")).alias("text"), "input_tokens").collect()
     assert [tuple(r) for r in got] == [("user", "hi", None), ("assistant", "a\nb", 3)]
+
+
+def test_line_diff_covers_every_document(spark):
+    import difflib
+
+    from quillspark.plans import versions
+
+    sf = "/root/testdata/sf0.001"
+    expected = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        a, b = r.text.split("\n"), (r.text.replace("the", "THE") + "\nend").split("\n")
+        ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
+        expected[r.doc_id] = sum(max(o[2] - o[1], o[4] - o[3]) for o in ops)
+    got = {r.id: r.n for r in versions.line_diff(spark, sf).groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert got == expected
