@@ -86,7 +86,7 @@ def pack_health(spark, d):
 @register("pack_gate", oracle("SELECT project AS pack, count(*) AS files, count(*) FILTER (WHERE pos % 50 = 1) AS secrets, count(*) FILTER (WHERE pos % 50 = 1) = 0 AS allowed FROM blocks WHERE category IN ('patterns', 'solutions') GROUP BY 1"))
 def pack_gate(spark, d):
     key = F.concat(F.lit("\nAKIA"), F.repeat(F.lit("A1B2"), F.lit(4)))
-    files = blocks(spark, d).select(F.col("project").alias("pack"), "category", F.when(F.col("pos") % 50 == 1, F.concat(F.left("content", F.lit(20)), key)).otherwise(F.left("content", F.lit(20))).alias("content"))
+    files = blocks(spark, d).select(F.col("project").alias("pack"), "category", F.when(F.col("pos") % 50 == 1, F.concat("content", key)).otherwise(F.col("content")).alias("content"))
     return D.pack_gate(files)
 
 

@@ -110,15 +110,18 @@ def token_estimate(spark, d):
 
 @register("secret_scan", oracle("SELECT pos, 2 AS line_no, (['API Key','AWS Access Key','GitHub Token'])[CAST(pos % 3 AS INT) + 1] AS secret FROM blocks WHERE pos % 5 <> 0"))
 def secret_scan(spark, d):
-    """Synthetic lines behind the text's first: three kinds of secrets, a fifth of them vetoed as examples."""
+    """A planted line of three kinds of secrets, a fifth of them vetoed as examples, and behind it the whole text."""
     k = F.col("pos") % 3
     secret = F.when(k == 0, F.concat(F.lit("api_key = "), F.repeat(F.lit("Ab1_"), F.lit(6)))).when(k == 1, F.concat(F.lit("id AKIA"), F.repeat(F.lit("A1B2"), F.lit(4)))).otherwise(F.concat(F.lit("ghp_"), F.repeat(F.lit("a1B2c3"), F.lit(6))))
-    text = F.concat(F.lit("head\n"), F.when(F.col("pos") % 5 == 0, "Example: ").otherwise(""), secret)
-    lines = blocks(spark, d).select("pos", F.posexplode(T.lines(text)).alias("at", "line"))
+    text = F.concat(F.lit("head\n"), F.when(F.col("pos") % 5 == 0, "Example: ").otherwise(""), secret, F.lit("\n"), F.coalesce("content", F.lit("")))
+    # A block is a row of documents for each of its labels; these join the few hits, not the texts.
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("pos"))
+    lines = docs.select("pos", F.posexplode(T.lines(text)).alias("at", "line"))
     kinds = F.array(*(F.struct(F.lit(n).alias("name"), F.regexp_extract("line", p, 0).alias("found")) for n, p in T.SECRETS.items()))
     veto = lambda m: F.lower("line").contains("example") | F.exists(F.array(*map(F.lit, T.FALSE_SECRETS)), lambda w: F.contains(F.lower(m), w))
     hits = lines.withColumn("m", F.explode(F.filter(kinds, lambda x: x["found"] != ""))).where(~veto(F.col("m.found")))
-    return hits.select("pos", (F.col("at") + 1).cast("int").alias("line_no"), F.col("m.name").alias("secret"))
+    return hits.select("pos", (F.col("at") + 1).cast("int").alias("line_no"), F.col("m.name").alias("secret")).join(labels, "pos", "left")
 
 
 @register("redact", oracle(f"SELECT pos, left(content, 10) || ' [REDACTED:API Key] tail' AS shown FROM blocks"))

@@ -183,3 +183,15 @@ def test_line_diff_covers_every_document(spark):
         expected[r.doc_id] = sum(max(o[2] - o[1], o[4] - o[3]) for o in ops)
     got = {r.id: r.n for r in versions.line_diff(spark, sf).groupBy("id").agg(F.count("*").alias("n")).collect()}
     assert got == expected
+
+
+def test_secrets_far_into_a_text_are_found(spark, monkeypatch):
+    from quillspark.plans import documents, texts
+
+    far = "words " * 100 + "\nmore\nid AKIA" + "Z9Y8" * 4
+    rows = spark.createDataFrame([(5, "p", "patterns", far), (10, "q", "patterns", "clean\ntext"), (15, "q", "bugs", far)], "pos long, project string, category string, content string")
+    monkeypatch.setattr(texts, "blocks", lambda spark, d: rows)
+    monkeypatch.setattr(texts, "table", lambda spark, d, name: rows.withColumnsRenamed({"pos": "doc_id", "content": "text"}))
+    monkeypatch.setattr(documents, "blocks", lambda spark, d: rows)
+    assert {tuple(r) for r in texts.secret_scan(spark, "").collect()} == {(5, 5, "AWS Access Key"), (15, 5, "AWS Access Key")}
+    assert {tuple(r) for r in documents.pack_gate(spark, "").collect()} == {("p", 1, 1, False), ("q", 1, 0, True)}
