@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
 
-NEIGHBOURS, SAMPLE, MAX_LISTS, PROBE, EPSILON = 20, 20_000, 4_096, 0.7, 2.1
+NEIGHBOURS, SAMPLE, MAX_LISTS, PROBE, EPSILON = 20, 20_000, 4_096, 0.85, 2.1
 BLOCK, CHUNK, ABREAST, SALTS = 4_096, 256, 256, 64
 
 

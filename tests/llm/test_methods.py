@@ -304,6 +304,22 @@ def test_samples_estimate_similarity():
     assert abs(agree - minhash.jaccard(*sets)) < 0.25
 
 
+def test_recall_at_two_thousand_vectors(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    got: dict[int, set] = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for i in ids[ids % 20 == 0]:
+        s = np.where(ids == i, -np.inf, x @ x[ids == i][0])
+        hits.append(len(got[i] & {*ids[np.lexsort((ids, -s))[:20]].tolist()}) / 20)
+    assert np.mean(hits) >= 0.95
+
+
 def test_recall_against_brute_force(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = df.collect()
