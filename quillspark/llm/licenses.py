@@ -9,7 +9,9 @@ GRAM + WINNOW - 1 words can't be missed. Hits of one template on about one
 diagonal are a candidate. A banded alignment of the template with the document
 around that diagonal counts matched words, with up to ``BAND`` words (a quarter
 of a short template's) inserted or left out on the way; it is reported if its coverage of the template is
-``COVERAGE`` or more, with the span from its first to its last matched word.
+``COVERAGE`` or more, with the span from its first to its last matched word. A
+template of ``SHORT`` words at most must also match in its runs of words that
+aren't ``COMMON``, each without a gap: those name the license and its version.
 
 The index is a fixed table of the templates' fingerprints; documents are read
 once, without a shuffle.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import Recent, documents, slices, table
 
 GRAM, WINNOW, BAND, COVERAGE = 3, 4, 8, 0.8
-CACHE = 400_000
+CACHE, SHORT = 400_000, 12
+COMMON = frozenset("a is license licensed released the this under work".split())
 # The wording of public licenses and of common notices about them.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -92,6 +96,7 @@ class Scanner:
         self.names = [*templates]
         self.words = [np.array([h for w in text.split() if (h := _hash(w))], np.uint64) for text in templates.values()]
         self.bands = [max(1, min(BAND, len(w) // 4)) for w in self.words]
+        self.runs = [self._runs(text) for text in templates.values()]
         entries = []
         for k, words in enumerate(self.words):
             h = grams(words)
@@ -103,6 +108,24 @@ class Scanner:
         self.maybe[(self.keys >> np.uint64(48)).astype(np.int64)] = True
         self.hashes = Recent(CACHE)
 
+    @staticmethod
+    def _runs(text: str) -> list[list[int]]:
+        """A short template's runs of words that name it; none of a longer one's."""
+        words = [w for w in text.split() if _hash(w)]
+        if len(words) > SHORT:
+            return []
+        named = [h if (h := _hash(w)) not in {*map(_hash, COMMON)} else 0 for w in words]
+        return [[*run] for own, run in groupby(named, bool) if own]
+
+    def _named(self, k: int, words: list[int]) -> bool:
+        """Whether a template's runs stand among the matched words, in order."""
+        at = 0
+        for run in self.runs[k]:
+            at = next((p + len(run) for p in range(at, len(words) - len(run) + 1) if words[p : p + len(run)] == run), -1)
+            if at < 0:
+                return False
+        return True
+
     def scan(self, texts: list[str]) -> list[list[tuple[str, float, int, int]]]:
         """For each text its matches: template, coverage, begin and end in code points."""
         split = [t.split() for t in texts]
@@ -129,7 +152,7 @@ class Scanner:
         found = []
         for k, first, last in bands:
             matched, begin, end = align(self.words[k], words, first, last, self.bands[k])
-            if matched >= COVERAGE * len(self.words[k]):
+            if matched >= COVERAGE * len(self.words[k]) and self._named(k, words[begin : end + 1].tolist()):
                 found.append((k, matched / len(self.words[k]), begin, end))
         if not found:
             return []

@@ -207,6 +207,14 @@ def test_license_spans():
     assert scanner.scan(["rights all reserved", "", "mit license"]) == [[], [], []]
 
 
+@pytest.mark.parametrize("text", ["Released under the BSD License.", "Licensed under the BSD License.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3."])
+def test_licenses_without_a_template_are_none(text):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert scanner.scan([f"words before {text} words behind"]) == [[]]
+    short = {k: v for k, v in licenses.TEMPLATES.items() if len(v.split()) <= licenses.SHORT}
+    assert [[m[0] for m in ms] for ms in scanner.scan([f"words before {v} words behind" for v in short.values()])] == [[k] for k in short]
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
