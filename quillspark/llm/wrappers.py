@@ -3,42 +3,48 @@
 A page is a stream of tags and text. Its elements, by tag, class and id (digits
 in those count as equal), give a regular expression without unions: items in
 order, each once, optional (?) or repeated (+), and text slots (#). Adjacent
-equal elements fold into a repeated one, as do adjacent equal runs of elements.
-Two expressions are aligned item by item, by the longest common subsequence of
-their elements; matched items are aligned inside in turn, what only one side
-has becomes optional, and what comes to stand beside its equal is folded.
-Aligning all pages of a host leaves the host's wrapper, a small expression.
-
-The wrapper says where articles are, in this order: its article elements; its
-main elements; containers that their classes call content; the least containers
-that hold all unlinked text which differs from page to page; the whole page. A
-host's pages may have several layouts, so each page takes the first of these at
-which it has text. Items that are navigation, headers, footers, sidebars, forms,
-scripts, notices, adverts or comments, by element or by a whole class name, are
-left out, by class only where the page has text without them; forms and classes
-(but those of comments and of related articles) not where they hold more than
-half of the host's text that differs, and article or main elements in them are
-read where they hold more than a page's content or containers. So are template blocks:
-elements with a class, id or role that the wrapper requires at a root (no ? from
-there down) and whose text slots are the same on all pages, three at least, while
-other slots of the root differ. Equal text in elements without a name stays. A
-page's text is what its own stream holds at the remaining places.
-
-Expressions of equal pages are counted once, then aligned in ``PARTS`` parts a
-host and at last part with part, so no task sees all pages of a large host.
-Wrappers go to the pages by broadcast while they take ``BROADCAST`` bytes at
-most, else by a join.
+equal elements fold into a repeated one, as do adjacent equal runs of elements
+of any length. Two expressions are aligned item by item, by the longest common
+subsequence of their elements; matched items are aligned inside in turn, what
+only one side has becomes optional, and what comes to stand beside its equal is
+folded. Aligning all pages of a host leaves the host's wrapper, in which every
+slot knows on how many pages it has text, how much, how much of it in links,
+and whether that text is the same on all. All steps work down from the top with
+a list of work, so depth costs no recursion.
+
+The wrapper's slots decide. A slot is template text if it has the same text on
+all of three pages or more; it carries weight if its text isn't that and not
+linked. A page's stream is then matched with its host's wrapper, which tells
+the slot of each text, and the page takes the most telling place that holds half
+of its weight at least: its article elements, its main elements, containers that
+their classes call content, else the least containers that hold all weight of
+the host (else the place with most, else what isn't left out for good).
+
+Left out are items that are navigation, headers (but those within an article),
+footers, sidebars, forms, scripts, notices, adverts or comments, by element or by
+class. A class counts only as a whole name (``notice``, not ``notice-board``),
+beside classes that say something else only for plain cases such as adverts; it
+doesn't count where the element holds more than half of the host's weight. Left
+out too are template blocks: elements with a class, id or role that the wrapper
+requires (no ? down from the place chosen) and whose slots are all template text
+while others differ. Equal text in elements without a name stays.
+
+Expressions are counted once in a batch, then merged ``FAN`` at a time by hash of
+the expression, level by level until a host has one, so no task sees all pages
+of a large host. Wrappers go to the pages by broadcast while they take
+``BROADCAST`` bytes at most, else by a join.
 
 Defined results: null or empty html, and pages without text, give an empty
 text; a page without a host in its url belongs to the host ''; repeated rows
-give equal texts; other columns are ignored; an empty table gives no rows.
+give equal texts; other columns are ignored; an empty table gives no rows;
+elements may nest to any depth.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +54,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import slices, small_batches, stored, table
 
-PARTS, BROADCAST, LONGEST_RUN = 16, 32_000_000, 4
+FAN, BROADCAST, HELD = 512, 32_000_000, 8_000_000
 #: Elements, then words of class names and ids, whose content is no article text.
 DROP_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea label input menu dialog object head title meta link".split())
 DROP_WORDS = frozenset(
@@ -56,6 +62,9 @@ DROP_WORDS = frozenset(
 )
 #: Those of them that hold the articles of others.
 OTHERS_WORDS = frozenset("comment comments respond disqus reply replies reactions related recommended".split())
+#: Those that count beside other classes, and the words that may stand in one name with them.
+FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus cookie cookies consent gdpr newsletter".split())
+NEUTRAL_WORDS = frozenset("area bar block bottom box container item left list panel primary right secondary section site slot top unit wrap wrapper".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -69,6 +78,8 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _DIGITS = re.compile(r"\d+")
 _PARTS = re.compile(r"[a-z]+")
+_TAG = re.compile(r"[^.#@]*")
+_NAMES = re.compile(r"[.#@]")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://([^/?#]*)")
 
 
@@ -83,11 +94,13 @@ def element(tag: str, attributes: str) -> str:
 def stream(page: str) -> Iterator[tuple[str, str]]:
     """Events of a page: ("open", element), ("close", tag) in balance, and ("text", raw text)."""
     stack: list[str] = []
+    held: Counter[str] = Counter()
     at, end = 0, len(page)
 
     def close(tag: str) -> Iterator[tuple[str, str]]:
         while stack:
             top = stack.pop()
+            held[top] -= 1
             yield "close", top
             if top == tag:
                 return
@@ -105,19 +118,25 @@ def stream(page: str) -> Iterator[tuple[str, str]]:
         elif m[2]:
             tag = m[2].lower()
             if m[1]:
-                if tag in stack:
+                if held[tag]:
                     yield from close(tag)
                 continue
-            if tag in CLOSES_P and "p" in stack and not {"button", "table"} & {*stack[len(stack) - stack[::-1].index("p") :]}:
-                yield from close("p")
-            if tag in SIBLINGS:
-                names, bounds = SIBLINGS[tag]
+            if tag in CLOSES_P and held["p"]:
                 for back in reversed(stack):
-                    if back in names:
-                        yield from close(back)
+                    if back == "p":
+                        yield from close("p")
                         break
-                    if back in bounds:
+                    if back in ("button", "table"):
                         break
+            if tag in SIBLINGS:
+                names, bounds = SIBLINGS[tag]
+                if any(held[n] for n in names):
+                    for back in reversed(stack):
+                        if back in names:
+                            yield from close(back)
+                            break
+                        if back in bounds:
+                            break
             yield "open", element(tag, m[3])
             if tag in VOID or m[3].endswith("/"):
                 yield "close", tag
@@ -128,12 +147,15 @@ def stream(page: str) -> Iterator[tuple[str, str]]:
                 yield "close", tag
                 continue
             stack.append(tag)
+            held[tag] += 1
     while stack:
         yield "close", stack.pop()
 
 
-# An item is [element, mark, items]; marks are "", "?", "+" and "*"; a text slot is ["#", mark, []];
-# a repeated run of elements is ["(", mark, items].
+# An item is [name, mark, lists, told]. Marks are "", "?", "+" and "*". The lists are those of the items inside, one
+# for each element that was folded into the item; join() makes them one. A text slot is ["#", mark, [], told], a
+# repeated run of elements is ["(names)", mark, runs, None]. Told is what a slot holds: numbers of a page's texts,
+# or a tuple of pages, characters, those in links, and the least and greatest hash of a page's text there.
 
 
 def _either(a: str, b: str) -> str:
@@ -142,175 +164,450 @@ def _either(a: str, b: str) -> str:
     return "*" if optional and repeated else "?" if optional else "+" if repeated else ""
 
 
-def _name(item: list) -> str:
-    return item[0] if item[0] != "(" else "(" + " ".join(map(_name, item[2])) + ")"
+def _absorb(into: list, item: list) -> None:
+    into[2] += item[2]
+    x, y = into[3], item[3]
+    into[3] = (x[0] + y[0], x[1] + y[1], x[2] + y[2], min(x[3], y[3]), max(x[4], y[4])) if type(x) is tuple else x + y if x is not None else None
+
+
+def _names(items: list) -> list[str]:
+    return [x[0] for x in items]
 
 
 def fold(items: list) -> list:
     """Items with adjacent equal elements, and adjacent equal runs, made one repeated item."""
     out: list = []
+    seen: dict[str, list[int]] = {}  # places of a name in out
+    group = None  # the last group's place
+
+    def drop(n: int) -> list:
+        gone = out[-n:]
+        del out[-n:]
+        for x in gone:
+            seen[x[0]].pop()
+        return gone
+
     for item in items:
-        if out and _name(out[-1]) == _name(item):
-            both = _either(out[-1][1], item[1])
-            out[-1] = [item[0], "" if item[0] == "#" and both == "" else _either(both, "" if item[0] == "#" else "+"), align(out[-1][2], item[2])]
+        name = item[0]
+        if out and out[-1][0] == name:
+            last = out[-1]
+            last[1] = _either(last[1], item[1]) if name == "#" else _either(_either(last[1], item[1]), "+")
+            _absorb(last, item)
             continue
+        places = seen.setdefault(name, [])
+        places.append(len(out))
         out.append(item)
-        for run in range(2, LONGEST_RUN + 1):
-            names = [_name(x) for x in out[-run:]]
-            held = out[-run - 1] if len(out) > run else None
-            if held is not None and held[0] == "(" and [_name(x) for x in held[2]] == names:
-                out[-run - 1 :] = [["(", held[1], align(held[2], out[-run:])]]
+        if name[0] == "(":
+            group = len(out) - 1
+            continue
+        if group is not None and len(out) - 1 - group == len(out[group][2][0]) and _names(out[group + 1 :]) == _names(out[group][2][0]):
+            out[group][2].append(drop(len(out) - 1 - group))
+            out[group][1] = _either(out[group][1], "+")
+            continue
+        for before in reversed(places[:-1]):
+            run = len(out) - 1 - before
+            if before + 1 < run:
                 break
-            if len(out) >= 2 * run and "(" not in {x[0] for x in out[-2 * run :]} and [_name(x) for x in out[-2 * run : -run]] == names:
-                out[-2 * run :] = [["(", "+", align(out[-2 * run : -run], out[-run:])]]
+            if group is not None and group >= len(out) - 2 * run:
+                break
+            if out[-2][0] == out[-2 - run][0] and _names(out[-2 * run : -run]) == _names(out[-run:]):
+                second, first = drop(run), drop(run)
+                label = f"({' '.join(_names(first))})"
+                group = len(out)
+                seen.setdefault(label, []).append(group)
+                out.append([label, "+", [first, second], None])
                 break
     return out
 
 
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by rows of bits."""
+    begin, n, m = 0, len(x), len(y)
+    while begin < min(n, m) and x[begin] == y[begin]:
+        begin += 1
+    while n > begin and m > begin and x[n - 1] == y[m - 1]:
+        n, m = n - 1, m - 1
+    places: dict[str, int] = {}
+    for j in range(begin, m):
+        places[y[j]] = places.get(y[j], 0) | 1 << (j - begin)
+    rows, row, every = [], (1 << (m - begin)) - 1, (1 << (m - begin)) - 1
+    for i in range(begin, n):  # a bit is 0 where the subsequence grows
+        hit = row & places.get(x[i], 0)
+        row = ((row + hit) | (row - hit)) & every
+        rows.append(row)
+    found, i, j = [], n - begin, m - begin
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                found.append((i + begin, j + begin))
+    return [*((k, k) for k in range(begin)), *reversed(found), *((n + k, m + k) for k in range(len(x) - n))]
+
+
+def regroup(items: list, groups: list[list[str]]) -> list:
+    """Items with runs of the given names made groups."""
+    for names in groups:
+        out, at, n = [], 0, len(names)
+        while at < len(items):
+            if items[at][0] == names[0] and _names(items[at : at + n]) == names:
+                out.append([f"({' '.join(names)})", "", [items[at : at + n]], None])
+                at += n
+            else:
+                out.append(items[at])
+                at += 1
+        items = out
+    return items
+
+
+def _groups(items: list) -> list[list[str]]:
+    return [_names(x[2][0]) for x in items if x[0][0] == "("]
+
+
 def align(a: list, b: list) -> list:
-    """The expression that covers both lists of items."""
+    """The items that cover both lists of folded items; what is inside them is yet to be joined."""
     if not a or not b:
-        return fold([[x[0], _either(x[1], "?"), x[2]] for x in a or b])
-    if a == b:
-        return a
-    x, y = [_name(i) for i in a], [_name(i) for i in b]
-    longest = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = longest[i], longest[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
+        for x in a or b:
+            x[1] = _either(x[1], "?")
+        return fold(a or b)
+    if (x := _names(a)) != (y := _names(b)):
+        more, less = _groups(a), _groups(b)
+        a, b = regroup(a, less) if less else a, regroup(b, more) if more else b
+        x, y = _names(a), _names(b)
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append([a[i][0], _either(a[i][1], b[j][1]), align(a[i][2], b[j][2])])
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and longest[i + 1][j] >= longest[i][j + 1]:
-            out.append([a[i][0], _either(a[i][1], "?"), a[i][2]])
-            i += 1
-        else:
-            out.append([b[j][0], _either(b[j][1], "?"), b[j][2]])
-            j += 1
-    return fold(out)
-
-
-def expression(page: str) -> tuple[list, dict[str, list[int]]]:
-    """A page's expression; for each place with text of its own: characters, those in links, and a hash of the text."""
-    root: list = []
-    open_: list[list] = [root]
-    paths, links = [""], 0
-    places: dict[str, list] = {}
-    for kind, value in stream(page):
+    for k, m in [*common(x, y), (len(a), len(b))]:
+        for one in [*a[i:k], *b[j:m]]:
+            one[1] = _either(one[1], "?")
+            out.append(one)
+        if k < len(a):
+            a[k][1] = _either(a[k][1], b[m][1])
+            _absorb(a[k], b[m])
+            out.append(a[k])
+        i, j = k + 1, m + 1
+    return out if x == y else fold(out)
+
+
+def join(lists: list[list]) -> list:
+    """The expression that covers all lists of items, whatever is inside them joined in turn. The lists are used up."""
+    top = ["", "", lists, None]
+    work = [top]
+    while work:
+        item = work.pop()
+        held = fold(item[2][0])
+        for other in item[2][1:]:
+            held = align(held, fold(other))
+        item[2] = [held]
+        work += [x for x in held if x[2]]
+    return top[2][0]
+
+
+def tree(events: list[tuple[str, str]]) -> tuple[list, list[str], list[bool]]:
+    """A page's items, its texts and which of them are in links."""
+    top: list = []
+    open_, names, links = [top], [""], 0
+    texts, linked = [], []
+    for kind, value in events:
         if kind == "text":
             if not value.isspace():
-                if not open_[-1] or open_[-1][-1][0] != "#":
-                    open_[-1].append(["#", "", []])
-                place = places.setdefault(paths[-1], [0, 0, xxhash.xxh3_64()])
-                place[0] += len(value)
-                place[1] += len(value) if links else 0
-                place[2].update(value.encode("utf-8", "surrogatepass"))
+                if open_[-1] and open_[-1][-1][0] == "#":
+                    open_[-1][-1][3].append(len(texts))
+                else:
+                    open_[-1].append(["#", "", [], [len(texts)]])
+                texts.append(value)
+                linked.append(links > 0)
         elif kind == "open":
-            item = [value, "", []]
-            open_[-1].append(item)
-            open_.append(item[2])
-            paths.append(f"{paths[-1]}/{value}")
-            links += value.split(".")[0] == "a"
+            inside: list = []
+            open_[-1].append([value, "", [inside], None])
+            open_.append(inside)
+            names.append(value)
+            links += _tag(value) == "a"
+        else:
+            open_.pop()
+            links -= _tag(names.pop()) == "a"
+    return top, texts, linked
+
+
+def expression(page: str) -> tuple[str, list[tuple]]:
+    """A page's expression, in writing, and what each of its slots holds."""
+    top, texts, linked = tree([*stream(page)])
+    shape, slots = write(join([top]))
+    told = []
+    for numbers in slots:
+        h = xxhash.xxh3_64()
+        for t in sorted(numbers):
+            h.update(texts[t].encode("utf-8", "surrogatepass"))
+        chars = sum(len(texts[t]) for t in numbers)
+        told.append((1, chars, sum(len(texts[t]) for t in numbers if linked[t]), h.intdigest() - (1 << 63), h.intdigest() - (1 << 63)))
+    return shape, told
+
+
+def write(items: list) -> tuple[str, list]:
+    """An expression as a line of tokens - a mark (. for none) and a name, ``/`` at an element's end - and what its slots hold."""
+    out: list[str] = []
+    told = []
+    work: list = [*reversed(items)]
+    while work:
+        x = work.pop()
+        if x == "/":
+            out.append(x)
+        elif x[0] == "#":
+            out.append((x[1] or ".") + "#")
+            told.append(x[3])
+        else:
+            out.append((x[1] or ".") + ("(" if x[0][0] == "(" else x[0]))
+            work.append("/")
+            work += reversed(x[2][0])
+    return " ".join(out), told
+
+
+def parse(shape: str, told: list[tuple]) -> list:
+    """The items of an expression in writing."""
+    top: list = []
+    open_, slots = [top], iter(told)
+    for token in shape.split(" ") if shape else ():
+        if token == "/":
+            open_.pop()
+            if open_[-1][-1][0] == "(":
+                open_[-1][-1][0] = f"({' '.join(_names(open_[-1][-1][2][0]))})"
+            continue
+        mark = token[0].strip(".")
+        if token[1:] == "#":
+            open_[-1].append(["#", mark, [], tuple(next(slots))])
         else:
-            closed = open_.pop()
-            path = paths.pop()
-            links -= path.rpartition("/")[2].split(".")[0] == "a"
-            closed[:] = fold(closed)
-    return fold(root), {p: [n, l, h.intdigest() - (1 << 63)] for p, (n, l, h) in places.items()}
+            inside: list = []
+            open_[-1].append([token[1:], mark, [inside], None])
+            open_.append(inside)
+    return top
+
+
+def _tag(name: str) -> str:
+    return _TAG.match(name)[0]
+
+
+def _words(name: str) -> list[list[str]]:
+    """The words of each class, id and role of an element."""
+    return [w for w in map(_PARTS.findall, _NAMES.split(name)[1:]) if w]
 
 
 def dropped(name: str) -> int:
-    """Whether an element is no part of an article: 2 for always, 1 for unless it holds the article."""
-    tag, _, rest = re.sub(r"[#@]", ".", name).partition(".")
+    """Whether an element is no part of an article: 2 for always, 1 for unless it holds most text."""
+    tag = _tag(name)
     if tag in DROP_TAGS:
         return 1 if tag == "form" else 2
-    found = [w for w in map(_PARTS.findall, rest.split(".")) if w and DROP_WORDS.issuperset(w)] if tag not in ("article", "main", "body", "html") else []
-    return 0 if not found else 1 if all(map(OTHERS_WORDS.isdisjoint, found)) else 2
-
-
-def content(tag: str, rest: str) -> bool:
-    """Whether a class or id calls an element content, and not that of a part left out."""
-    return tag in ("div", "section", "td") and any(not MAIN_WORDS.isdisjoint(w) and DROP_WORDS.isdisjoint(w) for w in map(_PARTS.findall, rest.split(".")))
-
-
-def rule(wrapper: list, places: list[dict]) -> dict[str, list]:
-    """Where the wrapper's articles are: paths of roots by kind, best first, and paths that are left out."""
-    since: dict[str, int] = {}  # path to the least depth from which on the wrapper requires it
-
-    def walk(items: list, path: str, least: int) -> None:
-        depth = path.count("/") + 1
-        for name, mark, inner in items:
-            here = depth if mark in ("?", "*") else least
-            if name == "(":
-                walk(inner, path, here)
-            elif name != "#":
-                since[f"{path}/{name}"] = min(here, since.get(f"{path}/{name}", here))
-                walk(inner, f"{path}/{name}", here)
-
-    walk(wrapper, "", 0)
-    unique = [*since]
-    why = {p: dropped(p.rpartition("/")[2]) for p in unique}
-    skip, never = {p for p in unique if why[p]}, {p for p in unique if why[p] == 2}
-    inside = lambda p, roots: any(p == r or p.startswith(f"{r}/") for r in roots)
-    varying = {x["path"]: x["chars"] - x["linked"] for x in places if not inside(x["path"], never) and x["chars"] > x["linked"] and (x["pages"] < 3 or x["low"] != x["high"])}
-    skip -= {p for p in skip - never if 2 * sum(n for q, n in varying.items() if inside(q, [p])) > sum(varying.values())}
-    varying = {q: n for q, n in varying.items() if not inside(q, skip)}
-    open_ = [p for p in unique if not inside(p, skip)]
-
-    def marked(test, among: list[str] = open_) -> list[str]:
-        found: list[str] = []
-        for p in among:
-            if test(*re.sub(r"[#@]", ".", p.rpartition("/")[2]).partition(".")[::2]) and not inside(p, found):
-                found.append(p)
-        return found
-
-    landmarks = (lambda tag, rest: tag == "article", lambda tag, rest: tag == "main" or rest == "main")
-    kinds = [marked(test) for test in landmarks]
-    hidden = [[p for p in marked(test, unique) if inside(p, skip) and not inside(p, never)] for test in landmarks]
-    # The least containers that hold all varying text.
-    least, wide = [], [""] if varying else []
+    if tag in ("article", "main", "body", "html"):
+        return 0
+    words = _words(name)
+    plain = [w for w in words if DROP_WORDS.issuperset(w)]
+    firm = [w for w in words if not FIRM_WORDS.isdisjoint(w) and (DROP_WORDS | NEUTRAL_WORDS).issuperset(w)]
+    told = {*firm[0]} if firm else {*plain[0]} if plain and len(plain) == len(words) else set()
+    return 0 if not told else 2 if told & OTHERS_WORDS else 1
+
+
+def landmark(name: str) -> int:
+    """What an element's name says of its content."""
+    tag, words = _tag(name), _words(name)
+    if tag == "article":
+        return ARTICLE
+    if tag == "main" or words == [["main"]]:
+        return MAIN
+    return CONTENT if tag in ("div", "section", "td") and any(not MAIN_WORDS.isdisjoint(w) and DROP_WORDS.isdisjoint(w) for w in words) else 0
+
+
+#: What is known of a place: in an article, a main element, a container called content, one of the least containers
+#: of the host's weight; left out unless nothing else is there, left out; in a template block, template text.
+ARTICLE, MAIN, CONTENT, LEAST, WEAK, NEVER, BLOCK, SAME = (1 << i for i in range(8))
+
+
+def decide(wrapper: list) -> list[int]:
+    """What is known of each item of a wrapper, in the order of its writing."""
+    items, parent = [], []  # in writing order; groups count as their parent
+    work = [(x, -1) for x in reversed(wrapper)]
+    while work:
+        x, above = work.pop()
+        items.append(x)
+        parent.append(above)
+        if x[2]:
+            work += [(y, len(items) - 1) for y in reversed(x[2][0])]
+    n = len(items)
+    real = [*range(n)]  # the element an item is or, for groups, is in
+    for i, x in enumerate(items):
+        if x[0][0] == "(":
+            real[i] = real[parent[i]] if parent[i] >= 0 else -1
+    up = [real[p] if p >= 0 else -1 for p in parent]
+    known = [0] * n
+    out = [0] * n  # how an element is left out
+    for i, x in enumerate(items):
+        if real[i] != i:
+            known[i] = known[real[i]] if real[i] >= 0 else 0
+            continue
+        above = known[up[i]] if up[i] >= 0 else 0
+        if x[0] != "#":
+            out[i] = dropped(x[0])
+            if above & (ARTICLE | MAIN | CONTENT) and _tag(x[0]) == "header":
+                out[i] = 0
+        known[i] = above | (landmark(x[0]) if x[0] != "#" else 0) | (NEVER if out[i] == 2 else 0)
+    slots = [i for i, x in enumerate(items) if x[0] == "#"]
+    same = {i for i in slots if items[i][3][0] > 2 and items[i][3][3] == items[i][3][4]}
+    if len(same) == len([i for i in slots if not known[i] & NEVER]):
+        same = set()  # all pages alike: nothing differs that could tell
+    weight = [0] * n
+    for i in slots:
+        if i not in same and not known[i] & NEVER:
+            weight[i] = items[i][3][1] - items[i][3][2]
+    mass = [*weight]
+    for i in range(n - 1, -1, -1):
+        if up[i] >= 0 and real[i] == i:
+            mass[up[i]] += mass[i]
+    total = sum(weight)
+    for i in range(n):
+        above = known[up[i]] if up[i] >= 0 else 0
+        known[i] |= above & WEAK
+        if out[i] == 1 and 2 * mass[i] <= total:
+            known[i] |= WEAK
+    # The least containers that hold all weight.
+    inner: dict[int, list[int]] = defaultdict(list)
+    for i in range(n):
+        if real[i] == i:
+            inner[up[i]].append(i)
+    open_mass = [w if not known[i] & WEAK else 0 for i, w in enumerate(weight)]
+    for i in range(n - 1, -1, -1):
+        if up[i] >= 0 and real[i] == i:
+            open_mass[up[i]] += open_mass[i]
+    least, wide = {-1} if not any(open_mass) else set(), [-1] if any(open_mass) else []
     while wide:
-        root = wide.pop()
-        below = {"/".join(q.split("/")[: root.count("/") + 2]) for q in varying if inside(q, [root])}
-        if root in varying or any(re.sub(r"[.#@].*", "", p.rpartition("/")[2]) not in CONTAINERS for p in below):
-            least.append(root or "/")
+        at = wide.pop()
+        below = [i for i in inner[at] if open_mass[i]]
+        if any(items[i][0] == "#" or _tag(items[i][0]) not in CONTAINERS for i in below):
+            least.add(at)
         else:
-            wide.extend(below)
-    others = [marked(content), sorted(least)]
-    held = [r for k in kinds + others + hidden for r in k if r != "/"]
-    # Template blocks.
-    same = {x["path"] for x in places if x["pages"] > 2 and x["low"] == x["high"]}
-    slots = {x["path"] for x in places} - same
-    differ = {x["path"] for x in places if x["low"] != x["high"]} - {x["path"] for x in places if inside(x["path"], skip - {*held})}
-    blocks = [p for p in unique if re.search("[.#@]", p.rpartition("/")[2]) and re.split(r"[.#@]", p.rpartition("/")[2], maxsplit=1)[0] not in INLINE]
-    above = lambda paths: {q[:i] for q in paths for i in [*(m.start() for m in re.finditer("/", q)), len(q)]}
-    blocks = sorted({*blocks} & above(same) - above(slots))
-    for r in {*held, ""} & above(differ):
-        skip |= {p for p in blocks if p.startswith(f"{r}/") and since[p] <= r.count("/")}
-    outer = {p for p in skip if not inside(p.rpartition("/")[0], skip)}
-    return {"roots": kinds, "others": others, "hidden": hidden, "skip": [p for p in sorted(skip) if p in outer or inside(p, held)]}
-
-
-def extract(page: str, found: dict[str, list]) -> str:
-    """The text of a page at the best of a rule's kinds of roots that has any, as blocks between empty lines."""
-    events = [*stream(page)]
-    skip = {*found["skip"]}
+            wide += below
+    for i in range(n):
+        if i in least or -1 in least or (up[i] if real[i] == i else real[i]) >= 0 and known[up[i] if real[i] == i else real[i]] & LEAST:
+            known[i] |= LEAST
+    # Template blocks: named, required down from a place, all slots the same, while others of the place differ.
+    differ = [0] * n
+    alike = [0] * n
+    for i in slots:
+        if not known[i] & (NEVER | WEAK):
+            differ[i], alike[i] = int(items[i][3][3] != items[i][3][4]), int(i in same)
+    fixed = [i in same or items[i][0] != "#" for i in range(n)]
+    for i in range(n - 1, -1, -1):
+        if parent[i] >= 0:
+            differ[parent[i]] += differ[i]
+            alike[parent[i]] += alike[i]
+            fixed[parent[i]] = fixed[parent[i]] and fixed[i]
+    place = [-2] * n  # the innermost place whose items are required down to here
+    for i, x in enumerate(items):
+        above = place[parent[i]] if parent[i] >= 0 else -1
+        place[i] = -2 if x[1] in ("?", "*") else above
+        named = x[0][0] not in "#(" and _NAMES.search(x[0]) is not None and _tag(x[0]) not in INLINE
+        here = sum(differ[j] for j in range(n) if parent[j] < 0) if place[i] == -1 else differ[place[i]] if place[i] >= 0 else 0
+        if place[i] != -2 and named and fixed[i] and alike[i] and here:
+            known[i] |= BLOCK
+        if x[0] != "#" and (landmark(x[0]) or i in least):
+            place[i] = i
+    for i in range(n):
+        if parent[i] >= 0:
+            known[i] |= known[parent[i]] & BLOCK
+        if i in same:
+            known[i] |= SAME
+    return known
+
+
+def prepared(shape: str, known: list[int]) -> tuple:
+    """A wrapper for matching: names of its items, its groups, and of each item what is known and the items inside."""
+    numbers = iter(range(len(known)))
+    top: list = []
+    open_: list = [top]
+    for token in shape.split(" ") if shape else ():
+        if token == "/":
+            open_.pop()
+        elif token[1:] == "#":
+            open_[-1].append(["#", known[next(numbers)], None])
+        else:
+            inside: list = []
+            open_[-1].append([token[1:], known[next(numbers)], inside])
+            open_.append(inside)
+    work, every = [top], []
+    while work:
+        items = work.pop()
+        every.append(items)
+        work += [x[2] for x in items if x[2] is not None]
+    done: dict[int, tuple] = {}
+    for items in reversed(every):
+        for x in items:
+            if x[2] is not None:
+                x[2] = done[id(x[2])]
+                if x[0] == "(":
+                    x[0] = f"({' '.join(x[2][0])})"
+        done[id(items)] = ([x[0] for x in items], [x[2][0] for x in items if x[0][0] == "("], items)
+    return done[id(top)]
+
+
+_NOTHING: tuple = ([], [], [])
+
+
+def places(wrapper: tuple, top: list, count: int) -> list[int]:
+    """What is known of each text of a page, by matching the page's items with its host's wrapper."""
+    found = [0] * count
+    work = [(wrapper, [top], 0)]
+    while work:
+        (names, groups, held), lists, above = work.pop()
+        for one in lists:
+            items = fold(one)
+            if groups:
+                items = regroup(items, groups)
+            here = _names(items)
+            match = {i: i for i in range(len(items))} if here == names else dict(common(here, names)) if names else {}
+            for i, x in enumerate(items):
+                if i in match:
+                    known, inside = held[match[i]][1:]
+                else:
+                    known, inside = above & ~SAME, _NOTHING
+                    if x[0][0] not in "#(":
+                        left = 0 if above & (ARTICLE | MAIN | CONTENT) and _tag(x[0]) == "header" else dropped(x[0])
+                        known |= landmark(x[0]) | (NEVER if left == 2 else WEAK if left else 0)
+                if x[0] == "#":
+                    for t in x[3]:
+                        found[t] = known
+                else:
+                    work.append((inside, x[2], known))
+    return found
 
-    def first(kinds: list[list[str]]) -> str:
-        return next((text for roots in kinds if roots and (text := _read(events, {*roots}, skip))), "")
 
-    if text := first(found["roots"]) or max(first(found["others"]), first(found["hidden"]), key=len) or first([["/"]]):
+def extract(page: str, wrapper: tuple = _NOTHING) -> str:
+    """The text of a page by its host's wrapper, as blocks between empty lines."""
+    events = [*stream(page)]
+    top, texts, linked = tree(events)
+    known = places(wrapper, top, len(texts))
+    weight = [0 if link or k & (NEVER | WEAK | BLOCK | SAME) else len(t) for t, link, k in zip(texts, linked, known, strict=True)]
+    total = sum(weight)
+
+    def told(kind: int, without: int) -> str:
+        return _read(events, [bool(k & kind or not kind) and not k & without for k in known])
+
+    kinds = (ARTICLE, MAIN, CONTENT)
+    for kind in kinds:
+        held = sum(w for w, k in zip(weight, known, strict=True) if k & kind)
+        if held and 2 * held >= total and (text := told(kind, NEVER | WEAK | BLOCK)):
+            return text
+    if total and (text := told(LEAST, NEVER | WEAK | BLOCK)):
         return text
-    return _read(events, {"/"}, {p for p in skip if re.split(r"[.#@]", p.rpartition("/")[2], maxsplit=1)[0] in DROP_TAGS - {"form"}})
+    # Texts without weight: links alone, template text alone, or in what is left out otherwise.
+    for without in (NEVER | WEAK | BLOCK, NEVER | WEAK, NEVER):
+        for kind in (*kinds, LEAST, 0):
+            if text := told(kind, without):
+                return text
+    return ""
 
 
-def _read(events: list[tuple[str, str]], roots: set[str], skip: set[str]) -> str:
+def _read(events: list[tuple[str, str]], kept: list[bool]) -> str:
+    """The kept texts of a page, block by block."""
     blocks: list[str] = []
     text: list[str] = []
-    paths, levels = [""], [("/" in roots, False)]
+    number = 0
 
     def end() -> None:
         if text and (block := " ".join(entities.unescape("".join(text)).split())):
@@ -318,24 +615,17 @@ def _read(events: list[tuple[str, str]], roots: set[str], skip: set[str]) -> str
         text.clear()
 
     for kind, value in events:
-        inside, out = levels[-1]
         if kind == "text":
-            if inside and not out:
-                text.append(value)
-        elif kind == "open":
-            path = f"{paths[-1]}/{value}"
-            paths.append(path)
-            tag = re.split(r"[.#@]", value, maxsplit=1)[0]
-            if tag not in INLINE:
-                end()
-            elif tag == "br" and inside and not out:
+            if value.isspace():
                 text.append(" ")
-            levels.append((True, False) if path in roots else (inside, out or path in skip))
-        else:
-            if value not in INLINE:
-                end()
-            paths.pop()
-            levels.pop()
+            else:
+                if kept[number]:
+                    text.append(value)
+                number += 1
+        elif (tag := _tag(value) if kind == "open" else value) not in INLINE:
+            end()
+        elif tag == "br" and kind == "open":
+            text.append(" ")
     end()
     return "\n\n".join(blocks)
 
@@ -345,73 +635,106 @@ def host(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
+_TOLD = pa.list_(pa.struct([("pages", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
+_SHAPES = "host string, shape string, told array<struct<pages:long,chars:long,linked:long,low:long,high:long>>"
+
+
+def _added(x: list[tuple], y: list[tuple]) -> list[tuple]:
+    return [(a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4])) for a, b in zip(x, y, strict=True)]
+
+
+def _rows(found: list[tuple[str, str, list[tuple]]]) -> pa.RecordBatch:
+    told = [[dict(zip(("pages", "chars", "linked", "low", "high"), t, strict=True)) for t in r[2]] for r in found]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array(told, _TOLD)], ["host", "shape", "told"])
+
+
+def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (url, html) to expressions by host, equal ones added up while they are held."""
+    held: dict[tuple[str, str], list[tuple]] = {}
+    size = 0
+    for batch in slices(batches, "html"):
+        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            shape, told = expression(page)
+            key = (host(url), shape)
+            if key in held:
+                held[key] = _added(held[key], told)
+            else:
+                held[key] = told
+                size += len(shape) + 200 * len(told)
+        if size > HELD:
+            yield _rows([(*k, t) for k, t in held.items()])
+            held, size = {}, 0
+    yield _rows([(*k, t) for k, t in held.items()])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host, part and shape: one expression for each host and part."""
+    key, wrapper, last, told = None, None, None, []
+
+    def settled() -> tuple[str, list[tuple]]:
+        return write(join([wrapper, parse(last, told)]) if wrapper is not None else parse(last, told))
+
+    for batch in batches:
+        done = []
+        for row in batch.to_pylist():
+            new, these = (row["host"], row["part"]), [tuple(t.values()) for t in row["told"]]
+            if new == key and row["shape"] == last:
+                told = _added(told, these)
+                continue
+            if new != key:
+                if key is not None:
+                    done.append((key[0], *settled()))
+                key, wrapper = new, None
+            else:
+                wrapper = join([wrapper, parse(last, told)]) if wrapper is not None else parse(last, told)
+            last, told = row["shape"], these
+        if done:
+            yield _rows(done)
+    if key is not None:
+        yield _rows([(key[0], *settled())])
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and its wrapper: shape, and what each slot holds."""
+    level = stored(pages.select("url", "html").mapInArrow(_infer, _SHAPES), "shapes")
+    while True:
+        sizes = level.groupBy("host").agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= 1:
+            return level
+        parted = level.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.ceil(F.col("n") / FAN)))
+        parted = parted.select("host", "part", "shape", "told").repartition("host", "part").sortWithinPartitions("host", "part", "shape")
+        level = stored(parted.mapInArrow(_merge, _SHAPES), "shapes")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row."""
     small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
 
-    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html"):
-            hosts, shapes, places = [], [], []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                shape, place = expression(page)
-                hosts.append(host(url))
-                shapes.append(json.dumps(shape, separators=(",", ":"), ensure_ascii=False))
-                places.append([{"path": p, "chars": a, "linked": b, "hash": h} for p, (a, b, h) in place.items()])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("hash", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(places, kind)], ["host", "shape", "places"])
-
-    shaped = stored(pages.select("url", "html").mapInArrow(infer, "host string, shape string, places array<struct<path:string,chars:long,linked:long,hash:long>>"), "shapes")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by host (and part): one aligned expression each."""
-        key, held = None, None
-        done: list[tuple[tuple, str]] = []
-        keys: list[str] = []
-        for batch in batches:
-            keys = batch.schema.names[:-1]
-            for row in batch.to_pylist():
-                new = tuple(row[k] for k in keys)
-                shape = json.loads(row["shape"])
-                if new == key:
-                    held = align(held, shape)
-                else:
-                    if key is not None:
-                        done.append((key, json.dumps(held, separators=(",", ":"), ensure_ascii=False)))
-                    key, held = new, shape
-        if key is not None:
-            done.append((key, json.dumps(held, separators=(",", ":"), ensure_ascii=False)))
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in done], pa.string() if n == "host" else pa.int64()) for i, n in enumerate(keys)), pa.array([s for _, s in done], pa.string())], [*keys, "shape"])
-
-    distinct = shaped.select("host", "shape").distinct().withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(PARTS)))
-    parts = distinct.select("host", "part", "shape").repartition("host", "part").sortWithinPartitions("host", "part", "shape").mapInArrow(merge, "host string, part long, shape string")
-    whole = parts.select("host", "shape").repartition("host").sortWithinPartitions("host", "shape").mapInArrow(merge, "host string, shape string")
-    held = shaped.select("host", F.explode("places").alias("p")).groupBy("host", "p.path").agg(F.sum("p.chars").alias("chars"), F.sum("p.linked").alias("linked"), F.count("*").alias("pages"), F.min("p.hash").alias("low"), F.max("p.hash").alias("high"))
-    held = held.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "linked", "pages", "low", "high")).alias("places"))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rules = [json.dumps(rule(json.loads(s), p or [])) for s, p in zip(batch.column("shape").to_pylist(), batch.column("places").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rules, pa.string())], ["host", "rule"])
+            shapes = batch.column("shape").to_pylist()
+            known = [decide(parse(s, [tuple(x.values()) for x in t])) for s, t in zip(shapes, batch.column("told").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(known, pa.list_(pa.int64()))], ["host", "shape", "known"])
 
-    rules = stored(whole.join(held, "host", "left").select("host", "shape", "places").mapInArrow(decide, "host string, rule string"), "rules")
-    size = rules.agg(F.sum(F.octet_length("rule") + F.octet_length("host"))).first()[0] or 0
+    ruled = stored(wrappers(pages).mapInArrow(rules, "host string, shape string, known array<long>"), "rules")
+    size = ruled.agg(F.sum(F.octet_length("shape") + 8 * F.size("known") + F.octet_length("host"))).first()[0] or 0
     asked = pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#]*@)?([^/?#@]*)", 1)))
-    joined = asked.join(F.broadcast(rules) if size <= BROADCAST else rules, "host", "left")
+    joined = asked.join(F.broadcast(ruled) if size <= BROADCAST else ruled, "host", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        ready: dict[str, tuple] = {}
         for batch in slices(batches, "html"):
             texts = []
-            for page, text in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist(), strict=True):
-                if text not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[text] = json.loads(text) if text else {"roots": [], "others": [], "hidden": [], "skip": []}
-                texts.append(extract(page, known[text]))
+            for name, page, shape, known in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("shape").to_pylist(), batch.column("known"), strict=True):
+                if name not in ready:
+                    if len(ready) > 1_000:
+                        ready.clear()
+                    ready[name] = prepared(shape or "", known.as_py() or [])
+                texts.append(extract(page, ready[name]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "rule").mapInArrow(read, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "host", "shape", "known").mapInArrow(read, "page_id long, url string, text string")
 
 
 def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

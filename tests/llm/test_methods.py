@@ -1,5 +1,6 @@
 """The methods against brute force, exact round trips and independent implementations."""
 
+import html.parser
 import random
 import zlib
 
@@ -136,14 +137,33 @@ def test_payloads_come_back():
     assert found == [media.payload(t) for t in texts] and len(rgb) == len(texts)
 
 
+def shape_of(*pages):
+    found = [wrappers.parse(*wrappers.expression(p)) for p in pages]
+    return wrappers.write(wrappers.join(found) if len(found) > 1 else found[0])[0]
+
+
 def test_wrapper_alignment():
-    a, _ = wrappers.expression("<ul><li>1<li>2<li>3</ul><p>x")
-    b, _ = wrappers.expression("<ul><li>1</ul><div class='ad'>q</div><p>x<p>y")
-    both = wrappers.align(a, b)
-    assert [(i[0], i[1]) for i in both] == [("ul", ""), ("div.ad", "?"), ("p", "+")] and both[0][2][0][:2] == ["li", "+"]
-    assert wrappers.align(both, a) == both == wrappers.align(both, b)
-    run, _ = wrappers.expression("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><h2>e</h2><p>f</p>")
-    assert len(run) == 1 and run[0][:2] == ["(", "+"]
+    pages = ["<ul><li>1<li>2<li>3</ul><p>x", "<ul><li>1</ul><div class='ad'>q</div><p>x<p>y"]
+    both = shape_of(*pages)
+    assert both == ".ul +li .# / / ?div.ad .# / +p .# /"
+    assert shape_of(*pages, pages[0]) == both == shape_of(*pages, pages[1])
+    assert shape_of("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><h2>e</h2><p>f</p>") == "+( .h2 .# / .p .# / /"
+    long = [f"<{t}>x</{t}>" for t in "h2 p ul div pre section table".split()]
+    assert shape_of("".join(long * 3)).count("section") == 1
+    assert shape_of("".join(long * 2), "".join(long)).startswith("+( .h2")
+
+
+def test_common_subsequence_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 12)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        found = wrappers.common(a, b)
+        assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(found, found[1:]))
 
 
 TEMPLATE = """<html><head><title>T</title><script>if (a < b) "<p>no</p>"</script></head><body><div class="cookie-notice">We use cookies</div><header>Site</header>
@@ -197,6 +217,76 @@ def test_articles_of_comments_are_no_roots(spark):
     assert main_texts(spark, pages) == {i: f"{'w' * (40 + i)}\n\n{i}" for i in range(6)}
 
 
+class Articles(html.parser.HTMLParser):
+    """The text of a page's article elements by the standard library's parser: a plain page-alone extractor."""
+
+    BLOCKS = {"p", "h1", "ul", "li", "article", "div", "nav", "footer"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.inside = [[]], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in self.BLOCKS:
+            self.blocks.append([])
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in self.BLOCKS:
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+    def text(self):
+        return "\n\n".join(b for b in (" ".join("".join(x).split()) for x in self.blocks) if b)
+
+
+def test_pages_of_the_tables_equal_a_plain_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: (r.text, r.n_chars) for r in wrappers.op5_wrappers(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        expected = Articles(r.html).text()
+        assert got[r.page_id] == (expected, len(expected))
+
+
+def test_pages_without_telling_names_need_the_wrapper(spark):
+    page = "<body><div><p>Menu of this site with many words that stand on every page of it</p></div><section><p>{text}</p></section><div><p>Imprint and more words that stand on every page of it</p></div></body>"
+    pages = [page.format(text=f"text {i} {'w' * (30 + i)}") for i in range(5)]
+    got = main_texts(spark, [(i, "http://plain.example/", p) for i, p in enumerate(pages)])
+    assert got == {i: f"text {i} {'w' * (30 + i)}" for i in range(5)}
+    alone = [wrappers.extract(p, wrappers.prepared(s, wrappers.decide(wrappers.parse(s, t)))) for p in pages for s, t in [wrappers.expression(p)]]
+    assert all("Menu" in a for a in alone)
+
+
+def test_article_text_with_telling_class_names_stays(spark):
+    page = "<body><nav>n</nav><article><header><h1>Title {i}</h1></header><p class='notice-board'>Board {i}</p><div class='share-price'>Price {i}</div><div class='note promotion'>Note {i}</div><p>{text}</p><div class='ad'>buy {i}</div></article></body>"
+    pages = [(i, "http://names.example/", page.format(i=i, text="w" * (40 + i))) for i in range(5)]
+    assert main_texts(spark, pages) == {i: f"Title {i}\n\nBoard {i}\n\nPrice {i}\n\nNote {i}\n\n{'w' * (40 + i)}" for i in range(5)}
+
+
+@pytest.mark.parametrize("cards", ["inside", "beside"])
+def test_a_main_with_teaser_cards_keeps_its_text(spark, cards):
+    card = "<article><a href='x'>More {i}</a></article>"
+    page = f"<body><main><h1>Title {{i}}</h1><p>{{text}}</p>{card if cards == 'inside' else ''}</main>{card if cards == 'beside' else ''}</body>"
+    pages = [(i, "http://cards.example/", page.format(i=i, text="w" * (40 + i))) for i in range(5)]
+    got = main_texts(spark, pages)
+    assert all(got[i].startswith(f"Title {i}\n\n{'w' * (40 + i)}") for i in range(5))
+
+
+def test_pages_of_any_depth(spark):
+    pages = [(0, "http://a.example/", "<div>" * 20_000 + "deep"), (1, "http://a.example/", "<p>x</p>" + "<font>" * 20_000 + "y"), (2, "http://a.example/", "<ul><li>" * 10_000 + "z"), (3, "http://b.example/", "<font>" * 1200 + "u"), (4, "http://b.example/", "<font>" * 1201 + "v"), (5, "http://b.example/", "".join(f"<p class=c{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}>{i}</p>" for i in range(3000)))]
+    got = main_texts(spark, pages)
+    assert [got[i] for i in range(5)] == ["deep", "x\n\ny", "z", "u", "v"] and got[5] == "\n\n".join(map(str, range(3000)))
+
+
 def test_license_spans():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     mit = licenses.TEMPLATES["mit-text"]
