@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +20,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one set here on a single machine, and an error on a cluster."""
     context = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "/tmp/checkpoints/quillspark"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(place)
     return place
 
 
+#: Paths that stored() has written and nobody has deleted.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, so a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The paths written so far and not deleted."""
+    return [*_WRITTEN]
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that stored() has written, once nothing reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _WRITTEN.remove(path)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, or that with the first number behind it that no column has, upper case or lower."""
+    known = {c.lower() for c in taken}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(known) + 2))) if n.lower() not in known)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, int, int | None]:
+    """``df`` with its columns called c0, c1, ..., as names may hold any character, and the places of text and n_chars."""
+    lower = [c.lower() for c in df.columns]
+    return df.toDF(*(f"c{i}" for i in range(len(lower)))), lower.index("text"), lower.index("n_chars") if "n_chars" in lower else None
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold ``BATCH_ROWS`` rows at most, if the session has Spark's own bound: buffers of the JVM and of workers are as large as a batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -98,3 +133,46 @@ class Recent(dict):
             else:
                 self[k] = v
         return unseen
+
+
+#: A run of more bytes than this without white space is read by code points.
+LONGEST_WORD = 64
+_KIND = np.ones(256, np.uint8)  # white space (ASCII), or the rest
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes begin, and which bytes are no white space.
+
+    A word ends at white space. A code point of the scripts written without
+    spaces (Thai, Lao, Burmese, Khmer, kana, Chinese characters) is a word of
+    its own, as is every code point of a run of more than LONGEST_WORD bytes.
+    """
+    solid = _KIND[raw].astype(bool)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    if not len(raw):
+        return begins, solid
+    if raw.max() >= 0xE0:
+        after = np.append(raw[1:], 0)
+        dense = (raw >= 0xE3) & (raw <= 0xE9) | (raw == 0xF0) & (after >= 0xA0) | (raw == 0xEF) & (after >= 0xBC)
+        dense |= (raw == 0xE0) & (after >= 0xB8) & (after <= 0xBB) | (raw == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after == 0x9E) | (after == 0x9F))
+        if dense.any():
+            inside = dense.copy()
+            inside[1:] |= dense[:-1]
+            inside[2:] |= dense[:-2]
+            inside[3:] |= dense[:-3] & (raw[:-3] == 0xF0)
+            begins |= dense
+            begins[1:] |= solid[1:] & inside[:-1] & ~inside[1:]
+    at = np.flatnonzero(begins)
+    if len(at):
+        gaps = np.diff(np.append(at, len(raw)))
+        if gaps.max() > LONGEST_WORD:
+            for i in np.flatnonzero(gaps > LONGEST_WORD).tolist():
+                run = slice(at[i], at[i] + gaps[i])
+                whole = solid[run]
+                size = int(whole.argmin()) if not whole.all() else len(whole)
+                if size > LONGEST_WORD:
+                    run = slice(at[i], at[i] + size)
+                    begins[run] = (raw[run] & 0xC0) != 0x80
+    return begins, solid

@@ -1,29 +1,33 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are runs of five words (a shorter text is one shingle). A shingle
-weighs its count times the mean inverse document frequency of its words, 1 +
-ln((1 + N) / (1 + df)) / ln(1 + N); df comes from all documents, counted in
-``COUNTERS`` hashed counters, a table of fixed size. Two texts are linked if
-the weighted Jaccard similarity of their shingles is ``SIMILARITY`` or more;
-classes are the connected components of the links.
+Shingles are runs of five words (a shorter text is one shingle); in scripts
+without spaces and in long runs without white space a word is a code point
+(``common.words``). A shingle weighs its count times the mean inverse document
+frequency of its words, 1 + ln((1 + N) / (1 + df)) / ln(1 + N); df comes from
+all documents, counted in ``COUNTERS`` hashed counters, a table of fixed size.
+Two texts are linked if the weighted Jaccard similarity of their shingles is
+``SIMILARITY`` or more; classes are the connected components of the links.
 
 1. One pass draws ``BANDS`` x ``ROWS`` consistent weighted samples a text
    (Ioffe's improved scheme: the least ln c - r (t - beta) - r with t =
-   floor(ln w / r + beta)) and hashes each band. Equal texts are one from here.
+   floor(ln w / r + beta)), hashes each band and keeps a byte of each sample,
+   the text's sketch. Equal texts are one from here.
 2. Each bucket of a band is compared with its least document: stars, not
-   pairs. Verification is exact, on the two whole texts. The links found are
-   joined into components.
+   pairs. Sketches rule out most pairs first (agreement in less than ``AGREE``
+   bytes has odds of some 1e-5 at similarity 0.8); the others are verified
+   exactly, on the two whole texts. The links found are joined into components.
 3. What a star may miss is a link of a document that isn't near its bucket's
-   centre. So in each bucket that still has several components, all members
-   outside its largest are compared with all members of other components, in
-   blocks of ``BLOCK`` by ``BLOCK``; the samples rule out most pairs first
-   (agreement under ``AGREE`` of the samples has odds of some 1e-5 at
-   similarity 0.8), the rest are verified exactly. Only links leave a block,
-   and only those that join two components within it.
+   centre. So in each bucket that still has several components, the sketches of
+   all members outside its largest are compared with those of all members, in
+   blocks of about ``BLOCK`` by ``BLOCK`` documents and ``BLOCK_BYTES`` of text.
+   Only what agrees with a member of another component meets its text, and is
+   verified in its block. Only links leave a block, and only those that join two
+   components within it.
 
 Defined results: texts without a word are near only to equal texts; a null
-text counts as empty; rows without doc_id have no class; repeated rows get the
-same class; other columns are ignored; an empty table gives no rows.
+text counts as empty; rows without doc_id have no class; rows are told apart by
+doc_id and text, so two texts of one doc_id may be in two classes; repeated rows
+get the same class; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,21 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, release, slices, stored, table
+from quillspark.llm.common import documents, release, slices, stored, table, words
 from quillspark.llm.graphs import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
-COUNTERS, POOL, BLOCK = 1 << 20, 1 << 16, 512
+COUNTERS, POOL, BLOCK, BLOCK_BYTES = 1 << 20, 1 << 16, 512, 32_000_000
 SAMPLES = BANDS * ROWS
 AGREE = 18
 #: A centre's documents are compared in as many parts.
 PARTS = 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Up to so many documents whose texts are asked for go to the tasks that read texts; beyond, texts go to them.
+BROADCAST = 200_000
 _BYTE = np.random.default_rng(13).integers(0, 2**64 - 1, 256, dtype=np.uint64)
 _ODD = (np.random.default_rng(11).integers(0, 2**63, 64 + SAMPLES + ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -62,19 +65,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """64-bit hashes of the lower-cased words of texts, by ASCII white space: a sum over a word's bytes of random values times powers of an odd number, mixed."""
+    """64-bit hashes of the lower-cased words of texts: a sum over a word's bytes of random values times powers of an odd number, mixed."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    space = _SPACE[joined]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edges[::2], edges[1::2]
+    begins, solid = words(joined)
     ends_of = np.cumsum([len(r) + 1 for r in raw]) + 1  # where each text is over
+    starts = np.flatnonzero(begins)
     if not len(starts):
         return [np.empty(0, np.uint64) for _ in texts]
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    values = _BYTE[joined[~space]] * _POWER[place & (len(_POWER) - 1)]
+    bytes_ = joined[solid]
+    first = np.flatnonzero(begins[solid])
+    place = np.arange(len(bytes_)) - np.repeat(first, np.diff(np.append(first, len(bytes_))))
+    values = _BYTE[bytes_] * _POWER[place & (len(_POWER) - 1)]
     hashes = mix(np.add.reduceat(values, first))
     return np.split(hashes, np.searchsorted(starts, ends_of[:-1]))
 
@@ -187,10 +189,20 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == y).sum(axis=-1)
+
+
+def _sketches(column: pa.Array | list[bytes]) -> np.ndarray:
+    found = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, SAMPLES)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of every row."""
+    """doc_id, h1 and h2 (two hashes of the text), class_id (the least doc_id of the class) and ``first`` (whether the row's text stands for the class) of every row."""
     spark = docs.sparkSession
-    rows = documents(docs)  # with small Arrow batches from here on
+    rows = documents(docs).where(F.col("doc_id").isNotNull())  # with small Arrow batches from here on
+    rows = rows.select("doc_id", *text_hashes(F.col("text")), "text")
     total, counts = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(rarities(total, counts))
 
@@ -200,32 +212,47 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             texts = batch.column("text").to_pylist()
             sets = [shingler.weighted(w) for w in shingler.words(texts)]
             full = [i for i, s in enumerate(sets) if len(s[0])]
-            samples: list[bytes | None] = [None] * len(sets)
+            bands: list[np.ndarray | None] = [None] * len(sets)
+            sketches: list[bytes | None] = [None] * len(sets)
             if full:
-                for i, drawn in zip(full, sampler.draw([sets[i] for i in full]), strict=True):
-                    samples[i] = drawn.tobytes()
-            digests = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(samples, pa.binary())], ["doc_id", "digest", "samples"])
-
-    signed = stored(rows.where(F.col("doc_id").isNotNull()).mapInArrow(sign, "doc_id long, digest binary, samples binary"), "samples")
-    # One document, the least, stands for equal texts.
-    distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min("samples").alias("samples"))
-    members = signed.select("doc_id", "digest").join(distinct.select((F.col("doc") + 0).alias("rep"), F.concat("digest", F.lit(b"")).alias("digest")), "digest").select("doc_id", "rep")
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                drawn = sampler.draw([sets[i] for i in full])
+                keys = mix((drawn.reshape(-1, BANDS, ROWS) * _ODD[64 + SAMPLES : 64 + SAMPLES + ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                for n, i in enumerate(full):
+                    bands[i], sketches[i] = keys[n], drawn[n].astype(np.uint8).tobytes()
+            sizes = [len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "h1", "h2", "size", "bands", "sketch"])
+
+    signed = stored(rows.mapInArrow(sign, "doc_id long, h1 long, h2 long, size long, bands array<long>, sketch binary"), "signed")
+    # One row, of the least doc_id, stands for equal texts. Its number is that doc_id; a hash where one doc_id stands for several texts.
+    distinct = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
+    several = distinct.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("several"))
+    half = F.lit(1 << 62)
+    number = F.when(F.col("several"), -F.xxhash64("h1", "h2").bitwiseAND(half - 1) - half).otherwise(F.col("doc"))
+    nodes = stored(distinct.join(several, "doc", "left").select(number.alias("node"), "doc", "h1", "h2", "size", "bands", "sketch"), "nodes")
+    sketches = nodes.where(F.col("sketch").isNotNull()).select("node", "sketch", "size")
+
+    def fetched(wanted: DataFrame, name: str) -> DataFrame:
+        """node and text of the wanted nodes."""
+        named = stored(wanted.distinct().join(nodes, "node").select("node", F.col("doc").alias("doc_id"), "h1", "h2"), f"{name}-wanted")
+        few = named.count() <= BROADCAST
+        found = rows.join(F.broadcast(named) if few else named, ["doc_id", "h1", "h2"]).select("node", "text")
+        return stored(found.dropDuplicates(["node"]), name)
+
+    hashed = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
+    centres = hashed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1).select((F.col("bucket") + 0).alias("bucket"), "centre")
+    buckets = stored(hashed.join(centres, "bucket").select("bucket", "node", "centre"), "buckets")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            drawn = np.frombuffer(b"".join(batch.column("samples").to_pylist()), np.uint64).reshape(batch.num_rows, BANDS, ROWS)
-            keys = mix((drawn * _ODD[64 + SAMPLES : 64 + SAMPLES + ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64))
-            docs = np.repeat(batch.column("doc").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys.ravel().view(np.int64))], ["doc", "bucket"])
+            if batch.num_rows:
+                agree = _agreement(_sketches(batch.column("sketch")), _sketches(batch.column("other")))
+                yield batch.select(["centre", "node"]).filter(pa.array(agree >= AGREE))
 
-    hashed = distinct.where(F.col("samples").isNotNull()).select("doc", "samples").mapInArrow(bands, "doc long, bucket long")
-    centres = hashed.groupBy("bucket").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1).select((F.col("bucket") + 0).alias("bucket"), "centre")
-    buckets = stored(hashed.join(centres, "bucket").select("bucket", "doc", "centre"), "buckets")
-    candidates = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    texts = stored(rows.join(candidates, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("doc"), "text"), "texts")
+    spokes = buckets.where(F.col("node") != F.col("centre")).select("centre", "node").distinct().join(sketches.select("node", "sketch"), "node")
+    spokes = spokes.join(sketches.select(F.col("node").alias("centre"), F.col("sketch").alias("other")), "centre").select("centre", "node", "sketch", "other")
+    spokes = stored(spokes.mapInArrow(alike, "centre long, node long"), "spokes").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    hubs = spokes.select("centre", "part").distinct().select("centre", F.col("centre").alias("node"), "part")
+    texts = fetched(spokes.select("node").unionByName(hubs.select("node")), "texts")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(idf.value)
@@ -233,35 +260,56 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         for batch in slices(batches, "text"):
             found = []
             sets = [shingler.weighted(w) for w in shingler.words(batch.column("text").to_pylist())]
-            for a, b, s in zip(batch.column("centre").to_pylist(), batch.column("doc").to_pylist(), sets, strict=True):
+            for a, b, s in zip(batch.column("centre").to_pylist(), batch.column("node").to_pylist(), sets, strict=True):
                 if a == b:
                     centre, held = a, s
                 elif a == centre and jaccard(held, s) >= similarity:
                     found.append((a, b))
             yield _pairs(found)
 
-    spokes = buckets.where(F.col("doc") != F.col("centre")).select("centre", "doc").distinct().withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PARTS)))
-    hubs = spokes.select("centre", "part").distinct().select("centre", F.col("centre").alias("doc"), "part")
-    star = hubs.unionByName(spokes).join(texts, "doc").repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("doc") != F.col("centre"))
-    links = stored(star.select("centre", "doc", "text").mapInArrow(stars, "a long, b long"), "links")
+    star = hubs.unionByName(spokes.select("centre", "node", "part")).join(texts, "node").repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("node") != F.col("centre"))
+    links = stored(star.select("centre", "node", "text").mapInArrow(stars, "a long, b long"), "links")
     labels = components(links)
 
     # Buckets that still hold several components: members outside the largest against all.
-    labelled = buckets.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
-    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where(F.col("labels") > 1)
-    split = stored(split.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rests")), "split")
-    open_ = labelled.join(split, "bucket").join(signed.select(F.col("doc_id").alias("doc"), "samples").dropDuplicates(["doc"]), "doc").join(texts, "doc")
-    every = open_.select("bucket", "doc", "label", "samples", "text", F.lit(False).alias("rest"), F.pmod(F.xxhash64("doc"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("turn"))
-    rest = open_.where(F.col("label") != F.col("top")).select("bucket", "doc", "label", "samples", "text", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc"), "rests").alias("turn"))
+    labelled = buckets.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    labelled = labelled.join(sketches, "node")
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("labels") > 1)
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    split = stored(split.select("bucket", F.col("top.label").alias("top"), parts(F.col("n"), F.col("size")).alias("blocks"), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("rests")), "split")
+    open_ = labelled.join(split, "bucket")
+    every = open_.select("bucket", "node", "label", "sketch", F.lit(False).alias("rest"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("turn"))
+    rest = open_.where(F.col("label") != F.col("top")).select("bucket", "node", "label", "sketch", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "rests").alias("turn"))
+
+    def sides(group: list[dict]) -> tuple[list[dict], list[dict], np.ndarray, np.ndarray] | None:
+        left, right = [r for r in group if r["rest"]], [r for r in group if not r["rest"]]
+        return (left, right, _sketches([r["sketch"] for r in left]), _sketches([r["sketch"] for r in right])) if left and right else None
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block, the rows that agree with one of another component on the other side."""
+        for group in _grouped(batches, ["bucket", "block", "turn"]):
+            if (both := sides(group)) is None:
+                continue
+            left, right, x, y = both
+            label_y = np.array([r["label"] for r in right])
+            hit_x, hit_y = np.zeros(len(left), bool), np.zeros(len(right), bool)
+            for i, r in enumerate(left):
+                agree = (_agreement(x[i], y) >= AGREE) & (label_y != r["label"])
+                hit_x[i] = agree.any()
+                hit_y |= agree
+            kept = [r for side, hit in ((left, hit_x), (right, hit_y)) for r, h in zip(side, hit.tolist(), strict=True) if h]
+            if kept:
+                kinds = {"sketch": pa.binary(), "rest": pa.bool_()}
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], kinds.get(k, pa.int64())) for k in kept[0]], [*kept[0]])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block, the links that join two components."""
         shingler = Shingler(idf.value)
         for group in _grouped(batches, ["bucket", "block", "turn"]):
-            left, right = [r for r in group if r["rest"]], [r for r in group if not r["rest"]]
-            if not left or not right:
+            if (both := sides(group)) is None:
                 continue
-            x, y = (np.frombuffer(b"".join(r["samples"] for r in side), np.uint64).reshape(-1, SAMPLES) for side in (left, right))
+            left, right, x, y = both
             label_y = np.array([r["label"] for r in right])
             sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             joined: dict[int, int] = {}
@@ -272,28 +320,42 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 return label
 
             def weighted(r: dict, sets: dict = sets) -> tuple[np.ndarray, np.ndarray]:
-                if r["doc"] not in sets:
-                    sets[r["doc"]] = shingler.weighted(shingler.words([r["text"]])[0])
-                return sets[r["doc"]]
+                if r["node"] not in sets:
+                    sets[r["node"]] = shingler.weighted(shingler.words([r["text"]])[0])
+                return sets[r["node"]]
 
             found = []
             for i, r in enumerate(left):
-                agree = (x[i] == y).sum(axis=1)
-                likely = np.flatnonzero((agree >= AGREE) & (label_y != r["label"]))
-                for j in likely[np.argsort(-agree[likely], kind="stable")].tolist():
+                agree = _agreement(x[i], y)
+                near = np.flatnonzero((agree >= AGREE) & (label_y != r["label"]))
+                for j in near[np.argsort(-agree[near], kind="stable")].tolist():
                     a, b = root(r["label"]), root(right[j]["label"])
                     if a != b and jaccard(weighted(r), weighted(right[j])) >= similarity:
                         joined[max(a, b)] = min(a, b)
-                        found.append((r["doc"], right[j]["doc"]))
+                        found.append((r["node"], right[j]["node"]))
             if found:
                 yield _pairs(found)
 
-    more = every.unionByName(rest).repartition("bucket", "block", "turn").sortWithinPartitions("bucket", "block", "turn").mapInArrow(blocks, "a long, b long")
+    keys = ["bucket", "block", "turn"]
+    met = every.unionByName(rest).select(*keys, "node", "label", "rest", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    met = stored(met.mapInArrow(likely, "bucket long, block long, turn long, node long, label long, rest boolean, sketch binary"), "met")
+    more = met.join(fetched(met.select("node"), "more-texts"), "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(blocks, "a long, b long")
     more = more.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
     classes = components(more)
-    return members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+    # The least doc_id of a class, among its texts the one of least hashes.
+    found = nodes.select("node", "doc", "h1", "h2").join(classes, "node", "left").select("doc", "h1", "h2", F.coalesce("label", "node").alias("label"))
+    firsts = found.groupBy("label").agg(F.min(F.struct("doc", "h1", "h2")).alias("top"))
+    found = found.join(firsts, "label").select("h1", "h2", F.col("top.doc").alias("class_id"), ((F.col("h1") == F.col("top.h1")) & (F.col("h2") == F.col("top.h2"))).alias("stands"))
+    members = signed.select("doc_id", "h1", "h2").join(found.select((F.col("h1") + 0).alias("h1"), (F.col("h2") + 0).alias("h2"), "class_id", "stands"), ["h1", "h2"])
+    return members.select("doc_id", "h1", "h2", "class_id", (F.col("stands") & (F.col("doc_id") == F.col("class_id"))).alias("first"))
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that tell texts apart, a null as the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

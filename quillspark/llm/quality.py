@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, slices, small_batches, table
+from quillspark.llm.common import documents, numbered, slices, small_batches, table
 
 BUCKETS, FACTORS, SAMPLE, THRESHOLD = 1 << 15, 8, 6_000, 0.3
 #: Marks whose share of the text is a statistic of its own.
@@ -168,14 +168,14 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def keep(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
     small_batches(docs.sparkSession)
-    schema = docs.schema
+    plain, text, _ = numbered(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", rows=256):
-            scores = machine.score([features(t or "") for t in batch.column("text").to_pylist()])
+        for batch in slices(batches, f"c{text}", rows=256):
+            scores = machine.score([features(t or "") for t in batch.column(text).to_pylist()])
             yield batch.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(work, schema)
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,23 +6,27 @@ doubling. A chunk begins at a word whose hash is less than that of the two
 words before and the two behind it, so a boundary depends on the bytes near it
 alone: text inserted or removed elsewhere moves no boundary, and chunks of
 three words or more, five on average, come out alike wherever a passage stands.
+In scripts without spaces, and in runs of more than 64 bytes without white
+space, words are code points (``common.words``); there a boundary needs the
+least hash of six on either side, so that a chunk says as much.
 
 Chunks are told apart by a 64-bit digest. One that occurs in several documents
 stays in the one with the least doc_id and is a repeat in the others. Runs of
-adjacent repeats of ``RUN`` words or more are cut out; a passage of 50 words
-holds such a run, since what its ends share with their surroundings is about a
-chunk on either side. Shorter repeats - a common line, a phrase - stay, and so
-do repeats within a document. A false match would need several adjacent chunks
-to collide at once.
+adjacent repeats of ``RUN`` words or more are cut out (a code point as above
+counts for half a word); a passage of 50 words holds such a run, since what its
+ends share with their surroundings is about a chunk on either side. Shorter
+repeats - a common line, a phrase - stay, and so do repeats within a document.
+A false match would need several adjacent chunks to collide at once.
 
-Counts go through a pre-aggregated minimum and count by digest; the repeats of
-a digest come from a plain join that splits a hot digest. The text is moved
-once, to meet its document's repeats.
+Digests are written once. Counts go through a pre-aggregated minimum and maximum
+by digest; the repeats of a digest come from a plain join that splits a hot
+digest. The text is moved once, to meet its row's repeats.
 
 Defined results: a null text stays null; rows without doc_id stay as they are;
-of repeated rows with one doc_id each is cut alike and none counts against the
-other; documents that are repeats as a whole keep an empty text; other columns
-stay.
+rows of one doc_id are one document, whose texts are each cut by their own
+chunks, and none counts against the others; documents that are repeats as a
+whole keep an empty text; other columns stay, one called ``removed`` too (the
+spans are then in ``removed_1``); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -36,12 +40,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import documents, slices, table
+from quillspark.llm.common import documents, fresh, numbered, slices, stored, table, words
 
-REACH, SIDE, RUN = 16, 2, 25
+REACH, SIDE, WIDE, RUN = 16, 2, 6, 25
 GEAR = np.random.default_rng(17).integers(0, 2**64 - 1, 256, dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -57,19 +59,27 @@ def gear(raw: np.ndarray) -> np.ndarray:
 
 def boundaries(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of the chunks' begins and of the end, and each chunk's number of words."""
-    space = _SPACE[raw]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1  # words but the first, if no space stands before that
+    begins, solid = words(raw)
+    starts = np.flatnonzero(begins)
+    lone = np.empty(0, bool)  # words that follow without white space, or are followed so: code points
+    if len(starts) and (close := (starts > 0) & solid[starts - 1]).any():
+        lone = close.copy()
+        lone[:-1] |= close[1:]
+    leading = int(len(starts) > 0 and starts[0] == 0)
+    size = np.where(lone, 0.5, 1.0) if len(lone) else np.ones(len(starts))
+    starts, lone = starts[leading:], lone[leading:]
     n = len(starts)
-    padded = np.full(n + 2 * SIDE, np.iinfo(np.uint64).max)
-    padded[SIDE : SIDE + n] = gear(raw)[starts - 1] if n else 0
-    here = padded[SIDE : SIDE + n]
+    padded = np.full(n + 2 * WIDE, np.iinfo(np.uint64).max)
+    padded[WIDE : WIDE + n] = gear(raw)[starts - 1] if n else 0
+    here = padded[WIDE : WIDE + n]
     least = np.ones(n, bool)
-    for d in range(1, SIDE + 1):
-        least &= (here < padded[SIDE - d : SIDE - d + n]) & (here < padded[SIDE + d : SIDE + d + n])
+    for d in range(1, (WIDE if len(lone) else SIDE) + 1):
+        less = (here < padded[WIDE - d : WIDE - d + n]) & (here < padded[WIDE + d : WIDE + d + n])
+        least &= less if d <= SIDE else less | ~lone
     cut = np.flatnonzero(least)
-    leading = int(len(raw) > 0 and not space[0])
     edges = np.concatenate([[0], starts[cut], [len(raw)]])
-    return edges, np.diff(np.concatenate([[-leading], cut, [n]]))
+    counts = np.concatenate([[0.0], np.cumsum(size)])
+    return edges, np.diff(counts[np.concatenate([[0], cut + leading, [len(size)]])])
 
 
 def chunks(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -112,44 +122,44 @@ def dedup(docs: DataFrame, least: int = RUN) -> DataFrame:
             found = [digests(t) for t in batch.column("text").to_pylist()]
             values = pa.array(np.concatenate(found) if found else [], pa.int64())
             ends = np.cumsum([0, *map(len, found)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "digests"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "key", "digests"])
 
-    split = documents(docs).where("doc_id IS NOT NULL AND text <> ''").mapInArrow(work, "doc_id long, digests array<long>")
-    # Once a document: what repeats inside it is no reason to cut.
-    seen = split.select("doc_id", F.explode(F.array_distinct("digests")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    rows = documents(docs).where("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    split = stored(rows.mapInArrow(work, "doc_id long, key long, digests array<long>"), "chunks")
+    # What repeats inside a document is no reason to cut.
+    seen = split.select("doc_id", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = seen.where(F.col("first") != F.col("last")).select((F.col("digest") + 0).alias("digest"), "first")
-    repeats = split.select("doc_id", F.posexplode("digests").alias("chunk", "digest")).join(shared, "digest").where(F.col("doc_id") != F.col("first"))
-    flagged = repeats.groupBy("doc_id").agg(F.collect_set("chunk").alias("__chunks")).withColumnRenamed("doc_id", "__doc")
+    repeats = split.select("doc_id", "key", F.posexplode("digests").alias("chunk", "digest")).join(shared, "digest").where(F.col("doc_id") != F.col("first"))
+    flagged = repeats.groupBy("doc_id", "key").agg(F.collect_set("chunk").alias("chunks"))
 
-    names = docs.columns
-    joined = docs.join(flagged, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
-    schema = T.StructType([*docs.schema.fields, T.StructField("removed", _SPANS)]) if "removed" not in names else docs.schema
-    counted = "n_chars" in names
+    # Rows meet their repeats by doc_id and text; rows without doc_id meet none, and are dealt out by their text.
+    plain, text, length = numbered(docs)
+    key, doc = F.xxhash64(f"c{text}"), F.col(f"c{[c.lower() for c in docs.columns].index('doc_id')}").cast("long")
+    near = (F.coalesce(doc, key) == F.col("doc_id")) & (F.when(doc.isNotNull(), key) == F.col("key"))
+    joined = plain.join(flagged, near, "left").select(*plain.columns, "chunks")
+    schema = T.StructType([*plain.schema.fields, T.StructField("removed", _SPANS)])
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            columns = {n: batch.column(n) for n in names}
-            hit = [i for i, c in enumerate(batch.column("__chunks").to_pylist()) if c]
+        for batch in slices(batches, f"c{text}"):
+            *columns, flags = batch.columns
             spans: list[list] = [[] for _ in range(batch.num_rows)]
+            hit = np.flatnonzero(flags.is_valid().to_numpy(zero_copy_only=False)).tolist()
             if hit:
-                texts, flags = columns["text"].to_pylist(), batch.column("__chunks")
-                lengths = columns["n_chars"].to_pylist() if counted else None
+                texts = columns[text].to_pylist()
+                lengths = columns[length].to_pylist() if length is not None else []
                 for i in hit:
-                    if texts[i]:
-                        left, found = cut(texts[i], flags[i].as_py(), least)
-                        if found:
-                            texts[i] = left
-                            spans[i] = [{"begin": a, "end": b} for a, b in found]
-                            if counted:
-                                lengths[i] = len(left)
-                columns["text"] = pa.array(texts, columns["text"].type)
-                if counted:
-                    columns["n_chars"] = pa.array(lengths, columns["n_chars"].type)
-            if "removed" not in names:
-                columns["removed"] = pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
-
-    return joined.mapInArrow(strike, schema)
+                    left, found = cut(texts[i], flags[i].as_py(), least)
+                    if found:
+                        texts[i] = left
+                        spans[i] = [{"begin": a, "end": b} for a, b in found]
+                        if lengths:
+                            lengths[i] = len(left)
+                columns[text] = pa.array(texts, columns[text].type)
+                if lengths:
+                    columns[length] = pa.array(lengths, columns[length].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], schema.names)
+
+    return joined.mapInArrow(strike, schema).toDF(*docs.columns, fresh("removed", docs.columns))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

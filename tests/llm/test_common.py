@@ -1,9 +1,12 @@
 """Odd inputs that every operator has to take: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, bpe, chat, licenses, media, minhash, packing, quality, substrings, wrappers
+from quillspark.llm import ann, bpe, chat, common, licenses, media, minhash, packing, quality, substrings, wrappers
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, samples string, digest string, removed string, `__nth` int, label string"
@@ -66,12 +69,44 @@ def test_near_duplicates(odd, none):
 
 
 def test_substrings(odd, none):
-    plain = odd.drop("removed")
-    got = {(r.doc_id, r.text): len(r.removed) for r in substrings.dedup(plain).collect()}
-    assert len(substrings.dedup(plain).collect()) == len(ROWS)
+    got = {(r.doc_id, r.text): len(r.removed_1) for r in substrings.dedup(odd).collect()}
+    assert len(substrings.dedup(odd).collect()) == len(ROWS)
     assert got[5, LONG] == 0 and got[None, "no id here at all"] == 0 and got[1, None] == 0
-    assert all(len(t) < 200 for d, t in got if d == 7)
-    assert substrings.dedup(odd).columns == odd.columns and substrings.dedup(none).count() == 0
+    assert all(len(t) < 200 and n for (d, t), n in got.items() if d == 7)
+    assert substrings.dedup(odd).columns == [*odd.columns, "removed_1"] and substrings.dedup(none).count() == 0
+
+
+def test_several_texts_of_one_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i * 7 % 101}q{i}" for i in range(90)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + " tail"), (5, "short"), (7, b), (7, b), (9, c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cut = {(r.doc_id, r.text) for r in substrings.dedup(df).collect()}
+    assert {(5, b), (5, "short"), (9, c), (None, a), (3, a + " tail")} <= cut
+    assert {d for d, t in cut if len(t) < 30} == {5, 7} and len([t for d, t in cut if d == 5 and len(t) < 30]) == 2
+    got = {(r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(5, 3), (5, 5), (3, 3), (7, 5), (9, 9)}
+    assert sorted((r.doc_id, r["first"]) for r in minhash.near_duplicates(df).collect()) == [(3, True), (5, False), (5, True), (5, True), (7, False), (7, False), (9, True)]
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    passage, near = han(300), han(400)
+    rows = [(1, han(200) + passage + han(150)), (2, han(120) + passage + han(80)), (3, near), (4, near[:200] + "一" + near[201:]), (5, han(300)), (6, "".join(rng.choices("abcdef0123", k=500)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r.doc_id: r for r in substrings.dedup(df.where("doc_id < 3")).collect()}
+    assert cut[1].text == rows[0][1] and 200 <= len(rows[1][1]) - len(cut[2].text) <= 300
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
+def test_words_of_mixed_scripts():
+    find = lambda t: [t.encode()[i:].decode()[0] for i in np.flatnonzero(common.words(np.frombuffer(t.encode(), np.uint8))[0])]
+    assert find("one two\n\u6f22\u5b57abc \u0e01\u0e02 \U00020000x \U0001f600y") == ["o", "t", "\u6f22", "\u5b57", "a", "\u0e01", "\u0e02", "\U00020000", "x", "\U0001f600"]
+    assert len(find("a " + "é" * 40 + " b")) == 42 and len(find("x" * 64)) == 1 and find("") == []
+
+
+def test_names_and_tables():
+    assert common.fresh("a", ["b"]) == "a" and common.fresh("a", ["A", "a_1"]) == "a_2"
 
 
 def test_neighbours_of_odd_vectors(spark):

@@ -362,6 +362,33 @@ def test_passages_go_and_clean_documents_stay(spark):
     assert all(got[i].text == docs[i][1] for i in (0, 1, 2, 3, 4, 6, 8, 9))
 
 
+def test_dedup_equals_brute_force(spark):
+    """All documents of sf0.01: chunks held by a document of lesser id, runs of 25 words of them cut, by plain dictionaries."""
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    first: dict[int, int] = {}
+    for r in docs:
+        for d in substrings.digests(r.text or "").tolist():
+            first[d] = min(first.get(d, r.doc_id), r.doc_id)
+    got = {r.doc_id: r for r in substrings.op8_substrings(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        raw, edges, counts = substrings.chunks(r.text or "")
+        again = [first[d] != r.doc_id for d in substrings.digests(r.text or "").tolist()]
+        spans, run = [], []
+        for i, repeat in enumerate([*again, False]):
+            if repeat:
+                run.append(i)
+                continue
+            if run and sum(counts[k] for k in run) >= 25:
+                spans.append((edges[run[0]], edges[run[-1] + 1]))
+            run = []
+        expected, end = b"", 0
+        for begin, stop in spans:
+            expected, end = expected + raw[end:begin], stop
+        assert got[r.doc_id].text == (expected + raw[end:]).decode() and got[r.doc_id].n_removed == len(spans)
+        assert got[r.doc_id].n_chars == len(got[r.doc_id].text)
+
+
 def test_boundaries_resist_insertions():
     base = " ".join(words(600, 5))
     a, b = substrings.digests(base), substrings.digests("new words here " + base)

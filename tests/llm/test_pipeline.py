@@ -1,5 +1,6 @@
 """The pipeline's stages on the small tables, and the registry's SQL."""
 
+import pytest
 from tests.oracle import connect, rows
 
 import corpus_pipeline
@@ -23,6 +24,32 @@ def test_stages_keep_columns_and_only_drop(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in rows_}
 
 
+ODD = [(1, None, 1), (2, "", 2), (4, "one", 3), (4, "one", 3), (4, "one", 4), (4, "two other words here", 5), (8, "one", 6), (None, "no id", 7), (None, "no id", 7), (9, " ".join(f"w{i}" for i in range(40_000)), 8), (10, " ".join(f"w{i}" for i in range(40_000)) + " tail", 9)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    names = "doc_id long, text string, h1 int, lang string, source string, n_chars long, nth int, NTH_1 int, kept string, chunks string, removed string, `__nth` int, `__chunks` int, flagged_doc int, flagged_key int, `a.b` int, label int"
+    return spark.createDataFrame([(d, t, n, "en", "s", None, 1, 2, "k", "c", "r", 1, 2, 3, 4, 5, 6) for d, t, n in ODD], names)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, odd, name, stage):
+    got = stage(spark, odd, SF)
+    rows_ = got.collect()
+    assert name == "packing" or got.columns == odd.columns
+    found = sorted((-1 if r.doc_id is None else r.doc_id for r in rows_))
+    if name == "near_duplicates":
+        assert found == [-1, -1, 1, 4, 4, 9] and {r.text for r in rows_ if r.doc_id == 4} == {"one", "two other words here"}
+    elif name == "substrings":
+        assert len(rows_) == len(ODD) and {r.doc_id for r in rows_ if r.text is None} == {1} and max(len(r.text or "") for r in rows_ if r.doc_id == 10) < 200
+    elif name == "packing":
+        assert {r.doc_id for r in rows_} == {d for d, _, _ in ODD}
+    else:
+        assert {repr(r) for r in rows_} <= {repr(r) for r in odd.collect()}
+    assert stage(spark, odd.limit(0), SF).count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
