@@ -113,7 +113,7 @@ def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [1.0, 0.0]), (40, [0.0, 1.0]), (41, [0.5, 0.5]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit(1)).withColumn("x", F.lit(2))
-    got = ann.nearest(df, F.col("vec_id") % 20 == 0, probe=1.0).orderBy("query_id", "rank").collect()
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(20, 21), (20, 22), (20, 41), (20, 40), (40, 41), (40, 20), (40, 21), (40, 22)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 

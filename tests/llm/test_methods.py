@@ -429,20 +429,68 @@ def test_samples_estimate_similarity():
     assert abs(agree - minhash.jaccard(*sets)) < 0.25
 
 
-def test_recall_at_two_thousand_vectors(spark):
+def true_neighbours(ids, x, q, k=20):
+    found = {}
+    for i in np.flatnonzero(q):
+        s = x @ x[i]
+        order = [j for j in np.lexsort((ids, -s))[: 2 * k] if j != i][:k]
+        found[int(ids[i])] = [int(ids[j]) for j in order]
+    return found
+
+
+def searched(df, **how):
     from pyspark.sql import functions as F
 
+    got: dict[int, list] = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, **how).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_recall_at_two_thousand_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
-    got: dict[int, set] = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    hits = []
-    for i in ids[ids % 20 == 0]:
-        s = np.where(ids == i, -np.inf, x @ x[ids == i][0])
-        hits.append(len(got[i] & {*ids[np.lexsort((ids, -s))[:20]].tolist()}) / 20)
-    assert np.mean(hits) >= 0.95
+    truth = true_neighbours(ids, x, ids % 20 == 0)
+    got = searched(df)
+    assert np.mean([len({*got[i]} & {*truth[i]}) / 20 for i in truth]) >= 0.95
+    assert searched(df, exact=True) == truth
+
+
+def test_exact_search_of_clustered_and_huge_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 800)] * 3 + rng.normal(size=(800, 6)) * 0.2
+    ids = np.arange(800)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    truth = true_neighbours(ids, x, ids % 20 == 0)
+    assert searched(df, exact=True) == truth
+    approximate = searched(df)
+    assert np.mean([len({*approximate[i]} & {*truth[i]}) / 20 for i in truth]) >= 0.9
+    for power in (600, -600):  # the same vectors, near the ends of double precision
+        scaled = spark.createDataFrame([(int(i), np.ldexp(v, power // 2 + (200 if power > 0 else -200)).tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+        assert searched(scaled, exact=True) == truth
+    odd = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [1e-200, 0.0]), (3, [-1e200, 0.0]), (20, [1e-200, 1e-200]), (21, [1.0, 2.0]), (40, [1.0, 2.0, 3.0]), (41, [3.0, 2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert searched(odd) == {0: [1, 21, 2, 20, 3], 20: [0, 1, 21, 2, 3], 40: [41]}
+
+
+def test_hypothesis_tests_abandon_candidates():
+    """Shares of pairs that are abandoned before their last dimension, and of lists probed, at two sizes."""
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (2_000, 20_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        index = ann.Index(x[:5_000], 0, 1.0 + 1e-12, round(np.sqrt(n) / 2))
+        lists, square = index.assign(x)
+        count = np.bincount(lists, minlength=len(index.centres))
+        index.know(np.arange(len(count)), count, np.bincount(lists, square, len(count)) / np.maximum(count, 1), np.sqrt(np.array([square[lists == i].max(initial=0) for i in range(len(count))])))
+        q = x[:100]
+        limit = 2 - 2 * np.sort(q @ x.T, axis=1)[:, -40]  # about what a nearest list gives
+        i, probed = index.probes(q, limit, ann.RECALL)
+        kept, _, abandoned, every = index.scan(q, x, 21, limit)
+        assert abandoned / every > 0.4 and len(kept) / every < 0.05
+        shares.append(count[probed].sum() / (len(q) * n))
+    assert shares[1] < shares[0] < 1
 
 
 def test_recall_against_brute_force(spark):
