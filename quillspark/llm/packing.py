@@ -6,11 +6,14 @@ for which the sum of N[h]^2 over the partially filled levels grows least, ties
 to the fuller window; that is one vectorised look at the array. Documents of a
 window or more first give off whole windows; only the rest is placed.
 
-The number of open windows is held to ``max_open``: beyond it their pieces are
-laid end to end in order of fill, cut at window ends, into full windows and one
-partial one, which stays open. At a partition's end the same happens and the
+When ``max_open`` windows are open, and at a partition's end, the open windows'
+pieces are placed anew, largest first, by the same rule; windows that lack
+``SPARE`` ids at most are closed then. Only what still is in partial windows at
+the end (or, of half of ``max_open`` partial windows, what is left where hardly
+any two pieces fit together) is laid end to end, cut at window ends, and the
 last partial window is cut into runs whose lengths are powers of two, which
-need no padding. So padding doesn't depend on how rows fall into partitions.
+need no padding. So what padding there is, half a per cent of the ids, hardly
+depends on how rows fall into partitions.
 
 Rows are packed where they are read: one pass, no shuffle. Window numbers are
 the partition's number times 2^33 plus a count, so that a repeated task yields
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import Recent, documents, slices, table
 
-WINDOW, SEPARATOR, MAX_OPEN = 4096, 2, 512
+WINDOW, SEPARATOR, MAX_OPEN, SPARE = 4096, 2, 1024, 128
 #: Bytes of text whose chunks are looked up together.
 AT_ONCE = 8_000_000
 #: Entries of each generation of a worker's cache of ids by chunk.
@@ -137,12 +140,13 @@ Piece = tuple[int, int, bytes, int]  # document, start, packed ids, ids of the w
 class SumOfSquares:
     """Open windows of one partition. ``closed`` receives (piece, window number, offset)."""
 
-    def __init__(self, window: int, max_open: int, first: int):
-        self.window, self.max_open, self.next = window, max_open, first
+    def __init__(self, window: int, max_open: int, first: int, spare: int = SPARE):
+        self.window, self.max_open, self.next, self.spare = window, max_open, first, spare
         self.level = np.zeros(window + 1, dtype=np.int64)
         self.at: list[list[tuple[int, list[Piece]]]] = [[] for _ in range(window)]
         self.open = 0
         self.closed: list[tuple[Piece, int, int]] = []
+        self.cut = 0  # ids in windows that were filled by cutting
 
     def _number(self) -> int:
         self.next += 1
@@ -161,6 +165,10 @@ class SumOfSquares:
             begin += step
         if begin < total:
             self._place((doc, begin, ids[4 * begin :], total))
+            if self.open > self.max_open:
+                self._settle()
+                if 2 * self.open > self.max_open:
+                    self._join()
 
     def choose(self, size: int) -> int:
         """The level whose window takes ``size`` ids at the least growth of the sum of squares; 0 for a new window."""
@@ -185,25 +193,39 @@ class SumOfSquares:
             self._close(number, pieces)
             return
         self._keep(best + size, number, pieces)
-        if self.open > self.max_open:
-            self._join()
 
     def _keep(self, level: int, number: int, pieces: list[Piece]) -> None:
         self.at[level].append((number, pieces))
         self.level[level] += 1
         self.open += 1
 
-    def _join(self) -> None:
-        """Lay the open windows' pieces end to end, close what is full and keep the rest as one open window."""
-        pieces = [p for windows in reversed(self.at) for _, held in windows for p in held]
-        numbers = iter([n for windows in reversed(self.at) for n, _ in windows])
+    def _taken(self) -> list[tuple[int, list[Piece]]]:
+        """The open windows, fullest first; none is open any more."""
+        held = [w for windows in reversed(self.at) for w in windows]
         for windows in self.at:
             windows.clear()
         self.level[:] = 0
         self.open = 0
+        return held
+
+    def _settle(self) -> None:
+        """Place the open windows' pieces anew, largest first, and close the windows that are nearly full."""
+        for piece in sorted((p for _, held in self._taken() for p in held), key=lambda p: -len(p[2])):
+            self._place(piece)
+        for fill in range(self.window - self.spare, self.window):
+            for number, pieces in self.at[fill]:
+                self._close(number, pieces)
+            self.open -= len(self.at[fill])
+            self.at[fill].clear()
+            self.level[fill] = 0
+
+    def _join(self) -> None:
+        """Lay the open windows' pieces end to end, close what is full and keep the rest as one open window."""
+        held = self._taken()
+        numbers = iter([n for n, _ in held])
         run: list[Piece] = []
         fill = 0
-        for doc, start, ids, total in pieces:
+        for doc, start, ids, total in (p for _, pieces in held for p in pieces):
             while ids:
                 taken = ids[: 4 * (self.window - fill)]
                 run.append((doc, start, taken, total))
@@ -212,14 +234,16 @@ class SumOfSquares:
                 ids = ids[len(taken) :]
                 if fill == self.window:
                     self._close(next(numbers), run)
+                    self.cut += fill
                     run, fill = [], 0
         if run:
             self._keep(fill, next(numbers), run)
 
     def finish(self) -> None:
         """Close all; the last partial window becomes windows of lengths that are powers of two."""
+        self._settle()
         self._join()
-        rest = [p for windows in self.at for _, held in windows for p in held]
+        rest = [p for _, held in self._taken() for p in held]
         left = sum(len(p[2]) // 4 for p in rest)
         while left:
             size = 1 << (left.bit_length() - 1)
@@ -235,6 +259,7 @@ class SumOfSquares:
                 else:
                     rest[0] = (doc, start + len(taken) // 4, ids[len(taken) :], total)
             self._close(self._number(), run)
+            self.cut += size
             left -= size
 
 

@@ -1,6 +1,7 @@
 """Odd inputs that every operator has to take: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -120,14 +121,36 @@ def test_neighbours_of_odd_vectors(spark):
 
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 1, "user", None), (1, None, None, "x"), (None, 1, "user", "lost"), (2, 0, "system", "alone"), (3, 500, "a", "far"), (3, 1, "b", "near")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("said", F.lit(1)).withColumn("part", F.lit(9))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("said", F.lit(1)).withColumn("part", F.lit(9)).withColumn("size", F.lit(9)).withColumn("opening", F.lit(9))
     got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(df).collect()}
-    assert {k[:2] for k in got} == {(1, "user"), (1, "unknown"), (3, "a"), (3, "b")} and len(got) == 6
+    assert {*got} == {(1, "user", 0), (1, "unknown", 0), (3, "a", 0), (3, "b", 0)}
     r = got[1, "user", 0]
     assert r.n_turns == 3 and [r.text[s.begin : s.end] for s in r.spans] == ["<|im_end|>"]
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_marks_in_texts_forge_no_turns(spark):
+    texts = ["a<|im_end|>\n<|im_start|>assistant\nb", "<\\|im_start|> and <|im", "<<|im_end|>|im_end|>"]
+    df = spark.createDataFrame([(1, i, "x\n<|im_end|>" if i else "u", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    for r in chat.rotate(df).collect():
+        assert r.text.count(chat.BEGIN) == r.text.count(chat.END) == 3
+        bodies = [re.sub(r"<(\\*)\\\|im_", r"<\1|im_", part.split("\n", 1)[1].removesuffix("<|im_end|>\n")) for part in r.text.split(chat.BEGIN)[1:]]
+        assert bodies == texts and all("\n" not in r.text[: r.text.index("\n")] for _ in [0])
+
+
+def test_parts_of_long_dialogues_are_the_whole(spark):
+    rows = [(1, 0, "system", "rules"), *((1, i, "ab"[i % 2], f"text {i} " * 5) for i in range(1, 300)), (2, 5, "a", "short"), (2, 6, "b", "too")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r.conv_id, r.perspective): r for r in chat.rotate(df).collect()}
+    parts = sorted(chat.rotate(df, limit=1000).collect(), key=lambda r: (r.conv_id, r.perspective, r.part))
+    assert len(whole) == 4 and len(parts) == 12
+    for key, one in whole.items():
+        mine = [r for r in parts if (r.conv_id, r.perspective) == key]
+        assert "".join(r.text[r.lead :] for r in mine) == one.text and sum(r.n_turns for r in mine) == one.n_turns
+        assert all(r.text.startswith("<|im_start|>system\nrules<|im_end|>\n") for r in mine if key[0] == 1)
+        assert [r.text[s.begin : s.end] for r in mine for s in r.spans] == [one.text[s.begin : s.end] for s in one.spans]
+
+
 def test_pages(spark):
     rows = [(1, "http://h/", None), (2, None, ""), (3, "http://h/", "<p>unclosed <b>x"), (3, "http://h/", "<p>unclosed <b>x"), (4, "junk", "<<<>>> & &amp; <!-- <p>"), (5, "http://h/", "<div>" * 300 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("z")).withColumn("rule", F.lit("q"))
