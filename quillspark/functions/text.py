@@ -159,6 +159,27 @@ def chunk_id(x: Column | str) -> Column:
     return F.substring(F.sha2(_col(x), 256), 1, 16)
 
 
+def mask(x: Column) -> Column:
+    """Stars for up to ten characters, else the first and last three around stars."""
+    return F.when(F.char_length(x) <= 10, F.repeat(F.lit("*"), F.char_length(x))).otherwise(F.concat(F.left(x, F.lit(3)), F.lit("***"), F.right(x, F.lit(3))))
+
+
+def secret_hits(x: Column | str) -> Column:
+    """array<struct(line_no, secret, masked)>: the first match of each pattern in each line, without what looks like an example."""
+
+    def found(line: Column, i: Column) -> Column:
+        kinds = F.array(*(F.struct((i + 1).alias("line_no"), F.lit(n).alias("secret"), F.regexp_extract(line, p, 0).alias("masked")) for n, p in SECRETS.items()))
+        plain = line.contains("Example:") | line.contains("example")
+        false = lambda m: F.exists(F.array(*map(F.lit, FALSE_SECRETS)), lambda w: F.contains(F.lower(m), w)) | m.rlike(r"^[x*]+$")
+        return F.filter(kinds, lambda s: (s["masked"] != "") & ~plain & ~false(s["masked"]))
+
+    # Lines without any of the patterns' fixed parts cost one test.
+    hints = r"(?i)api[_-]?key|password|sk-|gh[po]_|AKIA|PRIVATE KEY|bearer|eyJ|secret|auth[_-]?token"
+    numbered = F.filter(F.transform(lines(x), lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: s["v"].rlike(hints))
+    hits = F.flatten(F.transform(numbered, lambda s: found(s["v"], s["i"])))
+    return F.transform(hits, lambda s: F.struct(s["line_no"].alias("line_no"), s["secret"].alias("secret"), mask(s["masked"]).alias("masked")))
+
+
 def redact(x: Column | str) -> Column:
     """Every secret as [REDACTED:name]."""
     out = _col(x)

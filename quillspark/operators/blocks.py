@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.functions.scoring import clamp, confidence_factor, days_between, expired, retention
+from quillspark.functions.scoring import clamp, confidence_factor, expired, retention
+
+#: Chunks around which vectors are grouped, and parts of a group.
+PIVOTS, SALTS = 64, 4
 
 
 def with_expiry(blocks: DataFrame, now: Column) -> DataFrame:
@@ -40,9 +43,10 @@ def lookup(blocks: DataFrame, query: str, now: Column, everything: bool = False,
 def regex_lines(texts: DataFrame, pattern: str, context: int = 2) -> DataFrame:
     """Lines within ``context`` of one that matches, each text's by itself; ``hit`` marks the matches."""
     ls = F.transform(T.lines("content"), lambda v, i: F.struct((i + 1).alias("line_no"), v.alias("line"), v.rlike(pattern).alias("hit")))
-    # A text's lines stay in its row: neighbours are found in the array, without a shuffle.
-    near = lambda x: F.exists(F.filter("ls", lambda y: y["hit"]), lambda y: F.abs(y["line_no"] - x["line_no"]) <= context)
-    return texts.where(F.col("content").rlike(f"(?m){pattern}")).withColumn("ls", ls).withColumn("l", F.explode(F.filter("ls", near))).select("session_id", "l.line_no", "l.line", "l.hit")
+    # A text's lines stay in its row; each hit names the lines around it, so a text costs its lines and its hits.
+    hits = F.transform(F.filter("ls", lambda x: x["hit"]), lambda x: x["line_no"])
+    around = F.array_distinct(F.flatten(F.transform(hits, lambda n: F.sequence(F.greatest(n - context, F.lit(1)), F.least(n + context, F.size("ls"))))))
+    return texts.where(F.col("content").rlike(f"(?m){pattern}")).withColumn("ls", ls).where(F.exists("ls", lambda x: x["hit"])).withColumn("at", F.explode(around)).withColumn("l", F.element_at("ls", F.col("at"))).select("session_id", "l.line_no", "l.line", "l.hit")
 
 
 def regex_first(texts: DataFrame, pattern: str) -> DataFrame:
@@ -114,18 +118,24 @@ def importance(blocks: DataFrame, boosts: DataFrame, now: Column) -> DataFrame:
 
 
 def line_budget(blocks: DataFrame, budget: int) -> DataFrame:
-    """Newest blocks of a category while their lines fit a budget; the first always, none after the first that doesn't fit."""
+    """Newest blocks of a category while their lines fit a budget; the first always, none after the first that doesn't fit.
+
+    A block has a line and a heading at least, so only the newest budget / 2 + 1
+    of a category can be kept: tasks cut down to those before anything is gathered.
+    """
     order = Window.partitionBy("project", "category").orderBy(F.desc("ts_raw"), "pos")
     sized = blocks.select("project", "category", "session_id", "pos", "ts_raw", (F.size(T.lines("content")) + 1).cast("long").alias("n_lines"))
-    summed = sized.withColumn("total", F.sum("n_lines").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(order))
+    newest = sized.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= budget // 2 + 1)
+    summed = newest.withColumn("total", F.sum("n_lines").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     fits = (F.col("total") <= budget) | (F.col("nth") == 1)
     return summed.withColumn("cut", F.max((~fits).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("cut = 0").select("project", "category", "session_id", "n_lines", "total")
 
 
 def token_budget(hits: DataFrame, budget: int) -> DataFrame:
-    """Best hits of a category while their tokens fit a budget, each judged on the running total."""
-    order = Window.partitionBy("category").orderBy(F.desc("score"), "session_id").rowsBetween(Window.unboundedPreceding, 0)
-    return hits.withColumn("tokens", T.token_estimate("content")).withColumn("total", F.sum("tokens").over(order)).where(F.col("total") <= budget)
+    """Best hits of a category while their tokens fit a budget, each judged on the running total; a hit has a token at least, so only the best ``budget`` of a category are gathered."""
+    order = Window.partitionBy("category").orderBy(F.desc("score"), "session_id")
+    best = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= budget).drop("nth")
+    return best.withColumn("tokens", T.token_estimate("content")).withColumn("total", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= budget)
 
 
 def trim_lines(x: Column, n: int) -> Column:
@@ -144,11 +154,35 @@ def overlaps(new: DataFrame, existing: DataFrame, least_words: int) -> DataFrame
 
 def similar_top(new: DataFrame, existing: DataFrame, n: int = 3, threshold: float = 0.15) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("similarity"), "old_id"))
-    return overlaps(new, existing, 3).where(F.col("similarity") > threshold).withColumn("rank", rank).where(F.col("rank") <= n)
+    return overlaps(new, existing, 3).where((F.col("similarity") > threshold) & (F.col("new_id") != F.col("old_id"))).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def near_duplicate(new: DataFrame, existing: DataFrame, threshold: float = 0.75) -> DataFrame:
-    return overlaps(new, existing, 5).where(F.col("similarity") > threshold).select("new_id").distinct()
+def near_duplicate(texts: DataFrame, threshold: float = 0.75, least_words: int = 5) -> DataFrame:
+    """Ids of texts of so many words at least to which an earlier text, by id, that isn't superseded has a greater overlap.
+
+    Equal word sets are one row. Of two sets that overlap by more than the
+    threshold, the smaller has one of its rarest words - all but so many as the
+    rest could leave it under the threshold - in the larger: only those words
+    are looked up, so a word that all texts hold joins nothing. What is found is
+    verified on the sets.
+    """
+    rows = texts.select("id", F.sort_array(T.word_set("content")).alias("words"), (~F.col("content").contains("<!-- superseded")).alias("live")).where(F.size("words") > 0)
+    rows = rows.withColumn("key", F.xxhash64("words"))
+    sets = rows.groupBy("key").agg(F.first("words").alias("words"), F.min(F.when(F.col("live"), F.col("id"))).alias("first"), F.max("id").alias("last"))
+    posted = sets.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
+    rarity = posted.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = posted.join(rarity, "word").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    probe = F.slice(F.col("ranked"), 1, F.col("n") - F.floor(F.col("n") * threshold).cast("int"))
+    probes = ranked.select(F.col("key").alias("small"), F.col("n").alias("n_small"), F.explode(F.transform(probe, lambda x: x["word"])).alias("word"))
+    pairs = probes.join(posted.withColumnRenamed("key", "large"), "word").where("n >= n_small AND small <> large").select("small", "large").distinct()
+    side = lambda name: sets.select(F.col("key").alias(name), F.struct("words", "first", "last").alias(f"{name}_set"))
+    met = pairs.join(side("small"), "small").join(side("large"), "large")
+    shared = F.size(F.array_intersect("small_set.words", "large_set.words"))
+    near = met.where(shared / F.least(F.size("small_set.words"), F.size("large_set.words")) > threshold).select("small", "large", F.col("small_set.first").alias("a"), F.col("large_set.first").alias("b"))
+    others = near.select(F.col("small").alias("key"), F.col("b").alias("other")).unionByName(near.select(F.col("large").alias("key"), F.col("a").alias("other"))).groupBy("key").agg(F.min("other").alias("other"))
+    first = sets.select("key", "first").join(others, "key", "left")
+    asked = rows.where(F.size("words") >= least_words).select("key", "id").join(first, "key")
+    return asked.where(F.col("id") > F.least("first", "other")).select(F.col("id").alias("new_id"))
 
 
 def supersede(blocks: DataFrame, reasons: DataFrame, n: int = 120) -> DataFrame:
@@ -197,19 +231,52 @@ def preferences(lines: DataFrame, shown: int = 6) -> DataFrame:
     return unique.groupBy("key").agg(listed.alias("shown"), F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))
 
 
-def supersedable(chunks: DataFrame, low: float, high: float) -> DataFrame:
-    """Pairs of chunks of one category whose cosine lies in a band, in their order; blocked by category, squared vectors once."""
+def supersedable(chunks: DataFrame, low: float, high: float, by: str | None = "category") -> DataFrame:
+    """Pairs of chunks of one category (``by`` None: of all) whose cosine lies in a band, in their order.
+
+    Chunks are grouped around ``PIVOTS`` of themselves, drawn by hash, at the
+    angle theta of ``low``: a chunk belongs to the cell of its nearest pivot and
+    visits each cell whose nearest pivot might hold a neighbour. Two chunks
+    within theta of each other have angles to any pivot that differ by theta at
+    most, so a pair meets in the cell of its lesser chunk's nearest pivot: no
+    pair is lost, and cells that are far apart never meet. A cell's rows are
+    salted, so none is one task.
+    """
     from quillspark.functions.scoring import cosine
 
-    a = chunks.select("category", F.col("id").alias("a"), F.col("embedding").alias("va"))
-    b = chunks.select("category", F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, "category").where("a < b").withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity").between(low, high)).select("a", "b", "similarity")
+    rows = chunks.select("id", (F.col(by) if by else F.lit("")).alias("grp"), "embedding")
+    pivots = rows.where(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select(F.col("id").alias("cell"), F.col("embedding").alias("pivot"))
+    listed = pivots.agg(F.array_sort(F.collect_list(F.struct("cell", "pivot"))).alias("pivots"))  # one row of bounded size
+    angle = lambda p: F.acos(F.greatest(F.least(cosine(F.col("embedding"), p["pivot"]), F.lit(1.0)), F.lit(-1.0)))
+    placed = rows.crossJoin(F.broadcast(listed)).withColumn("angles", F.transform("pivots", lambda p: F.struct(angle(p).alias("angle"), p["cell"].alias("cell")))).drop("pivots")
+    placed = placed.withColumn("own", F.array_min("angles"))
+    # The lesser chunk stays in its cell; the other, within theta of it, is at most 2 theta further from that pivot than from its own.
+    theta = F.acos(F.lit(max(-1.0, min(1.0, low)))) + 1e-6
+    a = placed.select("grp", F.col("own.cell").alias("cell"), F.col("id").alias("a"), F.col("embedding").alias("va"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    near = F.filter("angles", lambda x: x["angle"] <= F.col("own.angle") + 2 * theta)
+    b = placed.select("grp", F.explode(near).alias("at"), F.col("id").alias("b"), F.col("embedding").alias("vb")).select("grp", "at.cell", "b", "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = a.join(b, ["grp", "cell", "salt"]).where("a < b")
+    return met.withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity").between(low, high)).select("a", "b", "similarity")
+
+
+def duplicate_groups(chunks: DataFrame, threshold: float, by: str | None = "category") -> DataFrame:
+    """Anchors with the later chunks of their category (``by`` None: of the store) that are at least so similar; groups may overlap."""
+    return supersedable(chunks, threshold, 2.0, by).groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("n"), F.min("b").alias("first"), F.max("b").alias("last"))
+
+
+def contradiction_prefilter(new: DataFrame, existing: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """Pairs worth asking a checker about: three words or more in the new text, and so much overlap."""
+    return overlaps(new, existing, 3).where((F.col("similarity") >= threshold) & (F.col("new_id") != F.col("old_id"))).select("new_id", "old_id", "similarity")
 
 
-def duplicate_groups(chunks: DataFrame, threshold: float) -> DataFrame:
-    """Anchors with the later chunks of their category that are at least so similar; groups may overlap."""
-    return supersedable(chunks, threshold, 2.0).groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("n"), F.min("b").alias("first"), F.max("b").alias("last"))
+def working_sessions(blocks: DataFrame) -> DataFrame:
+    """A row a session: its categories in their order, and time and preview of its first block by category."""
+    rows = blocks.select("session_id", "cat_ord", "category", "pos", "ts_raw", T.preview("content").alias("preview"))
+    listed = F.array_sort(F.collect_set(F.struct("cat_ord", "category")))
+    first = F.struct("cat_ord", "pos")
+    return rows.groupBy("session_id").agg(F.array_join(F.transform(listed, lambda x: x["category"]), ",").alias("categories"), F.min_by("ts_raw", first).alias("first"), F.min_by("preview", first).alias("preview"))
 
 
-def age_days(now: Column) -> Column:
-    return days_between(F.col("ts"), now)
+def timeline(blocks: DataFrame, everywhere: str) -> DataFrame:
+    """Blocks of all projects but the global one, expired ones too, newest first by the raw time."""
+    return blocks.where(F.col("project") != everywhere).select("ts_raw", "project", "category", "session_id", T.preview("content").alias("preview")).orderBy(F.desc("ts_raw"), "session_id")

@@ -32,11 +32,33 @@ def smart_memory(hits: DataFrame, categories: list[str], budget: int) -> DataFra
     return sections.agg(T.strip_private(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))), lambda x: x["text"]), "\n\n")).alias("memory"))
 
 
-def compact_memory(context: DataFrame, preferences: DataFrame, lines: int | None = None) -> DataFrame:
-    """One compact document a project of its trimmed context and preferences."""
+def first_lines(rows: DataFrame, n: int) -> DataFrame:
+    """One row, ``text``: the first n lines, one more to tell that there are more, of ordered rows (at, pos, text); each has a line at least, so only the first n + 1 are gathered."""
+    few = rows.orderBy("at", "pos").limit(n + 1)
+    return few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "pos", "text"))), lambda r: r["text"]), "\n\n").alias("text"))
+
+
+def compact_memory(context: DataFrame, preferences: DataFrame, lines: int | None = None, shared: DataFrame | None = None, everywhere: DataFrame | None = None, packs: DataFrame | None = None) -> DataFrame:
+    """One compact document a project, within line budgets: its context, preferences, then what all projects have alike: shared blocks by importance while they fit, global knowledge, a line a pack."""
     joined = context.join(preferences, "project", "left")
-    prefs = F.when(F.coalesce("preferences", F.lit("")) != "", F.concat(F.lit("## User Preferences\n\n"), trim_lines(F.col("preferences"), scaled(BUDGETS["preferences"], lines)), F.lit("\n\n---\n\n"))).otherwise("")
-    return joined.select("project", T.strip_private(F.concat(F.lit("## Project: "), "project", F.lit("\n\n"), trim_lines(F.col("context"), scaled(BUDGETS["project"], lines)), F.lit("\n\n---\n\n"), prefs)).alias("memory"))
+    section = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"## {title}\n\n"), body, F.lit("\n\n---\n\n"))).otherwise("")
+    parts = [F.concat(F.lit("## Project: "), "project", F.lit("\n\n"), trim_lines(F.col("context"), scaled(BUDGETS["project"], lines)), F.lit("\n\n---\n\n")), section("User Preferences", trim_lines(F.col("preferences"), scaled(BUDGETS["preferences"], lines)))]
+    if shared is not None:
+        budget = scaled(BUDGETS["shared"], lines)
+        order = Window.orderBy(F.desc("score"), "pos").rowsBetween(Window.unboundedPreceding, 0)
+        best = shared.orderBy(F.desc("score"), "pos").limit(budget).withColumn("total", F.sum(F.size(T.lines("text")) + 1).over(order)).where(F.col("total") <= budget)
+        one = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "text"))), lambda r: r["text"]), "\n\n").alias("shared"))
+        joined = joined.crossJoin(F.broadcast(one))
+        parts.append(section("Shared Knowledge", F.col("shared")))
+    if everywhere is not None:
+        budget = scaled(BUDGETS["global"], lines)
+        joined = joined.crossJoin(F.broadcast(first_lines(everywhere, budget).select(trim_lines(F.col("text"), budget).alias("everywhere"))))
+        parts.append(section("Global Knowledge", F.col("everywhere")))
+    if packs is not None:
+        listed = packs.orderBy("line").limit(ALL_LINES).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("packs"))
+        joined = joined.crossJoin(F.broadcast(listed))
+        parts.append(section("Installed Packs", F.col("packs")))
+    return joined.select("project", T.strip_private(F.concat(*parts)).alias("memory"))
 
 
 def export_markdown(blocks: DataFrame, now: Column) -> DataFrame:

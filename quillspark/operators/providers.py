@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import retrieval as R
-
 DIMS = 64
 Embed = Callable[[list[str]], np.ndarray]
 Chat = Callable[[str, str], str]
@@ -45,11 +43,46 @@ def extractive_chat(system: str, user: str) -> str:
     return next((line for line in user.split("\n") if line.strip()), "")
 
 
-def ask(chunks: DataFrame, question: str, now: Column, k: int = 5, threshold: float = 0.15, provider: Embed = hashing_embedder, chat: Chat = extractive_chat) -> DataFrame:
-    """question, context and answer: retrieval in Spark over the first k hits, one provider call at the driver."""
-    vector = provider([question])[0].tolist()
-    index = chunks.withColumn("embedding", embed("text", provider))
-    hits = R.smart_search(index, vector, question, now, k, threshold)
-    row = R.context(hits, k).first()
-    text = row["context"] if row and row["context"] else ""
-    return chunks.sparkSession.createDataFrame([(question, text, chat("Answer from the context.", text))], "question string, context string, answer string")
+#: What a provider is told, by task; {0} is the text and {1} what stands beside it.
+PROMPTS = {
+    "decisions": "List the decisions taken in this conversation and why.\n\n{0}",
+    "solutions": "List problems of this conversation that were solved, and how.\n\n{0}",
+    "patterns": "List ways of working in this conversation that are worth repeating.\n\n{0}",
+    "bugs": "List the defects that this conversation found, with their causes.\n\n{0}",
+    "insights": "List what was learned in this conversation.\n\n{0}",
+    "questions": "List the questions that this conversation leaves open.\n\n{0}",
+    "procedures": "List the step-by-step procedures of this conversation.\n\n{0}",
+    "preferences": "List what the user prefers, by topic.\n\n{0}",
+    "entities": "List people, tools and places of this conversation as name | type | fact.\n\n{0}",
+    "summary": "Summarise this conversation in a paragraph.\n\n{0}",
+    "context": "Write the context document of a project from its knowledge.\n\n{0}",
+    "hyde": "Write the short passage that would answer this question.\n\n{0}",
+    "expand": "Give related search terms, separated by commas.\n\n{0}",
+    "resolve": "Answer ADD, UPDATE <id>, DELETE <id> or NOOP for the new text beside the known ones.\n\n{0}\n\n{1}",
+    "contradict": "Say CONTRADICTS and why if these two texts can't both hold.\n\n{0}\n\n{1}",
+    "choose": "Name the ids of up to five entries that help with this question.\n\n{0}\n\n{1}",
+    "answer": "Answer the question from the context alone.\n\n{0}\n\n{1}",
+    "concise": "Answer the question from the context alone, in a few words.\n\n{0}\n\n{1}",
+    "graph": "Give concepts and relationships of this knowledge as JSON.\n\n{0}",
+}
+
+
+def prompt(task: str, text: str, beside: str = "") -> str:
+    """The prompt of a task."""
+    return PROMPTS[task].format(text, beside)
+
+
+def echo_chat(system: str, user: str) -> str:
+    """A provider that gives back the last paragraph of what it is asked: a fixed reply for tests and offline use."""
+    return user.rpartition("\n\n")[2]
+
+
+def chat_column(column: str, task: str, chat: Chat = echo_chat) -> Column:
+    """A provider's replies to a text column, by batches; null texts aren't asked about."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else chat(task, prompt(task, t)))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(column)

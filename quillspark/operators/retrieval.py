@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,23 @@ def concept_queries(nodes: DataFrame, edges: DataFrame, query: str, hops: int =
     return related.orderBy("depth", "id").limit(n).select("id", "name", "depth")
 
 
+def text_search(chunks: DataFrame, query: list[float], text: str, k: int) -> DataFrame:
+    """The fused search joined back to its chunks; of a repeated id the last row counts."""
+    rows = chunks.groupBy("id").agg(F.max_by(F.struct("session_id", "category", "text"), "ts").alias("c"))
+    return hybrid(chunks, query, text, k).join(rows, "id").select("id", "score", "c.session_id", "c.category", "c.text")
+
+
+def graph_search(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: list[float], text: str, now: Column, k: int, threshold: float, vector: Callable[[str], list[float]], hops: int = 2, names: int = 4) -> DataFrame:
+    """The tiered search, then searches (two hits each, at a discount) for concepts near those that the question names; each session once, as the first search found it."""
+    found = smart_search(chunks, query, text, now, k, threshold).withColumn("arm", F.lit(0))
+    related = concept_queries(nodes, edges, text, hops, names).collect()  # ``names`` rows
+    for arm, row in enumerate(related, 1):
+        hits = smart_search(chunks, vector(row["name"]), row["name"], now, 2, threshold)
+        found = found.unionByName(hits.withColumn("score", F.col("score") * GLOBAL_PENALTY).withColumn("arm", F.lit(arm)))
+    first = found.groupBy("session_id").agg(F.min_by(F.struct("category", "content", "score", "preview", "arm"), "arm").alias("f"))
+    return first.select("session_id", "f.*").orderBy("arm", F.desc("score"), "session_id")
+
+
 def union_new(a: DataFrame, b: DataFrame, key: str = "session_id") -> DataFrame:
     """a, and what b has that a hasn't."""
     return a.unionByName(b.join(a.select(key).distinct(), key, "left_anti"))

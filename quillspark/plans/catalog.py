@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("analytics", "retrieval", "knowledge", "quality", "sessions", "graphs", "learning", "versions", "texts", "documents", "tools", "streams", "substrate")
+MODULES = ("analytics", "retrieval", "knowledge", "quality", "sessions", "graphs", "learning", "versions", "texts", "documents", "tools", "answers", "streams", "substrate")
 
 
 def _load() -> None:

@@ -42,11 +42,12 @@ def conversation_markdown(spark, d):
     return D.render_conversation(S.turns(turns(spark, d)), 200)
 
 
-@register("smart_memory", oracle("""WITH h AS (SELECT session_id, category, cat_ord, content, (pos % 97) / 100.0e0 AS score FROM blocks WHERE project = 'src3'), t AS (SELECT *, sum(greatest(1, strlen(content) // 4)) OVER (PARTITION BY category ORDER BY score DESC, session_id) AS total FROM h),
+@register("smart_memory", oracle("""WITH h AS (SELECT session_id, category, cat_ord, content, (pos % 97) / 100.0e0 AS score FROM blocks ORDER BY score DESC, session_id LIMIT 40), t AS (SELECT *, sum(greatest(1, strlen(content) // 4)) OVER (PARTITION BY category ORDER BY score DESC, session_id) AS total FROM h),
   s AS (SELECT category, cat_ord, string_agg('<!-- relevance: ' || CAST(floor(score * 100 + 0.5) AS INT) || '% -->' || chr(10) || trim(content, ' '), chr(10) || chr(10) ORDER BY score DESC, session_id) AS text FROM t WHERE total <= 900 GROUP BY 1, 2)
   SELECT string_agg('### ' || category || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY cat_ord) AS memory FROM s"""))
 def smart_memory(spark, d):
-    hits = blocks(spark, d).where("project = 'src3'").select("session_id", "category", "content", ((F.col("pos") % 97) / 100.0).alias("score"))
+    """Of the 40 best hits, which is what a memory is asked of."""
+    hits = blocks(spark, d).select("session_id", "category", "content", ((F.col("pos") % 97) / 100.0).alias("score")).orderBy(F.desc("score"), "session_id").limit(40)
     return D.smart_memory(hits, CATEGORIES, 900)
 
 
@@ -113,28 +114,28 @@ def sink_events(spark, d):
     return stores.read_events(spark, path, since="2024-01-20").groupBy("date").agg(F.count("*").alias("n"))
 
 
-@register("sink_upsert", oracle("SELECT session_id, CASE WHEN pos % 10 = 0 THEN 'new' ELSE left(content, 10) END AS content FROM blocks"))
+@register("sink_upsert", oracle("SELECT session_id, CASE WHEN pos % 10 = 0 THEN 'new' ELSE content END AS content FROM blocks"))
 def sink_upsert(spark, d):
     """A block store written by project and category, then upserted: only touched partitions are rewritten."""
-    path, b = _place(spark, "blocks"), blocks(spark, d).withColumn("content", F.left("content", F.lit(10)))
+    path, b = _place(spark, "blocks"), blocks(spark, d)
     stores.write_blocks(b, path)
     stores.upsert_blocks(spark, path, b.where("pos % 10 = 0").withColumn("content", F.lit("new")))
     return stores.read_blocks(spark, path).select("session_id", "content")
 
 
-@register("sink_markdown", oracle(f"SELECT 's' || pos AS session_id, category FROM blocks WHERE NOT {EXPIRED} AND project = 'src3'"))
+@register("sink_markdown", oracle(f"SELECT 's' || pos AS session_id, category FROM blocks WHERE NOT {EXPIRED}"))
 def sink_markdown(spark, d):
     """Markdown written by project and category, files read whole and parsed."""
     path = _place(spark, "markdown")
-    stores.write_markdown(D.export_markdown(blocks(spark, d).where("project = 'src3'"), now()), path)
+    stores.write_markdown(D.export_markdown(blocks(spark, d), now()), path)
     return stores.read_markdown(spark, path).select("session_id", "category")
 
 
-@register("catalog_scan", oracle("SELECT project, count(DISTINCT category) AS files FROM blocks WHERE project < 'src2' GROUP BY 1"))
+@register("catalog_scan", oracle("SELECT project, count(DISTINCT category) AS files FROM blocks GROUP BY 1"))
 def catalog_scan(spark, d):
     """Files of a store by project, from their paths."""
     path = _place(spark, "catalog")
-    stores.write_blocks(blocks(spark, d).where("project < 'src2'"), path)
+    stores.write_blocks(blocks(spark, d), path)
     return stores.catalog(spark, path, "*.parquet").groupBy("project").agg(F.countDistinct("category").alias("files"))
 
 

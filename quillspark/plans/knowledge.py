@@ -17,11 +17,6 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\\p
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
-def _few(spark, d):
-    """Blocks of one project: a twentieth of the store, by its own column."""
-    return blocks(spark, d).where("project = 'src3'")
-
-
 @register("block_expiry", oracle(f"SELECT category, {EXPIRED} AS expired, count(*) AS n FROM blocks GROUP BY 1, 2"))
 def block_expiry(spark, d):
     return B.with_expiry(blocks(spark, d), now()).groupBy("category", "expired").agg(F.count("*").alias("n"))
@@ -130,24 +125,37 @@ def trim_lines(spark, d):
     return blocks(spark, d).select("session_id", B.trim_lines(F.col("content"), 6).alias("shown"))
 
 
-_PAIRS = f"""new_ AS (SELECT pos AS new_id, {_WORDS} AS w FROM blocks WHERE project = 'src3'), old_ AS (SELECT pos AS old_id, {_WORDS} AS w FROM blocks WHERE project <> 'src3' AND NOT contains(content, '<!-- superseded')),
-  a AS (SELECT new_id, len(w) AS new_n, unnest(w) AS word FROM new_ WHERE len(w) >= {{least}}), b AS (SELECT old_id, len(w) AS old_n, unnest(w) AS word FROM old_),
-  p AS (SELECT new_id, old_id, count(*) / least(min(new_n), min(old_n)) AS similarity FROM a JOIN b USING (word) GROUP BY 1, 2)"""
+_PAIRS = f"""new_ AS (SELECT pos AS new_id, {_WORDS} AS w FROM blocks WHERE <new>), old_ AS (SELECT pos AS old_id, {_WORDS} AS w FROM blocks WHERE NOT contains(content, '<!-- superseded')),
+  a AS (SELECT new_id, len(w) AS new_n, unnest(w) AS word FROM new_ WHERE len(w) >= <least>), b AS (SELECT old_id, len(w) AS old_n, unnest(w) AS word FROM old_),
+  p AS (SELECT new_id, old_id, count(*) / least(min(new_n), min(old_n)) AS similarity FROM a JOIN b USING (word) WHERE <met> GROUP BY 1, 2)"""
+
 
+def _pairs(new: str, least: int, met: str) -> str:
+    return _PAIRS.replace("<new>", new).replace("<least>", str(least)).replace("<met>", met)
 
-def _sides(spark, d):
-    b = blocks(spark, d).select(F.col("pos").alias("id"), "project", "content")
-    return b.where("project = 'src3'"), b.where("project <> 'src3'")
 
+def _texts(spark, d):
+    return blocks(spark, d).select(F.col("pos").alias("id"), "content")
 
-@register("similar_top3", oracle(f"WITH {_PAIRS.replace('{least}', '3')} SELECT new_id, old_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, old_id) AS INT) AS rank FROM p WHERE similarity > 0.15) WHERE rank <= 3"))
+
+@register("similar_top3", oracle(f"WITH {_pairs(new='pos % 100 = 0', least=3, met='old_id <> new_id')} SELECT new_id, old_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, old_id) AS INT) AS rank FROM p WHERE similarity > 0.15) WHERE rank <= 3"))
 def similar_top3(spark, d):
-    return B.similar_top(*_sides(spark, d)).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"), "rank")
+    """A search: the texts of every hundredth row, against all rows."""
+    texts = _texts(spark, d)
+    return B.similar_top(texts.where("id % 100 = 0"), texts).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@register("near_duplicates", oracle(f"WITH {_PAIRS.replace('{least}', '5')} SELECT DISTINCT new_id FROM p WHERE similarity > 0.75"))
+@register("near_duplicates", oracle(f"WITH {_pairs(new='true', least=5, met='old_id < new_id')} SELECT DISTINCT new_id FROM p WHERE similarity > 0.75"))
 def near_duplicates(spark, d):
-    return B.near_duplicate(*_sides(spark, d))
+    return B.near_duplicate(_texts(spark, d))
+
+
+@register("contradiction_prefilter", oracle(f"WITH {_pairs(new='pos % 100 = 0', least=3, met='old_id <> new_id')} SELECT new_id, count(*) AS candidates, min(old_id) AS first, max(old_id) AS last FROM p WHERE similarity >= 0.15 GROUP BY 1"))
+def contradiction_prefilter(spark, d):
+    """What a checker would be asked about: blocks whose words overlap with those of every hundredth row."""
+    texts = _texts(spark, d)
+    found = B.contradiction_prefilter(texts.where("id % 100 = 0"), texts)
+    return found.groupBy("new_id").agg(F.count("*").alias("candidates"), F.min("old_id").alias("first"), F.max("old_id").alias("last"))
 
 
 @register("supersede", oracle("SELECT session_id, CASE WHEN pos % 9 = 2 AND NOT contains(content, '<!-- superseded') THEN '<!-- superseded: replaced by s' || (pos + 1) || ' -->' || chr(10) || content ELSE content END AS content FROM blocks"))
@@ -206,22 +214,26 @@ def preferences(spark, d):
     return B.preferences(blocks(spark, d).select("pos", line.alias("line")))
 
 
-_COS = "SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.embedding, y.embedding) AS similarity FROM chunks x JOIN chunks y ON x.category = y.category AND x.id < y.id"
+_COS = "SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.embedding, y.embedding) AS similarity FROM chunks x JOIN chunks y ON {on} x.id < y.id"
 
 
-@register("contradiction_candidates", oracle(f"SELECT a, b, round(similarity, 6) AS similarity FROM ({_COS}) WHERE similarity BETWEEN 0.35 AND 0.92"))
+@register("contradiction_candidates", oracle(f"SELECT a, b, round(similarity, 6) AS similarity FROM ({_COS.format(on='x.category = y.category AND')}) WHERE similarity BETWEEN 0.35 AND 0.92"))
 def contradiction_candidates(spark, d):
     return B.supersedable(chunks(spark, d), 0.35, 0.92).withColumn("similarity", F.round("similarity", 6))
 
 
-@register("duplicate_groups", oracle(f"SELECT a AS anchor, count(*) AS n, min(b) AS first, max(b) AS last FROM ({_COS}) WHERE similarity >= 0.3 GROUP BY 1"))
+@register("duplicate_groups", oracle(f"SELECT a AS anchor, count(*) AS n, min(b) AS first, max(b) AS last FROM ({_COS.format(on='')}) WHERE similarity >= 0.4 GROUP BY 1"))
 def duplicate_groups(spark, d):
-    return B.duplicate_groups(chunks(spark, d), 0.3)
+    """Over the whole store, whatever the category."""
+    return B.duplicate_groups(chunks(spark, d), 0.4, None)
 
 
-@register("working_sessions", oracle("SELECT session_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, min(ts_raw) AS first FROM blocks GROUP BY 1"))
+@register("working_sessions", oracle(f"SELECT session_id, string_agg(category, ',' ORDER BY cat_ord) AS categories, arg_min(ts_raw, (cat_ord, pos)) AS first, arg_min(preview, (cat_ord, pos)) AS preview FROM (SELECT session_id, cat_ord, arg_min(category, pos) AS category, arg_min(ts_raw, pos) AS ts_raw, min(pos) AS pos, arg_min({_PREVIEW.format(n=80)}, pos) AS preview FROM blocks GROUP BY 1, 2) GROUP BY 1"))
 def working_sessions(spark, d):
-    return blocks(spark, d).groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.min("ts_raw").alias("first"))
+    return B.working_sessions(blocks(spark, d))
 
 
-assert len(CATEGORIES) == 7
+@register("timeline", oracle(f"SELECT ts_raw, project, category, session_id, {_PREVIEW.format(n=80)} AS preview FROM blocks WHERE project <> 'src0'"))
+def timeline(spark, d):
+    """Every block of every project but the global one, here src0, newest first by the raw time."""
+    return B.timeline(blocks(spark, d), "src0")

@@ -11,9 +11,6 @@ from quillspark.plans.catalog import register
 from quillspark.plans.knowledge import _PREVIEW, _STOP
 from quillspark.sources.views import CATEGORIES, NOW, blocks, now, oracle, table
 
-_SECRET = "'api_key = ' || repeat('Ab1_', 6)"
-
-
 @register("tokens", oracle("SELECT pos, len(t) AS n, array_to_string(t[1:20], ' ') AS head FROM (SELECT pos, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}_]+'), lambda t: octet_length(encode(t)) > 1) AS t FROM blocks)"))
 def tokens(spark, d):
     t = T.tokens("content")
@@ -40,9 +37,9 @@ def truncate_bytes(spark, d):
     return blocks(spark, d).select("pos", T.truncate_bytes("content", 300, "...").alias("cut"))
 
 
-@register("strip_private", oracle("SELECT pos, regexp_replace(regexp_replace(left(content, 50) || '<private>a' || chr(10) || 'b</PRIVATE>' || chr(10) || chr(10) || chr(10) || chr(10) || right(content, 20), '<private>.*?</private>', '', 'gsi'), '\\n{3,}', chr(10) || chr(10), 'g') AS shown FROM blocks"))
+@register("strip_private", oracle("SELECT pos, regexp_replace(regexp_replace(content || '<private>a' || chr(10) || 'b</PRIVATE>' || chr(10) || chr(10) || chr(10) || chr(10) || content, '<private>.*?</private>', '', 'gsi'), '\\n{3,}', chr(10) || chr(10), 'g') AS shown FROM blocks"))
 def strip_private(spark, d):
-    text = F.concat(F.left("content", F.lit(50)), F.lit("<private>a\nb</PRIVATE>\n\n\n\n"), F.right("content", F.lit(20)))
+    text = F.concat("content", F.lit("<private>a\nb</PRIVATE>\n\n\n\n"), "content")
     return blocks(spark, d).select("pos", T.strip_private(text).alias("shown"))
 
 
@@ -108,35 +105,40 @@ def token_estimate(spark, d):
     return blocks(spark, d).select("pos", T.token_estimate("content").alias("tokens"))
 
 
-@register("secret_scan", oracle("SELECT pos, 2 AS line_no, (['API Key','AWS Access Key','GitHub Token'])[CAST(pos % 3 AS INT) + 1] AS secret FROM blocks WHERE pos % 5 <> 0"))
+_QUOTED = [(n, p.replace("'", "''")) for n, p in T.SECRETS.items()]
+_PLANT = "'head' || chr(10) || CASE WHEN pos % 5 = 0 THEN 'Example: ' ELSE '' END || CASE pos % 3 WHEN 0 THEN 'api_key = ' || repeat('Ab1_', 6) WHEN 1 THEN 'id AKIA' || repeat('A1B2', 4) ELSE 'ghp_' || repeat('a1B2c3', 6) END || chr(10) || COALESCE(content, '')"
+_FALSE = " OR ".join(f"contains(lower(m), '{w}')" for w in T.FALSE_SECRETS)
+
+
+@register("secret_scan", oracle(f"""WITH x AS (SELECT pos, string_split({_PLANT}, chr(10)) AS ls FROM blocks), l AS (SELECT pos, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM x),
+  k AS (SELECT pos, line, CAST(line_no AS INT) AS line_no, unnest([{", ".join(f"{{'n': '{n}', 'm': regexp_extract(line, '{q}')}}" for n, q in _QUOTED)}]) AS k FROM l), h AS (SELECT pos, line, line_no, k.n AS secret, k.m AS m FROM k WHERE k.m <> '')
+  SELECT pos, line_no, secret, CASE WHEN length(m) <= 10 THEN repeat('*', length(m)) ELSE left(m, 3) || '***' || right(m, 3) END AS masked FROM h WHERE NOT (contains(line, 'Example:') OR contains(line, 'example') OR {_FALSE} OR regexp_matches(m, '^[x*]+$'))"""))
 def secret_scan(spark, d):
-    """A planted line of three kinds of secrets, a fifth of them vetoed as examples, and behind it the whole text."""
+    """Every line of every text, behind a planted line of three kinds of secrets, a fifth of them examples."""
     k = F.col("pos") % 3
     secret = F.when(k == 0, F.concat(F.lit("api_key = "), F.repeat(F.lit("Ab1_"), F.lit(6)))).when(k == 1, F.concat(F.lit("id AKIA"), F.repeat(F.lit("A1B2"), F.lit(4)))).otherwise(F.concat(F.lit("ghp_"), F.repeat(F.lit("a1B2c3"), F.lit(6))))
     text = F.concat(F.lit("head\n"), F.when(F.col("pos") % 5 == 0, "Example: ").otherwise(""), secret, F.lit("\n"), F.coalesce("content", F.lit("")))
-    # A block is a row of documents for each of its labels; these join the few hits, not the texts.
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("content"))
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("pos"))
-    lines = docs.select("pos", F.posexplode(T.lines(text)).alias("at", "line"))
-    kinds = F.array(*(F.struct(F.lit(n).alias("name"), F.regexp_extract("line", p, 0).alias("found")) for n, p in T.SECRETS.items()))
-    veto = lambda m: F.lower("line").contains("example") | F.exists(F.array(*map(F.lit, T.FALSE_SECRETS)), lambda w: F.contains(F.lower(m), w))
-    hits = lines.withColumn("m", F.explode(F.filter(kinds, lambda x: x["found"] != ""))).where(~veto(F.col("m.found")))
-    return hits.select("pos", (F.col("at") + 1).cast("int").alias("line_no"), F.col("m.name").alias("secret")).join(labels, "pos", "left")
+    return blocks(spark, d).select("pos", F.explode(T.secret_hits(text)).alias("h")).select("pos", "h.line_no", "h.secret", "h.masked")
+
 
+_REDACTED = "content || ' api_key = ' || repeat('Ab1_', 6) || ' tail'"
+for _n, _q in _QUOTED:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_q}', '[REDACTED:{_n}]', 'g')"
 
-@register("redact", oracle(f"SELECT pos, left(content, 10) || ' [REDACTED:API Key] tail' AS shown FROM blocks"))
+
+@register("redact", oracle(f"SELECT pos, {_REDACTED} AS shown FROM blocks"))
 def redact(spark, d):
-    text = F.concat(F.left("content", F.lit(10)), F.lit(" api_key = "), F.repeat(F.lit("Ab1_"), F.lit(6)), F.lit(" tail"))
+    text = F.concat("content", F.lit(" api_key = "), F.repeat(F.lit("Ab1_"), F.lit(6)), F.lit(" tail"))
     return blocks(spark, d).select("pos", T.redact(text).alias("shown"))
 
 
 _NORM = "list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({c}, ',', '')), '\\b(a|an|the|and)\\b', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda t: t <> '')"
 
 
-@register("token_f1", oracle(f"""WITH q AS (SELECT item_id, {_NORM.format(c="regexp_replace(b.text, '[^ -~]', '', 'g')")} AS g, {_NORM.format(c="regexp_replace(array_to_string(string_split(d.text, ' ')[1:20], ' '), '[^ -~]', '', 'g')")} AS p FROM benchmark b JOIN documents d ON doc_id = item_id), s AS (SELECT *, len(list_intersect(p, g)) AS sh FROM q)
+@register("token_f1", oracle(f"""WITH q AS (SELECT item_id, {_NORM.format(c="regexp_replace(b.text, '[^ -~]', '', 'g')")} AS g, {_NORM.format(c="regexp_replace(d.text, '[^ -~]', '', 'g')")} AS p FROM benchmark b JOIN documents d ON doc_id = item_id), s AS (SELECT *, len(list_intersect(p, g)) AS sh FROM q)
   SELECT item_id, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CASE WHEN len(p) = len(g) THEN 1.0e0 ELSE 0 END WHEN sh = 0 THEN 0 ELSE 2.0e0 * (sh / len(p)) * (sh / len(g)) / (sh / len(p) + sh / len(g)) END, 6) AS f1 FROM s"""))
 def token_f1(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("prediction"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("prediction"))
     qa = table(spark, d, "benchmark").join(docs, "item_id")
     return qa.select("item_id", F.round(T.token_f1(F.regexp_replace("prediction", "[^ -~]", ""), F.regexp_replace("text", "[^ -~]", "")), 6).alias("f1"))
 
@@ -164,12 +166,3 @@ def fuzzy_ranked(spark, d):
     from quillspark.sources.views import packs
 
     return fuzzy_match(packs(spark, d), "name", "rdw").orderBy(F.desc("score"), "id").limit(20).select("id", "name", "score")
-
-
-@register("answer_stub")
-def answer_stub(spark, d):
-    """Retrieval half of question answering with the default providers, which need no network."""
-    from quillspark.operators.providers import ask
-    from quillspark.sources.views import chunks
-
-    return ask(chunks(spark, d), "the tion and of", now())

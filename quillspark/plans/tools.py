@@ -33,9 +33,9 @@ def issues_by_severity(spark, d):
     return Q.issues(Q.project_figures(blocks(spark, d), now())).groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("project").alias("projects"))
 
 
-@register("tool_observations", oracle("SELECT session_id, pos, tool, CASE WHEN tool = 'Bash' THEN left(input, 5) ELSE 'f' || pos END AS target FROM tool_uses WHERE tool IN ('Bash', 'Edit')"))
+@register("tool_observations", oracle("SELECT session_id, pos, tool, CASE WHEN tool = 'Bash' THEN input ELSE 'f' || pos END AS target FROM tool_uses WHERE tool IN ('Bash', 'Edit')"))
 def tool_observations(spark, d):
-    data = F.when(F.col("tool") == "Bash", F.to_json(F.struct(F.left("input", F.lit(5)).alias("command")))).otherwise(F.to_json(F.struct(F.concat(F.lit("f"), F.col("pos").cast("string")).alias("file_path"))))
+    data = F.when(F.col("tool") == "Bash", F.to_json(F.struct(F.col("input").alias("command")))).otherwise(F.to_json(F.struct(F.concat(F.lit("f"), F.col("pos").cast("string")).alias("file_path"))))
     return A.tool_observations(tool_uses(spark, d).withColumn("input", data)).select("session_id", "pos", "tool", "target")
 
 
@@ -83,16 +83,9 @@ def recall(spark, d):
     return A.recall(contexts, b, now())
 
 
-@register("inject_fallback", oracle("SELECT 'compact' AS kind, '## Project: p' || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS memory"))
-def inject_fallback(spark, d):
-    hits = blocks(spark, d).where("pos < 0").select("session_id", "category", "content", F.lit(0.5).alias("score"))
-    contexts = spark.createDataFrame([("p", "text")], "project string, context string")
-    return A.inject(hits, contexts, contexts.select("project", F.lit("").alias("preferences")), CATEGORIES, 900)
-
-
-@register("resolve_updates", oracle("""SELECT session_id, content FROM (SELECT session_id, left(content, 20) AS content, pos FROM blocks) WHERE pos % 10 NOT IN (2, 3) UNION ALL SELECT session_id, 'merged' FROM blocks WHERE pos % 10 = 2 UNION ALL SELECT 'n' || pos, 'fresh' FROM blocks WHERE pos % 10 = 0"""))
+@register("resolve_updates", oracle("""SELECT session_id, content FROM (SELECT session_id, content, pos FROM blocks) WHERE pos % 10 NOT IN (2, 3) UNION ALL SELECT session_id, 'merged' FROM blocks WHERE pos % 10 = 2 UNION ALL SELECT 'n' || pos, 'fresh' FROM blocks WHERE pos % 10 = 0"""))
 def resolve_updates(spark, d):
-    b = blocks(spark, d).withColumn("content", F.left("content", F.lit(20)))
+    b = blocks(spark, d)
     new = b.where("pos % 10 < 4").select(F.col("pos").alias("id"), F.lit("fresh").alias("content"))
     k = F.col("pos") % 10
     replies = b.where("pos % 10 < 4").select(F.col("pos").alias("id"), F.when(k == 1, "NOOP").when(k == 2, F.concat(F.lit("UPDATE "), "session_id", F.lit("\nmerged"))).when(k == 3, F.concat(F.lit("DELETE "), "session_id")).alias("reply"))
@@ -104,10 +97,10 @@ def prior_blocks(spark, d):
     return A.prior_blocks(blocks(spark, d), now(), 3).select("session_id")
 
 
-@register("evaluation_report", oracle("SELECT category, count(*) AS n, round(avg((pos % 11) / 10.0e0), 6) AS f1, round(avg(CASE WHEN pos % 11 = 0 THEN 1.0e0 ELSE 0 END), 6) AS not_found FROM blocks GROUP BY GROUPING SETS ((category), ())"))
+@register("evaluation_report", oracle("SELECT category, count(*) AS n, round(avg((pos % 11) / 10.0e0), 6) AS f1, round(avg(CASE WHEN pos % 3 = 0 THEN (pos % 5) / 5.0e0 END), 6) AS judge, round(avg(CASE WHEN pos % 11 = 0 THEN 1.0e0 ELSE 0 END), 6) AS not_found FROM blocks GROUP BY GROUPING SETS ((category), ())"))
 def evaluation_report(spark, d):
-    scored = blocks(spark, d).select("category", ((F.col("pos") % 11) / 10.0).alias("f1"), (F.col("pos") % 11 == 0).alias("missing"))
-    return A.evaluation(scored).select("category", "n", F.round("f1", 6).alias("f1"), F.round("not_found", 6).alias("not_found"))
+    scored = blocks(spark, d).select("category", ((F.col("pos") % 11) / 10.0).alias("f1"), F.when(F.col("pos") % 3 == 0, (F.col("pos") % 5) / 5.0).alias("judge"), (F.col("pos") % 11 == 0).alias("missing"))
+    return A.evaluation(scored).select("category", "n", F.round("f1", 6).alias("f1"), F.round("judge", 6).alias("judge"), F.round("not_found", 6).alias("not_found"))
 
 
 @register("vcs_commit", oracle("SELECT session_id, category FROM blocks WHERE pos % 10 < 3 OR pos % 13 = 0"))
@@ -145,8 +138,8 @@ def graph_tree(spark, d):
     return graph_edges(spark, d).where("src = 2").join(names, "dst").select(F.col("dst").cast("int").alias("id"), "rel_type", "name")
 
 
-@register("snapshot_lines", oracle("SELECT session_id, len(string_split(content, chr(10))) AS lines FROM blocks WHERE pos % 10 < 7 AND category = 'bugs'"))
+@register("snapshot_lines", oracle("SELECT session_id, len(string_split(content, chr(10))) AS lines FROM blocks"))
 def snapshot_lines(spark, d):
-    return blocks(spark, d).where("pos % 10 < 7 AND category = 'bugs'").select("session_id", F.size(T.lines("content")).cast("long").alias("lines"))
+    return blocks(spark, d).select("session_id", F.size(T.lines("content")).cast("long").alias("lines"))
 
 

@@ -59,7 +59,7 @@ def block_diff(spark, d):
     return V.block_diff(a, b)
 
 
-_DOCS = "SELECT pos AS id, content AS old, replace(content, 'the', 'THE') || chr(10) || 'end' AS new FROM blocks WHERE project = 'src3'"
+_DOCS = "SELECT pos AS id, content AS old, replace(content, 'the', 'THE') || chr(10) || 'end' AS new FROM blocks"
 
 
 def _edited(b):
@@ -68,7 +68,7 @@ def _edited(b):
 
 @register("line_set_diff", oracle(f"SELECT id, len(list_filter(list_distinct(string_split(new, chr(10))), lambda v: NOT list_contains(string_split(old, chr(10)), v))) AS added, len(list_filter(list_distinct(string_split(old, chr(10))), lambda v: NOT list_contains(string_split(new, chr(10)), v))) AS removed FROM ({_DOCS})"))
 def line_set_diff(spark, d):
-    return _edited(blocks(spark, d).where("project = 'src3'")).select("id", V.line_sets(F.col("old"), F.col("new")).alias("n")).select("id", F.col("n.added").cast("long").alias("added"), F.col("n.removed").cast("long").alias("removed"))
+    return _edited(blocks(spark, d)).select("id", V.line_sets(F.col("old"), F.col("new")).alias("n")).select("id", F.col("n.added").cast("long").alias("added"), F.col("n.removed").cast("long").alias("removed"))
 
 
 @register("line_diff")

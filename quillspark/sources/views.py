@@ -120,12 +120,12 @@ def tool_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic tool uses in assistant entries: tool by position, ids that repeat."""
     t = turns(spark, sf_dir)
     name = F.element_at(F.array(*map(F.lit, ["Bash", "Read", "Edit", "Grep"])), (F.col("pos") % 4).cast("int") + 1)
-    return t.where("pos % 3 = 1").select("session_id", F.concat(F.lit("t"), (F.col("pos") % 4).cast("string")).alias("id"), "pos", name.alias("tool"), F.substring("text", 1, 40).alias("input"))
+    return t.where("pos % 3 = 1").select("session_id", F.concat(F.lit("t"), (F.col("pos") % 4).cast("string")).alias("id"), "pos", name.alias("tool"), F.col("text").alias("input"))
 
 
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir)
-    return t.where("pos % 2 = 0").select("session_id", F.concat(F.lit("t"), ((F.col("pos") + 3) % 4).cast("string")).alias("id"), "pos", F.substring("text", 1, 30).alias("output"))
+    return t.where("pos % 2 = 0").select("session_id", F.concat(F.lit("t"), ((F.col("pos") + 3) % 4).cast("string")).alias("id"), "pos", F.col("text").alias("output"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +157,8 @@ SQL = {
     "graph_nodes": "SELECT n_nationkey AS id, n_name AS name, 'r' || n_regionkey AS category, n_nationkey / 25.0e0 AS importance FROM nation",
     "boosts": """SELECT CASE pos % 3 WHEN 0 THEN session_id WHEN 1 THEN category || ':' || session_id ELSE project || ':' || session_id END AS key, (pos % 10) / 10.0e0 AS boost FROM blocks WHERE pos % 4 <> 0""",
     "turns": "SELECT conv_id AS session_id, turn AS pos, role, text FROM conversations WHERE role <> 'system'",
-    "tool_uses": """SELECT session_id, 't' || (pos % 4) AS id, pos, (['Bash','Read','Edit','Grep'])[CAST(pos % 4 AS INT) + 1] AS tool, substr(text, 1, 40) AS input FROM turns WHERE pos % 3 = 1""",
-    "tool_results": "SELECT session_id, 't' || ((pos + 3) % 4) AS id, pos, substr(text, 1, 30) AS output FROM turns WHERE pos % 2 = 0",
+    "tool_uses": """SELECT session_id, 't' || (pos % 4) AS id, pos, (['Bash','Read','Edit','Grep'])[CAST(pos % 4 AS INT) + 1] AS tool, text AS input FROM turns WHERE pos % 3 = 1""",
+    "tool_results": "SELECT session_id, 't' || ((pos + 3) % 4) AS id, pos, text AS output FROM turns WHERE pos % 2 = 0",
     "observations": """SELECT event_id, ts, CASE WHEN event_type = 'purchase' THEN 'Edit' ELSE 'Read' END AS tool, 'f' || CAST(json_extract(props, '$.k') AS VARCHAR) AS file, 's' || user_id AS session_id FROM events WHERE event_type IN ('purchase', 'click')""",
     "packs": "SELECT p_partkey AS id, p_name AS name, p_type AS description, string_split(p_name, ' ') AS keywords, [p_brand] AS categories, p_partkey % 4 AS registry FROM part",
 }
