@@ -83,6 +83,115 @@ def best_arm(means: DataFrame) -> DataFrame:
     return means.agg(F.max_by("arm", F.struct("mean", "arm")).alias("arm"), F.max("mean").alias("mean"))
 
 
+def recalled(boosts: DataFrame, ids: DataFrame, rate: float = RATE, reward: float = 0.6) -> DataFrame:
+    """Boosts (id, boost) after one step toward the recall reward for each time an id is recalled; unknown ones begin at 0."""
+    times = ids.groupBy("id").agg(F.count("*").alias("n"))
+    joined = boosts.join(times, "id", "full_outer")
+    first = S.learn(F.coalesce("boost", F.lit(0.0)), F.lit(reward), rate)
+    # After a first, clamped step the others approach the reward geometrically.
+    return joined.select("id", F.when(F.col("n").isNull(), F.col("boost")).otherwise(S.clamp(reward + (first - reward) * F.pow(F.lit(1 - rate), F.col("n") - 1))).alias("boost"))
+
+
+def recall_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Blocks after recalls: of each id (session, or category:session) the first category's block gains an access and strength."""
+    parts = F.split("id", ":", 2)
+    asked = ids.select("id", F.when(F.size(parts) == 2, F.get(parts, F.lit(0))).alias("hint"), F.element_at(parts, -1).alias("session_id")).distinct()
+    places = blocks.select("session_id", "category", "cat_ord", "pos")
+    met = places.join(asked, "session_id").where(F.col("hint").isNull() | (F.col("hint") == F.col("category")))
+    first = met.groupBy("id").agg(F.min(F.struct("cat_ord", "pos")).alias("f")).select(F.col("f.pos").alias("pos"))
+    times = first.groupBy("pos").agg(F.count("*").alias("times"))
+    grown = F.least(F.coalesce("strength", F.lit(1.0)) + 0.3 * F.col("times"), F.lit(5.0))
+    return blocks.join(times, "pos", "left").withColumn("access_count", F.coalesce("times", F.lit(0))).withColumn("strength", F.when(F.col("times") > 0, grown).otherwise(F.col("strength"))).drop("times")
+
+
+def explore(greedy_: DataFrame, share: float = 0.2, seed: int = 0) -> DataFrame:
+    """Each state's action: its best one, or for a share of the states any of ACTIONS; both drawn from a hash of the state and a seed."""
+    draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "state"), F.lit(1_000_000))
+    other = F.element_at(F.array(*map(F.lit, ACTIONS)), (draw(2) % len(ACTIONS)).cast("int") + 1)
+    wild = draw(1) < int(share * 1_000_000)
+    return greedy_.select("state", F.when(wild, other).otherwise(F.col("action")).alias("action"), wild.alias("explored"))
+
+
+def ttl_changes(blocks: DataFrame, boosts: DataFrame, actions: DataFrame, now: Column, categories: tuple[str, ...] = ("decisions", "solutions", "patterns", "bugs", "insights", "questions")) -> DataFrame:
+    """Active blocks whose days to live an action would change: pos, knowledge_id, before, after. Actions are by state, importance/frequency/recency; without any nothing changes."""
+    from quillspark.operators.blocks import active
+
+    rows = active(blocks, now).where(F.col("category").isin(*categories)).join(boosts.select(F.col("id").alias("session_id"), "boost"), "session_id", "left")
+    tier = S.tiers(F.coalesce("boost", F.lit(0.0)), F.col("ts"), now)
+    stated = rows.withColumn("t", tier).withColumn("state", F.concat_ws("/", "t.importance", "t.frequency", "t.recency"))
+    acted = stated.join(actions.select("state", "action"), "state")
+    seconds = S.ttl_seconds(F.col("ttl"))
+    before = F.when(seconds.isNotNull(), F.floor(F.greatest(seconds, F.lit(0)) / 86400))
+    return acted.select("pos", F.concat_ws(":", "category", "session_id").alias("knowledge_id"), before.alias("before"), S.ttl_after(F.col("action"), before).alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def apply_ttl(blocks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Blocks with their new times to live, in days; none is permanent."""
+    new = changes.select("pos", F.struct(F.when(F.col("after").isNotNull(), F.concat(F.col("after").cast("string"), F.lit("d"))).alias("ttl")).alias("new"))
+    return blocks.join(new, "pos", "left").withColumn("ttl", F.when(F.col("new").isNotNull(), F.col("new.ttl")).otherwise(F.col("ttl"))).drop("new")
+
+
+def suggestions(sessions: Column, converged_: Column, rate: Column, adaptations: Column, exploration: Column) -> Column:
+    """What a learner's figures suggest."""
+    found = F.array(
+        F.when((sessions > 100) & ~converged_, "not_converging"),
+        F.when((rate < 0.5) & (adaptations > 5), "low_success"),
+        F.when(converged_ & (exploration > 0.1), "reduce_exploration"),
+    )
+    return F.array_compact(found)
+
+
+def report(history: DataFrame, boosts: DataFrame, adaptations: DataFrame, exploration: float, most: int = 5) -> DataFrame:
+    """One row: first and last health and their difference, the strongest boosts, successes, suggestions."""
+    figures = dashboard(history).crossJoin(F.broadcast(converged(history).select("converged")))
+    top = boosts.orderBy(F.desc("boost"), "id").limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("boost")).alias("b"), "id"))), lambda x: x["id"]), ",").alias("top"))
+    done = adaptations.agg(F.count("*").alias("adaptations"), F.count_if(F.col("improvement") > 0).alias("successes"), F.coalesce(F.avg((F.col("improvement") > 0).cast("double")), F.lit(0.0)).alias("rate"))
+    rows = figures.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(done))
+    return rows.withColumn("suggestions", F.array_join(suggestions(F.col("n"), F.col("converged"), F.col("rate"), F.col("adaptations"), F.lit(exploration)), ","))
+
+
+def feedback(boosts: DataFrame, given: DataFrame, rate: float = RATE) -> DataFrame:
+    """Boosts after explicit feedback (id, useful, pos): steps toward 1 or -0.2, in order; distinct runs only are gathered."""
+    runs = given.withColumn("reward", F.when(F.col("useful"), 1.0).otherwise(-0.2))
+    order = Window.partitionBy("id").orderBy("pos")
+    runs = runs.withColumn("fresh", F.coalesce((F.col("reward") != F.lag("reward").over(order)).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(order))
+    steps = runs.groupBy("id", "run", "reward").agg(F.count("*").alias("n"))
+    listed = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "reward", "n"))).alias("steps"))
+
+    def step(value: Column, s: Column) -> Column:
+        target, first = S.clamp(s["reward"]), S.learn(value, s["reward"], rate)
+        # Toward -0.2 the value falls geometrically until the lower bound holds it.
+        low = s["reward"] + (value - s["reward"]) * F.pow(F.lit(1 - rate), s["n"])
+        return F.when(s["reward"] < 0.1, F.greatest(low, F.lit(0.1))).otherwise(S.clamp(target + (first - target) * F.pow(F.lit(1 - rate), s["n"] - 1)))
+
+    joined = boosts.join(listed, "id", "full_outer")
+    value = F.coalesce("boost", F.lit(0.0))
+    return joined.select("id", F.when(F.col("steps").isNull(), value).otherwise(F.aggregate("steps", value, step)).alias("boost"))
+
+
+def reset(boosts: DataFrame) -> DataFrame:
+    """No boosts: what is learned is dropped, histories stay."""
+    return boosts.limit(0)
+
+
+def simulate_recall(spark, n: int) -> DataFrame:
+    """Recalls of five patterns in turn."""
+    i = F.col("id")
+    return spark.range(n).select(i.alias("seq"), F.concat(F.lit("pattern-"), (i % 5).cast("string")).alias("query"), F.lit("Recall").alias("event_type"), F.lit("patterns").alias("category"), F.concat(F.lit("sim-"), i.cast("string")).alias("session_id"), F.lit(3).alias("results"))
+
+
+def simulate_usage(spark, n: int) -> DataFrame:
+    """Mixed usage: kinds modulo 3, queries modulo 10, categories modulo 2, results modulo 5."""
+    i = F.col("id")
+    return spark.range(n).select(i.alias("seq"), F.concat(F.lit("query-"), (i % 10).cast("string")).alias("query"), F.when(i % 3 == 0, "Recall").when(i % 3 == 1, "Search").otherwise("Lookup").alias("event_type"), F.when(i % 2 == 0, "patterns").otherwise("decisions").alias("category"), F.concat(F.lit("sim-"), i.cast("string")).alias("session_id"), (i % 5 + 1).cast("int").alias("results"))
+
+
+def simulate_frequent(spark, knowledge_id: str, n: int) -> DataFrame:
+    """Recalls of one piece of knowledge over and over."""
+    i = F.col("id")
+    return spark.range(n).select(i.alias("seq"), F.lit(knowledge_id).alias("query"), F.lit("Recall").alias("event_type"), F.lit("patterns").alias("category"), F.concat(F.lit("high-freq-"), i.cast("string")).alias("session_id"), F.lit(1).alias("results"))
+
+
 def converged(history: DataFrame, n: int = 10, below: float = 10.0) -> DataFrame:
     """Whether the population variance of the last n healths is small; false for fewer."""
     last = history.orderBy(F.desc("seq")).limit(n)

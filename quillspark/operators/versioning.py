@@ -19,17 +19,29 @@ def content_hashes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("session_id").agg(F.substring(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256), 1, 16).alias("hash"))
 
 
-def commit_id(hashes: DataFrame, buckets: int = 256) -> DataFrame:
-    """A commit's id: 8 hex digits of sha256 over bucket digests of sorted id:hash lines.
+def commit_id(hashes: DataFrame) -> DataFrame:
+    """A commit's id by a tree: 8 hex digits of sha256 over the digests of 256 buckets, each over those of 256 smaller ones of sorted id:hash lines.
 
-    Lines are digested by bucket first, so that no task holds all lines of a
-    large snapshot; a bucket is a range of the id's hash.
+    A bucket is a range of the id's hash, so a task holds a 65,536th of the
+    lines of a snapshot, then 256 digests.
     """
-    line = F.concat_ws(":", "session_id", "hash")
-    bucket = F.conv(F.substring(F.sha2("session_id", 256), 1, 2), 16, 10).cast("int") % buckets
-    parts = hashes.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "digest")))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(ordered, lambda x: x["digest"]), "\n"), 256), 1, 8).alias("commit_id"))
+    fold = lambda rows, key, line: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, line))), lambda x: x["line"]), "\n"), 256)
+    line = F.concat_ws(":", "session_id", "hash").alias("line")
+    place = F.substring(F.sha2("session_id", 256), 1, 4)
+    leaves = hashes.select(place.alias("place"), line).groupBy("place").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("line"))
+    middle = leaves.groupBy(F.substring("place", 1, 2).alias("part")).agg(fold(leaves, F.col("place"), F.col("line")).alias("line"))
+    return middle.agg(F.substring(fold(middle, F.col("part"), F.col("line")), 1, 8).alias("commit_id"))
+
+
+def listed_commit_id(hashes: DataFrame) -> str:
+    """A commit's id by the list: 8 hex digits of sha256 over all sorted id:hash lines. Spark sorts; the driver reads the lines one after another and holds none."""
+    import hashlib
+
+    digest, first = hashlib.sha256(), True
+    for row in hashes.select(F.concat_ws(":", "session_id", "hash").alias("line")).orderBy("line").toLocalIterator():
+        digest.update((row["line"] if first else f"\n{row['line']}").encode())
+        first = False
+    return digest.hexdigest()[:8]
 
 
 def log(commits: DataFrame, start: str, limit: int, grep: str | None = None, most: int = 64) -> DataFrame:
@@ -140,3 +152,32 @@ def first_packs(packs: DataFrame) -> DataFrame:
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that a manifest doesn't hold with the same hash."""
     return files.join(manifest, ["path", "sha256"], "left_anti")
+
+
+def register_diff(spark) -> None:
+    """SQL's table function line_diff(old, new): line_num, diff_type, old, new."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="line_num int, diff_type string, old string, new string")
+    class LineDiff:
+        def eval(self, old: str, new: str):
+            import difflib
+
+            a, b = (old or "").split("\n"), (new or "").split("\n")
+            for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+                if tag != "equal":
+                    for k in range(max(i2 - i1, j2 - j1)):
+                        x, y = (a[i1 + k] if i1 + k < i2 else None), (b[j1 + k] if j1 + k < j2 else None)
+                        yield (j1 if y is not None else i1) + k + 1, "modified" if x is not None and y is not None else "added" if x is None else "removed", x, y
+
+    spark.udtf.register("line_diff", LineDiff)
+
+
+def merged_changes(changes: DataFrame) -> DataFrame:
+    """A line diff's deletions and insertions (id, seq, kind, text) in order, a deletion with the insertion right behind it as one modification: id, seq, kind, old, new."""
+    order = Window.partitionBy("id").orderBy("seq")
+    near = changes.withColumn("before", F.lag("kind").over(order)).withColumn("behind", F.lead("kind").over(order)).withColumn("next", F.lead("text").over(order))
+    opens = (F.col("kind") == "removed") & (F.coalesce("behind", F.lit("")) == "added")
+    taken = (F.col("kind") == "added") & (F.coalesce("before", F.lit("")) == "removed")
+    rows = near.where(~taken)
+    return rows.select("id", "seq", F.when(opens, "modified").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "removed", F.col("text")).alias("old"), F.when(opens, F.col("next")).when(F.col("kind") == "added", F.col("text")).alias("new"))

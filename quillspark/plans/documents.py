@@ -101,8 +101,7 @@ def graph_json(spark, d):
 
 
 def _place(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillspark"
-    return f"{base.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}"
+    return f"{stores.scratch(spark)}/stores/{name}-{uuid.uuid4().hex}"
 
 
 @register("sink_events", oracle("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM usage_events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1"))

@@ -159,10 +159,3 @@ def fuzzy_predicate(spark, d):
     from quillspark.sources.views import packs
 
     return fuzzy_match(packs(spark, d), "name", "rdw").select("id", "name")
-
-
-@register("fuzzy_ranked")
-def fuzzy_ranked(spark, d):
-    from quillspark.sources.views import packs
-
-    return fuzzy_match(packs(spark, d), "name", "rdw").orderBy(F.desc("score"), "id").limit(20).select("id", "name", "score")

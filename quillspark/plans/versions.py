@@ -28,11 +28,36 @@ def vcs_content_hash(spark, d):
     return V.content_hashes(blocks(spark, d))
 
 
-@register("vcs_commit_hash", oracle("WITH h AS (SELECT session_id, substr(sha256(string_agg(category || ':' || content, chr(10) ORDER BY cat_ord)), 1, 16) AS hash FROM blocks GROUP BY 1), p AS (SELECT substr(sha256(session_id), 1, 2) AS bucket, sha256(string_agg(session_id || ':' || hash, chr(10) ORDER BY session_id || ':' || hash)) AS digest FROM h GROUP BY 1) SELECT substr(sha256(string_agg(digest, chr(10) ORDER BY bucket)), 1, 8) AS commit_id FROM p"))
+_HASHES = "h AS (SELECT session_id, substr(sha256(string_agg(category || ':' || content, chr(10) ORDER BY cat_ord)), 1, 16) AS hash FROM blocks GROUP BY 1)"
+
+
+@register("vcs_commit_hash", oracle(f"WITH {_HASHES}, p AS (SELECT substr(sha256(session_id), 1, 4) AS place, sha256(string_agg(session_id || ':' || hash, chr(10) ORDER BY session_id || ':' || hash)) AS digest FROM h GROUP BY 1), m AS (SELECT substr(place, 1, 2) AS part, sha256(string_agg(digest, chr(10) ORDER BY place)) AS digest FROM p GROUP BY 1) SELECT substr(sha256(string_agg(digest, chr(10) ORDER BY part)), 1, 8) AS commit_id FROM m"))
 def vcs_commit_hash(spark, d):
     return V.commit_id(V.content_hashes(blocks(spark, d)))
 
 
+@register("vcs_listed_hash", oracle(f"WITH {_HASHES} SELECT substr(sha256(string_agg(session_id || ':' || hash, chr(10) ORDER BY session_id || ':' || hash)), 1, 8) AS commit_id FROM h"))
+def vcs_listed_hash(spark, d):
+    """The id over one list of all lines."""
+    return spark.createDataFrame([(V.listed_commit_id(V.content_hashes(blocks(spark, d))),)], "commit_id string")
+
+
+@register("diff_merged", oracle("SELECT pos AS id, 0 AS seq, 'modified' AS kind, content AS old, content || '!' AS new FROM blocks UNION ALL SELECT pos, 2, 'added', NULL, 'more' FROM blocks UNION ALL SELECT pos, 3, 'removed', 'gone', NULL FROM blocks WHERE pos % 2 = 0"))
+def diff_merged(spark, d):
+    """Deletions and insertions of a diff, adjacent ones merged."""
+    change = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    changes = F.array(change(0, "removed", F.col("content")), change(1, "added", F.concat("content", F.lit("!"))), change(2, "added", F.lit("more")), change(3, "removed", F.lit("gone")))
+    rows = blocks(spark, d).select(F.col("pos").alias("id"), F.explode(changes).alias("c")).select("id", "c.*").where("seq < 3 OR id % 2 = 0")
+    return V.merged_changes(rows)
+
+
+@register("diff_function", oracle("SELECT pos AS id, CAST(len(string_split(content, chr(10))) + 1 AS INT) AS line_num, 'added' AS diff_type, 'end' AS new FROM blocks"))
+def diff_function(spark, d):
+    """The line diff as SQL's table function."""
+    V.register_diff(spark)
+    return spark.sql("SELECT b.pos AS id, t.line_num, t.diff_type, t.new FROM {b} b, LATERAL line_diff(b.content, concat(b.content, '\nend')) t", b=blocks(spark, d).select("pos", "content"))
+
+
 @register("vcs_log", oracle("""WITH RECURSIVE c AS (SELECT 'c' || i AS id, CASE WHEN i > 0 THEN 'c' || (i - 1) END AS parent, CASE WHEN i % 3 = 0 THEN 'Fix ' ELSE 'Add ' END || i AS message FROM range(20) t(i)),
   w AS (SELECT 'c15' AS id, 0 AS depth UNION ALL SELECT parent, depth + 1 FROM w JOIN c USING (id) WHERE parent IS NOT NULL) SELECT id, CAST(depth AS INT) AS depth, message FROM w JOIN c USING (id) WHERE contains(lower(message), 'fix') ORDER BY depth LIMIT 4"""))
 def vcs_log(spark, d):

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.sources.markdown import parse_blocks
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of this machine where that is unset and all runs here."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not place and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (place or "/tmp/checkpoints/quillspark").rstrip("/")
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append by UTC day."""
     events.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).write.mode("append").partitionBy("date").parquet(path)
@@ -27,17 +37,38 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def upsert_blocks(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Replace blocks by project, category and session; partitions that ``new`` doesn't name stay as they are.
 
     The merged rows are written beside the store before they replace its
-    partitions, so a failed job leaves the old ones.
+    partitions, so a failed job leaves the old ones; they are deleted then.
     """
     old = spark.read.parquet(path)
     touched = new.select("project", "category").distinct()
-    merged = old.join(F.broadcast(touched), ["project", "category"], "left_semi").join(new.select("project", "category", "session_id"), ["project", "category", "session_id"], "left_anti").unionByName(new.select(*old.columns))
+    merged = old.join(touched, ["project", "category"], "left_semi").join(new.select("project", "category", "session_id"), ["project", "category", "session_id"], "left_anti").unionByName(new.select(*old.columns))
     merged.write.mode("overwrite").parquet(f"{path}.merged")
     spark.read.parquet(f"{path}.merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "category").parquet(path)
+    delete(spark, f"{path}.merged")
+
+
+def save(df: DataFrame, path: str) -> None:
+    """An index, a graph's nodes or edges, a manifest or a learner's state, replaced as a whole by Spark's commit."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_or_create(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What save() wrote, or no rows where there is nothing yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_markdown(rows: DataFrame, path: str) -> None:

@@ -193,5 +193,5 @@ def test_secrets_far_into_a_text_are_found(spark, monkeypatch):
     monkeypatch.setattr(texts, "blocks", lambda spark, d: rows)
     monkeypatch.setattr(texts, "table", lambda spark, d, name: rows.withColumnsRenamed({"pos": "doc_id", "content": "text"}))
     monkeypatch.setattr(documents, "blocks", lambda spark, d: rows)
-    assert {tuple(r) for r in texts.secret_scan(spark, "").collect()} == {(5, 5, "AWS Access Key"), (15, 5, "AWS Access Key")}
+    assert {tuple(r) for r in texts.secret_scan(spark, "").collect()} == {(5, 5, "AWS Access Key", "AKI***9Y8"), (15, 5, "AWS Access Key", "AKI***9Y8")}
     assert {tuple(r) for r in documents.pack_gate(spark, "").collect()} == {("p", 1, 1, False), ("q", 1, 0, True)}
