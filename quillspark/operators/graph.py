@@ -1,7 +1,7 @@
 """Graph operators on edge tables: neighbourhoods, paths, hubs, strongly connected components.
 
-Edges have src and dst. Iterations keep the frontier as a table and stop by
-depth or when nothing is new; lineage of long ones is cut by checkpoint().
+Edges have src and dst. Walks of a few hops are one plan; what runs until
+nothing changes writes each round to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.stores import kept
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     e = edges.select("src", "dst")
@@ -48,17 +50,65 @@ def hubs(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return both.withColumn("degree", F.col("in_degree") + F.col("out_degree")).orderBy(F.desc("degree"), "id").limit(n)
 
 
-def components(edges: DataFrame, nodes: int) -> DataFrame:
-    """Strongly connected components of more than one node: reach by path doubling, a component by its least id."""
-    reach = edges.select("src", "dst").distinct()
-    length = 1
-    while length < nodes:
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        reach = reach.unionByName(longer).distinct()
-        length *= 2
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).where("src <> dst")
-    return mutual.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: int, end: int, most: int) -> DataFrame:
+    """One row: the names along a shortest directed path of ``most`` hops at most, of several the first by name; none where there is no path."""
+    names = nodes.select("id", "name")
+    e = edges.select("src", "dst").distinct().join(names.select(F.col("id").alias("dst"), "name"), "dst")
+    seen = names.where(F.col("id") == start).select("id", F.array("name").alias("path"))
+    frontier = seen
+    for _ in range(most):
+        if not seen.where(F.col("id") == end).isEmpty():
+            break
+        step = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.array_append("path", "name").alias("path"))
+        frontier = kept(step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "frontier")
+        seen = seen.unionByName(frontier)
+    return seen.where(F.col("id") == end).select("path", (F.size("path") - 1).alias("hops"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Strongly connected components of more than one node, each by its least id: id, component.
+
+    Nodes without an edge in or out are put aside first. Then least ids pass
+    along the edges until nothing changes, and what reaches such an id within
+    the nodes that carry it is its component; the rest goes round again.
+    """
+    left = kept(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    found = None
+    while True:
+        for _ in range(2):
+            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        left = kept(left, "edges")
+        if left.isEmpty():
+            break
+        colours = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("colour", F.col("id"))
+        while True:
+            new = colours
+            for _ in range(3):
+                passed = new.join(left, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "colour")
+                new = new.unionByName(passed).groupBy("id").agg(F.min("colour").alias("colour"))
+            new = kept(new, "colours")
+            same = new.join(colours, ["id", "colour"], "left_anti").isEmpty()
+            colours = new
+            if same:
+                break
+        within = left.join(colours.select(F.col("id").alias("src"), "colour"), "src").join(colours.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select("src", "dst", "colour")
+        within = kept(within, "within")
+        reach, size = colours.where("id = colour"), 0
+        while True:
+            for _ in range(3):
+                back = reach.join(within.select("src", "dst", F.col("colour").alias("of")), (F.col("id") == F.col("dst")) & (F.col("colour") == F.col("of"))).select(F.col("src").alias("id"), "colour")
+                reach = reach.unionByName(back).distinct()
+            reach = kept(reach, "reach")
+            now = reach.count()
+            if now == size:
+                break
+            size = now
+        found = reach if found is None else found.unionByName(reach)
+        left = left.join(reach.select(F.col("id").alias("src")), "src", "left_anti").join(reach.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+    if found is None:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    several = found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+    return found.join(several, "colour", "left_semi").select("id", F.col("colour").alias("component"))
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -29,7 +29,16 @@ def graph_hubs(spark, d):
 @register("graph_scc", oracle("""WITH RECURSIVE reach AS (SELECT src, dst FROM graph_edges UNION SELECT r.src, e.dst FROM reach r JOIN graph_edges e ON r.dst = e.src)
   SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src"""))
 def graph_scc(spark, d):
-    return G.components(graph_edges(spark, d), 25)
+    return G.components(graph_edges(spark, d))
+
+
+@register("graph_shortest_path", oracle("""WITH RECURSIVE p AS (SELECT 0 AS id, [(SELECT name FROM graph_nodes WHERE id = 0)] AS path, 0 AS hops UNION ALL SELECT n.id, list_append(path, n.name), hops + 1 FROM p JOIN graph_edges e ON e.src = p.id JOIN graph_nodes n ON n.id = e.dst WHERE hops < 8 AND NOT list_contains(path, n.name)),
+  f AS (SELECT t AS target, path, hops, row_number() OVER (PARTITION BY t ORDER BY hops, path) AS nth FROM p JOIN range(1, 6) r(t) ON p.id = t) SELECT target, array_to_string(path, ' > ') AS path, CAST(hops AS INT) AS hops FROM f WHERE nth = 1"""))
+def graph_shortest_path(spark, d):
+    """The names along the shortest ways from one node to five others."""
+    nodes, edges = graph_nodes(spark, d), graph_edges(spark, d)
+    found = [G.shortest_path(nodes, edges, 0, t, 8).select(F.lit(t).cast("long").alias("target"), F.array_join("path", " > ").alias("path"), "hops") for t in range(1, 6)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).unionByName(found[4])
 
 
 @register("graph_edges_valid", oracle("SELECT src, dst, rel_type FROM (SELECT src, dst, rel_type FROM graph_edges UNION ALL SELECT 99, 1, 'dangling' UNION ALL SELECT 1, 99, 'dangling') WHERE src IN (SELECT id FROM graph_nodes) AND dst IN (SELECT id FROM graph_nodes)"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillspark.plans.catalog import register
+from quillspark.sources.stores import scratch
 from quillspark.streaming import streams as S
 
 
@@ -22,7 +23,7 @@ def stream_first_files(spark, d):
 
 @register("stream_importance", "SELECT user_id, count(*) AS n, round((0.6e0 + (least(greatest(0.12e0, 0.1e0), 1.0e0) - 0.6e0) * power(0.8e0, count(*) - 1)) * 0.98e0, 6) AS value FROM events GROUP BY 1")
 def stream_importance(spark, d):
-    return S.drain(S.importance(S.events(spark, d)), "update").withColumn("value", F.round("value", 6))
+    return S.drain(S.importance(S.events(spark, d)), "update", ["user_id"]).withColumn("value", F.round("value", 6))
 
 
 @register("x_session_windows", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
@@ -39,19 +40,50 @@ def x_sliding_counts(spark, d):
 @register("stream_counters", "SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
 def stream_counters(spark, d):
     """Counters kept by foreachBatch, summed over the batches."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillspark"
-    path = f"{base.rstrip('/')}/counters/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/counters/{uuid.uuid4().hex}"
     S.keep_counters(S.events(spark, d), path)
     return spark.read.parquet(path).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-@register("stream_expiry", "SELECT user_id, strftime(max(ts) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS until FROM events GROUP BY 1")
+@register("stream_expiry", "SELECT user_id, strftime(max(ts) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS until FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 36 HOUR < (SELECT max(ts) FROM events)")
 def stream_expiry(spark, d):
-    return S.drain(S.live_until(S.events(spark, d)), "complete").select("user_id", F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"))
+    """Users whose state ran out before the stream's last event."""
+    return S.drain(S.expiring(S.events(spark, d)), "append").select("user_id", F.date_format(F.timestamp_millis("until"), "yyyy-MM-dd HH:mm:ss").alias("until"))
 
 
-@register("stream_distill", "SELECT user_id % 10 AS grp, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 30")
+@register("stream_recent", "SELECT user_id, count(*) AS n, arg_min(event_id, (epoch_ms(ts), event_id)) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS nth FROM events) WHERE nth <= 100 GROUP BY 1")
+def stream_recent(spark, d):
+    return S.drain(S.recent(S.events(spark, d)), "update", ["user_id"])
+
+
+@register("stream_distill", "SELECT user_id % 10 AS grp, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-11') AS n, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-11') AS dropped FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-11') > 30")
 def stream_distill(spark, d):
-    """Groups that have gathered more than a threshold of events."""
-    counted = S.events(spark, d).groupBy((F.col("user_id") % 10).alias("grp")).agg(F.count("*").alias("n"))
-    return S.drain(counted, "complete").where("n > 30")
+    """Groups that have gathered more than a threshold of events, old ones left out."""
+    return S.drain(S.distilled(S.events(spark, d), F.lit("2024-04-10 00:00:00").cast("timestamp")), "complete")
+
+
+@register("stream_ingest", "SELECT 's' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS times FROM documents")
+def stream_ingest(spark, d):
+    """All texts, then all again of which a third has changed: how often each was ingested."""
+    base = f"{scratch(spark)}/ingest/{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name")
+    for part in (0, 1):
+        changed = F.concat("text", F.lit(" changed"))
+        docs.select(name, F.when((F.lit(part) == 1) & (F.col("doc_id") % 3 == 0), changed).otherwise(F.col("text")).alias("text")).coalesce(1).write.parquet(f"{base}/in/part{part}")
+    stream = spark.readStream.schema("name string, text string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")
+    S.ingest_changed(stream, f"{base}/out")
+    return spark.read.parquet(f"{base}/out/texts").groupBy("name").agg(F.count("*").alias("times"))
+
+
+@register("stream_cycle", "SELECT * FROM (SELECT 0 AS place, 'ingest' AS step, 'done' AS state, count(*) AS n FROM events UNION ALL SELECT 1, 'inject', 'ValueError', 0 UNION ALL SELECT 2, 'distill', 'done', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 3, 'doctor', 'done', count(DISTINCT user_id) FROM events)")
+def stream_cycle(spark, d):
+    """The cycle over one batch of events; its second step fails."""
+    path = f"{scratch(spark)}/cycle/{uuid.uuid4().hex}"
+
+    def broken(batch):
+        raise ValueError("no store")
+
+    steps = [("ingest", lambda b: b.count()), ("inject", broken), ("distill", lambda b: b.where("event_type = 'error'").count()), ("doctor", lambda b: b.select("user_id").distinct().count())]
+    S.cycle(S.events(spark, d), steps, path)
+    return spark.read.parquet(path).select("place", "step", "state", "n")

@@ -401,3 +401,26 @@ def fuzzy_ranked(spark, d):
 
     return fuzzy_match(packs(spark, d), "name", "rdw").orderBy(F.desc("score"), "id").limit(20).select("id", "name", "score")
 
+
+
+def _store(spark, d):
+    from quillspark.operators.tools import Store
+    from quillspark.plans.answers import _embedder
+    from quillspark.sources.views import CATEGORIES, graph_edges, graph_nodes, observations
+
+    b = blocks(spark, d)
+    contexts = b.groupBy("project").agg(F.min_by("content", "pos").alias("context"))
+    pick = lambda system, entries: "s4, s9" if system == "choose" else "answer"
+    return Store(b, chunks(spark, d), usage_events(spark, d), graph_nodes(spark, d), graph_edges(spark, d), contexts, observations(spark, d), now(), CATEGORIES, "src0", _embedder(spark, d), pick)
+
+
+@register("tool_dispatch", oracle(f"""SELECT 'index' AS tool, count(*) AS n FROM blocks UNION ALL SELECT 'lookup', count(*) FROM blocks WHERE NOT {EXPIRED} AND contains(lower(content), 'license') UNION ALL SELECT 'projects', count(DISTINCT project) FROM blocks
+  UNION ALL SELECT 'add', count(*) + 1 FROM blocks UNION ALL SELECT 'update', count(*) FROM blocks UNION ALL SELECT 'forget', count(*) FROM blocks WHERE NOT contains(lower(content), 'rights reserved') UNION ALL SELECT 'observations', count(*) FROM observations WHERE tool = 'Edit'
+  UNION ALL SELECT 'ask_recursive', 1 UNION ALL SELECT 'recall', 1 UNION ALL SELECT 'search_semantic', 8"""))
+def tool_dispatch(spark, d):
+    """Tools called by name, and how many rows each gives."""
+    from quillspark.operators.tools import dispatch
+
+    s = _store(spark, d)
+    calls = [("index", {}), ("lookup", {"query": "License"}), ("projects", {}), ("add", {"project": "p", "category": "bugs", "content": "x", "label": "l"}), ("update", {"category": "bugs", "session_id": "s3", "content": "x", "ts_raw": "t"}), ("forget", {"topic": "rights reserved"}), ("observations", {"tool": "Edit"}), ("ask_recursive", {"question": "x"}), ("recall", {"project": "src3"}), ("search_semantic", {"query": "the tion"})]
+    return spark.createDataFrame([(name, dispatch(s, name, given).count()) for name, given in calls], "tool string, n long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,13 @@ def scratch(spark: SparkSession) -> str:
     return (place or "/tmp/checkpoints/quillspark").rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that its lineage is one read."""
+    path = f"{scratch(df.sparkSession)}/rounds/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append by UTC day."""
     events.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).write.mode("append").partitionBy("date").parquet(path)

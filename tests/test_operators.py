@@ -125,7 +125,7 @@ def test_convergence_needs_enough_rows(spark):
 
 def test_graph_with_cycles_and_loops(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (4, 9)], "src long, dst long")
-    assert {(r.id, r.component) for r in graph.components(e, 5).collect()} == {(1, 1), (2, 1)}
+    assert {(r.id, r.component) for r in graph.components(e).collect()} == {(1, 1), (2, 1)}
     starts = spark.createDataFrame([(1,)], "id long")
     assert {(r.id, r.depth) for r in graph.neighbours(e, starts, 2).collect()} == {(2, 1), (3, 2)}
     assert graph.neighbours(e, starts.where("id > 5"), 2).count() == 0
@@ -195,3 +195,106 @@ def test_secrets_far_into_a_text_are_found(spark, monkeypatch):
     monkeypatch.setattr(documents, "blocks", lambda spark, d: rows)
     assert {tuple(r) for r in texts.secret_scan(spark, "").collect()} == {(5, 5, "AWS Access Key", "AKI***9Y8"), (15, 5, "AWS Access Key", "AKI***9Y8")}
     assert {tuple(r) for r in documents.pack_gate(spark, "").collect()} == {("p", 1, 1, False), ("q", 1, 0, True)}
+
+
+def test_components_equal_brute_force(spark):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = {(rng.randint(0, 29), rng.randint(0, 29)) for _ in range(45)}
+        reach = {n: {n} for n in range(30)}
+        for _ in range(30):
+            for a, b in edges:
+                reach[a] |= reach[b]
+        expected = {}
+        for n in range(30):
+            same = [m for m in range(30) if m in reach[n] and n in reach[m]]
+            if len(same) > 1:
+                expected[n] = min(same)
+        got = graph.components(spark.createDataFrame([*edges], "src long, dst long"))
+        assert {r.id: r.component for r in got.collect()} == expected
+
+
+def test_shortest_path_of_none(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    assert graph.shortest_path(nodes, edges, 1, 3, 5).count() == 0
+    assert graph.shortest_path(nodes, edges, 1, 1, 5).first()["path"] == ["a"]
+
+
+def test_cosine_pairs_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 8))
+    x = centres[rng.integers(0, 20, 400)] + rng.normal(size=(400, 8)) * 0.3
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, str(i % 3), v.tolist()) for i, v in enumerate(x)], "id long, category string, embedding array<double>")
+    for by in (None, "category"):
+        expected = {(i, j) for i in range(400) for j in range(i + 1, 400) if unit[i] @ unit[j] >= 0.9 and (by is None or i % 3 == j % 3)}
+        assert {(r.a, r.b) for r in blocks.supersedable(df, 0.9, 2.0, by).collect()} == expected
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices([f"word{i:03d}" for i in range(60)], k=rng.randint(1, 25))) for _ in range(80)]
+    texts += [t.replace("word00", "xxxxx0") for t in texts[:30]] + texts[:5] + ["<!-- superseded: old -->\n" + texts[7], "tiny a b"]
+    sets = [{w for w in t.replace("<!-- superseded: old -->\n", "superseded ").split() if len(w) > 4} for t in texts]
+    expected = {j for j in range(len(texts)) if len(sets[j]) >= 5 for i in range(j) if sets[i] and "superseded" not in texts[i] and len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) > 0.75}
+    got = blocks.near_duplicate(spark.createDataFrame([*enumerate(texts)], "id long, content string"))
+    assert {r.new_id for r in got.collect()} == expected
+
+
+def test_recalls_take_several_steps(spark):
+    value = 0.0
+    for _ in range(5):
+        value = min(max(value + (0.6 - value) * 0.2, 0.1), 1.0)
+    got = learning.recalled(spark.createDataFrame([("k", 0.3)], "id string, boost double"), spark.createDataFrame([("n",)] * 5, "id string"))
+    assert {r.id: round(r.boost, 9) for r in got.collect()} == {"k": 0.3, "n": round(value, 9)}
+
+
+def test_branches_refuse(spark):
+    from quillspark.operators import upkeep
+
+    branches = spark.createDataFrame([("main", "a1")], "branch string, commit_id string")
+    for name in ("a/b", "a b", "main", ""):
+        with pytest.raises(ValueError):
+            upkeep.create_branch(branches, name, "a1")
+    for name in ("main", "none"):
+        with pytest.raises(ValueError):
+            upkeep.delete_branch(branches, name, "main")
+
+
+def test_requests_are_served(spark):
+    import json
+
+    from quillspark.operators import tools
+    from quillspark.plans import upkeep
+
+    store = upkeep._store(spark, "/root/testdata/sf0.001")
+    call = lambda name, **given: json.dumps({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": given}})
+    replies = [json.loads(r) for r in tools.serve(store, ['{"id": 0, "method": "tools/list"}', call("projects"), call("none"), "junk", call("ask", question="the tion"), call("analytics"), call("graph_query", concept="nation_3"), call("status"), call("synthesize", project="src3"), call("learned"), call("ask_hybrid", question="the tion"), call("timeline", session_id="s3"), call("search", query="licensed"), call("forget", expired=True), call("forget_stale"), call("reflect", project="src3", text="x", day="2024-02-01")])]
+    assert len(replies[0]["result"]["tools"]) == 21 and replies[1]["result"]["content"]
+    assert "error" in replies[2] and "error" in replies[3] and not [r for r in replies[4:] if "error" in r]
+
+
+def test_state_outlives_batches(spark, tmp_path):
+    from quillspark.streaming import streams
+
+    rows = [[(1, 10 + i, f"2024-01-0{b + 1} 00:00:{i:02d}") for i in range(30)] + [(2, b, f"2024-01-0{b + 1} 12:00:00")] * (b == 0) for b in range(4)]
+    for b, part in enumerate(rows):
+        spark.createDataFrame(part, "user_id long, event_id long, t string").select("user_id", "event_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/p{b}")
+    stream = lambda: spark.readStream.schema("user_id long, event_id long, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in")
+    recent = {r.user_id: (r.n, r.oldest) for r in streams.drain(streams.recent(stream(), 50), "update", ["user_id"]).collect()}
+    assert recent == {1: (50, 20), 2: (1, 0)}
+    assert [r.user_id for r in streams.drain(streams.expiring(stream(), 36), "append").collect()] == [2]
+    value, n = 0.0, 0
+    for part in rows:
+        for _ in range(30):
+            value = min(max(value + 0.2 * (0.6 - value), 0.1), 1.0)
+        value, n = value * 0.98, n + 30
+    got = {r.user_id: (round(r.value, 9), r.n) for r in streams.drain(streams.importance(stream()), "update", ["user_id"]).collect()}
+    assert got[1] == (round(value, 9), n)
