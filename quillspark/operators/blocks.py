@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.scoring import clamp, confidence_factor, expired, retention
 
-#: Chunks around which vectors are grouped, and parts of a group.
-PIVOTS, SALTS = 64, 4
+#: Chunks around which vectors are grouped.
+PIVOTS = 64
+#: Words looked up beyond those that a prefix filter needs, and as many more that must be found.
+EXTRA = 4
 
 
 def with_expiry(blocks: DataFrame, now: Column) -> DataFrame:
@@ -161,20 +165,23 @@ def near_duplicate(texts: DataFrame, threshold: float = 0.75, least_words: int =
     """Ids of texts of so many words at least to which an earlier text, by id, that isn't superseded has a greater overlap.
 
     Equal word sets are one row. Of two sets that overlap by more than the
-    threshold, the smaller has one of its rarest words - all but so many as the
-    rest could leave it under the threshold - in the larger: only those words
-    are looked up, so a word that all texts hold joins nothing. What is found is
-    verified on the sets.
+    threshold, the smaller has some of its rarest words - the rest alone could
+    not reach the threshold - in the larger: only those words are looked up, so
+    a word that all texts hold joins hardly anything. What shares enough of them
+    is verified on the sets.
     """
     rows = texts.select("id", F.sort_array(T.word_set("content")).alias("words"), (~F.col("content").contains("<!-- superseded")).alias("live")).where(F.size("words") > 0)
     rows = rows.withColumn("key", F.xxhash64("words"))
     sets = rows.groupBy("key").agg(F.first("words").alias("words"), F.min(F.when(F.col("live"), F.col("id"))).alias("first"), F.max("id").alias("last"))
-    posted = sets.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
+    posted = sets.select("key", F.size("words").alias("n"), F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
     rarity = posted.groupBy("word").agg(F.count("*").alias("df"))
     ranked = posted.join(rarity, "word").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
-    probe = F.slice(F.col("ranked"), 1, F.col("n") - F.floor(F.col("n") * threshold).cast("int"))
-    probes = ranked.select(F.col("key").alias("small"), F.col("n").alias("n_small"), F.explode(F.transform(probe, lambda x: x["word"])).alias("word"))
-    pairs = probes.join(posted.withColumnRenamed("key", "large"), "word").where("n >= n_small AND small <> large").select("small", "large").distinct()
+    # The fewest words that a set must share; of its rarest ones so many are looked up that EXTRA + 1 of them, or all it has, must be found.
+    least = F.floor(F.col("n") * threshold) + 1
+    looked = F.least(F.col("n"), F.col("n") - least + 1 + EXTRA)
+    probes = ranked.select(F.col("key").alias("small"), F.col("n").alias("n_small"), (least - F.col("n") + looked).alias("needed"), F.explode(F.slice("ranked", F.lit(1), looked.cast("int"))).alias("w")).select("small", "n_small", "needed", "w.word")
+    met = probes.join(posted.withColumnRenamed("key", "large"), "word").where("n >= n_small AND small <> large")
+    pairs = met.groupBy("small", "large", "needed").agg(F.count("*").alias("hits")).where("hits >= needed").select("small", "large")
     side = lambda name: sets.select(F.col("key").alias(name), F.struct("words", "first", "last").alias(f"{name}_set"))
     met = pairs.join(side("small"), "small").join(side("large"), "large")
     shared = F.size(F.array_intersect("small_set.words", "large_set.words"))
@@ -235,28 +242,28 @@ def supersedable(chunks: DataFrame, low: float, high: float, by: str | None = "c
     """Pairs of chunks of one category (``by`` None: of all) whose cosine lies in a band, in their order.
 
     Chunks are grouped around ``PIVOTS`` of themselves, drawn by hash, at the
-    angle theta of ``low``: a chunk belongs to the cell of its nearest pivot and
-    visits each cell whose nearest pivot might hold a neighbour. Two chunks
-    within theta of each other have angles to any pivot that differ by theta at
-    most, so a pair meets in the cell of its lesser chunk's nearest pivot: no
-    pair is lost, and cells that are far apart never meet. A cell's rows are
-    salted, so none is one task.
+    angle theta of ``low``, which is above 0: a chunk belongs to the cell of its
+    nearest pivot and visits each cell whose nearest pivot might hold a
+    neighbour. Two chunks within theta of each other have angles to any pivot
+    that differ by theta at most, so a pair meets in the cell of its lesser
+    chunk's nearest pivot: no pair is lost, and cells that are far apart never
+    meet. A cell with very many rows is one key of a join, which splits it.
     """
-    from quillspark.functions.scoring import cosine
-
-    rows = chunks.select("id", (F.col(by) if by else F.lit("")).alias("grp"), "embedding")
-    pivots = rows.where(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select(F.col("id").alias("cell"), F.col("embedding").alias("pivot"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    rows = chunks.select("id", (F.col(by) if by else F.lit("")).alias("grp"), "embedding", norm.alias("norm")).where("norm > 0").select("id", "grp", F.size("embedding").alias("dims"), F.transform("embedding", lambda v: v / F.col("norm")).alias("unit"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    pivots = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select(F.col("id").alias("cell"), F.col("unit").alias("pivot"))
     listed = pivots.agg(F.array_sort(F.collect_list(F.struct("cell", "pivot"))).alias("pivots"))  # one row of bounded size
-    angle = lambda p: F.acos(F.greatest(F.least(cosine(F.col("embedding"), p["pivot"]), F.lit(1.0)), F.lit(-1.0)))
+    angle = lambda p: F.when(F.size(p["pivot"]) == F.col("dims"), F.acos(F.greatest(F.least(dot(F.col("unit"), p["pivot"]), F.lit(1.0)), F.lit(-1.0)))).otherwise(math.pi / 2)
     placed = rows.crossJoin(F.broadcast(listed)).withColumn("angles", F.transform("pivots", lambda p: F.struct(angle(p).alias("angle"), p["cell"].alias("cell")))).drop("pivots")
     placed = placed.withColumn("own", F.array_min("angles"))
     # The lesser chunk stays in its cell; the other, within theta of it, is at most 2 theta further from that pivot than from its own.
-    theta = F.acos(F.lit(max(-1.0, min(1.0, low)))) + 1e-6
-    a = placed.select("grp", F.col("own.cell").alias("cell"), F.col("id").alias("a"), F.col("embedding").alias("va"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    theta = math.acos(min(1.0, low)) + 1e-6
+    a = placed.select("grp", "dims", F.col("own.cell").alias("cell"), F.col("id").alias("a"), F.col("unit").alias("va"))
     near = F.filter("angles", lambda x: x["angle"] <= F.col("own.angle") + 2 * theta)
-    b = placed.select("grp", F.explode(near).alias("at"), F.col("id").alias("b"), F.col("embedding").alias("vb")).select("grp", "at.cell", "b", "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    met = a.join(b, ["grp", "cell", "salt"]).where("a < b")
-    return met.withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity").between(low, high)).select("a", "b", "similarity")
+    b = placed.select("grp", "dims", F.explode(near).alias("at"), F.col("id").alias("b"), F.col("unit").alias("vb")).select("grp", "dims", "at.cell", "b", "vb")
+    met = a.join(b, ["grp", "dims", "cell"]).where("a < b")
+    return met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity").between(low, high)).select("a", "b", "similarity")
 
 
 def duplicate_groups(chunks: DataFrame, threshold: float, by: str | None = "category") -> DataFrame:

@@ -59,7 +59,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: int, end: int, most
     for _ in range(most):
         if not seen.where(F.col("id") == end).isEmpty():
             break
-        step = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.array_append("path", "name").alias("path"))
+        step = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.array_append("path", F.col("name")).alias("path"))
         frontier = kept(step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where(F.col("id") == end).select("path", (F.size("path") - 1).alias("hops"))

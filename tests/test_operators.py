@@ -220,6 +220,7 @@ def test_shortest_path_of_none(spark):
     nodes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
     edges = spark.createDataFrame([(1, 2)], "src long, dst long")
     assert graph.shortest_path(nodes, edges, 1, 3, 5).count() == 0
+    assert graph.shortest_path(nodes, edges.union(edges.selectExpr("2L", "3L")), 1, 3, 5).first()["path"] == ["a", "b", "c"]
     assert graph.shortest_path(nodes, edges, 1, 1, 5).first()["path"] == ["a"]
 
 
