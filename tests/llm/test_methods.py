@@ -327,6 +327,27 @@ def test_licenses_without_a_template_are_none(text):
     assert [[m[0] for m in ms] for ms in scanner.scan([f"words before {v} words behind" for v in short.values()])] == [[k] for k in short]
 
 
+def test_fingerprints_find_what_aligning_everywhere_finds():
+    rng = random.Random(9)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    filler = [f"filler{i}" for i in range(500)]
+    texts = []
+    for name, template in licenses.TEMPLATES.items():
+        for dropped in (0, 0.1, 0.4):
+            words = [w for w in template.split() if rng.random() >= dropped]
+            texts.append(" ".join([*rng.choices(filler, k=rng.randint(0, 30)), *words, *rng.choices(filler, k=rng.randint(0, 30))]))
+    for text, matches in zip(texts, scanner.scan(texts), strict=True):
+        words = np.array([h for w in text.split() if (h := licenses._hash(w))], np.uint64)
+        best = 0.0
+        for k, template in enumerate(scanner.words):
+            matched, begin, end = licenses.align(template, words, -len(template), len(words), scanner.bands[k])
+            if end - begin < len(template) + 2 * scanner.bands[k] and scanner._named(k, words[begin : end + 1].tolist()):
+                best = max(best, matched / len(template))
+        if best >= 0.93 or best < licenses.COVERAGE:  # between those a band may be too narrow for all that is left out
+            assert bool(matches) == (best >= licenses.COVERAGE), (best, matches, text)
+        assert not matches or max(m[1] for m in matches) <= best + 1e-9
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
