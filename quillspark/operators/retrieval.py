@@ -90,7 +90,9 @@ def smart_search(chunks: DataFrame, query: list[float], text: str, now: Column,
     meta = chunks.select("id", "session_id", "category", "text", "ts")
     found = dense(chunks, query, 3 * k).join(meta, "id").withColumn("decayed", F.col("score") * decay(F.col("ts"), now))
     tiered = found.withColumn("tier", F.when(F.col("decayed") >= threshold, 1).when(F.col("decayed") >= threshold * RELAXED, 2)).where("tier IS NOT NULL")
-    lexical = bm25(chunks, text, k).join(meta, "id").select("id", "score", "session_id", "category", "text", "ts", F.lit(threshold).alias("decayed"), F.lit(3).alias("tier"))
+    # Words are looked for only where no vector is near enough: the one row that says so is broadcast, and without it this side is empty.
+    none = tiered.agg(F.count("*").alias("near_enough")).where("near_enough = 0")
+    lexical = bm25(chunks.select("id", "text").crossJoin(F.broadcast(none)), text, k).join(meta, "id").select("id", "score", "session_id", "category", "text", "ts", F.lit(threshold).alias("decayed"), F.lit(3).alias("tier"))
     rows = tiered.unionByName(lexical).withColumn("least", F.min("tier").over(Window.partitionBy())).where("tier = least")
     first = F.struct(-F.col("score"), F.col("id"))
     best = F.when(F.col("tier") == 1, F.struct(-F.col("decayed"), -F.col("score"), F.col("id"))).otherwise(F.struct(F.lit(0.0), -F.col("score"), F.col("id")))

@@ -113,9 +113,11 @@ def line_diff(rows: DataFrame) -> DataFrame:
 
 
 def newest_versions(versions: DataFrame, keep: int) -> DataFrame:
-    """The versions of each category past the newest ones: what a cleanup removes."""
+    """The versions of each category past the newest ones: what a cleanup removes. Only the newest are gathered, and their oldest tells the others."""
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("ts"), F.desc("version_id")))
-    return versions.withColumn("rank", rank).where(F.col("rank") > keep).drop("rank")
+    kept = versions.select("category", "ts", "version_id").withColumn("rank", rank).where(F.col("rank") <= keep)
+    oldest = kept.groupBy("category").agg(F.min(F.struct("ts", "version_id")).alias("oldest"))
+    return versions.join(oldest, "category").where(F.struct("ts", "version_id") < F.col("oldest")).drop("oldest")
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
