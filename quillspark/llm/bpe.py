@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Recent, documents, slices, table
+from quillspark.llm.common import Recent, documents, held, slices, table
 
 #: The split pattern of byte-level tokenizers; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -244,14 +244,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def load(path: str) -> ByteBPE:
     """The vocabulary at ``path``, read once in each process."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+    return held(f"bpe {path}", lambda: ByteBPE(path))
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

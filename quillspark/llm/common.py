@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Rows or text bytes that a Python worker handles at once; whole rows only.
 SLICE_ROWS, SLICE_BYTES, BATCH_ROWS = 2_000, 8_000_000, 1_000
 
@@ -88,6 +91,18 @@ def release() -> None:
         trim(0)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], T]) -> T:
+    """What a worker keeps between tasks: one large object, so that those of past stages don't add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text of a documents table, a null text as the empty one; other columns are dropped whatever they are called."""
     small_batches(df.sparkSession)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, release, slices, stored, table, words
+from quillspark.llm.common import documents, held, release, slices, stored, table, words
 from quillspark.llm.graphs import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     idf = spark.sparkContext.broadcast(rarities(total, counts))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sampler = Shingler(idf.value), Sampler()
+        shingler, sampler = Shingler(idf.value), held("sampler", Sampler)
         for batch in slices(batches, "text", rows=512, size=2_000_000):
             texts = batch.column("text").to_pylist()
             sets = [shingler.weighted(w) for w in shingler.words(texts)]

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Recent, documents, slices, table
+from quillspark.llm.common import Recent, documents, held, slices, table
 
 WINDOW, SEPARATOR, MAX_OPEN, SPARE = 4096, 2, 1024, 128
 #: Bytes of text whose chunks are looked up together.
@@ -263,13 +263,8 @@ class SumOfSquares:
             left -= size
 
 
-_LOADED: dict[tuple[str, int], ChunkTokenizer] = {}
-
-
 def tokenizer(path: str, cache: int = CACHE) -> ChunkTokenizer:
-    if (path, cache) not in _LOADED:
-        _LOADED[path, cache] = ChunkTokenizer(path, cache)
-    return _LOADED[path, cache]
+    return held(f"tokenizer {path} {cache}", lambda: ChunkTokenizer(path, cache))
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = SEPARATOR, max_open: int = MAX_OPEN, cache: int = CACHE) -> DataFrame:
@@ -288,18 +283,18 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, separator: int = SEPA
                 columns = [[p[0] for p, _, _ in some], [p[1] for p, _, _ in some], [len(p[2]) // 4 for p, _, _ in some], [p[3] for p, _, _ in some], [n for _, n, _ in some], [o for _, _, o in some]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([p[2] for p, _, _ in some], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        held: list[int | None] = []
+        ids_of: list[int | None] = []
         texts: list[str] = []
 
         def place() -> None:
-            for doc, ids in zip(held, encoder.encode(texts), strict=True):
+            for doc, ids in zip(ids_of, encoder.encode(texts), strict=True):
                 packer.add(doc, ids + end)
-            held.clear()
+            ids_of.clear()
             texts.clear()
 
         size = 0
         for batch in slices(batches, "text"):
-            held += batch.column("doc_id").to_pylist()
+            ids_of += batch.column("doc_id").to_pylist()
             texts += batch.column("text").to_pylist()
             size += batch.column("text").nbytes
             if size >= AT_ONCE:

@@ -1,10 +1,14 @@
 """The pipeline's stages on the small tables, and the registry's SQL."""
 
+import hashlib
+import struct
+import zlib
+
 import pytest
 from tests.oracle import connect, rows
 
 import corpus_pipeline
-from quillspark.llm import registry
+from quillspark.llm import minhash, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +66,59 @@ def test_sql(spark):
 
 def test_every_operator_is_registered():
     assert {q.split("_")[0] for q in registry.queries()} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_contract_columns(spark):
+    """The registered queries' results, each against what its rows must be."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    run = lambda name: registry.queries()[name](spark, SF)
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    got = {r.doc_id: r for r in run("op3_bpe").collect()}
+    assert {*got} == {*texts}
+    for doc, text in texts.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert (got[doc].n_tokens, got[doc].ids_sha256, got[doc].decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    got = {r.doc_id: r for r in run("op4_media").collect()}
+    for doc, text in texts.items():
+        raw = text.encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
+        assert (got[doc].n_bytes, got[doc].payload_bytes, got[doc].payload_sha256, got[doc].tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert got[doc].media_bytes > 0 and len(got[doc].media_sha256) == 64 and got[doc].feature
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    pieces: dict[int, list] = {}
+    for r in run("op2_packing").collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for doc, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        at = 0
+        for r in sorted(pieces[doc], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{r.length}I", *ids[at : at + r.length])))
+            at += r.length
+        assert at == len(ids)
+    assert {r.doc_id for r in run("op8_substrings").collect()} == {*texts} and {r.doc_id for r in run("op10_minhash").collect()} == {*texts}
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    assert {(r.query_id, r["rank"]) for r in run("op9_ann").collect()} == {(i, k) for i in ids if i % 20 == 0 for k in range(1, 1 + min(20, len(ids) - 1))}
+    assert {c for r in run("op6_licenses").limit(5).collect() for c in r.asDict()} <= {"doc_id", "license", "coverage", "begin", "end", "matched"}
+
+
+def test_classes_of_the_table_equal_brute_force(spark):
+    """All pairs of sf0.001's texts by exact weighted Jaccard similarity."""
+    rows_ = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    total, counts = minhash.document_frequencies(spark.createDataFrame(rows_, "doc_id long, text string"))
+    shingler = minhash.Shingler(minhash.rarities(total, counts))
+    sets = [shingler.weighted(w) for w in shingler.words([r.text or "" for r in rows_])]
+    label = {r.doc_id: r.doc_id for r in rows_}
+    for i, a in enumerate(rows_):
+        for j in range(i):
+            b = rows_[j]
+            if label[a.doc_id] != label[b.doc_id] and (a.text == b.text or len(sets[i][0]) and minhash.jaccard(sets[i], sets[j]) >= 0.8):
+                low, high = sorted((label[a.doc_id], label[b.doc_id]))
+                label = {d: low if c == high else c for d, c in label.items()}
+    assert {r.doc_id: r.class_id for r in registry.queries()["op10_minhash"](spark, SF).collect()} == label
