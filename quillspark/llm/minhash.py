@@ -50,6 +50,8 @@ AGREE = 18
 PARTS = 32
 #: Up to so many documents whose texts are asked for go to the tasks that read texts; beyond, texts go to them.
 BROADCAST = 200_000
+#: Characters whose words are hashed at once, as that takes some forty bytes each.
+TOGETHER = 500_000
 _BYTE = np.random.default_rng(13).integers(0, 2**64 - 1, 256, dtype=np.uint64)
 _ODD = (np.random.default_rng(11).integers(0, 2**63, 64 + SAMPLES + ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -66,6 +68,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
     """64-bit hashes of the lower-cased words of texts: a sum over a word's bytes of random values times powers of an odd number, mixed."""
+    found: list[np.ndarray] = []
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > TOGETHER:
+            found += _word_hashes(texts[begin:i])
+            begin, size = i, 0
+        size += len(t)
+    return found + _word_hashes(texts[begin:]) if len(texts) > begin else found
+
+
+def _word_hashes(texts: list[str]) -> list[np.ndarray]:
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     begins, solid = words(joined)
