@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ann, bpe, chat, licenses, lloyd, media, minhash, packing, quality, substrings, wrappers
+from quillspark.llm import ann, bpe, chat, licenses, lloyd, media, minhash, packing, quality, spelling, substrings, toxicity, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_substrings": substrings.op8_substrings,
         "op9_ann": ann.op9_ann,
         "op10_minhash": minhash.op10_minhash,
+        "op11_spelling": spelling.op11_spelling,
         "op12_lloyd": lloyd.op12_lloyd,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op12_lloyd": lloyd.OP12_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op11_spelling": spelling.OP11_SQL, "op12_lloyd": lloyd.OP12_SQL}
