@@ -116,6 +116,8 @@ class Model:
         return [x for x in told if x[3] <= ALPHA]
 
     def score(self, evidence: float) -> float:
+        if self.level == -math.inf:
+            return 0.0
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.level + self.slope * math.log1p(evidence)))))
 
 
