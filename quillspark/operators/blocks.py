@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.scoring import clamp, confidence_factor, expired, retention
+from quillspark.operators import similar
 
-#: Chunks around which vectors are grouped.
-PIVOTS = 64
 #: Words looked up beyond those that a prefix filter needs, and as many more that must be found.
 EXTRA = 4
 
@@ -239,36 +236,13 @@ def preferences(lines: DataFrame, shown: int = 6) -> DataFrame:
 
 
 def supersedable(chunks: DataFrame, low: float, high: float, by: str | None = "category") -> DataFrame:
-    """Pairs of chunks of one category (``by`` None: of all) whose cosine lies in a band, in their order.
-
-    Chunks are grouped around ``PIVOTS`` of themselves, drawn by hash, at the
-    angle theta of ``low``, which is above 0: a chunk belongs to the cell of its
-    nearest pivot and visits each cell whose nearest pivot might hold a
-    neighbour. Two chunks within theta of each other have angles to any pivot
-    that differ by theta at most, so a pair meets in the cell of its lesser
-    chunk's nearest pivot: no pair is lost, and cells that are far apart never
-    meet. A cell with very many rows is one key of a join, which splits it.
-    """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
-    rows = chunks.select("id", (F.col(by) if by else F.lit("")).alias("grp"), "embedding", norm.alias("norm")).where("norm > 0").select("id", "grp", F.size("embedding").alias("dims"), F.transform("embedding", lambda v: v / F.col("norm")).alias("unit"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    pivots = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select(F.col("id").alias("cell"), F.col("unit").alias("pivot"))
-    listed = pivots.agg(F.array_sort(F.collect_list(F.struct("cell", "pivot"))).alias("pivots"))  # one row of bounded size
-    angle = lambda p: F.when(F.size(p["pivot"]) == F.col("dims"), F.acos(F.greatest(F.least(dot(F.col("unit"), p["pivot"]), F.lit(1.0)), F.lit(-1.0)))).otherwise(math.pi / 2)
-    placed = rows.crossJoin(F.broadcast(listed)).withColumn("angles", F.transform("pivots", lambda p: F.struct(angle(p).alias("angle"), p["cell"].alias("cell")))).drop("pivots")
-    placed = placed.withColumn("own", F.array_min("angles"))
-    # The lesser chunk stays in its cell; the other, within theta of it, is at most 2 theta further from that pivot than from its own.
-    theta = math.acos(min(1.0, low)) + 1e-6
-    a = placed.select("grp", "dims", F.col("own.cell").alias("cell"), F.col("id").alias("a"), F.col("unit").alias("va"))
-    near = F.filter("angles", lambda x: x["angle"] <= F.col("own.angle") + 2 * theta)
-    b = placed.select("grp", "dims", F.explode(near).alias("at"), F.col("id").alias("b"), F.col("unit").alias("vb")).select("grp", "dims", "at.cell", "b", "vb")
-    met = a.join(b, ["grp", "dims", "cell"]).where("a < b")
-    return met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity").between(low, high)).select("a", "b", "similarity")
+    """Pairs of chunks of one category (``by`` None: of all) whose cosine lies in a band, in their order."""
+    return similar.pairs(chunks, low, high, by)
 
 
 def duplicate_groups(chunks: DataFrame, threshold: float, by: str | None = "category") -> DataFrame:
     """Anchors with the later chunks of their category (``by`` None: of the store) that are at least so similar; groups may overlap."""
-    return supersedable(chunks, threshold, 2.0, by).groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("n"), F.min("b").alias("first"), F.max("b").alias("last"))
+    return similar.groups(chunks, threshold, by)
 
 
 def contradiction_prefilter(new: DataFrame, existing: DataFrame, threshold: float = 0.15) -> DataFrame:

@@ -228,6 +228,12 @@ def duplicate_groups(spark, d):
     return B.duplicate_groups(chunks(spark, d), 0.4, None)
 
 
+@register("duplicates_strict", oracle(f"SELECT a AS anchor, count(*) AS n, min(b) AS first, max(b) AS last FROM ({_COS.format(on='')}) WHERE similarity >= 0.9 GROUP BY 1"))
+def duplicates_strict(spark, d):
+    """The same at the cosine at which duplicates are merged."""
+    return B.duplicate_groups(chunks(spark, d), 0.9, None)
+
+
 @register("working_sessions", oracle(f"SELECT session_id, string_agg(category, ',' ORDER BY cat_ord) AS categories, arg_min(ts_raw, (cat_ord, pos)) AS first, arg_min(preview, (cat_ord, pos)) AS preview FROM (SELECT session_id, cat_ord, arg_min(category, pos) AS category, arg_min(ts_raw, pos) AS ts_raw, min(pos) AS pos, arg_min({_PREVIEW.format(n=80)}, pos) AS preview FROM blocks GROUP BY 1, 2) GROUP BY 1"))
 def working_sessions(spark, d):
     return B.working_sessions(blocks(spark, d))

@@ -237,6 +237,40 @@ def test_cosine_pairs_equal_brute_force(spark):
         assert {(r.a, r.b) for r in blocks.supersedable(df, 0.9, 2.0, by).collect()} == expected
 
 
+def test_cosine_pairs_of_clusters_visit_few_pairs(spark):
+    import numpy as np
+
+    from quillspark.operators import similar
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(100, 64))
+    x = centres[rng.integers(0, 100, 3000)] + rng.normal(0, 0.4, (3000, 64))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    met = similar.blocks(df, 0.9).groupBy("grp", "dims", "cell", "left", "right").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") > 0).alias("b"))
+    told = met.agg(F.sum(F.col("a") * F.col("b")).alias("visited"), F.sum(F.col("a") + F.col("b")).alias("rows")).first()
+    assert told.visited < 0.1 * 3000**2 / 2 and told.rows < 4 * 3000
+    cosine = unit @ unit.T
+    expected = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(cosine >= 0.9, 1)), strict=True)}
+    assert {(r.a, r.b) for r in similar.pairs(df, 0.9, 2.0).collect()} == expected
+    # Small blocks: a cell is many tasks, the pairs are the same.
+    assert {(r.a, r.b) for r in similar.pairs(df, 0.9, 2.0, pivots=3, block=200).collect()} == expected
+    groups = {r.anchor: (r.n, r.first, r.last) for r in similar.groups(df, 0.9, block=100).collect()}
+    later = {}
+    for i, j in expected:
+        later.setdefault(i, []).append(j)
+    assert groups == {i: (len(js), min(js), max(js)) for i, js in later.items()}
+
+
+def test_cosine_pairs_of_odd_vectors(spark):
+    from quillspark.operators import similar
+
+    odd = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [5.0, 0.0, 0.0]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(odd, "id long, embedding array<double>")
+    assert sorted((r.a, r.b) for r in similar.pairs(df, 0.9, 2.0).collect()) == [(1, 2), (1, 2), (3, 9)]
+    assert similar.pairs(df.limit(0), 0.9, 2.0).collect() == []
+
+
 def test_near_duplicates_equal_brute_force(spark):
     import random
 
