@@ -132,10 +132,10 @@ def redact(spark, d):
     return blocks(spark, d).select("pos", T.redact(text).alias("shown"))
 
 
-_NORM = "list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({c}, ',', '')), '\\b(a|an|the|and)\\b', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda t: t <> '')"
+NORM = "list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({c}, ',', '')), '\\b(a|an|the|and)\\b', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda t: t <> '')"
 
 
-@register("token_f1", oracle(f"""WITH q AS (SELECT item_id, {_NORM.format(c="regexp_replace(b.text, '[^ -~]', '', 'g')")} AS g, {_NORM.format(c="regexp_replace(d.text, '[^ -~]', '', 'g')")} AS p FROM benchmark b JOIN documents d ON doc_id = item_id), s AS (SELECT *, len(list_intersect(p, g)) AS sh FROM q)
+@register("token_f1", oracle(f"""WITH q AS (SELECT item_id, {NORM.format(c="regexp_replace(b.text, '[^ -~]', '', 'g')")} AS g, {NORM.format(c="regexp_replace(d.text, '[^ -~]', '', 'g')")} AS p FROM benchmark b JOIN documents d ON doc_id = item_id), s AS (SELECT *, len(list_intersect(p, g)) AS sh FROM q)
   SELECT item_id, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CASE WHEN len(p) = len(g) THEN 1.0e0 ELSE 0 END WHEN sh = 0 THEN 0 ELSE 2.0e0 * (sh / len(p)) * (sh / len(g)) / (sh / len(p) + sh / len(g)) END, 6) AS f1 FROM s"""))
 def token_f1(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("prediction"))

@@ -333,3 +333,44 @@ def test_state_outlives_batches(spark, tmp_path):
         value, n = value * 0.98, n + 30
     got = {r.user_id: (round(r.value, 9), r.n) for r in streams.drain(streams.importance(stream()), "update", ["user_id"]).collect()}
     assert got[1] == (round(value, 9), n)
+
+
+def test_kept_words_answer_as_single_questions_do_and_skip_postings(spark, tmp_path):
+    import random
+
+    from quillspark.operators import questions
+
+    rng = random.Random(3)
+    topics = [[f"{chr(97 + t)}{w:02d}" for w in range(40)] for t in range(20)]
+    texts = [" ".join(rng.choices(topics[i // 50], k=rng.randint(5, 60)) + rng.choices(["and", "the"], k=5)) for i in range(1000)]
+    chunks = spark.createDataFrame([*enumerate([*texts, "", None])], "id long, text string")
+    questions.build(chunks, str(tmp_path / "index"), per_block=8)
+    index = questions.Words(spark, str(tmp_path / "index"))
+    asked = [(q, " ".join([*rng.choices(topics[q], k=3), "and", "and"])) for q in range(12)] + [(50, "nowhere"), (51, ""), (52, None)]
+    frame = spark.createDataFrame(asked, "qid long, text string")
+    got = {}
+    for r in index.search(frame, 5).collect():
+        got.setdefault(r.qid, []).append((r.id, round(r.score, 6)))
+    for q in (0, 7, 11):
+        assert sorted(got[q]) == sorted((r.id, round(r.score, 6)) for r in retrieval.bm25(chunks.na.fill(""), asked[q][1], 5).collect())
+    assert set(got) == set(range(12))
+    _, _, rest, bounds = index.plan(frame, 5)
+    read = rest.agg(F.sum("n")).first()[0] or 0
+    assert read < 0.8 * bounds.agg(F.sum("n")).first()[0]
+
+
+def test_vectors_of_many_questions(spark):
+    import numpy as np
+
+    from quillspark.operators import questions
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(300, 6)), rng.normal(size=(40, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [1.0]), (302, [0.0] * 6), (303, x[0].tolist())]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(q)), (40, None), (41, [2.0])], "qid long, vector array<double>")
+    cosine = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ np.vstack([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((3, 6)), x[:1] / np.linalg.norm(x[0])]).T, 9)
+    expected = {(i, int(j)) for i in range(40) for j in np.lexsort((np.arange(304), -cosine[i]))[:7]}
+    for most in (4_096, 9):
+        got = {(r.qid, r.id) for r in questions.dense(chunks, asked, 7, most).collect()}
+        assert {g for g in got if g[0] != 41} == expected and (41, 301) in got
