@@ -174,24 +174,6 @@ def reset(boosts: DataFrame) -> DataFrame:
     return boosts.limit(0)
 
 
-def simulate_recall(spark, n: int) -> DataFrame:
-    """Recalls of five patterns in turn."""
-    i = F.col("id")
-    return spark.range(n).select(i.alias("seq"), F.concat(F.lit("pattern-"), (i % 5).cast("string")).alias("query"), F.lit("Recall").alias("event_type"), F.lit("patterns").alias("category"), F.concat(F.lit("sim-"), i.cast("string")).alias("session_id"), F.lit(3).alias("results"))
-
-
-def simulate_usage(spark, n: int) -> DataFrame:
-    """Mixed usage: kinds modulo 3, queries modulo 10, categories modulo 2, results modulo 5."""
-    i = F.col("id")
-    return spark.range(n).select(i.alias("seq"), F.concat(F.lit("query-"), (i % 10).cast("string")).alias("query"), F.when(i % 3 == 0, "Recall").when(i % 3 == 1, "Search").otherwise("Lookup").alias("event_type"), F.when(i % 2 == 0, "patterns").otherwise("decisions").alias("category"), F.concat(F.lit("sim-"), i.cast("string")).alias("session_id"), (i % 5 + 1).cast("int").alias("results"))
-
-
-def simulate_frequent(spark, knowledge_id: str, n: int) -> DataFrame:
-    """Recalls of one piece of knowledge over and over."""
-    i = F.col("id")
-    return spark.range(n).select(i.alias("seq"), F.lit(knowledge_id).alias("query"), F.lit("Recall").alias("event_type"), F.lit("patterns").alias("category"), F.concat(F.lit("high-freq-"), i.cast("string")).alias("session_id"), F.lit(1).alias("results"))
-
-
 def converged(history: DataFrame, n: int = 10, below: float = 10.0) -> DataFrame:
     """Whether the population variance of the last n healths is small; false for fewer."""
     last = history.orderBy(F.desc("seq")).limit(n)
@@ -208,12 +190,6 @@ def preview_changes(boosts: DataFrame, blocks: DataFrame) -> DataFrame:
     return blocks.join(boosts, "session_id").where(F.abs(F.col("boost") - 0.5) > 0.01).select("session_id", F.lit(0.5).alias("before"), S.clamp(F.col("boost")).alias("after"))
 
 
-def simulate_mixed(spark, n: int) -> DataFrame:
-    """Deterministic events: ids by position modulo 10, kinds modulo 3."""
-    i = F.col("id")
-    return spark.range(n).select(i.alias("seq"), F.concat(F.lit("k"), (i % 10).cast("string")).alias("id"), F.when(i % 3 == 0, "Recall").when(i % 3 == 1, "Search").otherwise("Add").alias("event_type"), (i % 2 == 0).alias("success"))
-
-
 def running(history: DataFrame) -> DataFrame:
     """Success share so far, within each group."""
     w = Window.partitionBy("grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -44,24 +44,6 @@ def listed_commit_id(hashes: DataFrame) -> str:
     return digest.hexdigest()[:8]
 
 
-def log(commits: DataFrame, start: str, limit: int, grep: str | None = None, most: int = 64) -> DataFrame:
-    """Commits from ``start`` along parents, up to ``most`` steps and no commit twice; the limit counts those that match."""
-    spark = commits.sparkSession
-    walk = spark.sql(
-        """WITH RECURSIVE walk (id, depth, path) AS (
-             SELECT :start, 0, array(:start) UNION ALL
-             SELECT c.parent, depth + 1, array_append(path, c.parent) FROM walk w JOIN {commits} c ON c.id = w.id
-             WHERE c.parent IS NOT NULL AND NOT array_contains(path, c.parent) AND depth < :most)
-           SELECT id, depth FROM walk""",
-        args={"start": start, "most": most},
-        commits=commits.select("id", "parent"),
-    )
-    out = walk.join(commits, "id")
-    if grep:
-        out = out.where(F.lower("message").contains(grep.lower()))
-    return out.orderBy("depth").limit(limit)
-
-
 def checkout(working: DataFrame, target: DataFrame, committed: DataFrame) -> DataFrame:
     """Rows after a checkout: the snapshot's, and uncommitted ones that it doesn't have."""
     loose = working.join(committed.select("session_id").distinct(), "session_id", "left_anti").join(target.select("category", "session_id").distinct(), ["category", "session_id"], "left_anti")

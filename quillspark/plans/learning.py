@@ -100,14 +100,9 @@ def preview_changes(spark, d):
     return L.preview_changes(boosts(spark, d).withColumnRenamed("key", "session_id"), blocks(spark, d)).withColumn("after", F.round("after", 6))
 
 
-@register("simulate_mixed", oracle("SELECT i AS seq, 'k' || (i % 10) AS id, CASE i % 3 WHEN 0 THEN 'Recall' WHEN 1 THEN 'Search' ELSE 'Add' END AS event_type, i % 2 = 0 AS success FROM range(200) t(i)"))
-def simulate_mixed(spark, d):
-    return L.simulate_mixed(spark, 200)
-
-
-@register("success_share", oracle("SELECT i AS seq, 'k' || (i % 10) AS grp, round(avg(CASE WHEN i % 7 < 4 THEN 1.0e0 ELSE 0 END) OVER (PARTITION BY i % 10 ORDER BY i), 6) AS share FROM range(300) t(i)"))
+@register("success_share", oracle("SELECT event_id AS seq, project AS grp, round(avg(CASE WHEN value > 30 THEN 1.0e0 ELSE 0 END) OVER (PARTITION BY project ORDER BY event_id), 6) AS share FROM usage_events"))
 def success_share(spark, d):
-    h = spark.range(300).select(F.col("id").alias("seq"), F.concat(F.lit("k"), (F.col("id") % 10).cast("string")).alias("grp"), (F.col("id") % 7 < 4).alias("success"))
+    h = usage_events(spark, d).select(F.col("event_id").alias("seq"), F.col("project").alias("grp"), (F.col("value") > 30).alias("success"))
     return L.running(h).select("seq", "grp", F.round("share", 6).alias("share"))
 
 

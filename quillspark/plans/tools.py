@@ -8,12 +8,13 @@ from quillspark.functions import text as T
 from quillspark.operators import assistant as A
 from quillspark.operators import quality as Q
 from quillspark.operators import retrieval as R
+from quillspark.operators import history as H
 from quillspark.plans.catalog import register
 from quillspark.plans.knowledge import EXPIRED
 from quillspark.plans.quality import _FIGURES, _ISSUES
 from quillspark.plans.retrieval import _SCORED
 from quillspark.plans.sessions import _CUT
-from quillspark.sources.views import CATEGORIES, blocks, chunks, graph_edges, now, oracle, query_vector, table, tool_uses, turns
+from quillspark.sources.views import CATEGORIES, blocks, chunks, commits, graph_edges, now, oracle, query_vector, table, tool_uses, turns
 
 
 @register("session_chunks", oracle(f"SELECT session_id, 0 AS part, substr(sha256(content), 1, 16) AS id FROM blocks WHERE NOT {EXPIRED} AND trim(content, ' ') <> '' AND strlen(content) <= 1200 UNION ALL SELECT session_id, 0, substr(sha256(content), 1, 16) FROM blocks WHERE NOT {EXPIRED} AND strlen(content) > 1200"))
@@ -116,13 +117,10 @@ def vcs_show(spark, d):
     return blocks(spark, d).where("pos % 10 < 7").groupBy("category").agg(F.count("*").alias("n"), F.min("session_id").alias("first"))
 
 
-@register("vcs_branches", oracle("SELECT 'b' || i AS branch, CASE WHEN i % 2 = 0 THEN 'c' || i END AS commit_id FROM range(6) t(i)"))
+@register("vcs_branches", oracle("SELECT branch, arg_max(id, seq) AS commit_id FROM commits GROUP BY 1"))
 def vcs_branches(spark, d):
-    """Branches with the commit they name, where it exists."""
-    i = F.col("id")
-    refs = spark.range(6).select(F.concat(F.lit("b"), i.cast("string")).alias("branch"), F.concat(F.lit("c"), i.cast("string")).alias("ref"))
-    commits = spark.range(0, 6, 2).select(F.concat(F.lit("c"), i.cast("string")).alias("ref"), F.concat(F.lit("c"), i.cast("string")).alias("commit_id"))
-    return refs.join(commits, "ref", "left").select("branch", "commit_id")
+    """Branches with their newest commit."""
+    return H.heads(commits(spark, d))
 
 
 @register("consolidation_rewards", oracle("SELECT session_id, CASE WHEN pos % 2 = 0 THEN 0.8e0 ELSE 0.3e0 END AS reward, round(greatest(0, (pos % 7 - 3) / 100.0e0), 6) AS improvement FROM blocks"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring as S
@@ -12,6 +13,7 @@ from quillspark.operators import learning as L
 from quillspark.operators import quality as Q
 from quillspark.operators import sessions as SE
 from quillspark.operators import upkeep as U
+from quillspark.operators import history as H
 from quillspark.plans.catalog import register
 from quillspark.plans.knowledge import EXPIRED
 from quillspark.plans.learning import _TIERS
@@ -19,7 +21,7 @@ from quillspark.plans.quality import _C, _PROJECT, _SCORE
 from quillspark.plans.sessions import _CUT, _TURNS
 from quillspark.plans.texts import _QUOTED
 from quillspark.sources import stores
-from quillspark.sources.views import NOW, blocks, chunks, now, oracle, packs, tool_uses, turns, usage_events
+from quillspark.sources.views import NOW, blocks, chunks, commits, now, oracle, packs, tool_uses, turns, usage_events
 
 
 def _place(spark, name):
@@ -178,8 +180,8 @@ def _versions(spark, d):
 def versions_tracked(spark, d):
     """A version added, then all of its category, newest first."""
     tracked = U.track(_versions(spark, d), "patterns", now(), F.sha2(F.lit("x"), 256), F.lit(1), 7)
-    rows = U.versions_of(tracked, "patterns").select("version_id").collect()
-    return spark.createDataFrame([(r["version_id"], i) for i, r in enumerate(rows, 1)], "version_id string, nth int")
+    nth = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("ts"), F.desc("version_id")))
+    return tracked.where("category = 'patterns'").select("version_id", nth.alias("nth"))
 
 
 @register("outcome_scan", oracle("SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS second, max(event_id) AS id FROM usage_events WHERE event_type = 'Ingest' GROUP BY 1"))
@@ -242,23 +244,25 @@ def commit_additive(spark, d):
     return U.committed(b, b.where("pos % 10 < 3").select("session_id"), picked)
 
 
-@register("commit_history", "SELECT * FROM (VALUES ('a1', NULL, 'first'), ('b2', 'a1', 'second')) t(id, parent, message)")
+_MONTHS = "m AS (SELECT branch, seq // 100 AS seq, substr(sha256(CAST(count(*) FILTER (WHERE message LIKE 'Fix%') AS VARCHAR)), 1, 8) AS id FROM commits GROUP BY 1, 2)"
+
+
+@register("commit_history", oracle(f"WITH {_MONTHS}, p AS (SELECT *, lag(id) OVER (PARTITION BY branch ORDER BY seq) AS parent FROM m) SELECT branch, seq, id, parent FROM p WHERE parent IS NULL OR parent <> id"))
 def commit_history(spark, d):
-    """Two commits; the third would be HEAD again and is refused."""
-    commits, head = spark.createDataFrame([], "id string, parent string, message string, ts string"), None
-    for name, message in (("a1", "first"), ("b2", "second"), ("b2", "third")):
-        commits, head = U.commit(commits, head, name, message, "t"), name
-    return commits.select("id", "parent", "message")
+    """A branch's snapshots, one a hundred orders, as commits: those that equal the head are refused."""
+    fixes = F.count_if(F.startswith("message", F.lit("Fix")))
+    snapshots = commits(spark, d).groupBy("branch", F.floor(F.col("seq") / 100).alias("seq")).agg(F.substring(F.sha2(fixes.cast("string"), 256), 1, 8).alias("id"))
+    return H.committed(snapshots)
 
 
-@register("branch_work", "SELECT * FROM (VALUES ('main', 'a1', 'a1'), ('work', 'b2', 'b2')) t(branch, commit_id, resolved)")
+@register("branch_work", oracle("""WITH h AS (SELECT branch, arg_max(id, seq) AS commit_id FROM commits GROUP BY 1), t AS (SELECT branch AS target FROM h UNION SELECT left(id, 4) FROM commits UNION SELECT 'none'),
+  b AS (SELECT target, count(*) AS n, min(id) AS first FROM t JOIN commits ON starts_with(id, target) WHERE length(target) >= 4 GROUP BY 1)
+  SELECT target, COALESCE(commit_id, CASE WHEN n = 1 THEN first END) AS commit_id FROM t LEFT JOIN h ON branch = target LEFT JOIN b USING (target)"""))
 def branch_work(spark, d):
-    """Branches made and deleted; each resolved by name, the last by the begin of an id."""
-    commits = spark.createDataFrame([("a1",), ("b2",)], "id string")
-    branches = spark.createDataFrame([("main", "a1")], "branch string, commit_id string")
-    branches = U.delete_branch(U.create_branch(U.create_branch(branches, "work", "b2"), "old", "a1"), "old", "main")
-    found = {t: U.resolve_target(branches, commits, t).first()["commit_id"] for t in ("main", "b")}
-    return branches.select("branch", "commit_id", F.when(F.col("branch") == "main", found["main"]).otherwise(found["b"]).alias("resolved"))
+    """Branches' names and the begins of all ids as targets: a name is its branch's head, a begin the only commit that has it."""
+    c = commits(spark, d)
+    targets = H.heads(c).select(F.col("branch").alias("target")).union(c.select(F.left("id", F.lit(4)))).union(spark.range(1).select(F.lit("none"))).distinct()
+    return H.resolved(targets, H.heads(c), c)
 
 
 @register("index_stored", oracle("SELECT count(*) AS n, count(DISTINCT id) AS ids, 0 AS fresh FROM chunks"))
@@ -308,10 +312,10 @@ def recalled_blocks(spark, d):
     return L.recall_blocks(b, ids).select("session_id", "access_count", F.round("strength", 6).alias("strength"))
 
 
-@register("explored_actions", "SELECT 400 AS states, true AS shared, true AS greedy, true AS known")
+@register("explored_actions", oracle("SELECT count(*) AS states, true AS shared, true AS greedy, true AS known FROM blocks"))
 def explored_actions(spark, d):
-    """A fifth of 400 states take any action, the same ones for the same seed; the others their best."""
-    states = spark.range(400).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("state"), F.lit("Extend7d").alias("action"))
+    """A fifth of all sessions take any action, the same ones for the same seed; the others their best."""
+    states = blocks(spark, d).select(F.col("session_id").alias("state"), F.lit("Extend7d").alias("action"))
     taken = L.explore(states, 0.2, 5)
     share = F.avg(F.col("explored").cast("double")).between(0.12, 0.28)
     return taken.agg(F.count("*").alias("states"), share.alias("shared"), F.bool_and(F.col("explored") | (F.col("action") == "Extend7d")).alias("greedy"), F.bool_and(F.col("action").isin(L.ACTIONS)).alias("known"))
@@ -370,21 +374,6 @@ def learning_reset(spark, d):
     return L.reset(blocks(spark, d).select(F.col("session_id").alias("id"), F.lit(0.5).alias("boost")))
 
 
-@register("simulate_recall", "SELECT i AS seq, 'pattern-' || (i % 5) AS query, 'sim-' || i AS session_id, 3 AS results FROM range(100) t(i)")
-def simulate_recall(spark, d):
-    return L.simulate_recall(spark, 100).select("seq", "query", "session_id", "results")
-
-
-@register("simulate_usage", "SELECT i AS seq, 'query-' || (i % 10) AS query, CASE i % 3 WHEN 0 THEN 'Recall' WHEN 1 THEN 'Search' ELSE 'Lookup' END AS event_type, CASE WHEN i % 2 = 0 THEN 'patterns' ELSE 'decisions' END AS category, CAST(i % 5 + 1 AS INT) AS results FROM range(100) t(i)")
-def simulate_usage(spark, d):
-    return L.simulate_usage(spark, 100).select("seq", "query", "event_type", "category", "results")
-
-
-@register("simulate_frequent", "SELECT i AS seq, 'k7' AS query, 'high-freq-' || i AS session_id FROM range(60) t(i)")
-def simulate_frequent(spark, d):
-    return L.simulate_frequent(spark, "k7", 60).select("seq", "query", "session_id")
-
-
 def _fuzzy_sql(pattern: str) -> str:
     """The greedy score of a short pattern, place by place."""
     score = "0"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import history as H
 from quillspark.operators import versioning as V
 from quillspark.plans.catalog import register
-from quillspark.sources.views import CATEGORIES, blocks, oracle, packs, table, usage_events
+from quillspark.sources.views import CATEGORIES, blocks, commits, oracle, packs, table, usage_events
 
 _A = "a AS (SELECT * FROM blocks WHERE pos % 10 < 7)"
 _B = "b AS (SELECT session_id, category, CASE WHEN pos % 11 = 0 THEN upper(content) ELSE content END AS content FROM blocks WHERE pos % 10 > 2)"
@@ -58,12 +59,42 @@ def diff_function(spark, d):
     return spark.sql("SELECT b.pos AS id, t.line_num, t.diff_type, t.new FROM {b} b, LATERAL line_diff(b.content, concat(b.content, '\nend')) t", b=blocks(spark, d).select("pos", "content"))
 
 
-@register("vcs_log", oracle("""WITH RECURSIVE c AS (SELECT 'c' || i AS id, CASE WHEN i > 0 THEN 'c' || (i - 1) END AS parent, CASE WHEN i % 3 = 0 THEN 'Fix ' ELSE 'Add ' END || i AS message FROM range(20) t(i)),
-  w AS (SELECT 'c15' AS id, 0 AS depth UNION ALL SELECT parent, depth + 1 FROM w JOIN c USING (id) WHERE parent IS NOT NULL) SELECT id, CAST(depth AS INT) AS depth, message FROM w JOIN c USING (id) WHERE contains(lower(message), 'fix') ORDER BY depth LIMIT 4"""))
+_WALK = "w AS (SELECT * FROM (SELECT id, parent, 0 AS depth FROM commits ORDER BY seq DESC LIMIT 1) UNION ALL SELECT c.id, c.parent, depth + 1 FROM w JOIN commits c ON c.id = w.parent)"
+
+
+def _newest(commits):
+    return commits.orderBy(F.desc("seq")).first()["id"]
+
+
+@register("vcs_log", oracle(f"WITH RECURSIVE {_WALK} SELECT id, CAST(depth AS INT) AS depth, message FROM w JOIN commits USING (id) WHERE contains(lower(message), 'fix')"))
 def vcs_log(spark, d):
-    i = F.col("id")
-    c = spark.range(20).select(F.concat(F.lit("c"), i.cast("string")).alias("id"), F.when(i > 0, F.concat(F.lit("c"), (i - 1).cast("string"))).alias("parent"), F.concat(F.when(i % 3 == 0, "Fix ").otherwise("Add "), i.cast("string")).alias("message"))
-    return V.log(c, "c15", 4, "fix", 20).select("id", "depth", "message")
+    """The whole history of the newest commit, as far as its messages name a fix."""
+    c = commits(spark, d)
+    return H.Ancestry(c).log(c, _newest(c), None, "fix").select("id", "depth", "message")
+
+
+@register("vcs_log_limited", oracle(f"WITH RECURSIVE {_WALK} SELECT id, CAST(depth AS INT) AS depth, message FROM w JOIN commits USING (id) WHERE contains(lower(message), 'urgent') ORDER BY depth LIMIT 25"))
+def vcs_log_limited(spark, d):
+    c = commits(spark, d)
+    return H.Ancestry(c).log(c, _newest(c), 25, "urgent").select("id", "depth", "message")
+
+
+@register("vcs_depths", oracle("WITH RECURSIVE w AS (SELECT id, id AS root, 0 AS depth FROM commits WHERE parent IS NULL UNION ALL SELECT c.id, root, depth + 1 FROM w JOIN commits c ON c.parent = w.id) SELECT id, root, CAST(depth AS BIGINT) AS depth FROM w"))
+def vcs_depths(spark, d):
+    """Every commit's root and its distance to it."""
+    return H.Ancestry(commits(spark, d)).depths()
+
+
+@register("vcs_merge_bases", oracle("""WITH RECURSIVE n AS (SELECT seq, CAST(substr(parent, 2) AS BIGINT) AS up, CAST(left(message, 3) = 'Fix' AS BIGINT) AS f FROM commits),
+  p AS (SELECT seq AS a, seq - 5 - f AS b FROM n WHERE seq >= 6),
+  w AS (SELECT a, b, a AS x, b AS y FROM p UNION ALL SELECT a, b, CASE WHEN x > y THEN n.up ELSE x END, CASE WHEN x > y THEN y ELSE n.up END FROM w JOIN n ON n.seq = greatest(x, y) WHERE x <> y AND x IS NOT NULL AND y IS NOT NULL)
+  SELECT 'c' || a AS a, 'c' || b AS b, max(CASE WHEN x = y THEN 'c' || x END) AS base FROM w GROUP BY a, b"""))
+def vcs_merge_bases(spark, d):
+    """Of every commit and one five or six before it the nearest common ancestor."""
+    c = commits(spark, d)
+    fix = F.startswith("message", F.lit("Fix")).cast("long")
+    pairs = c.where("seq >= 6").select(F.col("id").alias("a"), F.concat(F.lit("c"), (F.col("seq") - 5 - fix).cast("string")).alias("b"))
+    return H.Ancestry(c).merge_bases(pairs)
 
 
 @register("vcs_checkout_plan", oracle(f"WITH {_A}, {_B}, k AS (SELECT session_id FROM blocks WHERE pos % 2 = 0) SELECT session_id, 'snapshot' AS origin FROM a UNION ALL SELECT session_id, 'uncommitted' FROM b WHERE session_id NOT IN (SELECT session_id FROM k) AND (category, session_id) NOT IN (SELECT category, session_id FROM a)"))

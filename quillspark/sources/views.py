@@ -138,7 +138,18 @@ def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.split("p_name", " ").alias("keywords"), F.array("p_brand").alias("categories"), (F.col("p_partkey") % 4).alias("registry"))
 
 
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit an order, on top of one of the three orders before; a branch a priority."""
+    o = table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey")
+    parent = n - 1 - F.col("o_custkey") % 3
+    message = F.concat(F.when(F.col("o_orderstatus") == "F", "Fix ").otherwise("Add "), F.lower("o_orderpriority"))
+    return o.select(F.concat(F.lit("c"), n.cast("string")).alias("id"), F.when(parent >= 0, F.concat(F.lit("c"), parent.cast("string"))).alias("parent"), message.alias("message"), n.alias("seq"), F.lower(F.regexp_extract("o_orderpriority", "^[0-9]-([A-Z]+)", 1)).alias("branch"))
+
+
 SQL = {
+    "commits": """SELECT 'c' || o_orderkey AS id, CASE WHEN o_orderkey - 1 - o_custkey % 3 >= 0 THEN 'c' || (o_orderkey - 1 - o_custkey % 3) END AS parent,
+        CASE WHEN o_orderstatus = 'F' THEN 'Fix ' ELSE 'Add ' END || lower(o_orderpriority) AS message, o_orderkey AS seq, lower(regexp_extract(o_orderpriority, '^[0-9]-([A-Z]+)', 1)) AS branch FROM orders""",
     "usage_events": """SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'Recall' WHEN 'click' THEN 'Search' WHEN 'purchase' THEN 'Lookup' WHEN 'signup' THEN 'Add' WHEN 'error' THEN 'Ingest' END AS event_type,
         'proj' || (user_id % 10) AS project, 'k' || (CAST(json_extract(props, '$.k') AS BIGINT) % 20) AS query,
         CASE CAST(json_extract(props, '$.k') AS BIGINT) % 4 WHEN 0 THEN 'patterns' WHEN 1 THEN 'decisions' WHEN 2 THEN 'solutions' END AS category,

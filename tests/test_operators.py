@@ -132,9 +132,42 @@ def test_graph_with_cycles_and_loops(spark):
 
 
 def test_log_stops_at_a_cycle(spark):
-    c = spark.createDataFrame([("a", "b", "fix 1"), ("b", "c", "add"), ("c", "a", "fix 2")], "id string, parent string, message string")
-    assert [r.id for r in versioning.log(c, "a", 5).collect()] == ["a", "b", "c"]
-    assert [r.id for r in versioning.log(c, "a", 1, "fix").collect()] == ["a"]
+    from quillspark.operators.history import Ancestry
+
+    c = spark.createDataFrame([("a", "b", "fix 1"), ("b", "c", "add"), ("c", "a", "fix 2"), ("d", "gone", "fix")], "id string, parent string, message string")
+    history = Ancestry(c)
+    assert [r.id for r in history.log(c, "a", 5).collect()] == ["a", "b", "c"]
+    assert [r.id for r in history.log(c, "a", 1, "fix").collect()] == ["a"]
+    assert [r.id for r in history.log(c, "d").collect()] == ["d"] and history.log(c, "gone").collect() == []
+    assert {r.id: (r.root, r.depth) for r in history.depths().collect()} == {"a": (None, None), "b": (None, None), "c": (None, None), "d": ("d", 0)}
+    assert Ancestry(c.limit(0)).depths().collect() == []
+
+
+def test_ancestry_equals_walking(spark):
+    import random
+
+    from quillspark.operators.history import Ancestry
+
+    rng = random.Random(6)
+    parent = {i: (None if i in (0, 700) else rng.randrange(max(0 if i < 700 else 700, i - 4), i)) for i in range(1100)}
+    c = spark.createDataFrame([(f"c{i}", None if p is None else f"c{p}") for i, p in parent.items()], "id string, parent string")
+
+    def way(i):
+        out = []
+        while i is not None:
+            out.append(i)
+            i = parent[i]
+        return out
+
+    history = Ancestry(c)
+    assert {r.id: (r.root, r.depth) for r in history.depths().collect()} == {f"c{i}": (f"c{way(i)[-1]}", len(way(i)) - 1) for i in parent}
+    starts = spark.createDataFrame([("c699",), ("c1099",), ("c0",), ("none",)], "start string")
+    assert {(r.start, r.id, r.distance) for r in history.ancestors(starts).collect()} == {(f"c{s}", f"c{x}", n) for s in (699, 1099, 0) for n, x in enumerate(way(s))}
+    pairs = [(rng.randrange(1100), rng.randrange(1100)) for _ in range(300)] + [(5, 5), (698, 699)]
+    expected = {(f"c{a}", f"c{b}"): next((f"c{x}" for x in way(a) if x in set(way(b))), None) for a, b in pairs}
+    expected["c1", "none"] = None
+    frame = spark.createDataFrame([(f"c{a}", f"c{b}") for a, b in pairs] + [("c1", "none")], "a string, b string")
+    assert {(r.a, r.b): r.base for r in history.merge_bases(frame).collect()} == expected
 
 
 def test_line_diff_kinds(spark):
