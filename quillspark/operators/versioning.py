@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.diff import changes
+
 
 def status(working: DataFrame, head: DataFrame, staged: DataFrame) -> DataFrame:
     """New, removed and staged sessions of a working set against a snapshot."""
@@ -71,29 +73,25 @@ def line_sets(old: Column, new: Column) -> Column:
 
 
 def line_diff(rows: DataFrame) -> DataFrame:
-    """Line by line: id, line_num, diff_type (added, removed, modified), old, new; an Arrow function over difflib's blocks, row by row."""
+    """Line by line: id, line_num, diff_type (added, removed, modified), old, new, of a shortest edit script of each row."""
 
     def work(batches):
-        import difflib
-
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for key, old, new in zip(*(batch.column(c).to_pylist() for c in ("id", "old", "new")), strict=True):
-                a, b = (old or "").split("\n"), (new or "").split("\n")
-                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    if tag == "equal":
-                        continue
-                    for k in range(max(i2 - i1, j2 - j1)):
-                        x, y = (a[i1 + k] if i1 + k < i2 else None), (b[j1 + k] if j1 + k < j2 else None)
-                        out.append((key, (j1 if y is not None else i1) + k + 1, "modified" if x is not None and y is not None else "added" if x is None else "removed", x, y))
+            keys, olds, news = (batch.column(c).to_pylist() for c in ("id", "old", "new"))
+            out = [(key, *change) for key, old, new in zip(keys, olds, news, strict=True) for change in changes(old, new)]
             kinds = [("id", batch.schema.field("id").type), ("line_num", pa.int32()), ("diff_type", pa.string()), ("old", pa.string()), ("new", pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     return rows.select("id", "old", "new").mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, line_num int, diff_type string, old string, new string")
 
 
+def diff_counts(diff: DataFrame) -> DataFrame:
+    """id, and how many lines were added, removed and modified, of a line diff."""
+    return diff.groupBy("id").agg(*(F.count_if(F.col("diff_type") == kind).alias(kind) for kind in ("added", "removed", "modified")))
+
+
 def newest_versions(versions: DataFrame, keep: int) -> DataFrame:
     """The versions of each category past the newest ones: what a cleanup removes. Only the newest are gathered, and their oldest tells the others."""
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("ts"), F.desc("version_id")))
@@ -145,14 +143,7 @@ def register_diff(spark) -> None:
     @udtf(returnType="line_num int, diff_type string, old string, new string")
     class LineDiff:
         def eval(self, old: str, new: str):
-            import difflib
-
-            a, b = (old or "").split("\n"), (new or "").split("\n")
-            for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                if tag != "equal":
-                    for k in range(max(i2 - i1, j2 - j1)):
-                        x, y = (a[i1 + k] if i1 + k < i2 else None), (b[j1 + k] if j1 + k < j2 else None)
-                        yield (j1 if y is not None else i1) + k + 1, "modified" if x is not None and y is not None else "added" if x is None else "removed", x, y
+            yield from changes(old, new)
 
     spark.udtf.register("line_diff", LineDiff)
 

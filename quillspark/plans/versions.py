@@ -133,6 +133,14 @@ def line_diff(spark, d):
     return V.line_diff(_edited(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("content"))))
 
 
+@register("line_diff_counts", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+  SELECT doc_id AS id, 1 AS added, 0 AS removed, count(*) FILTER (WHERE contains(line, 'the')) AS modified FROM l GROUP BY 1""")
+def line_diff_counts(spark, d):
+    """How many lines a shortest script changes: those that the edit touched, and the line behind the last."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    return V.diff_counts(V.line_diff(_edited(rows)))
+
+
 _VERSIONS = "v AS (SELECT 'v' || event_id AS version_id, COALESCE(category, 'none') AS category, ts, event_id FROM usage_events WHERE event_type = 'Ingest')"
 
 

@@ -176,6 +176,41 @@ def test_line_diff_kinds(spark):
     assert got == {(1, 2, "modified"), (1, 4, "added"), (3, 2, "removed")}
 
 
+def test_edit_scripts_are_shortest():
+    import random
+    import time
+
+    from quillspark.functions import diff
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(8)
+    for _ in range(2000):
+        letters = "abcdef"[: rng.randint(1, 6)]
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(0, 18))] for _ in range(2))
+        if rng.random() < 0.4:
+            b = [x for x in a if rng.random() < 0.8] + b[:2]
+        in_a, in_b = diff.kept_lines(a, b)
+        assert [x for x, k in zip(a, in_a, strict=True) if k] == [x for x, k in zip(b, in_b, strict=True) if k]
+        assert in_a.sum() == in_b.sum() == common(a, b)
+        out, i = [], 0
+        for i1, i2, j1, j2 in diff.hunks(a, b):  # the script turns one into the other
+            out += a[i:i1] + b[j1:j2]
+            i = i2
+        assert out + a[i:] == b
+    began = time.perf_counter()
+    diff.kept_lines([f"a{i}" for i in range(4000)], [f"b{i}" for i in range(4000)])
+    long = [f"line {rng.random()}" for _ in range(100_000)]
+    assert diff.kept_lines(long, [*long[:50_000], "new", *long[50_001:], "end"])[0].sum() == 99_999
+    assert time.perf_counter() - began < 20
+
+
 def test_line_budget_keeps_the_first_and_stops(spark):
     rows = [("p", "c", f"s{i}", i, f"2024-01-0{9 - i}", "x\n" * n) for i, n in enumerate([50, 1, 1])]
     b = spark.createDataFrame(rows, "project string, category string, session_id string, pos long, ts_raw string, content string")
