@@ -68,6 +68,11 @@ NEUTRAL_WORDS = frozenset("area bar block bottom box container item left list pa
 MAIN_WORDS = frozenset("article main content post entry story".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+#: Elements of controls and code that stand within a line: they end no block.
+WITHIN = INLINE | frozenset("button label input select textarea svg iframe object script style noscript template meta link".split())
+#: Controls whose words belong to the line that they stand in, if that line has text of its own, and elements that hold lines.
+CONTROLS = frozenset("button label".split())
+LINES = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt td th blockquote pre figcaption".split())
 CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
 #: An opening of one of these ends an open p.
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -438,6 +443,7 @@ def decide(wrapper: list) -> list[int]:
     up = [real[p] if p >= 0 else -1 for p in parent]
     known = [0] * n
     out = [0] * n  # how an element is left out
+    lines = {p for p, x in zip(up, items, strict=True) if x[0] == "#" and p >= 0 and _tag(items[p][0]) in LINES}
     for i, x in enumerate(items):
         if real[i] != i:
             known[i] = known[real[i]] if real[i] >= 0 else 0
@@ -445,7 +451,7 @@ def decide(wrapper: list) -> list[int]:
         above = known[up[i]] if up[i] >= 0 else 0
         if x[0] != "#":
             out[i] = dropped(x[0])
-            if above & (ARTICLE | MAIN | CONTENT) and _tag(x[0]) == "header":
+            if above & (ARTICLE | MAIN | CONTENT) and _tag(x[0]) == "header" or _tag(x[0]) in CONTROLS and up[i] in lines:
                 out[i] = 0
         known[i] = above | (landmark(x[0]) if x[0] != "#" else 0) | (NEVER if out[i] == 2 else 0)
     slots = [i for i, x in enumerate(items) if x[0] == "#"]
@@ -498,12 +504,13 @@ def decide(wrapper: list) -> list[int]:
             differ[parent[i]] += differ[i]
             alike[parent[i]] += alike[i]
             fixed[parent[i]] = fixed[parent[i]] and fixed[i]
+    everywhere = sum(differ[j] for j in range(n) if parent[j] < 0)
     place = [-2] * n  # the innermost place whose items are required down to here
     for i, x in enumerate(items):
         above = place[parent[i]] if parent[i] >= 0 else -1
         place[i] = -2 if x[1] in ("?", "*") else above
-        named = x[0][0] not in "#(" and _NAMES.search(x[0]) is not None and _tag(x[0]) not in INLINE
-        here = sum(differ[j] for j in range(n) if parent[j] < 0) if place[i] == -1 else differ[place[i]] if place[i] >= 0 else 0
+        named = x[0][0] not in "#(" and _NAMES.search(x[0]) is not None and _tag(x[0]) not in INLINE and _tag(x[0]) not in LINES
+        here = everywhere if place[i] == -1 else differ[place[i]] if place[i] >= 0 else 0
         if place[i] != -2 and named and fixed[i] and alike[i] and here:
             known[i] |= BLOCK
         if x[0] != "#" and (landmark(x[0]) or i in least):
@@ -552,14 +559,15 @@ _NOTHING: tuple = ([], [], [])
 def places(wrapper: tuple, top: list, count: int) -> list[int]:
     """What is known of each text of a page, by matching the page's items with its host's wrapper."""
     found = [0] * count
-    work = [(wrapper, [top], 0)]
+    work = [(wrapper, [top], 0, "")]
     while work:
-        (names, groups, held), lists, above = work.pop()
+        (names, groups, held), lists, above, within = work.pop()
         for one in lists:
             items = fold(one)
             if groups:
                 items = regroup(items, groups)
             here = _names(items)
+            line = within in LINES and "#" in here
             match = {i: i for i in range(len(items))} if here == names else dict(common(here, names)) if names else {}
             for i, x in enumerate(items):
                 if i in match:
@@ -567,13 +575,14 @@ def places(wrapper: tuple, top: list, count: int) -> list[int]:
                 else:
                     known, inside = above & ~SAME, _NOTHING
                     if x[0][0] not in "#(":
-                        left = 0 if above & (ARTICLE | MAIN | CONTENT) and _tag(x[0]) == "header" else dropped(x[0])
+                        spared = above & (ARTICLE | MAIN | CONTENT) and _tag(x[0]) == "header" or line and _tag(x[0]) in CONTROLS
+                        left = 0 if spared else dropped(x[0])
                         known |= landmark(x[0]) | (NEVER if left == 2 else WEAK if left else 0)
                 if x[0] == "#":
                     for t in x[3]:
                         found[t] = known
                 else:
-                    work.append((inside, x[2], known))
+                    work.append((inside, x[2], known, within if x[0][0] == "(" else _tag(x[0])))
     return found
 
 
@@ -591,8 +600,13 @@ def extract(page: str, wrapper: tuple = _NOTHING) -> str:
     kinds = (ARTICLE, MAIN, CONTENT)
     for kind in kinds:
         held = sum(w for w, k in zip(weight, known, strict=True) if k & kind)
-        if held and 2 * held >= total and (text := told(kind, NEVER | WEAK | BLOCK)):
-            return text
+        if held and 2 * held >= total:
+            kept = [bool(k & kind) and not k & (NEVER | WEAK | BLOCK) for k in known]
+            if kind == ARTICLE and any(kept):
+                # What its main says before the article is headline and standfirst.
+                kept = [here or i < kept.index(True) and bool(w and k & MAIN) for i, (here, w, k) in enumerate(zip(kept, weight, known, strict=True))]
+            if text := _read(events, kept):
+                return text
     if total and (text := told(LEAST, NEVER | WEAK | BLOCK)):
         return text
     # Texts without weight: links alone, template text alone, or in what is left out otherwise.
@@ -622,7 +636,7 @@ def _read(events: list[tuple[str, str]], kept: list[bool]) -> str:
                 if kept[number]:
                     text.append(value)
                 number += 1
-        elif (tag := _tag(value) if kind == "open" else value) not in INLINE:
+        elif (tag := _tag(value) if kind == "open" else value) not in WITHIN:
             end()
         elif tag == "br" and kind == "open":
             text.append(" ")

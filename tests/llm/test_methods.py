@@ -303,6 +303,29 @@ def test_a_main_with_teaser_cards_keeps_its_text(spark, cards):
     assert all(got[i].startswith(f"Title {i}\n\n{'w' * (40 + i)}") for i in range(5))
 
 
+def test_named_headings_and_signatures_that_all_pages_have_stay(spark):
+    page = "<body><div class='top'>Site of all</div><article><h1>Title {i}</h1><h2 class='wp-heading'>Summary</h2><p>{text}</p><p class='sig'>By the desk.</p></article></body>"
+    pages = [(i, "http://sig.example/", page.format(i=i, text="w" * (40 + i))) for i in range(6)]
+    assert main_texts(spark, pages) == {i: f"Title {i}\n\nSummary\n\n{'w' * (40 + i)}\n\nBy the desk." for i in range(6)}
+
+
+def test_headline_in_main_and_controls_in_prose_stay(spark):
+    page = "<body><main><h1>Headline {i}</h1><p>Standfirst {i}</p><article><p>Press <button>Save</button> to <label>store</label><script>x()</script> {text}</p><div><button>Share</button></div><form><p>Name <label>Mail</label></p></form></article><p>More {i}</p></main></body>"
+    pages = [(i, "http://main.example/", page.format(i=i, text="w" * (80 + i))) for i in range(6)]
+    assert main_texts(spark, pages) == {i: f"Headline {i}\n\nStandfirst {i}\n\nPress Save to store {'w' * (80 + i)}" for i in range(6)}
+    assert wrappers.extract(pages[2][2]) == f"Headline 2\n\nStandfirst 2\n\nPress Save to store {'w' * 82}"
+
+
+def test_rules_of_large_pages_take_linear_time():
+    import time
+
+    page = "<body>" + "".join(f"<div class='a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}'>{i}" for i in range(10_000)) + "</body>"
+    shape, told = wrappers.expression(page)
+    began = time.perf_counter()
+    wrappers.decide(wrappers.parse(shape, told))
+    assert time.perf_counter() - began < 3
+
+
 def test_pages_of_any_depth(spark):
     pages = [(0, "http://a.example/", "<div>" * 20_000 + "deep"), (1, "http://a.example/", "<p>x</p>" + "<font>" * 20_000 + "y"), (2, "http://a.example/", "<ul><li>" * 10_000 + "z"), (3, "http://b.example/", "<font>" * 1200 + "u"), (4, "http://b.example/", "<font>" * 1201 + "v"), (5, "http://b.example/", "".join(f"<p class=c{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}>{i}</p>" for i in range(3000)))]
     got = main_texts(spark, pages)
