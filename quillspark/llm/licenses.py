@@ -182,25 +182,33 @@ def align(template: np.ndarray, words: np.ndarray, first: int, last: int, band:
     """The most words that match in order within the band; and the places of the first and the last.
 
     Cell j of row i stands for word i + first - band + j; scores are the longest
-    common subsequence within the band, ties to the latest begin.
+    common subsequence within the band, ties to the latest begin. A cell is one
+    number (matched, begin, end), so a row is the running maximum of what comes
+    from above and of what matches: a few array operations for any width.
     """
     width = last - first + 2 * band + 1
-    pattern, doc, n = template.tolist(), words, len(words)
-    row = [(0, -(1 << 40), -1)] * (width + 1)  # matched, -begin is not yet known, end
-    top = (0, 0, -1)
-    for i, word in enumerate(pattern):
-        left = (0, -(1 << 40), -1)
-        base = i + first - band
-        for j in range(width):
-            p = base + j
-            cell = max(row[j + 1], left)
-            if 0 <= p < n and doc[p] == word:
-                count, begin, _ = row[j]
-                cell = max(cell, (count + 1, begin if count else p, p))
-            row[j] = left = cell
-        row[width] = (0, -(1 << 40), -1)
-        top = max(top, max(row[:width], key=lambda c: (c[0], c[1], -c[2])), key=lambda c: (c[0], c[1], -c[2]))
-    return top[0], top[1], top[2]
+    low, n = first - band, len(words)
+    size = width + len(template) + 2  # begin and end count from low, from 1 on; 0 is none
+    near = np.zeros(width + len(template), np.uint64)
+    held = slice(max(0, low), min(n, low + len(near)))
+    if held.start < held.stop:
+        near[held.start - low : held.stop - low] = words[held]
+    one = size * size
+    row = np.zeros(width + 1, np.int64)
+    top = (0, 0, 0)
+    for i, word in enumerate(template):
+        cell = row[1:].copy()
+        hit = np.flatnonzero(near[i : i + width] == word)
+        before, place = row[hit], i + hit + 1
+        begin = np.where(before >= one, before // size % size, place)
+        cell[hit] = np.maximum(cell[hit], (before // one + 1) * one + begin * size + place)
+        row[:width] = np.maximum.accumulate(cell)
+        end = row[:width] % size
+        best = int((row[:width] - end + (size - 1 - end)).max())
+        top = max(top, (best // one, best // size % size, -(size - 1 - best % size)))
+    if not top[0]:
+        return 0, 0, -1
+    return top[0], top[1] - 1 + low, -top[2] - 1 + low
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

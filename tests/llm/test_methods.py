@@ -384,6 +384,20 @@ def test_alignment_equals_longest_common_subsequence():
         assert got[0] == table[-1][-1]
 
 
+def test_long_texts_of_notice_words_take_little_time():
+    import time
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    notice = licenses.TEMPLATES["agpl-3.0-notice"]
+    shuffled = notice.split() * 620
+    random.Random(3).shuffle(shuffled)
+    for text in (" ".join(shuffled), " ".join([notice] * 500), "the software is " * 25_000):
+        assert len(text) > 190_000
+        began = time.perf_counter()
+        scanner.scan([text])
+        assert time.perf_counter() - began < 5
+
+
 def test_factorisation_identity():
     machine = quality.Machine()
     rng = np.random.default_rng(0)
