@@ -75,6 +75,8 @@ TEMPLATES = {
     "cc-by-nc-sa-4.0-notice": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "cc-by-nd-4.0-notice": "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
 }
+#: Words that bands side by side may cover at once.
+CELLS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\S+")
 
@@ -164,8 +166,13 @@ class Scanner:
             else:
                 bands.append((k, diagonal, diagonal))
         found = []
+        alike: dict[tuple[int, int], list[int]] = {}  # bands of one template and width are aligned side by side
         for k, first, last in bands:
-            matched, begin, end = align(self.words[k], words, first, last, self.bands[k])
+            alike.setdefault((k, last - first), []).append(first - self.bands[k])
+        told = []
+        for (k, wide), lows in alike.items():
+            told += [(k, *x) for x in zip(*(v.tolist() for v in aligned(self.words[k], words, np.array(lows), wide + 2 * self.bands[k] + 1)), strict=True)]
+        for k, matched, begin, end in told:
             if matched >= COVERAGE * len(self.words[k]) and self._named(k, words[begin : end + 1].tolist()):
                 found.append((k, matched / len(self.words[k]), begin, end))
         if not found:
@@ -179,36 +186,42 @@ class Scanner:
 
 
 def align(template: np.ndarray, words: np.ndarray, first: int, last: int, band: int = BAND) -> tuple[int, int, int]:
-    """The most words that match in order within the band; and the places of the first and the last.
+    """The most words that match in order within the band; and the places of the first and the last."""
+    matched, begin, end = aligned(template, words, np.array([first - band]), last - first + 2 * band + 1)
+    return int(matched[0]), int(begin[0]), int(end[0])
 
-    Cell j of row i stands for word i + first - band + j; scores are the longest
-    common subsequence within the band, ties to the latest begin. A cell is one
-    number (matched, begin, end), so a row is the running maximum of what comes
-    from above and of what matches: a few array operations for any width.
+
+def aligned(template: np.ndarray, words: np.ndarray, lows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for several bands of one width, side by side.
+
+    Cell j of row i of a band stands for word i + low + j; scores are the longest
+    common subsequence within the band, ties to the latest begin, then to the
+    least end. A cell is one number (matched, begin, end), so a row is the
+    running maximum of what comes from above and of what matches.
     """
-    width = last - first + 2 * band + 1
-    low, n = first - band, len(words)
-    size = width + len(template) + 2  # begin and end count from low, from 1 on; 0 is none
-    near = np.zeros(width + len(template), np.uint64)
-    held = slice(max(0, low), min(n, low + len(near)))
-    if held.start < held.stop:
-        near[held.start - low : held.stop - low] = words[held]
+    reach = width + len(template)
+    size = reach + 2  # begin and end count from low, from 1 on; 0 is none
     one = size * size
-    row = np.zeros(width + 1, np.int64)
-    top = (0, 0, 0)
-    for i, word in enumerate(template):
-        cell = row[1:].copy()
-        hit = np.flatnonzero(near[i : i + width] == word)
-        before, place = row[hit], i + hit + 1
-        begin = np.where(before >= one, before // size % size, place)
-        cell[hit] = np.maximum(cell[hit], (before // one + 1) * one + begin * size + place)
-        row[:width] = np.maximum.accumulate(cell)
-        end = row[:width] % size
-        best = int((row[:width] - end + (size - 1 - end)).max())
-        top = max(top, (best // one, best // size % size, -(size - 1 - best % size)))
-    if not top[0]:
-        return 0, 0, -1
-    return top[0], top[1] - 1 + low, -top[2] - 1 + low
+    parts = []
+    for at in range(0, len(lows), max(1, CELLS // reach)):
+        low = lows[at : at + max(1, CELLS // reach)]
+        places = low[:, None] + np.arange(reach)
+        near = np.where((places >= 0) & (places < len(words)), words[np.clip(places, 0, max(0, len(words) - 1))], np.uint64(0)) if len(words) else np.zeros(places.shape, np.uint64)
+        row = np.zeros((len(low), width + 1), np.int64)
+        top = np.zeros(len(low), np.int64)
+        for i, word in enumerate(template):
+            cell = row[:, 1:].copy()
+            r, c = np.nonzero(near[:, i : i + width] == word)
+            before, place = row[r, c], i + c + 1
+            begin = np.where(before >= one, before // size % size, place)
+            cell[r, c] = np.maximum(cell[r, c], (before // one + 1) * one + begin * size + place)
+            np.maximum.accumulate(cell, axis=1, out=row[:, :width])
+            # The end counts down here, so that the least is the greatest; later rows don't take an equal one's place.
+            end = row[:, :width] % size
+            top = np.maximum(top, (row[:, :width] - end + np.where(end > 0, size - end, 0)).max(axis=1))
+        found = top >= one
+        parts.append((top // one, np.where(found, top // size % size - 1 + low, 0), np.where(found, size - top % size - 1 + low, -1)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
