@@ -65,7 +65,7 @@ def test_sql(spark):
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in registry.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.queries()} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_contract_columns(spark):
