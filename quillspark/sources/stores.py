@@ -58,15 +58,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 def upsert_blocks(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Replace blocks by project, category and session; partitions that ``new`` doesn't name stay as they are.
 
-    The merged rows are written beside the store before they replace its
-    partitions, so a failed job leaves the old ones; they are deleted then.
+    The merged rows are written beside the store, under a name of their own,
+    before they replace its partitions, so a failed job leaves the old ones and
+    two upserts don't share their rows; they are deleted whatever happens.
     """
     old = spark.read.parquet(path)
     touched = new.select("project", "category").distinct()
     merged = old.join(touched, ["project", "category"], "left_semi").join(new.select("project", "category", "session_id"), ["project", "category", "session_id"], "left_anti").unionByName(new.select(*old.columns))
-    merged.write.mode("overwrite").parquet(f"{path}.merged")
-    spark.read.parquet(f"{path}.merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "category").parquet(path)
-    delete(spark, f"{path}.merged")
+    beside = f"{path.rstrip('/')}.merged-{uuid.uuid4().hex}"
+    try:
+        merged.write.parquet(beside)
+        spark.read.schema(old.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "category").parquet(path)
+    finally:
+        delete(spark, beside)
 
 
 def save(df: DataFrame, path: str) -> None:
