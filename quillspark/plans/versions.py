@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import history as H
 from quillspark.operators import versioning as V
+from quillspark.operators.trees import Snapshots
 from quillspark.plans.catalog import register
+from quillspark.sources.stores import delete, kept, scratch
 from quillspark.sources.views import CATEGORIES, blocks, commits, oracle, packs, table, usage_events
 
 _A = "a AS (SELECT * FROM blocks WHERE pos % 10 < 7)"
@@ -193,3 +197,44 @@ def manifest_changes(spark, d):
     files = b.select(F.col("session_id").alias("path"), F.sha2("content", 256).alias("sha256"), "pos")
     known = files.where("pos % 5 <> 0").select("path", F.when(F.col("pos") % 7 == 0, "changed").otherwise(F.col("sha256")).alias("sha256"))
     return V.changed_files(files.drop("pos"), known).select("path")
+
+
+def _tree_sql(sessions: str) -> str:
+    """The root of a tree of digests over (session_id, hash) level by level, for 16^5 leaves."""
+    levels = "n5 AS (SELECT p, digest FROM leaf WHERE length(p) = 5)"
+    for k in range(4, -1, -1):
+        levels += f", n{k} AS (SELECT p, digest FROM leaf WHERE length(p) = {k} UNION ALL SELECT left(p, {k}), sha256('node' || chr(10) || string_agg(right(p, 1) || ':' || digest, chr(10) ORDER BY right(p, 1))) FROM n{k + 1} GROUP BY 1)"
+    return f"""WITH {sessions}, e AS (SELECT session_id, hash, sha256(session_id) AS place FROM h), c AS (SELECT k, left(place, k) AS p, count(*) AS n FROM e, range(6) r(k) GROUP BY ALL),
+      ends AS (SELECT session_id, min(k) AS depth FROM e JOIN c ON left(place, k) = p AND length(p) = k WHERE n <= 64 GROUP BY 1),
+      leaf AS (SELECT left(place, depth) AS p, sha256('leaf' || chr(10) || string_agg(session_id || ':' || hash, chr(10) ORDER BY session_id)) AS digest FROM e JOIN ends USING (session_id) GROUP BY 1), {levels}
+      SELECT substr(digest, 1, 8) AS commit_id FROM n0"""
+
+
+_SIDE = "SELECT session_id, substr(sha256(category || ':' || content), 1, 16) AS hash FROM"
+
+
+def _trees(spark, d):
+    """A store of trees with the first snapshot committed and the second by its changes, and both roots."""
+    a, b, _ = _snaps(spark, d)
+    old, new = kept(V.content_hashes(a), "old"), kept(V.content_hashes(b), "new")
+    store = Snapshots(spark, f"{scratch(spark)}/trees/{uuid.uuid4().hex}")
+    first = store.commit(old)
+    changes = old.select("session_id", F.col("hash").alias("was")).join(new, "session_id", "full_outer").where("NOT was <=> hash").select("session_id", "hash")
+    return store, first, store.amend(first, changes)
+
+
+@register("vcs_tree_commit", oracle(_tree_sql(f"{_A}, {_B}, h AS ({_SIDE} b)")))
+def vcs_tree_commit(spark, d):
+    """The id of a commit that changes, adds and removes sessions of the snapshot before; equal to that of a tree built at once."""
+    store, _, second = _trees(spark, d)
+    delete(spark, store.path)
+    return spark.createDataFrame([(second[:8],)], "commit_id string")
+
+
+@register("vcs_tree_diff", oracle(f"WITH {_A}, {_B}, x AS ({_SIDE} a), y AS ({_SIDE} b) SELECT session_id, CASE WHEN x.hash IS NULL THEN 'added' WHEN y.hash IS NULL THEN 'removed' ELSE 'changed' END AS kind, x.hash AS old, y.hash AS new FROM x FULL JOIN y USING (session_id) WHERE x.hash IS DISTINCT FROM y.hash"))
+def vcs_tree_diff(spark, d):
+    """What differs between two stored snapshots, found below unequal nodes."""
+    store, first, second = _trees(spark, d)
+    found = store.differences(first, second)
+    delete(spark, store.path)
+    return found
