@@ -65,6 +65,52 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: int, end: int, most
     return seen.where(F.col("id") == end).select("path", (F.size("path") - 1).alias("hops"))
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """start, end, hops and path (ids) of a shortest directed path for every pair that has one; of several the least by ids.
+
+    A search goes on from both ends of every pair at once. In a round each
+    pair's smaller frontier takes a step, so a hub at one end is met from the
+    other; a pair is done when its frontiers meet, or when one of them is
+    empty, and leaves the tables. A row carries the least path from its end,
+    and each round is written to the shared folder. Ends that are null or equal
+    (no hops) or in no edge need no search; repeated pairs and edges count once.
+    """
+    e = kept(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct(), "edges")
+    asked = kept(pairs.select("start", "end").where("start IS NOT NULL AND end IS NOT NULL").distinct(), "asked")
+    done = [asked.where("start = end").select("start", "end", F.array("start").alias("path"))]
+    apart = asked.where("start <> end")
+    ends = {"ahead": apart.select("start", "end", F.col("start").alias("id"), F.array("start").alias("path")), "back": apart.select("start", "end", F.col("end").alias("id"), F.array("end").alias("path"))}
+    seen = {side: rows.select("start", "end", "id") for side, rows in ends.items()}
+    pair = ["start", "end"]
+    while True:
+        sizes = [ends[side].groupBy(*pair).agg(F.count("*").alias(side)) for side in ends]
+        turn = kept(sizes[0].join(sizes[1], pair).select(*pair, (F.col("ahead") <= F.col("back")).alias("ahead")), "turn")
+        if turn.isEmpty():
+            break
+        stepped = {}
+        for side, near, far in (("ahead", "src", "dst"), ("back", "dst", "src")):
+            moving = ends[side].join(turn.where(F.col("ahead") == (side == "ahead")).select(*pair), pair, "left_semi")
+            on = moving.join(e, F.col("id") == F.col(near))
+            longer = F.array_append("path", F.col(far)) if side == "ahead" else F.array_prepend("path", F.col(far))
+            new = on.select(*pair, F.col(far).alias("id"), longer.alias("path")).groupBy(*pair, "id").agg(F.min("path").alias("path"))
+            stepped[side] = kept(new.join(seen[side], [*pair, "id"], "left_anti"), "stepped")
+        for side in ends:
+            waits = ends[side].join(turn.where(F.col("ahead") != (side == "ahead")).select(*pair), pair, "left_semi")
+            ends[side] = kept(stepped[side].unionByName(waits), "ends")
+        # Every node that both sides have seen lies on both frontiers: they met there for the first time.
+        ahead, back = ends["ahead"], ends["back"].withColumnRenamed("path", "rest")
+        whole = F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))
+        met = kept(ahead.join(back, [*pair, "id"]).groupBy(*pair).agg(F.min(whole).alias("path")), "met")
+        done.append(met)
+        for side in ends:
+            ends[side] = kept(ends[side].join(met, pair, "left_anti"), "ends")
+            seen[side] = kept(seen[side].unionByName(stepped[side].select(*pair, "id")).join(met, pair, "left_anti").join(turn, pair, "left_semi"), "seen")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(*pair, (F.size("path") - 1).alias("hops"), "path")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node, each by its least id: id, component.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import graph as G
 from quillspark.plans.catalog import register
-from quillspark.sources.views import graph_edges, graph_nodes, oracle
+from quillspark.sources.views import graph_edges, graph_nodes, oracle, part_edges, table
 
 
 @register("graph_bfs", oracle("""WITH RECURSIVE und AS (SELECT src, dst FROM graph_edges UNION SELECT dst, src FROM graph_edges), walk AS (SELECT 3 AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN und ON src = id WHERE depth < 2)
@@ -68,3 +68,22 @@ def graph_by_type(spark, d):
 def graph_boosts(spark, d):
     n = graph_nodes(spark, d)
     return G.boosted(n, n.where("id % 2 = 0").select("id", F.lit(0.3).alias("boost"))).select("id", F.round("importance", 6).alias("importance"))
+
+
+@register("part_paths", oracle("""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM part_edges), pairs AS (SELECT min(p_partkey) AS a, max(p_partkey) AS b FROM part GROUP BY p_brand),
+  back AS (SELECT DISTINCT b, b AS id, 0 AS hops FROM pairs UNION SELECT b, src, hops + 1 FROM back JOIN e ON dst = id WHERE hops < 20),
+  dist AS MATERIALIZED (SELECT b, id, min(hops) AS hops FROM back GROUP BY 1, 2),
+  nxt AS MATERIALIZED (SELECT x.b, x.id, min(e.dst) AS n FROM dist x JOIN e ON e.src = x.id JOIN dist y ON y.b = x.b AND y.id = e.dst AND y.hops = x.hops - 1 GROUP BY 1, 2),
+  go AS (SELECT a, b, a AS id, [a] AS path FROM pairs UNION ALL SELECT a, go.b, n, list_append(path, n) FROM go JOIN nxt ON nxt.b = go.b AND nxt.id = go.id WHERE go.id <> go.b)
+  SELECT a AS start, b AS "end", CAST(len(path) - 1 AS INT) AS hops, array_to_string(path, ' > ') AS path FROM go WHERE id = b"""))
+def part_paths(spark, d):
+    """Shortest ways in the graph of parts, from each brand's first part to its last."""
+    pairs = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("start"), F.max("p_partkey").alias("end"))
+    return G.paths_between(part_edges(spark, d), pairs).withColumn("path", F.array_join("path", " > "))
+
+
+@register("part_components", oracle("""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM part_edges WHERE rank <= 2), reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src)
+  SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src"""))
+def part_components(spark, d):
+    """Strongly connected parts by their two most frequent next parts."""
+    return G.components(part_edges(spark, d).where("rank <= 2"))

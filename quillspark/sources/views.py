@@ -105,6 +105,15 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("category"), (F.col("n_nationkey") / 25.0).alias("importance"))
 
 
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's five most frequent next parts in orders, with their rank: a graph of all parts."""
+    behind = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), behind.alias("dst")).where("src <> dst")
+    n = steps.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return n.withColumn("rank", rank).where("rank <= 5").select("src", "dst", "rank")
+
+
 def boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     key = F.when(F.col("pos") % 3 == 0, F.col("session_id")).when(F.col("pos") % 3 == 1, F.concat_ws(":", "category", "session_id")).otherwise(F.concat_ws(":", "project", "session_id"))
@@ -165,6 +174,8 @@ SQL = {
     "graph_edges": """SELECT src, dst, CASE WHEN rank = 1 THEN 'depends_on' ELSE 'relates_to' END AS rel_type, 1.0e0 / rank AS strength, n FROM (
         SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM (
         SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)) WHERE rank <= 2 AND src <> dst""",
+    "part_edges": """SELECT src, dst, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM (SELECT src, dst, count(*) AS n FROM (
+        SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE src <> dst GROUP BY 1, 2)) WHERE rank <= 5""",
     "graph_nodes": "SELECT n_nationkey AS id, n_name AS name, 'r' || n_regionkey AS category, n_nationkey / 25.0e0 AS importance FROM nation",
     "boosts": """SELECT CASE pos % 3 WHEN 0 THEN session_id WHEN 1 THEN category || ':' || session_id ELSE project || ':' || session_id END AS key, (pos % 10) / 10.0e0 AS boost FROM blocks WHERE pos % 4 <> 0""",
     "turns": "SELECT conv_id AS session_id, turn AS pos, role, text FROM conversations WHERE role <> 'system'",
