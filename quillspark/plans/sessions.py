@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import sessions as S
 from quillspark.plans.catalog import register
+from quillspark.sources.stores import delete, kept, scratch
+from quillspark.sources.transcripts import register_transcripts
 from quillspark.sources.views import oracle, tool_results, tool_uses, turns
+from quillspark.streaming.streams import drain
 
 _TURNS = """i AS (SELECT *, greatest(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos), 1) AS island FROM turns),
   g AS (SELECT session_id, island, arg_max(text, pos) FILTER (WHERE role = 'user') AS user_text, string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE role = 'assistant') AS assistant_text, count(*) FILTER (WHERE role = 'assistant') AS n_answers, count(*) FILTER (WHERE role = 'user') AS n_users FROM i GROUP BY 1, 2),
@@ -60,3 +65,58 @@ def journal_scan(spark, d):
     noise = t.select("pos", F.when(F.col("pos") % 3 == 0, "").when(F.col("pos") % 3 == 1, '{"type": "other"}').otherwise('{"type": "us').alias("value"))
     entries = S.parse_journal(lines.unionByName(noise))
     return entries.select(F.col("session_id").cast("long").alias("session_id"), "pos", "type", S.content_text(F.col("content")).alias("text"))
+
+
+def _written(spark, d) -> str:
+    """The turns as folders of transcripts, ten projects, with blank, broken and unknown lines between; the place."""
+    t = turns(spark, d)
+    content = F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text")))
+    shared = [F.col("role").alias("type"), F.col("session_id").cast("string").alias("sessionId"), F.col("pos").cast("string").alias("timestamp")]
+    usage = F.struct(F.col("pos").cast("long").alias("input_tokens")).alias("usage")
+    whole = F.to_json(F.struct(*shared, F.struct("role", F.col("text").alias("content"), usage).alias("message")))
+    parts = F.to_json(F.struct(*shared, F.struct("role", content.alias("content"), usage).alias("message")))
+    line = F.when(F.col("pos") % 2 == 0, whole).otherwise(parts)
+    noise = F.when(F.col("pos") % 3 == 0, "").when(F.col("pos") % 3 == 1, '{"type": "other"}').otherwise('{"type": "us')
+    place = f"{scratch(spark)}/transcripts/{uuid.uuid4().hex}"
+    lines = t.select(F.concat(F.lit("p"), F.col("session_id") % 10).alias("project"), F.explode(F.array(line, noise)).alias("value"))
+    lines.write.partitionBy("project").text(place)
+    return place
+
+
+_READ = "SELECT 'p' || (session_id % 10) AS project, CAST(session_id AS VARCHAR) AS session_id, CAST(pos AS VARCHAR) AS timestamp, role AS type, role, COALESCE(text, '') AS text, CAST(pos AS BIGINT) AS input_tokens FROM turns"
+
+
+def _entries(rows):
+    return rows.where("NOT bad").select(F.substring_index("project", "=", -1).alias("project"), "session_id", "timestamp", "type", "role", F.coalesce("text", F.lit("")).alias("text"), "input_tokens")
+
+
+@register("transcript_source", oracle(_READ))
+def transcript_source(spark, d):
+    """The turns written as transcript files and read through the data source."""
+    register_transcripts(spark)
+    place = _written(spark, d)
+    found = kept(_entries(spark.read.format("transcripts").option("pattern", "*.txt").load(place)), "entries")
+    delete(spark, place)
+    return found
+
+
+@register("transcript_stream", oracle(_READ))
+def transcript_stream(spark, d):
+    """The same through the stream reader."""
+    register_transcripts(spark)
+    place = _written(spark, d)
+    stream = spark.readStream.format("transcripts").option("pattern", "*.txt").option("settle", "0").load(place)
+    found = drain(_entries(stream), "append")
+    delete(spark, place)
+    return found
+
+
+@register("transcript_bad_lines", oracle("SELECT 'p' || (session_id % 10) AS project, count(*) AS lines, count(*) FILTER (WHERE pos % 3 <> 0) AS bad FROM turns GROUP BY 1"))
+def transcript_bad_lines(spark, d):
+    """Good and bad lines of each project's files."""
+    register_transcripts(spark)
+    place = _written(spark, d)
+    rows = spark.read.format("transcripts").option("pattern", "*.txt").load(place)
+    found = kept(rows.groupBy(F.substring_index("project", "=", -1).alias("project")).agg(F.count_if(~F.col("bad")).alias("lines"), F.count_if("bad").alias("bad")), "bad")
+    delete(spark, place)
+    return found

@@ -210,12 +210,14 @@ def _tree_sql(sessions: str) -> str:
       SELECT substr(digest, 1, 8) AS commit_id FROM n0"""
 
 
+_ENDED = "b AS (SELECT session_id, category, CASE WHEN pos % 11 = 0 THEN content || '!' ELSE content END AS content FROM blocks WHERE pos % 10 > 2)"
 _SIDE = "SELECT session_id, substr(sha256(category || ':' || content), 1, 16) AS hash FROM"
 
 
 def _trees(spark, d):
     """A store of trees with the first snapshot committed and the second by its changes, and both roots."""
-    a, b, _ = _snaps(spark, d)
+    x = blocks(spark, d)
+    a, b = x.where("pos % 10 < 7"), x.where("pos % 10 > 2").withColumn("content", F.when(F.col("pos") % 11 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     old, new = kept(V.content_hashes(a), "old"), kept(V.content_hashes(b), "new")
     store = Snapshots(spark, f"{scratch(spark)}/trees/{uuid.uuid4().hex}")
     first = store.commit(old)
@@ -223,7 +225,7 @@ def _trees(spark, d):
     return store, first, store.amend(first, changes)
 
 
-@register("vcs_tree_commit", oracle(_tree_sql(f"{_A}, {_B}, h AS ({_SIDE} b)")))
+@register("vcs_tree_commit", oracle(_tree_sql(f"{_ENDED}, h AS ({_SIDE} b)")))
 def vcs_tree_commit(spark, d):
     """The id of a commit that changes, adds and removes sessions of the snapshot before; equal to that of a tree built at once."""
     store, _, second = _trees(spark, d)
@@ -231,7 +233,7 @@ def vcs_tree_commit(spark, d):
     return spark.createDataFrame([(second[:8],)], "commit_id string")
 
 
-@register("vcs_tree_diff", oracle(f"WITH {_A}, {_B}, x AS ({_SIDE} a), y AS ({_SIDE} b) SELECT session_id, CASE WHEN x.hash IS NULL THEN 'added' WHEN y.hash IS NULL THEN 'removed' ELSE 'changed' END AS kind, x.hash AS old, y.hash AS new FROM x FULL JOIN y USING (session_id) WHERE x.hash IS DISTINCT FROM y.hash"))
+@register("vcs_tree_diff", oracle(f"WITH {_A}, {_ENDED}, x AS ({_SIDE} a), y AS ({_SIDE} b) SELECT session_id, CASE WHEN x.hash IS NULL THEN 'added' WHEN y.hash IS NULL THEN 'removed' ELSE 'changed' END AS kind, x.hash AS old, y.hash AS new FROM x FULL JOIN y USING (session_id) WHERE x.hash IS DISTINCT FROM y.hash"))
 def vcs_tree_diff(spark, d):
     """What differs between two stored snapshots, found below unequal nodes."""
     store, first, second = _trees(spark, d)
