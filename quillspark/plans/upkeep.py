@@ -392,6 +392,31 @@ def fuzzy_ranked(spark, d):
 
 
 
+def _aligned_sql(pattern: str) -> str:
+    """The best alignment of a short pattern: places of each character joined with those of the one before."""
+    steps = "g AS (SELECT id, name, lower(name) AS n FROM packs), c AS (SELECT id, i, substr(n, i, 1) AS ch, CASE WHEN i = 1 OR NOT regexp_matches(substr(n, i - 1, 1), '[\\p{L}\\p{N}]') THEN 8 ELSE 0 END AS b FROM g, range(1, 1000) r(i) WHERE i <= length(n))"
+    steps += f", a0 AS (SELECT id, i, 16 + b AS s FROM c WHERE ch = '{pattern[0]}')"
+    for j, ch in enumerate(pattern[1:], 1):
+        steps += f", a{j} AS (SELECT c.id, c.i, 16 + any_value(b) + max(s + CASE WHEN c.i = p.i + 1 THEN 8 ELSE -3 - (c.i - p.i - 2) END) AS s FROM c JOIN a{j - 1} p ON p.id = c.id AND p.i < c.i WHERE ch = '{ch}' GROUP BY 1, 2)"
+    return f"WITH {steps}, f AS (SELECT id, max(s) AS score FROM a{len(pattern) - 1} GROUP BY 1) SELECT id, name, CAST(score AS INT) AS score FROM f JOIN g USING (id)"
+
+
+@register("fuzzy_aligned", oracle(_aligned_sql("rdw")))
+def fuzzy_aligned(spark, d):
+    """All packs whose name holds a pattern, by their best alignment."""
+    from quillspark.operators.fuzzy import fuzzy_best
+
+    return fuzzy_best(packs(spark, d), "name", "rdw").select("id", "name", "score")
+
+
+@register("fuzzy_best_top", oracle(f"{_aligned_sql('red')} ORDER BY score DESC, id LIMIT 20"))
+def fuzzy_best_top(spark, d):
+    """The best twenty of them, aligned only where a bound allows it."""
+    from quillspark.operators.fuzzy import fuzzy_top
+
+    return fuzzy_top(packs(spark, d), "name", "red", 20, "id").select("id", "name", "score")
+
+
 def _store(spark, d):
     from quillspark.operators.tools import Store
     from quillspark.plans.answers import _embedder

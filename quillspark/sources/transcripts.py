@@ -114,9 +114,12 @@ def _entry(line: bytes) -> tuple:
 
 
 def _rows(part: Range, options):
-    """A range's rows as Arrow batches."""
+    """A range's rows as Arrow batches; Spark passes None where there is no range."""
     import pyarrow as pa
 
+    if part is None:
+        return
+
     instant = pa.timestamp("us", tz="UTC")
     kinds = {"string": pa.string(), "long": pa.int64(), "timestamp": instant, "boolean": pa.bool_()}
     names = [f.split() for f in SCHEMA.split(", ")]
