@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("analytics", "retrieval", "questions", "knowledge", "quality", "sessions", "graphs", "learning", "versions", "texts", "documents", "tools", "answers", "upkeep", "streams", "substrate")
+MODULES = ("analytics", "retrieval", "questions", "indexes", "knowledge", "quality", "sessions", "graphs", "learning", "versions", "texts", "documents", "tools", "answers", "upkeep", "streams", "substrate")
 
 
 def _load() -> None:
