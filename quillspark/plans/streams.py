@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.plans.catalog import register
 from quillspark.sources.stores import scratch
+from quillspark.streaming import states
 from quillspark.streaming import streams as S
 
 
@@ -87,3 +88,30 @@ def stream_cycle(spark, d):
     steps = [("ingest", lambda b: b.count()), ("inject", broken), ("distill", lambda b: b.where("event_type = 'error'").count()), ("doctor", lambda b: b.select("user_id").distinct().count())]
     S.cycle(S.events(spark, d), steps, path)
     return spark.read.parquet(path).select("place", "step", "state", "n")
+
+
+_GONE = "max(ts) + INTERVAL 36 HOUR < (SELECT max(ts) FROM events)"
+_STEP = "(0.6e0 + (least(greatest(v + (0.6e0 - v) * 0.2e0, 0.1e0), 1.0e0) - 0.6e0) * power(0.8e0, n - 1)) * 0.98e0"
+_LEARNED = f"""WITH h AS (SELECT user_id, arg_min(event_id, (epoch_ms(ts), event_id)) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS nth FROM events) WHERE nth <= 10 GROUP BY 1),
+  u AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN (user_id % 10) / 10.0e0 ELSE 0 END AS v, count(*) AS n, count(DISTINCT event_type) AS kinds, {_GONE} AS gone FROM events GROUP BY 1)"""
+
+
+def _learned(spark, d):
+    """Users of even number have learned something before."""
+    e = S.events(spark, d)
+    start = spark.read.parquet(f"{d}/events.parquet").where("user_id % 2 = 0").select("user_id").distinct().select("user_id", ((F.col("user_id") % 10) / 10.0).alias("value"))
+    return states.learned(e, start, most=10)
+
+
+@register("stream_learned", f"{_LEARNED} SELECT user_id, state, n, kinds, oldest, round({_STEP}, 6) AS value FROM u JOIN h USING (user_id) CROSS JOIN (SELECT unnest(['held', 'expired']) AS state) WHERE gone OR state = 'held'")
+def stream_learned(spark, d):
+    """What each user's state held when the events were read, and once more where its timer ran out before the last event."""
+    return states.run(_learned(spark, d), "update", states.fresh(spark)).drop("batch").withColumn("value", F.round("value", 6))
+
+
+@register("stream_state_left", f"WITH {_LEARNED[5:]} SELECT e.user_id, event_type, count(*) AS n FROM events e JOIN u ON u.user_id = e.user_id WHERE NOT gone GROUP BY 1, 2")
+def stream_state_left(spark, d):
+    """Counts by type of event, read from the state store after the run: only of users whose state hasn't run out."""
+    path = states.fresh(spark)
+    states.run(_learned(spark, d), "update", path)
+    return states.state(spark, path, "kinds").select("key.user_id", "user_map_key.event_type", F.col("user_map_value.n").alias("n"))
