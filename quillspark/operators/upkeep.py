@@ -125,13 +125,13 @@ def success_rate(adaptations: DataFrame) -> DataFrame:
     return adaptations.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("improvement") > 0).cast("double")), F.lit(0.0)).alias("rate"))
 
 
-def graph_concepts(replies: DataFrame) -> DataFrame:
-    """Nodes of concept graphs that replies hold as JSON, fenced or not: importance 0.5 by default, categories by their aliases, else other; of a repeated id the first counts."""
+def graph_concepts(replies: DataFrame, *by: str) -> DataFrame:
+    """Nodes of concept graphs that replies hold as JSON, fenced or not: importance 0.5 by default, categories by their aliases, else other; of a repeated id the first counts. ``by`` names columns that graphs are kept apart by."""
     schema = "concepts array<struct<id:string,name:string,category:string,importance:double>>"
     body = F.coalesce(F.nullif(F.regexp_extract("reply", r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1), F.lit("")), F.col("reply"))
-    rows = replies.select("id", F.posexplode(F.from_json(body, schema)["concepts"]).alias("place", "c")).where("c.id IS NOT NULL")
-    first = rows.groupBy(F.col("c.id").alias("concept")).agg(F.min_by("c", F.struct("id", "place")).alias("c"))
-    return first.select("concept", F.coalesce("c.name", "concept").alias("name"), F.coalesce(_lookup(CONCEPTS, F.lower("c.category")), F.lit("other")).alias("category"), F.coalesce("c.importance", F.lit(0.5)).alias("importance"))
+    rows = replies.select(*by, "id", F.posexplode(F.from_json(body, schema)["concepts"]).alias("place", "c")).where("c.id IS NOT NULL")
+    first = rows.groupBy(*by, F.col("c.id").alias("concept")).agg(F.min_by("c", F.struct("id", "place")).alias("c"))
+    return first.select(*by, "concept", F.coalesce("c.name", "concept").alias("name"), F.coalesce(_lookup(CONCEPTS, F.lower("c.category")), F.lit("other")).alias("category"), F.coalesce("c.importance", F.lit(0.5)).alias("importance"))
 
 
 def relation(x: Column) -> Column:

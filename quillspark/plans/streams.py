@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillspark.operators.maintenance import Kept
 from quillspark.plans.catalog import register
+from quillspark.plans.knowledge import EXPIRED
 from quillspark.sources.stores import scratch
+from quillspark.sources.views import blocks, now, oracle
 from quillspark.streaming import states
 from quillspark.streaming import streams as S
 
@@ -115,3 +118,38 @@ def stream_state_left(spark, d):
     path = states.fresh(spark)
     states.run(_learned(spark, d), "update", path)
     return states.state(spark, path, "kinds").select("key.user_id", "user_map_key.event_type", F.col("user_map_value.n").alias("n"))
+
+
+@register("stream_maintenance", oracle(f"""WITH a AS (SELECT * FROM blocks WHERE NOT {EXPIRED}), p AS (SELECT count(DISTINCT project) AS n FROM a WHERE trim(content) <> '')
+  SELECT 0 AS place, 'ingest' AS step, 'done' AS state, count(*) AS n FROM blocks UNION ALL SELECT 1, 'inject', 'done', n FROM p UNION ALL SELECT 2, 'distill', 'done', count(*) FROM blocks WHERE {EXPIRED}
+  UNION ALL SELECT 3, 'doctor', 'done', 3 * n FROM p UNION ALL SELECT 4, 'quality', 'done', count(DISTINCT project) FROM a WHERE category <> 'procedures'"""))
+def stream_maintenance(spark, d):
+    """The cycle with the library's own steps, over all blocks as one batch into a new store."""
+    base = f"{scratch(spark)}/maintenance/{uuid.uuid4().hex}"
+    b = blocks(spark, d).drop("cat_ord")
+    b.repartition(1).write.parquet(f"{base}/in")
+    store = Kept(spark, f"{base}/store", now())
+    S.cycle(spark.readStream.schema(b.schema).parquet(f"{base}/in"), store.steps(), f"{base}/log")
+    return spark.read.parquet(f"{base}/log").select("place", "step", "state", "n")
+
+
+_LINE = "left(string_split(ltrim(content, ' '), chr(10))[1], 200)"
+
+
+@register("heal_contexts", oracle(f"""WITH l AS (SELECT project, ts, pos, {_LINE} AS line FROM blocks WHERE NOT {EXPIRED}), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, pos) AS nth FROM l WHERE line <> '')
+  SELECT project, string_agg(line, chr(10) ORDER BY nth) AS context FROM r WHERE nth <= 50 GROUP BY 1"""))
+def heal_contexts(spark, d):
+    """Contexts after the repairs of a store that has blocks alone; the provider gives back what it was shown."""
+    store = Kept(spark, f"{scratch(spark)}/stores/healed-{uuid.uuid4().hex}", now())
+    store.ingest(blocks(spark, d).drop("cat_ord"))
+    store.heal()
+    return store.contexts().select("project", "context")
+
+
+@register("heal_graph", oracle(f"SELECT DISTINCT project, unnest(regexp_extract_all(content, '[a-z]{{7,}}')[1:3]) AS concept FROM blocks WHERE NOT {EXPIRED}"))
+def heal_graph(spark, d):
+    """Concepts after the same repairs, as the provider of graphs found them in each block."""
+    store = Kept(spark, f"{scratch(spark)}/stores/healed-{uuid.uuid4().hex}", now())
+    store.ingest(blocks(spark, d).drop("cat_ord"))
+    store.heal()
+    return store.concepts().select("project", "concept")

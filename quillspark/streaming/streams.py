@@ -158,11 +158,11 @@ def cycle(stream: DataFrame, steps: list[tuple[str, Callable[[DataFrame], int]]]
         done = []
         for i, (name, step) in enumerate(steps):
             try:
-                done.append((i, name, "done", int(step(batch))))
+                done.append((i, name, "done", int(step(batch)), None))
             except Exception as error:
-                done.append((i, name, type(error).__name__, 0))
+                done.append((i, name, type(error).__name__, 0, str(error)))
         batch.unpersist()
-        batch.sparkSession.createDataFrame(done, "place int, step string, state string, n long").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        batch.sparkSession.createDataFrame(done, "place int, step string, state string, n long, message string").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     run(stream, "append", each)
 
