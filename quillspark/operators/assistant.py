@@ -84,9 +84,10 @@ def recursive_context(blocks: DataFrame, chunks: DataFrame, question: str, now:
 
 def raw_context(blocks: DataFrame, now: Column) -> DataFrame:
     """Active blocks in the order of their categories, with headings in front of some categories' first: project, cat_ord, pos, text."""
-    first = F.min("pos").over(Window.partitionBy("project", "category"))
     heads = F.create_map(*[F.lit(x) for p in HEADINGS.items() for x in p])
-    rows = B.active(blocks, now).withColumn("first", first)
+    known = B.active(blocks, now).where("project IS NOT NULL AND category IS NOT NULL")
+    # The first of each category by a pre-aggregated join: no category goes through one task.
+    rows = B.active(blocks, now).join(known.groupBy("project", "category").agg(F.min("pos").alias("first")), ["project", "category"], "left")
     text = F.when((F.col("pos") == F.col("first")) & heads[F.col("category")].isNotNull(), F.concat(heads[F.col("category")], F.lit("\n\n"), "content")).otherwise(F.col("content"))
     return rows.select("project", "cat_ord", "pos", text.alias("text"))
 

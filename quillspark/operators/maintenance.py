@@ -94,7 +94,7 @@ class Kept:
         )
         sizes = b.groupBy("project", "category").agg(F.sum(F.octet_length("content").cast("long")).alias("n")).groupBy("project").agg(F.max("n").alias("largest"))
         made = self.contexts().select("project", days_between(F.col("made"), self.now).alias("context_age"))
-        drawn = self.concepts().select("project").distinct().withColumn("has_graph", F.lit(True))
+        drawn = self.kept("graph/drawn", "replies long").select("project").withColumn("has_graph", F.lit(True))
         rows = per.join(sizes, "project").join(made, "project", "left").join(drawn, "project", "left")
         return rows.withColumn("has_graph", F.coalesce("has_graph", F.lit(False))).withColumn("has_dir", F.lit(True))
 
@@ -112,13 +112,14 @@ class Kept:
         self.index.put(rows.select(F.col("pos").alias("id"), F.col("content").alias("text")))
 
     def build_graph(self, rows: DataFrame) -> None:
-        """Concepts and relationships that the provider finds in each block, merged within a project."""
+        """Concepts and relationships that the provider finds in each block, merged within a project; a project of which no reply is a graph stays without."""
         asked = rows.select("project", F.col("pos").alias("id"), chat_column("content", "graph", self.graphs).alias("reply"))
         # Asked once: both tables come from the same replies.
         replies = stores.kept(asked, "replies")
         self._replace(U.graph_concepts(replies, "project"), "graph/concepts")
         edges = graph_of_json(replies, sorted(set(U.RELATIONS.values())), []).join(replies.select("id", "project"), "id")
         self._replace(edges.groupBy("project", "src", "dst", "rel_type").agg(F.max("strength").alias("strength")), "graph/relationships")
+        self._replace(replies.where(F.contains("reply", F.lit('"concepts"'))).groupBy("project").agg(F.count("*").alias("replies")), "graph/drawn")
 
     def heal(self) -> DataFrame:
         """Run the repairs that the store's figures call for: project, action and fixed, whether the issue is gone by new figures; issues that nothing repairs aren't listed."""
