@@ -62,11 +62,12 @@ def session_figures(turns_: DataFrame, uses: DataFrame) -> DataFrame:
     return t.join(c, "session_id", "left")
 
 
-def prompt_text(turns_: DataFrame) -> DataFrame:
-    """A conversation as prompt text: users to 1000 bytes, assistants to 1500, private sections stripped."""
+def prompt_text(turns_: DataFrame, private: bool = False) -> DataFrame:
+    """A conversation as prompt text: users to 1000 bytes, assistants to 1500; private sections stripped unless ``private`` keeps the texts as they are."""
     part = F.concat(F.lit("User: "), T.truncate_bytes("user_text", 1000), F.lit("\n\nAssistant: "), T.truncate_bytes("assistant_text", 1500))
     ordered = F.array_sort(F.collect_list(F.struct("turn_no", part.alias("part"))))
-    return turns_.groupBy("session_id").agg(T.strip_private(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n")).alias("prompt"))
+    text = F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n")
+    return turns_.groupBy("session_id").agg((text if private else T.strip_private(text)).alias("prompt"))
 
 
 def tool_counts(uses: DataFrame) -> DataFrame:
