@@ -15,7 +15,7 @@ Chat = Callable[[str, str], str]
 
 
 def hashing_embedder(texts: list[str]) -> np.ndarray:
-    """Unit vectors of signed word counts in hashed slots."""
+    """Unit vectors of signed word counts in hashed slots; a text whose words cancel, or that has none, has its own slot. The empty text alone is zero."""
     from zlib import crc32
 
     out = np.zeros((len(texts), DIMS))
@@ -23,6 +23,8 @@ def hashing_embedder(texts: list[str]) -> np.ndarray:
         for word in text.lower().split():
             h = crc32(word.encode())
             row[h % DIMS] += 1 if h >> 16 & 1 else -1
+        if text and not row.any():
+            row[crc32(text.encode()) % DIMS] = 1
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 

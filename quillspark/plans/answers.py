@@ -204,7 +204,8 @@ def reflect_tool(spark, d):
 @register("embedded_index", "SELECT 64 AS dims, count(*) AS n, count(*) AS unit FROM (SELECT DISTINCT text FROM documents WHERE trim(text) <> '')")
 def embedded_index(spark, d):
     """The default provider's vectors of all texts, equal ones once: their number, length and norm."""
-    texts = table(spark, d, "documents").where("trim(text) <> ''").select("text").distinct()
+    # What SQL trims are all space separators, not the space alone.
+    texts = table(spark, d, "documents").where(F.col("text").rlike(r"[^\p{Zs}]")).select("text").distinct()
     v = texts.select(P.embed("text").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return v.select(F.size("v").alias("dims"), norm.alias("norm")).groupBy("dims").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("norm") - 1) < 1e-9).alias("unit"))
