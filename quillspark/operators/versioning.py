@@ -72,17 +72,20 @@ def line_sets(old: Column, new: Column) -> Column:
     return F.struct(F.size(F.array_except(b, a)).alias("added"), F.size(F.array_except(a, b)).alias("removed"))
 
 
-def line_diff(rows: DataFrame) -> DataFrame:
-    """Line by line: id, line_num, diff_type (added, removed, modified), old, new, of a shortest edit script of each row."""
+def line_diff(rows: DataFrame, texts: bool = True, at_once: int = 128) -> DataFrame:
+    """Line by line: id, line_num, diff_type (added, removed, modified), old, new, of a shortest edit script of each row; without ``texts`` old and new stay null. Some rows of a batch at once are unpacked."""
+    kinds = {"id": None, "line_num": "int32", "diff_type": "string", "old": "string", "new": "string"}
 
     def work(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            keys, olds, news = (batch.column(c).to_pylist() for c in ("id", "old", "new"))
-            out = [(key, *change) for key, old, new in zip(keys, olds, news, strict=True) for change in changes(old, new)]
-            kinds = [("id", batch.schema.field("id").type), ("line_num", pa.int32()), ("diff_type", pa.string()), ("old", pa.string()), ("new", pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+        for whole in batches:
+            for i in range(0, whole.num_rows, at_once):
+                batch = whole.slice(i, at_once)
+                keys, olds, news = (batch.column(c).to_pylist() for c in ("id", "old", "new"))
+                out = [(key, *change) if texts else (key, *change[:2], None, None) for key, old, new in zip(keys, olds, news, strict=True) for change in changes(old, new)]
+                types = [batch.schema.field("id").type, *(pa.type_for_alias(t) for t in list(kinds.values())[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], [*kinds])
 
     return rows.select("id", "old", "new").mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, line_num int, diff_type string, old string, new string")
 
