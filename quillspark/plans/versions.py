@@ -142,7 +142,7 @@ def line_diff(spark, d):
 def line_diff_counts(spark, d):
     """How many lines a shortest script changes: those that the edit touched, and the line behind the last."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("content"))
-    return V.diff_counts(V.line_diff(_edited(rows)))
+    return V.diff_counts(V.line_diff(_edited(rows), texts=False))
 
 
 _VERSIONS = "v AS (SELECT 'v' || event_id AS version_id, COALESCE(category, 'none') AS category, ts, event_id FROM usage_events WHERE event_type = 'Ingest')"
