@@ -1,7 +1,8 @@
 """Graph operators on edge tables: neighbourhoods, paths, hubs, strongly connected components.
 
-Edges have src and dst. Walks of a few hops are one plan; what runs until
-nothing changes writes each round to the shared folder.
+Edges have src and dst, and are written to the shared folder once, however
+often they are derived. Walks of a few hops are one plan; what runs until
+nothing changes writes each round there as well.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, id, depth) within so many hops of each start, either direction, starts left out."""
-    both = undirected(edges)
+    both = kept(undirected(edges), "edges")
     seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, hops + 1):
@@ -32,7 +33,7 @@ def neighbours(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 def distances(edges: DataFrame, start: int, most: int) -> DataFrame:
     """Directed hops from a node to all it reaches within ``most``."""
     spark = edges.sparkSession
-    e = edges.select("src", "dst").distinct()
+    e = kept(edges.select("src", "dst").distinct(), "edges")
     seen = spark.range(1).select(F.lit(start).cast(e.schema["src"].dataType).alias("id"), F.lit(0).alias("hops"))
     frontier = seen
     for k in range(1, most + 1):
@@ -44,25 +45,31 @@ def distances(edges: DataFrame, start: int, most: int) -> DataFrame:
 
 def hubs(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """In and out degree, parallel edges counted, the n largest sums."""
+    edges = kept(edges.select("src", "dst"), "edges")
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
     both = nodes.join(out, "id", "left").join(into, "id", "left").na.fill(0, ["out_degree", "in_degree"])
     return both.withColumn("degree", F.col("in_degree") + F.col("out_degree")).orderBy(F.desc("degree"), "id").limit(n)
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start: int, end: int, most: int) -> DataFrame:
-    """One row: the names along a shortest directed path of ``most`` hops at most, of several the first by name; none where there is no path."""
-    names = nodes.select("id", "name")
-    e = edges.select("src", "dst").distinct().join(names.select(F.col("id").alias("dst"), "name"), "dst")
+def shortest_paths(nodes: DataFrame, edges: DataFrame, start: int, ends: list[int], most: int) -> DataFrame:
+    """id, path and hops of every end that is reached: the names along a shortest directed path of ``most`` hops at most, of several the first by name. One search for all ends."""
+    names = kept(nodes.select("id", "name"), "names")
+    e = kept(edges.select("src", "dst").distinct().join(names.select(F.col("id").alias("dst"), "name"), "dst"), "steps")
     seen = names.where(F.col("id") == start).select("id", F.array("name").alias("path"))
     frontier = seen
     for _ in range(most):
-        if not seen.where(F.col("id") == end).isEmpty():
+        if seen.where(F.col("id").isin(ends)).count() >= len(set(ends)) or frontier.isEmpty():
             break
         step = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.array_append("path", F.col("name")).alias("path"))
         frontier = kept(step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
-    return seen.where(F.col("id") == end).select("path", (F.size("path") - 1).alias("hops"))
+    return seen.where(F.col("id").isin(ends)).select("id", "path", (F.size("path") - 1).alias("hops"))
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: int, end: int, most: int) -> DataFrame:
+    """One row: the path to one end; none where there is no path."""
+    return shortest_paths(nodes, edges, start, [end], most).select("path", "hops")
 
 
 def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
