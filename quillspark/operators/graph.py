@@ -123,13 +123,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge in or out are put aside first. Then least ids pass
     along the edges until nothing changes, and what reaches such an id within
-    the nodes that carry it is its component; the rest goes round again.
+    the nodes that carry it is its component; the rest goes round again. There
+    are many rounds: their joins are merged, as tables that each round
+    broadcasts would all go through the driver.
     """
     left = kept(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     found = None
     while True:
         for _ in range(2):
-            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            left = left.join(left.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi").select("src", "dst")
         left = kept(left, "edges")
         if left.isEmpty():
             break
@@ -137,19 +139,19 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             new = colours
             for _ in range(3):
-                passed = new.join(left, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "colour")
+                passed = new.join(left.hint("merge"), F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "colour")
                 new = new.unionByName(passed).groupBy("id").agg(F.min("colour").alias("colour"))
             new = kept(new, "colours")
-            same = new.join(colours, ["id", "colour"], "left_anti").isEmpty()
+            same = new.join(colours.hint("merge"), ["id", "colour"], "left_anti").isEmpty()
             colours = new
             if same:
                 break
-        within = left.join(colours.select(F.col("id").alias("src"), "colour"), "src").join(colours.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select("src", "dst", "colour")
+        within = left.join(colours.select(F.col("id").alias("src"), "colour").hint("merge"), "src").join(colours.select(F.col("id").alias("dst"), "colour").hint("merge"), ["dst", "colour"]).select("src", "dst", "colour")
         within = kept(within, "within")
         reach, size = colours.where("id = colour"), 0
         while True:
             for _ in range(3):
-                back = reach.join(within.select("src", "dst", F.col("colour").alias("of")), (F.col("id") == F.col("dst")) & (F.col("colour") == F.col("of"))).select(F.col("src").alias("id"), "colour")
+                back = reach.join(within.select("src", "dst", F.col("colour").alias("of")).hint("merge"), (F.col("id") == F.col("dst")) & (F.col("colour") == F.col("of"))).select(F.col("src").alias("id"), "colour")
                 reach = reach.unionByName(back).distinct()
             reach = kept(reach, "reach")
             now = reach.count()
@@ -157,11 +159,11 @@ def components(edges: DataFrame) -> DataFrame:
                 break
             size = now
         found = reach if found is None else found.unionByName(reach)
-        left = left.join(reach.select(F.col("id").alias("src")), "src", "left_anti").join(reach.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+        left = left.join(reach.select(F.col("id").alias("src")).hint("merge"), "src", "left_anti").join(reach.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_anti").select("src", "dst")
     if found is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
     several = found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
-    return found.join(several, "colour", "left_semi").select("id", F.col("colour").alias("component"))
+    return found.join(several.hint("merge"), "colour", "left_semi").select("id", F.col("colour").alias("component"))
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
