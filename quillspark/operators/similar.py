@@ -34,6 +34,8 @@ from quillspark.sources.stores import kept
 
 #: Vectors from which axes and pivots are drawn; pivots; rows of a block; coordinates of the head.
 SAMPLE, PIVOTS, BLOCK, HEAD = 4_096, 512, 4_096, 16
+#: Rows of a batch that are placed at once, and pairs that are multiplied out at once.
+ROWS, PRODUCTS = 1_024, 16_384
 #: Cells that a vector may visit on the average before fewer pivots are taken, and how many those are.
 VISITS, FEW = 6, 16
 #: Cosines this much lower are multiplied out: rounding loses none.
@@ -110,9 +112,11 @@ def units(vectors: DataFrame, by: str | None) -> DataFrame:
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    dims = batch.column("dims").to_numpy()
-    for d in np.unique(dims):
-        yield int(d), batch.filter(pa.array(dims == d))
+    for i in range(0, batch.num_rows, ROWS):
+        some = batch.slice(i, ROWS)
+        dims = some.column("dims").to_numpy()
+        for d in np.unique(dims):
+            yield int(d), some.filter(pa.array(dims == d))
 
 
 def blocks(vectors: DataFrame, low: float, by: str | None = None, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -169,19 +173,19 @@ def blocks(vectors: DataFrame, low: float, by: str | None = None, pivots: int =
 def _met(table: pa.Table, low: float, high: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """a, b and similarity of the pairs of one block, some at a time."""
     side, ids = table["side"].to_numpy(), table["id"].to_numpy()
-    x = np.frombuffer(b"".join(table["vector"].to_pylist()), "<f8").reshape(len(ids), -1)
+    x = np.concatenate([_matrix(batch) for batch in table.to_batches(ROWS) if batch.num_rows]) if len(ids) else np.zeros((0, 1))
     head = min(HEAD, x.shape[1])
     rest = np.sqrt(np.maximum(0, (x[:, head:] ** 2).sum(axis=1)))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
-    for i in range(0, len(left), 512):
-        a = left[i : i + 512]
-        for j in range(0, len(right), 4_096):
-            b = right[j : j + 4_096]
+    for i in range(0, len(left), 256):
+        a = left[i : i + 256]
+        for j in range(0, len(right), 2_048):
+            b = right[j : j + 2_048]
             most = x[a, :head] @ x[b, :head].T + rest[a][:, None] * rest[b][None, :]
             may = (most >= low - SLACK) & ((side[b] == 2)[None, :] | (ids[a][:, None] < ids[b][None, :]))
             p, q = np.nonzero(may)
-            for k in range(0, len(p), 200_000):
-                one, two = a[p[k : k + 200_000]], b[q[k : k + 200_000]]
+            for k in range(0, len(p), PRODUCTS):
+                one, two = a[p[k : k + PRODUCTS]], b[q[k : k + PRODUCTS]]
                 cosine = np.einsum("ij,ij->i", x[one], x[two])
                 fits = (cosine >= low) & (cosine <= high)
                 m, n = ids[one[fits]], ids[two[fits]]
