@@ -35,11 +35,14 @@ from quillspark.sources.stores import kept
 #: Vectors from which axes and pivots are drawn; pivots; rows of a block; coordinates of the head.
 SAMPLE, PIVOTS, BLOCK, HEAD = 4_096, 512, 4_096, 16
 #: Rows of a batch that are placed at once, and pairs that are multiplied out at once.
-ROWS, PRODUCTS = 1_024, 16_384
+ROWS, PRODUCTS = 1_024, 65_536
+#: Pairs of vectors, if all were visited, for which there is a task of its own.
+PAIRS = 1 << 28
 #: Cells that a vector may visit on the average before fewer pivots are taken, and how many those are.
 VISITS, FEW = 6, 16
 #: Cosines this much lower are multiplied out: rounding loses none.
 SLACK = 1e-9
+_TASK = ["grp", "dims", "cell", "left", "right"]
 _ROW = "grp string, dims int, cell int, id long, vector binary"
 
 
@@ -167,7 +170,9 @@ def blocks(vectors: DataFrame, low: float, by: str | None = None, pivots: int =
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     left = members.withColumn("side", F.lit(0)).join(sizes, place_of).withColumn("left", mine).withColumn("right", every)
     right = partners.join(sizes, place_of).withColumn("right", mine).withColumn("left", every)
-    return left.unionByName(right).drop("parts")
+    # Blocks grow as the square of the rows where vectors have no structure; so do the tasks that they are dealt over.
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * n // (2 * PAIRS)))
+    return left.unionByName(right).drop("parts").repartition(tasks, *_TASK)
 
 
 def _met(table: pa.Table, low: float, high: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,10 +182,10 @@ def _met(table: pa.Table, low: float, high: float) -> Iterator[tuple[np.ndarray,
     head = min(HEAD, x.shape[1])
     rest = np.sqrt(np.maximum(0, (x[:, head:] ** 2).sum(axis=1)))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
-    for i in range(0, len(left), 256):
-        a = left[i : i + 256]
-        for j in range(0, len(right), 2_048):
-            b = right[j : j + 2_048]
+    for i in range(0, len(left), 512):
+        a = left[i : i + 512]
+        for j in range(0, len(right), 4_096):
+            b = right[j : j + 4_096]
             most = x[a, :head] @ x[b, :head].T + rest[a][:, None] * rest[b][None, :]
             may = (most >= low - SLACK) & ((side[b] == 2)[None, :] | (ids[a][:, None] < ids[b][None, :]))
             p, q = np.nonzero(may)
@@ -192,9 +197,6 @@ def _met(table: pa.Table, low: float, high: float) -> Iterator[tuple[np.ndarray,
                 yield np.minimum(m, n), np.maximum(m, n), cosine[fits]
 
 
-_TASK = ["grp", "dims", "cell", "left", "right"]
-
-
 def pairs(vectors: DataFrame, low: float, high: float, by: str | None = None, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """a, b (a < b) and similarity of all pairs, within a group ``by`` where that is given, whose cosine lies from ``low`` (above 0) to ``high``."""
 
