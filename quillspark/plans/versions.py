@@ -74,19 +74,19 @@ def _newest(commits):
 def vcs_log(spark, d):
     """The whole history of the newest commit, as far as its messages name a fix."""
     c = commits(spark, d)
-    return H.Ancestry(c).log(c, _newest(c), None, "fix").select("id", "depth", "message")
+    return H.Ancestry(c, "seq").log(c, _newest(c), None, "fix").select("id", "depth", "message")
 
 
 @register("vcs_log_limited", oracle(f"WITH RECURSIVE {_WALK} SELECT id, CAST(depth AS INT) AS depth, message FROM w JOIN commits USING (id) WHERE contains(lower(message), 'urgent') ORDER BY depth LIMIT 25"))
 def vcs_log_limited(spark, d):
     c = commits(spark, d)
-    return H.Ancestry(c).log(c, _newest(c), 25, "urgent").select("id", "depth", "message")
+    return H.Ancestry(c, "seq").log(c, _newest(c), 25, "urgent").select("id", "depth", "message")
 
 
 @register("vcs_depths", oracle("WITH RECURSIVE w AS (SELECT id, id AS root, 0 AS depth FROM commits WHERE parent IS NULL UNION ALL SELECT c.id, root, depth + 1 FROM w JOIN commits c ON c.parent = w.id) SELECT id, root, CAST(depth AS BIGINT) AS depth FROM w"))
 def vcs_depths(spark, d):
     """Every commit's root and its distance to it."""
-    return H.Ancestry(commits(spark, d)).depths()
+    return H.Ancestry(commits(spark, d), "seq").depths()
 
 
 @register("vcs_merge_bases", oracle("""WITH RECURSIVE n AS (SELECT seq, CAST(substr(parent, 2) AS BIGINT) AS up, CAST(left(message, 3) = 'Fix' AS BIGINT) AS f FROM commits),
@@ -98,7 +98,7 @@ def vcs_merge_bases(spark, d):
     c = commits(spark, d)
     fix = F.startswith("message", F.lit("Fix")).cast("long")
     pairs = c.where("seq >= 6").select(F.col("id").alias("a"), F.concat(F.lit("c"), (F.col("seq") - 5 - fix).cast("string")).alias("b"))
-    return H.Ancestry(c).merge_bases(pairs)
+    return H.Ancestry(c, "seq").merge_bases(pairs)
 
 
 @register("vcs_checkout_plan", oracle(f"WITH {_A}, {_B}, k AS (SELECT session_id FROM blocks WHERE pos % 2 = 0) SELECT session_id, 'snapshot' AS origin FROM a UNION ALL SELECT session_id, 'uncommitted' FROM b WHERE session_id NOT IN (SELECT session_id FROM k) AND (category, session_id) NOT IN (SELECT category, session_id FROM a)"))
