@@ -74,9 +74,10 @@ def stream_ingest(spark, d):
     name = F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name")
     for part in (0, 1):
         changed = F.concat("text", F.lit(" changed"))
-        docs.select(name, F.when((F.lit(part) == 1) & (F.col("doc_id") % 3 == 0), changed).otherwise(F.col("text")).alias("text")).coalesce(1).write.parquet(f"{base}/in/part{part}")
-    stream = spark.readStream.schema("name string, text string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")
-    S.ingest_changed(stream, f"{base}/out")
+        docs.select(name, F.when((F.lit(part) == 1) & (F.col("doc_id") % 3 == 0), changed).otherwise(F.col("text")).alias("text")).write.parquet(f"{base}/in/part{part}")
+        # A run takes all files of its part as one batch and goes on from the one before.
+        stream = spark.readStream.schema("name string, text string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")
+        S.ingest_changed(stream, f"{base}/out", f"{base}/progress")
     return spark.read.parquet(f"{base}/out/texts").groupBy("name").agg(F.count("*").alias("times"))
 
 

@@ -98,9 +98,9 @@ def recent(stream: DataFrame, most: int = 100) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, oldest long", "held string", "update", GroupStateTimeout.NoTimeout)
 
 
-def run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over what is there, with its progress in the shared folder."""
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{scratch(stream.sparkSession)}/streams/{uuid.uuid4().hex}")
+def run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], progress: str | None = None) -> None:
+    """Run a stream over what is there, or new since the last run with its ``progress``; that of a single run lies in the shared folder."""
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", progress or f"{scratch(stream.sparkSession)}/streams/{uuid.uuid4().hex}")
     writer.foreachBatch(each).start().awaitTermination()
 
 
@@ -128,7 +128,7 @@ def keep_counters(stream: DataFrame, path: str) -> None:
     run(stream, "append", lambda batch, epoch: batch.groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={epoch}"))
 
 
-def ingest_changed(stream: DataFrame, path: str) -> None:
+def ingest_changed(stream: DataFrame, path: str, progress: str | None = None) -> None:
     """Texts (name, text) of a stream whose content isn't the one last ingested under that name.
 
     Each batch writes its changed texts and their digests under its number;
@@ -147,7 +147,7 @@ def ingest_changed(stream: DataFrame, path: str) -> None:
         new.write.mode("overwrite").parquet(f"{path}/texts/batch={epoch}")
         spark.read.schema(new.schema).parquet(f"{path}/texts/batch={epoch}").select("name", "digest").write.mode("overwrite").parquet(f"{path}/manifest/batch={epoch}")
 
-    run(stream, "append", each)
+    run(stream, "append", each, progress)
 
 
 def cycle(stream: DataFrame, steps: list[tuple[str, Callable[[DataFrame], int]]], path: str) -> None:
