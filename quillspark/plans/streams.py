@@ -128,7 +128,7 @@ def stream_maintenance(spark, d):
     """The cycle with the library's own steps, over all blocks as one batch into a new store."""
     base = f"{scratch(spark)}/maintenance/{uuid.uuid4().hex}"
     b = blocks(spark, d).drop("cat_ord")
-    b.repartition(1).write.parquet(f"{base}/in")
+    b.write.parquet(f"{base}/in")
     store = Kept(spark, f"{base}/store", now())
     S.cycle(spark.readStream.schema(b.schema).parquet(f"{base}/in"), store.steps(), f"{base}/log")
     return spark.read.parquet(f"{base}/log").select("place", "step", "state", "n")
