@@ -35,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Rows of a stored table of a few columns that may go to every task.
+FEW = 200_000
+
+
+def hinted(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For joins with tables of as many rows as the stored ``df`` at most: where these are few by count they go to every task, and the other side isn't shuffled."""
+    return F.broadcast if df.limit(FEW + 1).count() <= FEW else lambda side: side
+
+
 #: Paths that stored() has written and nobody has deleted.
 _WRITTEN: list[str] = []
 

@@ -21,8 +21,8 @@ Two texts are linked if the weighted Jaccard similarity of their shingles is
    all members outside its largest are compared with those of all members, in
    blocks of about ``BLOCK`` by ``BLOCK`` documents and ``BLOCK_BYTES`` of text.
    Only what agrees with a member of another component meets its text, and is
-   verified in its block. Only links leave a block, and only those that join two
-   components within it.
+   verified in its block, a text with many at once (``Shared``). Only links leave
+   a block, and only those that join two components within it.
 
 Defined results: texts without a word are near only to equal texts; a null
 text counts as empty; rows without doc_id have no class; rows are told apart by
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, held, release, slices, stored, table, words
+from quillspark.llm.common import documents, held, hinted, release, slices, stored, table, words
 from quillspark.llm.graphs import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
@@ -48,8 +48,6 @@ SAMPLES = BANDS * ROWS
 AGREE = 18
 #: A centre's documents are compared in as many parts.
 PARTS = 32
-#: Up to so many documents whose texts are asked for go to the tasks that read texts; beyond, texts go to them.
-BROADCAST = 200_000
 #: Characters whose words are hashed at once, as that takes some forty bytes each.
 TOGETHER = 500_000
 _BYTE = np.random.default_rng(13).integers(0, 2**64 - 1, 256, dtype=np.uint64)
@@ -129,6 +127,44 @@ def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     return float(shared / (v.sum() + w.sum() - shared))
 
 
+class Shared:
+    """Weighted sets, none of which is empty, that others are compared with all at once."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sets = sets
+        self.known, self.at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+        self.weights = np.concatenate([w for _, w in sets])
+        self.starts = np.concatenate([[0], np.cumsum([len(h) for h, _ in sets])[:-1]])
+        self.totals = np.add.reduceat(self.weights, self.starts)
+        self.dense = np.zeros(len(self.known))
+
+    def reach(self, one: tuple[np.ndarray, np.ndarray], which: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of some sets, by their places, are as similar to ``one``; where sums in another order might tell otherwise, as jaccard() has it."""
+        h, w = one
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        same = self.known[at] == h
+        self.dense[at[same]] = w[same]
+        shared = np.add.reduceat(np.minimum(self.dense[self.at], self.weights), self.starts)[which]
+        self.dense[at[same]] = 0
+        like = shared / (w.sum() + self.totals[which] - shared)
+        good = like >= similarity
+        for k in np.flatnonzero(np.abs(like - similarity) < 1e-9).tolist():
+            good[k] = jaccard(one, self.sets[which[k]]) >= similarity
+        return good
+
+
+def runs(sizes: list[int], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of texts with ``most`` characters together; a longer one stands alone."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if len(sizes) > begin:
+        yield begin, len(sizes)
+
+
 class Sampler:
     """Consistent weighted samples; the random variates of a shingle come from pools of fixed size, each addressed by other bits of its hash."""
 
@@ -238,22 +274,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signed = stored(rows.mapInArrow(sign, "doc_id long, h1 long, h2 long, size long, bands array<long>, sketch binary"), "signed")
     # One row, of the least doc_id, stands for equal texts. Its number is that doc_id; a hash where one doc_id stands for several texts.
     distinct = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
-    several = distinct.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("several"))
+    distinct = stored(distinct, "distinct")
+    several = stored(distinct.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("several")), "several")
     half = F.lit(1 << 62)
     number = F.when(F.col("several"), -F.xxhash64("h1", "h2").bitwiseAND(half - 1) - half).otherwise(F.col("doc"))
-    nodes = stored(distinct.join(several, "doc", "left").select(number.alias("node"), "doc", "h1", "h2", "size", "bands", "sketch"), "nodes")
-    sketches = nodes.where(F.col("sketch").isNotNull()).select("node", "sketch", "size")
+    nodes = distinct.withColumn("node", F.col("doc"))
+    if not several.isEmpty():
+        nodes = stored(distinct.join(hinted(several)(several), "doc", "left").withColumn("node", number).drop("several"), "nodes")
+    sketches = nodes.where(F.col("sketch").isNotNull()).select("node", "sketch")
 
     def fetched(wanted: DataFrame, name: str) -> DataFrame:
         """node and text of the wanted nodes."""
-        named = stored(wanted.distinct().join(nodes, "node").select("node", F.col("doc").alias("doc_id"), "h1", "h2"), f"{name}-wanted")
-        few = named.count() <= BROADCAST
-        found = rows.join(F.broadcast(named) if few else named, ["doc_id", "h1", "h2"]).select("node", "text")
+        wanted = stored(wanted.distinct(), f"{name}-wanted")
+        few = hinted(wanted)
+        named = nodes.select("node", F.col("doc").alias("doc_id"), "h1", "h2").join(few(wanted), "node")
+        found = rows.join(few(named), ["doc_id", "h1", "h2"]).select("node", "text")
         return stored(found.dropDuplicates(["node"]), name)
 
-    hashed = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
+    hashed = nodes.where(F.col("bands").isNotNull()).select("node", "size", F.explode("bands").alias("bucket"))
     centres = hashed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1).select((F.col("bucket") + 0).alias("bucket"), "centre")
-    buckets = stored(hashed.join(centres, "bucket").select("bucket", "node", "centre"), "buckets")
+    buckets = stored(hashed.join(centres, "bucket").select("bucket", "node", "size", "centre"), "buckets")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,11 +301,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 agree = _agreement(_sketches(batch.column("sketch")), _sketches(batch.column("other")))
                 yield batch.select(["centre", "node"]).filter(pa.array(agree >= AGREE))
 
-    spokes = buckets.where(F.col("node") != F.col("centre")).select("centre", "node").distinct().join(sketches.select("node", "sketch"), "node")
-    spokes = spokes.join(sketches.select(F.col("node").alias("centre"), F.col("sketch").alias("other")), "centre").select("centre", "node", "sketch", "other")
+    pairs = stored(buckets.where(F.col("node") != F.col("centre")).select("centre", "node").distinct(), "pairs")
+    few = hinted(pairs)
+    middles = sketches.join(few(pairs.select(F.col("centre").alias("node"))), "node", "left_semi")
+    spokes = sketches.join(few(pairs), "node").join(few(middles.select(F.col("node").alias("centre"), F.col("sketch").alias("other"))), "centre").select("centre", "node", "sketch", "other")
     spokes = stored(spokes.mapInArrow(alike, "centre long, node long"), "spokes").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
     hubs = spokes.select("centre", "part").distinct().select("centre", F.col("centre").alias("node"), "part")
-    texts = fetched(spokes.select("node").unionByName(hubs.select("node")), "texts")
+    texts = fetched(spokes.select("node").unionByName(spokes.select(F.col("centre").alias("node"))), "texts")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(idf.value)
@@ -280,20 +322,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                     found.append((a, b))
             yield _pairs(found)
 
-    star = hubs.unionByName(spokes.select("centre", "node", "part")).join(texts, "node").repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("node") != F.col("centre"))
+    star = few(hubs.unionByName(spokes.select("centre", "node", "part"))).join(texts, "node").repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("node") != F.col("centre"))
     links = stored(star.select("centre", "node", "text").mapInArrow(stars, "a long, b long"), "links")
     labels = components(links)
 
     # Buckets that still hold several components: members outside the largest against all.
-    labelled = buckets.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    labelled = labelled.join(sketches, "node")
+    labelled = buckets.select("bucket", "node", "size").join(hinted(labels)(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     split = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("labels") > 1)
     parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
     split = stored(split.select("bucket", F.col("top.label").alias("top"), parts(F.col("n"), F.col("size")).alias("blocks"), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("rests")), "split")
-    open_ = labelled.join(split, "bucket")
-    every = open_.select("bucket", "node", "label", "sketch", F.lit(False).alias("rest"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("turn"))
-    rest = open_.where(F.col("label") != F.col("top")).select("bucket", "node", "label", "sketch", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "rests").alias("turn"))
+    open_ = labelled.join(hinted(split)(split), "bucket")
+    # Every member meets the blocks of its row; what is outside the largest component also those of its column.
+    spot = lambda rest, block, turn: F.struct(F.lit(rest).alias("rest"), block.alias("block"), turn.alias("turn"))
+    at = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda turn: spot(False, at("blocks"), turn))
+    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda block: spot(True, block, at("rests")))
+    spots = F.when(F.col("label") != F.col("top"), F.concat(every, rest)).otherwise(every)
+    wanted = stored(open_.select("bucket", "node", "label", spots.alias("spots")), "open")
 
     def sides(group: list[dict]) -> tuple[list[dict], list[dict], np.ndarray, np.ndarray] | None:
         left, right = [r for r in group if r["rest"]], [r for r in group if not r["rest"]]
@@ -323,8 +369,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             if (both := sides(group)) is None:
                 continue
             left, right, x, y = both
-            label_y = np.array([r["label"] for r in right])
-            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            root_y = np.array([r["label"] for r in right])
             joined: dict[int, int] = {}
 
             def root(label: int, joined: dict[int, int] = joined) -> int:
@@ -332,33 +377,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                     label = joined[label]
                 return label
 
-            def weighted(r: dict, sets: dict = sets) -> tuple[np.ndarray, np.ndarray]:
-                if r["node"] not in sets:
-                    sets[r["node"]] = shingler.weighted(shingler.words([r["text"]])[0])
-                return sets[r["node"]]
-
+            ours = [shingler.weighted(shingler.words([r["text"]])[0]) for r in left]
             found = []
-            for i, r in enumerate(left):
-                agree = _agreement(x[i], y)
-                near = np.flatnonzero((agree >= AGREE) & (label_y != r["label"]))
-                for j in near[np.argsort(-agree[near], kind="stable")].tolist():
-                    a, b = root(r["label"]), root(right[j]["label"])
-                    if a != b and jaccard(weighted(r), weighted(right[j])) >= similarity:
-                        joined[max(a, b)] = min(a, b)
-                        found.append((r["node"], right[j]["node"]))
+            for begin, end in runs([len(r["text"]) for r in right]):
+                theirs = Shared([shingler.weighted(shingler.words([r["text"]])[0]) for r in right[begin:end]])
+                for i, r in enumerate(left):
+                    agree = _agreement(x[i], y[begin:end])
+                    near = np.flatnonzero((agree >= AGREE) & (root_y[begin:end] != root(r["label"])))
+                    if not len(near):
+                        continue
+                    near = near[theirs.reach(ours[i], near, similarity)]
+                    for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                        a, b = root(r["label"]), int(root_y[begin + j])
+                        if a != b:
+                            joined[max(a, b)] = min(a, b)
+                            root_y[root_y == max(a, b)] = min(a, b)
+                            found.append((r["node"], right[begin + j]["node"]))
             if found:
                 yield _pairs(found)
 
     keys = ["bucket", "block", "turn"]
-    met = every.unionByName(rest).select(*keys, "node", "label", "rest", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    met = sketches.join(hinted(wanted)(wanted), "node").select("bucket", "node", "label", "sketch", F.explode("spots").alias("spot"))
+    met = met.select("bucket", "spot.block", "spot.turn", "node", "label", "spot.rest", "sketch").repartition(*keys).sortWithinPartitions(*keys)
     met = stored(met.mapInArrow(likely, "bucket long, block long, turn long, node long, label long, rest boolean, sketch binary"), "met")
-    more = met.join(fetched(met.select("node"), "more-texts"), "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(blocks, "a long, b long")
+    more = hinted(met)(met).join(fetched(met.select("node"), "more-texts"), "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(blocks, "a long, b long")
     more = more.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
     classes = components(more)
     # The least doc_id of a class, among its texts the one of least hashes.
-    found = nodes.select("node", "doc", "h1", "h2").join(classes, "node", "left").select("doc", "h1", "h2", F.coalesce("label", "node").alias("label"))
-    firsts = found.groupBy("label").agg(F.min(F.struct("doc", "h1", "h2")).alias("top"))
-    found = found.join(firsts, "label").select("h1", "h2", F.col("top.doc").alias("class_id"), ((F.col("h1") == F.col("top.h1")) & (F.col("h2") == F.col("top.h2"))).alias("stands"))
+    few = hinted(classes)
+    linked = nodes.select("node", "doc", "h1", "h2").join(few(classes), "node")
+    firsts = linked.groupBy("label").agg(F.min(F.struct("doc", "h1", "h2")).alias("top"))
+    tops = stored(classes.join(few(firsts), "label").select("node", "top"), "tops")
+    found = nodes.select("node", "doc", "h1", "h2").join(few(tops), "node", "left").withColumn("top", F.coalesce("top", F.struct("doc", "h1", "h2")))
+    found = found.select("h1", "h2", F.col("top.doc").alias("class_id"), ((F.col("h1") == F.col("top.h1")) & (F.col("h2") == F.col("top.h2"))).alias("stands"))
     members = signed.select("doc_id", "h1", "h2").join(found.select((F.col("h1") + 0).alias("h1"), (F.col("h2") + 0).alias("h2"), "class_id", "stands"), ["h1", "h2"])
     return members.select("doc_id", "h1", "h2", "class_id", (F.col("stands") & (F.col("doc_id") == F.col("class_id"))).alias("first"))
 
