@@ -3,7 +3,9 @@
 The index holds, per term and block of documents, the postings (id and the
 weight that BM25 gives the term there) and the greatest of the weights. A block
 holds so many documents on the average, so a term that all documents hold is
-many rows. For a question, the sum of its terms' idf times the greatest weights
+many rows. Whatever goes over the index is dealt by blocks into tasks of so many
+words, and tasks are as many as the words (and the questions' blocks) need: a
+text's scores are summed within its block's task. For a question, the sum of its terms' idf times the greatest weights
 bounds every score in a block from above. The blocks of greatest bounds are
 scored first; the k-th score found there is the question's threshold; of the
 other blocks only those are read whose bound reaches it. No answer is lost, and
@@ -35,6 +37,8 @@ from quillspark.sources.stores import kept
 
 #: Documents of a block; questions that tasks hold at once.
 PER_BLOCK, HELD = 64, 4_096
+#: Words that a task indexes or opens; scores (of a question and a document) that it may sum.
+WORDS, SCORES = 250_000, 500_000
 #: Digits behind the point that tell scores apart.
 DIGITS = 9
 
@@ -42,15 +46,15 @@ DIGITS = 9
 def build(chunks: DataFrame, path: str, per_block: int = PER_BLOCK) -> None:
     """Write the index of id and text to ``path``: postings by term and block, terms, and one row of figures."""
     words = kept(chunks.select("id", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens")), "tokens")
-    figures = words.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
+    figures = words.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), F.ceil(F.count("*") / per_block).cast("int").alias("blocks"), F.coalesce(F.ceil(F.sum("length") / WORDS), F.lit(0)).cast("int").alias("tasks"))
     figures.write.mode("overwrite").parquet(f"{path}/figures")
     known = chunks.sparkSession.read.parquet(f"{path}/figures").first()
-    rows = words.select("id", "length", F.pmod(F.xxhash64("id"), F.lit(max(1, known["blocks"]))).cast("int").alias("block"), F.explode("tokens").alias("term"))
-    tf = rows.groupBy("term", "block", "id", "length").agg(F.count("*").alias("tf"))
+    # One shuffle, of token lists; a block's terms are counted and gathered where they arrive.
+    dealt = words.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, known["blocks"]))).cast("int")).repartition(max(1, known["tasks"]), "block")
+    tf = dealt.select("id", "length", "block", F.explode("tokens").alias("term")).groupBy("block", "term", "id", "length").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(known["mean"] or 1.0)))
-    posted = tf.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", weight.alias("weight")))).alias("postings"), F.max(weight).alias("top"), F.count("*").alias("n"))
-    # By ranges of term and block: a search reads the row groups of its terms, and no range is one term's alone.
-    posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    posted = tf.groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("id", weight.alias("weight")))).alias("postings"), F.max(weight).alias("top"), F.count("*").alias("n"))
+    posted.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     chunks.sparkSession.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
@@ -60,25 +64,35 @@ class Words:
     def __init__(self, spark: SparkSession, path: str):
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         self.postings, self.terms = read("postings"), read("terms")
-        self.docs = read("figures").first()["docs"]
+        figures = read("figures").first()
+        self.docs, self.blocks, self.tasks = figures["docs"], max(1, figures["blocks"]), max(1, figures["tasks"])
 
     def weighed(self, questions: DataFrame) -> DataFrame:
         """qid, term and w: how often a question names a term, times the term's idf."""
         asked = questions.select("qid", F.explode(T.tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
         idf = F.log((self.docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        return asked.join(self.terms, "term").select("qid", "term", (F.col("times") * idf).alias("w"))
+        met = asked.repartition(self.tasks, "term").join(self.terms.repartition(self.tasks, "term"), "term")
+        return met.select("qid", "term", (F.col("times") * idf).alias("w"))
 
     def bounds(self, weighed: DataFrame) -> DataFrame:
         """qid, block, most (no document of the block scores more) and n, the postings a search of it reads."""
         met = weighed.join(self.postings.select("term", "block", "top", "n"), "term")
         return met.groupBy("qid", "block").agg(F.sum(F.col("w") * F.col("top")).alias("most"), F.sum("n").alias("n"))
 
+    def sums(self, weighed: DataFrame, blocks: DataFrame) -> DataFrame:
+        """qid, id and score of the documents in the blocks (qid, block) that each question names."""
+        tasks = min(self.blocks, max(self.tasks, -(-blocks.count() * -(-self.docs // self.blocks) // SCORES)))
+        asked = blocks.select("qid", "block").join(weighed, "qid").select("block", "term", F.struct("qid", "w").alias("named"))
+        both = asked.unionByName(self.postings.select("block", "term", "postings"), allowMissingColumns=True).repartition(tasks, "block")
+        # Terms meet, and scores are summed, where their block is: a join on both columns would deal them anew.
+        met = both.groupBy("block", "term").agg(F.collect_list("named").alias("named"), F.first("postings", ignorenulls=True).alias("postings"))
+        parts = met.select("block", "postings", F.explode("named").alias("q")).select("block", "q", F.explode("postings").alias("p"))
+        # Rounded, so that documents of equal text stay equal in whatever order their terms are summed.
+        return parts.groupBy("block", "q.qid", "p.id").agg(F.round(F.sum(F.col("q.w") * F.col("p.weight")), DIGITS).alias("score")).drop("block")
+
     def scored(self, weighed: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         """The k best documents of each question in the blocks that it names."""
-        met = blocks.select("qid", "block").join(weighed, "qid").join(self.postings.select("term", "block", "postings"), ["term", "block"])
-        parts = met.select("qid", "w", F.explode("postings").alias("p"))
-        # Rounded, so that documents of equal text stay equal in whatever order their terms are summed.
-        return best(parts.groupBy("qid", "p.id").agg(F.round(F.sum(F.col("w") * F.col("p.weight")), DIGITS).alias("score")), k)
+        return best(self.sums(weighed, blocks), k)
 
     def plan(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Terms, hits of the blocks of greatest bounds, the other blocks that may hold better ones, and all bounds."""
