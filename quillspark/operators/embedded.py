@@ -53,7 +53,12 @@ class Embedded:
     def _rows(self, kind: str, schema: str, parts: list[str]) -> DataFrame:
         """Rows of some parts, each with its part's name."""
         one = lambda n: self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{n}").withColumn("part", F.lit(n))
-        return reduce(DataFrame.unionByName, map(one, parts)) if parts else self.spark.createDataFrame([], f"{schema}, part string")
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in f"{schema}, part string".split(", "))]
+        return reduce(DataFrame.unionByName, map(one, parts)) if parts else self.spark.range(0).select(*none)
+
+    def _listed(self, parts: list[str]) -> DataFrame:
+        """Names of parts as rows (part)."""
+        return self.spark.range(1).select(F.explode(F.array(*map(F.lit, parts)).cast("array<string>")).alias("part"))
 
     def _latest(self, parts: list[str]) -> DataFrame:
         """id, digest, home and version of each id's last row, removals among them."""
@@ -116,12 +121,11 @@ class Embedded:
         parts = self.parts()
         rows = self._rows("deltas", DELTA, parts).groupBy("part").agg(F.max("version").alias("version"), F.count("digest").alias("put"), F.count_if(F.col("digest").isNull()).alias("removed"))
         made = self._rows("vectors", VECTOR, [n for n in self._named("vectors") if n in parts]).groupBy("part").agg(F.count("*").alias("embedded"))
-        every = self.spark.createDataFrame([(p,) for p in parts], "part string")
-        return every.join(rows, "part", "left").join(made, "part", "left").na.fill(0, ["put", "removed", "embedded"])
+        return self._listed(parts).join(rows, "part", "left").join(made, "part", "left").na.fill(0, ["put", "removed", "embedded"])
 
     def _cover(self, part: str, parts: list[str]) -> None:
         """From here on readers take ``part`` instead of ``parts``."""
-        self.spark.createDataFrame([(p,) for p in parts], "part string").coalesce(1).write.parquet(f"{self.path}/covers/{part}")
+        self._listed(parts).write.parquet(f"{self.path}/covers/{part}")
 
     def compact(self) -> str:
         """Join all parts into one without removed ids and unused vectors.

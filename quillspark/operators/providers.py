@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,33 @@ def hashing_embedder(texts: list[str]) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
+#: Texts, and about how many of their bytes, that a provider is given at once; a longer text stands alone.
+AT_ONCE, BYTES = 256, 1 << 20
+
+
+def _some(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts of a batch, some at once: what Python unpacks doesn't grow with the batch."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    begin, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > begin and (i - begin >= AT_ONCE or held + n > BYTES):
+            yield [t or "" for t in texts.slice(begin, i - begin).to_pylist()]
+            begin, held = i, 0
+        held += n
+    if lengths:
+        yield [t or "" for t in texts.slice(begin).to_pylist()]
+
+
 def embed(column: str, provider: Embed = hashing_embedder) -> Column:
-    """Vectors of a text column, by batches."""
+    """Vectors of a text column; the provider is given some texts of a batch at once."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([*provider(batch.fillna("").tolist())])
+            vectors = [pa.array([*np.asarray(provider(texts), np.float64)], pa.list_(pa.float64())) for texts in _some(batch)]
+            yield pa.concat_arrays(vectors) if vectors else pa.array([], pa.list_(pa.float64()))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<double>")(column)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<double>")(column)
 
 
 def extractive_chat(system: str, user: str) -> str:
