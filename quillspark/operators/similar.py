@@ -124,10 +124,10 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def measured(vectors: DataFrame, by: str | None) -> DataFrame:
-    """id, grp, dims and the vector of every row whose vector has a length and holds finite numbers only."""
+    """id, grp, dims and the vector of every row with an id whose vector has a length and holds finite numbers only."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
     rows = vectors.select(F.col("id").cast("long").alias("id"), (F.col(by).cast("string") if by else F.lit("")).alias("grp"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.where("grp IS NOT NULL").withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    rows = rows.where("id IS NOT NULL AND grp IS NOT NULL").withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
     return rows.select("id", "grp", F.size("embedding").alias("dims"), "embedding")
 
 
